@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from tidewatch.llm.bpe import op1_bpe
+from tidewatch.llm.language_id import op2_language_id
+from tidewatch.llm.near_dups import op3_minhash_near_dups
 from tidewatch.llm.token_counts import op5_token_counts
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_language_id": op2_language_id,
+    "op3_minhash_near_dups": op3_minhash_near_dups,
     "op5_token_counts": op5_token_counts,
 }
 
