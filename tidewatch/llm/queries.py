@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from tidewatch.llm.bpe import op1_bpe
+from tidewatch.llm.decontaminate import OP8_SQL, op8_decontaminate
 from tidewatch.llm.language_id import op2_language_id
+from tidewatch.llm.line_dedup import op4_line_dedup
 from tidewatch.llm.near_dups import op3_minhash_near_dups
 from tidewatch.llm.token_counts import op5_token_counts
 
@@ -11,7 +13,11 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_language_id": op2_language_id,
     "op3_minhash_near_dups": op3_minhash_near_dups,
+    "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
+    "op8_decontaminate": op8_decontaminate,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_decontaminate": OP8_SQL,
+}
