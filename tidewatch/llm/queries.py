@@ -7,6 +7,7 @@ from tidewatch.llm.decontaminate import OP8_SQL, op8_decontaminate
 from tidewatch.llm.language_id import op2_language_id
 from tidewatch.llm.line_dedup import op4_line_dedup
 from tidewatch.llm.near_dups import op3_minhash_near_dups
+from tidewatch.llm.suffix_dedup import op10_suffix_dedup
 from tidewatch.llm.token_counts import op5_token_counts
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op8_decontaminate": op8_decontaminate,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 SQL: dict[str, str] = {
