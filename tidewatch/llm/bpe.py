@@ -10,11 +10,14 @@ text, so the join is exact.
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,8 @@ from tidewatch.llm.common import table, tokenizer_path, with_columns
 LONG, LEAF, CACHE_WORDS = 1024, 512, 300_000
 
 #: Characters whose class and case are the same in every Unicode version in use; texts of other ones go to the library whole.
-SAFE = "".join(chr(c) for c in [*range(1, 0x250), *range(0x2010, 0x2020), *range(0x2030, 0x203B), 0x20AC] if c != 0x130 and unicodedata.category(chr(c)) != "Cn")
+SAFE = "".join(chr(c) for c in [*range(1, 0x250), *range(0x2010, 0x2020), *range(0x2030, 0x203B), 0x20AC] if unicodedata.category(chr(c)) != "Cn")
+SAFE = "".join(c for c in SAFE if c.lower() in SAFE)
 _class = lambda test: "[" + re.escape("".join(c for c in SAFE if test(c))) + "]"
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0"
 _letter, _number = (_class(lambda c, k=k: unicodedata.category(c)[0] == k) for k in "LN")
@@ -68,36 +72,47 @@ class TreeEncoder:
 
 
 class WordEncoder(dict):
-    """Pre-token -> its ids as little-endian 32-bit bytes; a missing one is encoded, and remembered while there is room."""
+    """Pre-token -> its ids as little-endian 32-bit bytes; missing ones are encoded together, and remembered while there is room."""
 
     def __init__(self, path: str, long: int = LONG, leaf: int = LEAF, most: int = CACHE_WORDS) -> None:
         super().__init__()
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the unit of parallel work
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library, self.long, self.most = Tokenizer.from_file(path), long, most
+        self.path, self.long, self.leaf, self.most = path, long, leaf, most
+        self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
+        self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bare = Tokenizer(self.library.model)  # for a pre-token, which is normalised already
+        self.bare.pre_tokenizer = self.to_bytes
+        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+
+    @cached_property
+    def tree(self) -> TreeEncoder:
+        """Made for the first long pre-token only."""
+        from tokenizers import Tokenizer, models
+
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         suffix = model["end_of_word_suffix"] or ""
         inner = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges))
         final = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=suffix))
-        names = {i: w for w, i in model["vocab"].items()}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.tree = TreeEncoder(lambda s: inner.encode(s, add_special_tokens=False).ids, lambda s: final.encode(s, add_special_tokens=False).ids, lambda i: names[i].removesuffix(suffix) if suffix else names[i], leaf)
+        names = {i: w.removesuffix(suffix) if suffix else w for w, i in model["vocab"].items()}
+        return TreeEncoder(lambda s: inner.encode(s, add_special_tokens=False).ids, lambda s: final.encode(s, add_special_tokens=False).ids, names.__getitem__, self.leaf)
 
-    def __missing__(self, word: str) -> bytes:
-        if len(word) > self.long:
-            return np.asarray(self.tree.encode(self.to_bytes.pre_tokenize_str(word)[0][0]), "<i4").tobytes()
-        ids = np.asarray(self.library.encode(word, add_special_tokens=False).ids, "<i4").tobytes()
-        if len(self) >= self.most:
+    def learn(self, words: set[str]) -> None:
+        if len(self) + len(words) > self.most:
             self.clear()
-        self[word] = ids
-        return ids
+        new = [w for w in words if w not in self and len(w) <= self.long]
+        for w, e in zip(new, self.bare.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self[w] = array("i", e.ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        tree = self.tree
+        return np.asarray(tree.encode(self.to_bytes.pre_tokenize_str(word)[0][0]), "<i4").tobytes()
 
     def words(self, segment: str) -> list[str]:
         if not UNSAFE.search(segment):
@@ -109,12 +124,23 @@ class WordEncoder(dict):
         for _, at in self.library.pre_tokenizer.pre_tokenize_str(segment):
             yield at
 
-    def encode(self, text: str | None) -> bytes:
+    def parts(self, text: str | None) -> list[str | bytes]:
+        """Pre-tokens, and special tokens as their ids' bytes."""
         if not text:
-            return b""
+            return []
         if not self.cut or "<|" not in text:
-            return b"".join(map(self.__getitem__, self.words(text)))
-        return b"".join(np.asarray([self.special[s]], "<i4").tobytes() if s in self.special else b"".join(map(self.__getitem__, self.words(s))) for s in self.cut.split(text) if s)
+            return self.words(text)
+        return [x for s in self.cut.split(text) if s for x in ([np.asarray([self.special[s]], "<i4").tobytes()] if s in self.special else self.words(s))]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        parts = [self.parts(t) for t in texts]
+        seen = set().union(*parts)
+        special = {x for x in seen if isinstance(x, bytes)}
+        if new := seen.difference(self, special):
+            self.learn(seen - special if len(self) + len(new) > self.most else new)
+        if special:
+            return [b"".join([x if isinstance(x, bytes) else self[x] for x in p]) for p in parts]
+        return [b"".join(map(self.__getitem__, p)) for p in parts]
 
 
 def encode(docs: DataFrame, text: str = "text", tokenizer: str | None = None, out: str = "token_ids", long: int = LONG, leaf: int = LEAF) -> DataFrame:
@@ -130,7 +156,7 @@ def encode(docs: DataFrame, text: str = "text", tokenizer: str | None = None, ou
         known = WordEncoder(path, long, leaf)
 
         def each(batch: pa.RecordBatch) -> list[pa.Array]:
-            parts = [known.encode(x.as_py()) for x in batch.column(text)]
+            parts = known.encode(batch.column(text).to_pylist())
             offsets = np.zeros(len(parts) + 1, np.int32)
             np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
             values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(parts))])

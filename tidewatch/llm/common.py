@@ -137,8 +137,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     return df.mapInArrow(run, schema)
 
 
-def with_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
-    """df with computed columns after its own; an own column of the same name is replaced."""
+def with_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], rows: int = 512) -> DataFrame:
+    """df with computed columns after its own, made for some rows at a time; an own column of the same name is replaced."""
     names = {f.name for f in fields}
     source = df
     kept = [f for f in df.schema.fields if f.name not in names]
@@ -146,9 +146,11 @@ def with_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[],
     def make_each():
         each = make()
 
-        def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-            made = each(batch)
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *made], names=[*(f.name for f in kept), *(f.name for f in fields)])
+        def run(whole: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+            for i in range(0, whole.num_rows, rows):
+                batch = whole.slice(i, rows)
+                made = each(batch)
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *made], names=[*(f.name for f in kept), *(f.name for f in fields)])
 
         return run
 
