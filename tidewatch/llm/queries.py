@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidewatch.llm.bpe import op1_bpe
 from tidewatch.llm.decontaminate import OP8_SQL, op8_decontaminate
+from tidewatch.llm.embedding_dups import op7_embedding_near_dups
 from tidewatch.llm.language_id import op2_language_id
 from tidewatch.llm.line_dedup import op4_line_dedup
 from tidewatch.llm.near_dups import op3_minhash_near_dups
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_minhash_near_dups": op3_minhash_near_dups,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
+    "op7_embedding_near_dups": op7_embedding_near_dups,
     "op8_decontaminate": op8_decontaminate,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
