@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.catalogue import ESCALATION
 from tidewatch.functions.enums import severity_rank
 from tidewatch.functions.text import SOURCE_EXTENSIONS, file_extension
+from tidewatch.functions.unions import union_all
 from tidewatch.operators.findings import evidence, finding, first_evidence
 
 MOST_CHANGED = 60
@@ -16,8 +17,8 @@ MOST_CHANGED = 60
 def version_sets(matches: DataFrame, credentials: DataFrame, endpoints: DataFrame) -> DataFrame:
     """(target, version, kind, item): capabilities, credentials and hosts of each version, once each."""
     rows = matches.where("capability is not null").select("target", "version", F.lit("capability").alias("kind"), F.col("capability").alias("item"))
-    rows = rows.union(credentials.select("target", "version", F.lit("credential"), "name")).union(endpoints.select("target", "version", F.lit("endpoint"), "host"))
-    return rows.distinct()
+    named = lambda df, kind, column: df.select("target", "version", F.lit(kind).alias("kind"), F.col(column).alias("item"))
+    return union_all(rows, named(credentials, "credential", "name"), named(endpoints, "endpoint", "host")).distinct()
 
 
 def diff_versions(sets: DataFrame, before: str, after: str) -> DataFrame:
@@ -44,7 +45,7 @@ def diff_findings(changes: DataFrame, matches: DataFrame, before: str, after: st
     out = caps.select("target", F.lit(after).alias("version"), *finding(F.concat(F.lit("diff.capability_added."), "capability"), "SOURCE_CODE", F.col("severity"), F.lit("MEDIUM"), F.concat(F.lit(f"New capability since {before}: "), "capability"), F.col("evidence")))
     for kind, rule, area, severity, title, most in (("credential", "diff.credentials_added", "CAPABILITIES", "HIGH", f"Asks for credentials it did not want in {before}", 1 << 30), ("endpoint", "diff.endpoints_added", "NETWORK", "MEDIUM", f"Contacts hosts it did not contact in {before}", 5)):
         rows = gained.where(F.col("kind") == kind).groupBy("target").agg(F.slice(F.array_sort(F.collect_list("item")), 1, most).alias("items"))
-        out = out.unionByName(rows.select("target", F.lit(after).alias("version"), *finding(F.lit(rule), area, F.lit(severity), F.lit("MEDIUM"), F.lit(title), F.transform("items", lambda i: evidence(detail=i)))))
+        out = union_all(out, rows.select("target", F.lit(after).alias("version"), *finding(F.lit(rule), area, F.lit(severity), F.lit("MEDIUM"), F.lit(title), F.transform("items", lambda i: evidence(detail=i)))))
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import enums, text
 from tidewatch.functions.text import snippet, walk_key
+from tidewatch.functions.unions import union_all
 
 EVIDENCE = "struct<path:string,line:int,snippet:string,detail:string,context:string>"
 COLUMNS = ("target", "version", "rule_id", "area", "severity", "confidence", "title", "evidence", "n_further")
@@ -59,14 +60,12 @@ def combination_findings(matches: DataFrame) -> DataFrame:
     got = lambda c: F.col("proof")[c]
     decode = rows.where(has("encoding.base64") & has("code.eval")).select("target", "version", *finding(F.lit("combo.decode_then_execute"), "SOURCE_CODE", F.lit("CRITICAL"), F.lit("MEDIUM"), F.lit("Decodes encoded data and evaluates code in the same project"), F.concat(got("encoding.base64"), got("code.eval"))))
     install = rows.where(has("package.install") & has("shell.execute", "process.spawn")).select("target", "version", *finding(F.lit("combo.runtime_package_install"), "INSTALLATION", F.lit("HIGH"), F.lit("MEDIUM"), F.lit("Installs packages by shelling out at runtime"), got("package.install")))
-    return decode.unionByName(install)
+    return union_all(decode, install)
 
 
 def union_findings(*frames: DataFrame) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    """Findings of several analysers as one table."""
+    return union_all(*frames)
 
 
 def quiet(e: Column) -> Column:

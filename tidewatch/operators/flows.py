@@ -9,6 +9,7 @@ from tidewatch.functions.catalogue import EXFIL_WORTHY, OUTBOUND
 from tidewatch.functions.enums import confidence_rank
 from tidewatch.functions.hosts import URL_WITH_PORT
 from tidewatch.functions.text import snippet
+from tidewatch.functions.unions import union_all
 from tidewatch.operators.findings import evidence, finding
 
 FILE = ["target", "version", "path"]
@@ -31,7 +32,7 @@ def pair_flows(matches: DataFrame) -> DataFrame:
     keys = [*FILE, "source_rule", "sink_rule"]
     w = Window.partitionBy(*keys).orderBy("m.line", "side")
     source = F.when(F.col("side") == 0, F.col("m"))
-    both = a.union(b).withColumns({
+    both = union_all(a, b).withColumns({
         "before": F.last(source, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
         "after": F.first(source, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
     })
@@ -46,13 +47,17 @@ def pair_flows(matches: DataFrame) -> DataFrame:
 
 def nearest_url(points: DataFrame, lines: DataFrame) -> DataFrame:
     """points (file, line) with destination: the first URL's host of the closest line within 40; ties go up."""
-    urls = lines.withColumn("url", F.regexp_extract("text", URL_WITH_PORT, 1)).where("url <> ''").select(*FILE, "line", F.struct("line", "url").alias("u"))
-    asked = points.select(*FILE, "line").distinct().withColumn("u", F.lit(None).cast("struct<line:int,url:string>")).withColumn("asked", F.lit(True))
-    rows = urls.withColumn("asked", F.lit(False)).unionByName(asked)
+    urls = lines.withColumn("url", F.regexp_extract("text", URL_WITH_PORT, 1)).where("url <> ''").select(*FILE, "line", F.col("line").alias("at"), "url")
+    asked = points.select(*FILE, "line").distinct().select(*FILE, "line", F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("url"))
     w = Window.partitionBy(*FILE).orderBy("line")
-    near = rows.withColumns({"up": F.last("u", ignorenulls=True).over(w.rangeBetween(-NEAR, 0)), "down": F.first("u", ignorenulls=True).over(w.rangeBetween(0, NEAR))}).where("asked")
-    up = F.col("up").isNotNull() & (F.col("down").isNull() | (F.col("line") - F.col("up.line") <= F.col("down.line") - F.col("line")))
-    return points.join(near.select(*FILE, "line", F.when(up, F.col("up.url")).otherwise(F.col("down.url")).alias("destination")), [*FILE, "line"], "left")
+    up, down = w.rangeBetween(-NEAR, 0), w.rangeBetween(0, NEAR)
+    near = union_all(urls, asked).withColumns({
+        "up": F.last("at", ignorenulls=True).over(up), "up_url": F.last("url", ignorenulls=True).over(up), "down": F.first("at", ignorenulls=True).over(down), "down_url": F.first("url", ignorenulls=True).over(down),
+    })
+    upward = F.col("up").isNotNull() & (F.col("down").isNull() | (F.col("line") - F.col("up") <= F.col("down") - F.col("line")))
+    # Rows of one line see the same window, so either of them will do.
+    found = near.groupBy(*FILE, "line").agg(F.max(F.when(upward, F.col("up_url")).otherwise(F.col("down_url"))).alias("destination"))
+    return points.join(found, [*FILE, "line"], "left")
 
 
 def with_destination(flows: DataFrame, lines: DataFrame) -> DataFrame:

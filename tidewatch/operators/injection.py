@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.enums import one_notch_down
 from tidewatch.functions.text import file_extension, snippet
+from tidewatch.functions.unions import union_all
 from tidewatch.operators.findings import evidence, finding
 
 FILE = ["target", "version", "path"]
@@ -73,7 +74,7 @@ def tool_texts(lines: DataFrame) -> DataFrame:
 
     docs = python.join(tools, FILE, "left_semi").groupBy(*FILE).applyInPandas(each, "target string, version string, path string, line int, text string, kind string")
     fields = lines.where(ext.isin(".js", ".mjs", ".cjs", ".ts", ".tsx", ".jsx")).select(*FILE, "line", F.explode(F.regexp_extract_all("text", F.lit("(?s)" + DESCRIPTION), F.lit(1))).alias("text"), F.lit("description-field").alias("kind"))
-    return docs.union(fields.withColumn("text", F.trim("text")).where("text <> ''"))
+    return union_all(docs, fields.withColumn("text", F.trim("text")).where("text <> ''"))
 
 
 def detect_tool_poisoning(lines: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import text as t
 from tidewatch.functions.catalogue import CATALOGUE, Rule, checked
+from tidewatch.functions.unions import union_all
 
 # Fixed value: names of assignments that list what is refused.
 EXCLUSION_NAME = r"(?i)\b[A-Za-z_]*(deny|denied|denylist|blocklist|blacklist|exclude|excluded|exclusion|skip|skipped|ignore|ignored|forbid|forbidden|refuse|never|secret_file|sensitive_file|redact|sanitiz|scrub|filter_out)[A-Za-z_]*\s*(?::[^=]*)?="
@@ -90,7 +91,7 @@ def match_context(matches: DataFrame, lines: DataFrame) -> DataFrame:
     files = matches.select(*FILE).distinct()
     own = lines.join(files, FILE, "left_semi")
     ext = t.file_extension(F.col("path"))
-    prose = prose_lines(own).union(own.where((ext != ".py") & F.col("text").rlike(LINE_COMMENT)).select(*FILE, "line")).withColumn("is_prose", F.lit(True))
+    prose = union_all(prose_lines(own), own.where((ext != ".py") & F.col("text").rlike(LINE_COMMENT)).select(*FILE, "line")).withColumn("is_prose", F.lit(True))
     refused = exclusion_lines(own).where("is_exclusion").select(*FILE, "line", "is_exclusion")
     out = matches.join(prose, [*FILE, "line"], "left").join(refused, [*FILE, "line"], "left")
     return out.withColumn("context", F.when(F.col("is_prose"), "prose").when(F.col("is_exclusion"), "exclusion")).drop("is_prose", "is_exclusion")
