@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import BROADCAST_ROWS, map_batches, mix, prefix_hash, slices, span_hash, table, texts_of, written
+from tidewatch.llm.common import BASE, BROADCAST_ROWS, map_batches, mix, prefix_hash, slices, span_hash, table, texts_of, written
 
 LENGTH, PIECE = 50, 20
-BITS = 27  # of the filter of shared anchors: a broadcast of 16 MB, whatever the input
+BITS = 27  # of the filter of shared anchors, in 2^16 blocks: a broadcast of 16 MB, whatever the input
 RUN_PHRASES, RUN_ANCHORS = 150_000, 1_000_000
 SAMPLE_MASK = 0x3FF  # anchors whose hash ends in ten zero bits give the borders of the ranges
 GROUP_PHRASES = 50_000  # phrases of one anchor that a task resolves itself; the strings of more are grouped by Spark
@@ -57,14 +57,33 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     first, last, anchor = start[new], start[np.append(new[1:], len(start)) - 1], anchor[new].astype(np.int64)
     text = np.searchsorted(offsets, first, "right") - 1
     content = span_hash(prefix, down, first, last + length) ^ mix((anchor - first).astype(np.uint64) + np.uint64(1))
-    return text, anchor, first, last, pieces[anchor], content
+    # The smallest of many hashes is small: mixed again, anchors spread evenly over filter and parts.
+    return text, anchor, first, last, mix(pieces[anchor] ^ BASE) >> np.uint64(16), content
+
+
+def six(hashes: np.ndarray) -> bytes:
+    """48-bit hashes as six bytes each."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unsix(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def filter_bits(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Three bits for each hash, all in the block that its first 16 bits name."""
+    block = (hashes >> np.uint64(32)).astype(np.int64) << (bits - 16)
+    for shift in (21, 10, 0):
+        yield block + ((hashes >> np.uint64(shift)).astype(np.int64) & ((1 << (bits - 16)) - 1))
 
 
 def shared_anchors(docs: DataFrame, key: str, text: str, length: int, parts: int) -> tuple[np.ndarray, list[bytes]]:
     """A filter of 2^BITS bits that has every anchor of two documents or more, and range borders.
 
-    Tasks send the sorted distinct anchors of their documents, eight bytes each; a range of anchors gives a
-    part of the filter of its own.
+    Tasks send the distinct anchors of their documents, six bytes each; a range of anchors gives a part of the
+    filter of its own.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,14 +97,14 @@ def shared_anchors(docs: DataFrame, key: str, text: str, length: int, parts: int
             at = np.flatnonzero(new)
             many = np.maximum.reduceat(docs_, at) != docs_[at]
             anchors = anchors[at]
-            part = ((anchors >> np.uint64(48)).astype(np.int64) * parts) >> 16
+            part = ((anchors >> np.uint64(32)).astype(np.int64) * parts) >> 16
             cut = np.searchsorted(part, np.arange(parts + 1))
             rows = []
             for p in range(parts):
                 own, flag = anchors[cut[p] : cut[p + 1]], many[cut[p] : cut[p + 1]]
                 if len(own):
                     some = {int(a): samples[int(a)] for a in own[(own & np.uint64(SAMPLE_MASK)) == 0]}
-                    rows.append((p, own[~flag].tobytes(), own[flag].tobytes(), b"".join(a.to_bytes(8, "little") + s for a, s in some.items())))
+                    rows.append((p, six(own[~flag]), six(own[flag]), b"".join(a.to_bytes(6, "little") + s for a, s in some.items())))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "ones", "many", "sample"])
 
         for batch in batches:
@@ -107,16 +126,16 @@ def shared_anchors(docs: DataFrame, key: str, text: str, length: int, parts: int
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         p = int(group["part"].iloc[0])
-        many = np.frombuffer(b"".join(group["many"]), np.uint64)
-        every = np.sort(np.concatenate([np.frombuffer(b"".join(group["ones"]), np.uint64), many]))
+        many = unsix(b"".join(group["many"]))
+        every = np.sort(np.concatenate([unsix(b"".join(group["ones"])), many]))
         shared = np.unique(np.concatenate([many, every[1:][every[1:] == every[:-1]]]))
         lo, hi = (-(-(p << 16) // parts), -(-((p + 1) << 16) // parts))
         bits = np.zeros((hi - lo) << (BITS - 16), bool)
-        bits[(shared >> np.uint64(64 - BITS)).astype(np.int64) - (lo << (BITS - 16))] = True
-        raw = b"".join(group["sample"])
-        samples = {raw[i : i + 8]: raw[i + 8 : i + 8 + PIECE] for i in range(0, len(raw), 8 + PIECE)}
-        keys = np.frombuffer(b"".join(samples), np.uint64)
-        good = [s for s, ok in zip(samples.values(), np.isin(keys, shared), strict=True) if ok]
+        for bit in filter_bits(shared, BITS):
+            bits[bit - (lo << (BITS - 16))] = True
+        raw, step = b"".join(group["sample"]), 6 + PIECE
+        samples = {raw[i : i + 6]: raw[i + 6 : i + step] for i in range(0, len(raw), step)}
+        good = [s for s, ok in zip(samples.values(), np.isin(unsix(b"".join(samples)), shared), strict=True) if ok]
         return pd.DataFrame({"lo": [lo], "bits": [np.packbits(bits).tobytes()], "sample": [b"".join(good[:64])]})
 
     rows = docs.select(key, text).mapInArrow(send, "part int, ones binary, many binary, sample binary").groupBy("part").applyInPandas(meet, "lo int, bits binary, sample binary")
@@ -130,8 +149,10 @@ def shared_anchors(docs: DataFrame, key: str, text: str, length: int, parts: int
 
 
 def passing(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bit = (hashes >> np.uint64(65 - (8 * len(filter_)).bit_length())).astype(np.int64)
-    return np.flatnonzero((filter_[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
+    left = np.arange(len(hashes))
+    for bit in filter_bits(hashes, (8 * len(filter_)).bit_length() - 1):
+        left = left[((filter_[bit[left] >> 3] >> (7 - (bit[left] & 7)).astype(np.uint8)) & 1).astype(bool)]
+    return left
 
 
 # --- sorted, front-coded runs ---------------------------------------------------------------------------
@@ -360,7 +381,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """(doc, starts, ends): the maximal byte runs of each document that a smaller document repeats."""
     spark = docs.sparkSession
     docs = docs.where(F.col(key).isNotNull() & (F.octet_length(text) >= length))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
     filter_, borders = shared_anchors(docs, key, text, length, parts)
     shared = spark.sparkContext.broadcast(filter_)
     least = smallest_documents(docs, key, text, length, shared, borders)
@@ -369,15 +390,19 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-            starts, ends = [], []
-            for spans in batch.column("spans"):
-                own = np.array([(s["a"], s["b"]) for s in spans.as_py()], np.int64)
-                own = own[np.lexsort((own[:, 1], own[:, 0]))]
-                reach = np.maximum.accumulate(own[:, 1])
-                new = np.concatenate([[True], own[1:, 0] > reach[:-1]])
-                starts.append(own[new, 0].tolist())
-                ends.append(reach[np.append(np.flatnonzero(new)[1:], len(own)) - 1].tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], names=["doc", "starts", "ends"])
+            spans = batch.column("spans")
+            n = pa.compute.list_value_length(spans).to_numpy(zero_copy_only=False)
+            flat = spans.flatten()
+            own = np.repeat(np.arange(len(n)), n) << 40  # each document's places in a range of their own
+            a, b = (flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) + own for f in ("a", "b"))
+            order = np.argsort(a, kind="stable")
+            a, reach = a[order], np.maximum.accumulate(b[order])
+            new = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1]]))
+            starts, ends = a[new], reach[np.append(new[1:], len(a)) - 1]
+            offsets = np.searchsorted(starts, np.arange(len(n) + 1) << 40).astype(np.int32)
+            mask = (1 << 40) - 1
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x & mask)) for x in (starts, ends)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *lists], names=["doc", "starts", "ends"])
 
         return each
 
