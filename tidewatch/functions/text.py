@@ -130,7 +130,8 @@ def markdown_escape(text: Column) -> Column:
 
 def safe_json(text: Column, schema: str) -> Column:
     """A JSON object by its schema; null if it is malformed or no object."""
-    return F.when(F.substring(strip(text), 1, 1) == "{", F.from_json(text, schema, {"mode": "PERMISSIVE"}))
+    whole = (F.substring(strip(text), 1, 1) == "{") & F.get_json_object(text, "$").isNotNull()
+    return F.when(whole, F.from_json(text, schema, {"mode": "PERMISSIVE"}))
 
 
 def age_text(seconds: Column) -> Column:

@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.shared import saved
 from tidewatch.operators import dependencies, diff, files, findings, flows, injection, install, matches, network
 
 
 def source_findings(lines: DataFrame, with_context: bool = True) -> tuple[DataFrame, DataFrame]:
     """(matches with their context, findings of the rules)."""
     found = matches.match_rules(lines)
-    found = matches.match_context(found, lines) if with_context else found.withColumn("context", F.lit(None).cast("string"))
+    if with_context:
+        found = matches.match_context(saved(found, "matches"), lines)
+    else:
+        found = found.withColumn("context", F.lit(None).cast("string"))
+    # Read by every finding, capability and flow below: matched once.
+    found = saved(found, "matches")
     return found, findings.matches_to_findings(found)
 
 
 def audit_findings(lines: DataFrame, purpose: Column | None = None, with_context: bool = True) -> DataFrame:
     """Findings of every analyser that reads lines."""
     found, rules = source_findings(lines, with_context)
-    paired = flows.with_destination(flows.pair_flows(found), lines)
+    paired = flows.with_destination(saved(flows.pair_flows(found), "flows"), lines)
     return findings.union_findings(
         rules, findings.combination_findings(found), flows.dataflow_findings(paired), network.network_findings(network.extract_endpoints(lines, purpose)),
         injection.detect_tool_poisoning(lines), injection.detect_doc_injection(lines), install.detect_install_risk(lines),
@@ -42,7 +48,7 @@ def drift(lines: DataFrame, before: str, after: str) -> tuple[DataFrame, DataFra
     from tidewatch.functions.text import SOURCE_EXTENSIONS, file_extension
 
     source = lines.where(file_extension(F.col("path")).isin(*SOURCE_EXTENSIONS))
-    found = matches.match_rules(source)
+    found = saved(matches.match_rules(source), "matches")
     sets = diff.version_sets(found, network.extract_credentials(source), network.extract_endpoints(source))
     changes = diff.diff_versions(sets, before, after)
     return changes, diff.diff_findings(changes, found, before, after)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import enums, hosts
 from tidewatch.functions import text as t
 from tidewatch.functions.catalogue import CATALOGUE, ESCALATION, EXFIL_WORTHY, OUTBOUND
+from tidewatch.functions.shared import saved
 from tidewatch.operators import dependencies, diff, findings, flows, injection, install, matches, metadata, network
 from tidewatch.plans import audit, views
 from tidewatch.sources import writers
@@ -191,7 +192,7 @@ near AS (SELECT f.*, u.host, row_number() OVER (PARTITION BY f.target, f.version
   FROM fl f LEFT JOIN url u ON u.host <> '' AND u.target = f.target AND u.version = f.version AND u.path = f.path AND abs(u.line - f.sink_line) <= 40 AND f.sink IN ({_LIST(OUTBOUND)}) AND f.sink_rule <> 'source.llm_api_call')
 SELECT target, version, path, source_rule, sink_rule, sink_line, host AS destination FROM near WHERE rn = 1""")
 def _(spark, sf_dir):
-    got = flows.with_destination(flows.pair_flows(_found(spark, sf_dir)), views.code_lines(spark, sf_dir))
+    got = flows.with_destination(saved(flows.pair_flows(_found(spark, sf_dir)), "flows"), views.code_lines(spark, sf_dir))
     return got.select("target", "version", "path", "source_rule", "sink_rule", "sink_line", "destination")
 
 
