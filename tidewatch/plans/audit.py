@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.shared import saved
-from tidewatch.operators import dependencies, diff, files, findings, flows, injection, install, matches, network
+from tidewatch.operators import annotations, dependencies, diff, files, findings, flows, injection, install, matches, network
 
 
 def source_findings(lines: DataFrame, with_context: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -27,7 +27,8 @@ def audit_findings(lines: DataFrame, purpose: Column | None = None, with_context
     paired = flows.with_destination(saved(flows.pair_flows(found), "flows"), lines)
     return findings.union_findings(
         rules, findings.combination_findings(found), flows.dataflow_findings(paired), network.network_findings(network.extract_endpoints(lines, purpose)),
-        injection.detect_tool_poisoning(lines), injection.detect_doc_injection(lines), install.detect_install_risk(lines),
+        injection.detect_tool_poisoning(lines), injection.detect_doc_injection(lines),
+        annotations.contradicted_annotations(annotations.tool_claims(lines), found), install.detect_install_risk(lines),
     )
 
 
