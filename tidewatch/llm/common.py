@@ -43,9 +43,20 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+#: Session settings that the operators rely on. Few rows go to Python at once, as texts are long. A union is not
+#: taken as partitioned like its parts: in Spark 4.1.2 a later join or window then loses rows.
+SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.unionOutputPartitioning": "false"}
+
+
+def settle(spark: SparkSession) -> None:
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives lost executors, gives the planner true sizes."""
     spark = df.sparkSession
+    settle(spark)
     path = f"{shared_dir(spark)}/tidewatch-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -134,6 +145,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
         for batch in batches:
             yield from each(batch)
 
+    settle(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import BASE, BROADCAST_ROWS, map_batches, mix, prefix_hash, slices, span_hash, table, texts_of, written
+from tidewatch.llm.common import BASE, BROADCAST_ROWS, map_batches, mix, prefix_hash, settle, slices, span_hash, table, texts_of, written
 
 LENGTH, PIECE = 50, 20
 BITS = 27  # of the filter of shared anchors, in 2^16 blocks: a broadcast of 16 MB, whatever the input
@@ -138,6 +138,7 @@ def shared_anchors(docs: DataFrame, key: str, text: str, length: int, parts: int
         good = [s for s, ok in zip(samples.values(), np.isin(unsix(b"".join(samples)), shared), strict=True) if ok]
         return pd.DataFrame({"lo": [lo], "bits": [np.packbits(bits).tobytes()], "sample": [b"".join(good[:64])]})
 
+    settle(docs.sparkSession)
     rows = docs.select(key, text).mapInArrow(send, "part int, ones binary, many binary, sample binary").groupBy("part").applyInPandas(meet, "lo int, bits binary, sample binary")
     filter_, samples = np.zeros(1 << (BITS - 3), np.uint8), set()
     for row in rows.collect():  # the filter's parts, 2^BITS bits in all, and 64 samples a part
