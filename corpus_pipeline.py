@@ -40,7 +40,7 @@ def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the encoded and decoded texts."""
-    return bpe.digests(bpe.decode(bpe.encode(docs.select("doc_id", "text")).drop("text")))
+    return bpe.digests(bpe.round_trip(docs.select("doc_id", "text")))
 
 
 STAGES = [("language_id", language_stage), ("line_dedup", line_stage), ("near_dedup", near_stage), ("decontaminate", leak_stage), ("bpe", token_stage)]

@@ -38,6 +38,7 @@ def test_lengths_are_the_librarys(lengths, text):
 def test_frames(spark):
     docs = spark.createDataFrame([(i, t, "own") for i, t in enumerate(HARD)] + [(None, "a", "x"), (1, None, None)], "doc_id long, text string, token_ids string")
     got = bpe.digests(bpe.decode(bpe.encode(docs))).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, bpe.digests(bpe.round_trip(docs)).collect()))
     library = bpe.WordEncoder(WORD).library
     by = {r.doc_id: r for r in got if r.doc_id not in (None, 1)}
     for i, t in enumerate(HARD):

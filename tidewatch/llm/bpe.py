@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from tidewatch.llm.common import table, tokenizer_path, with_columns
 
 LONG, LEAF, CACHE_WORDS = 1024, 512, 300_000
+IDS = T.ArrayType(T.IntegerType())
 
 #: Characters whose class and case are the same in every Unicode version in use; texts of other ones go to the library whole.
 SAFE = "".join(chr(c) for c in [*range(1, 0x250), *range(0x2010, 0x2020), *range(0x2030, 0x203B), 0x20AC] if unicodedata.category(chr(c)) != "Cn")
@@ -143,6 +144,44 @@ class WordEncoder(dict):
         return [b"".join(map(self.__getitem__, p)) for p in parts]
 
 
+def _encoder(path: str, text: str, long: int, leaf: int) -> Callable[[pa.RecordBatch], pa.Array]:
+    known = WordEncoder(path, long, leaf)
+
+    def each(batch: pa.RecordBatch) -> pa.Array:
+        parts = known.encode(batch.column(text).to_pylist())
+        offsets = np.zeros(len(parts) + 1, np.int32)
+        np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
+        values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(parts))])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+    return each
+
+
+def _decoder(path: str) -> Callable[[pa.Array], pa.Array]:
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    names = {i: sys.intern(w) for w, i in library.get_vocab(True).items()}
+    plain = library.decoder is None  # then the library puts a space between tokens
+
+    def text_of(ids: list[int]) -> str:
+        return " ".join([names[i] for i in ids]) if plain else library.decode(ids, skip_special_tokens=False)
+
+    def each(column: pa.Array) -> pa.Array:
+        flat, at = column.flatten().to_numpy(zero_copy_only=False).tolist(), 0
+        texts = []
+        for n in pa.compute.list_value_length(column).to_pylist():
+            own = flat[at : at + (n or 0)]
+            at += n or 0
+            try:
+                texts.append(text_of(own))
+            except (KeyError, TypeError, OverflowError):
+                texts.append(text_of([int(i) for i in own if i == i and i in names]))
+        return pa.array(texts, pa.string())
+
+    return each
+
+
 def encode(docs: DataFrame, text: str = "text", tokenizer: str | None = None, out: str = "token_ids", long: int = LONG, leaf: int = LEAF) -> DataFrame:
     """docs with the token ids of the whole text, without begin or end tokens.
 
@@ -153,18 +192,10 @@ def encode(docs: DataFrame, text: str = "text", tokenizer: str | None = None, ou
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
 
     def make() -> Callable[[pa.RecordBatch], list[pa.Array]]:
-        known = WordEncoder(path, long, leaf)
+        each = _encoder(path, text, long, leaf)
+        return lambda batch: [each(batch)]
 
-        def each(batch: pa.RecordBatch) -> list[pa.Array]:
-            parts = known.encode(batch.column(text).to_pylist())
-            offsets = np.zeros(len(parts) + 1, np.int32)
-            np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
-            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(parts))])
-            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)]
-
-        return each
-
-    return with_columns(docs, [T.StructField(out, T.ArrayType(T.IntegerType()))], make)
+    return with_columns(docs, [T.StructField(out, IDS)], make)
 
 
 def decode(docs: DataFrame, ids: str = "token_ids", tokenizer: str | None = None, out: str = "decoded") -> DataFrame:
@@ -175,29 +206,26 @@ def decode(docs: DataFrame, ids: str = "token_ids", tokenizer: str | None = None
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
 
     def make() -> Callable[[pa.RecordBatch], list[pa.Array]]:
-        from tokenizers import Tokenizer
+        each = _decoder(path)
+        return lambda batch: [each(batch.column(ids))]
+
+    return with_columns(docs, [T.StructField(out, T.StringType())], make)
 
-        library = Tokenizer.from_file(path)
-        names = {i: sys.intern(w) for w, i in library.get_vocab(True).items()}
-        plain = library.decoder is None  # then the library puts a space between tokens
+
+def round_trip(docs: DataFrame, text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """encode() and decode() in one pass, by one Python worker a task: docs with token_ids and decoded."""
+    path = tokenizer or tokenizer_path("word_bpe_49k.json")
+
+    def make() -> Callable[[pa.RecordBatch], list[pa.Array]]:
+        ids_of, text_of = _encoder(path, text, LONG, LEAF), _decoder(path)
 
         def each(batch: pa.RecordBatch) -> list[pa.Array]:
-            column = batch.column(ids)
-            flat, at = column.flatten().to_numpy(zero_copy_only=False).tolist(), 0
-            texts = []
-            for n in pa.compute.list_value_length(column).to_pylist():
-                own = flat[at : at + (n or 0)]
-                at += n or 0
-                try:
-                    texts.append(" ".join([names[i] for i in own]) if plain else library.decode(own, skip_special_tokens=False))
-                except (KeyError, TypeError, OverflowError):
-                    own = [int(i) for i in own if i == i and i in names]
-                    texts.append(" ".join([names[i] for i in own]) if plain else library.decode(own, skip_special_tokens=False))
-            return [pa.array(texts, pa.string())]
+            ids = ids_of(batch)
+            return [ids, text_of(ids)]
 
         return each
 
-    return with_columns(docs, [T.StructField(out, T.StringType())], make)
+    return with_columns(docs, [T.StructField("token_ids", IDS), T.StructField("decoded", T.StringType())], make)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -207,4 +235,4 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(decode(encode(docs).drop("text")))
+    return digests(round_trip(docs))
