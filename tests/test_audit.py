@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import enums, hosts
 from tidewatch.functions import text as t
 from tidewatch.functions.catalogue import CATALOGUE, PY, Rule, checked
-from tidewatch.operators import annotations, dependencies, diff, files, findings, flows, injection, install, matches, metadata, network
+from tidewatch.operators import annotations, dependencies, diff, files, findings, flows, injection, install, matches, metadata, network, provider
 from tidewatch.plans import audit
 from tidewatch.sources import readers, writers
 from tidewatch.streaming import streams
@@ -208,6 +208,22 @@ def test_flows(spark):
     assert near == {35: "a.io:8443", 34: None, 75: "a.io:8443"}
 
 
+def test_provider_scope(spark):
+    client = "import os, requests\nURL = 'https://api.openai.com/v1'\nkey = os.environ['OPENAI_API_KEY']\nrequests.post(f'{URL}/x', headers={'a': key})"
+    doubts = {"bulk": client + "\nf(os.environ)", "address": client + "\nrequests.get(url)", "other key": client + "\nk = os.getenv('AWS_SECRET')", "bad host": client + "\nrequests.get('https://webhook.site/x')", "name": client.replace("'OPENAI_API_KEY'", "name"), "broken": client + "\ndef (", "undocumented": client}
+    trees = {("ok", "v", "c.py"): client, ("ok", "v", "README.md"): "Talks to OpenAI.", ("model", "v", "m.py"): "import os, litellm\nk = os.getenv('GROQ_API_KEY')\nlitellm.completion(model='groq/x', api_key=k)", ("model", "v", "README.md"): "Uses groq."}
+    for name, text in doubts.items():
+        trees[name, "v", "c.py"] = text
+        if name != "undocumented":
+            trees[name, "v", "README.md"] = "OpenAI, webhook.site, AWS"
+    frame = lines_of(spark, trees)
+    found = matches.match_context(matches.match_rules(frame), frame)
+    scoped = provider.scope_provider_flows(flows.pair_flows(found), frame, frame.where("path = 'README.md'"))
+    env = scoped.where("source = 'environment.read' and sink = 'network.external'")
+    assert {r.target for r in env.where("provider_scope is not null").collect()} == {"ok", "model"}
+    assert {r.severity for r in flows.dataflow_findings(env.where("target = 'ok'")).collect()} == {"LOW"} and {r.severity for r in flows.dataflow_findings(env.where("target = 'bulk'")).collect()} == {"HIGH"}
+
+
 def test_hosts(spark):
     kinds = {"pastebin.com": "SUSPICIOUS", "sentry.io": "UNEXPLAINED", "10.0.0.1": "SUSPICIOUS", "127.0.0.1": "SUSPICIOUS", "github.com": "INFRASTRUCTURE", "api.weather.com": "EXPECTED", "x.weather.co.uk": "EXPECTED", "other.io": "UNEXPLAINED"}
     frame = spark.createDataFrame([(h,) for h in kinds], "h string")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.shared import saved
-from tidewatch.operators import annotations, dependencies, diff, files, findings, flows, injection, install, matches, network
+from tidewatch.functions.text import SOURCE_EXTENSIONS, file_extension
+from tidewatch.operators import annotations, dependencies, diff, files, findings, flows, injection, install, matches, network, provider
 
 
 def source_findings(lines: DataFrame, with_context: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -25,6 +26,7 @@ def audit_findings(lines: DataFrame, purpose: Column | None = None, with_context
     """Findings of every analyser that reads lines."""
     found, rules = source_findings(lines, with_context)
     paired = flows.with_destination(saved(flows.pair_flows(found), "flows"), lines)
+    paired = provider.scope_provider_flows(paired, lines, lines.where(file_extension(F.col("path")).isin(".md", ".txt", ".rst")))
     return findings.union_findings(
         rules, findings.combination_findings(found), flows.dataflow_findings(paired), network.network_findings(network.extract_endpoints(lines, purpose)),
         injection.detect_tool_poisoning(lines), injection.detect_doc_injection(lines),
@@ -46,8 +48,6 @@ def audit_targets(trees: DataFrame, purpose: Column | None = None) -> tuple[Data
 
 def drift(lines: DataFrame, before: str, after: str) -> tuple[DataFrame, DataFrame]:
     """(changes, findings) between two versions of every target; source files only, whatever a match's context."""
-    from tidewatch.functions.text import SOURCE_EXTENSIONS, file_extension
-
     source = lines.where(file_extension(F.col("path")).isin(*SOURCE_EXTENSIONS))
     found = saved(matches.match_rules(source), "matches")
     sets = diff.version_sets(found, network.extract_credentials(source), network.extract_endpoints(source))
