@@ -28,12 +28,11 @@ def first_evidence(matches: DataFrame, keys: tuple[str, ...], most: int, limit:
     Only the first rows of a group are gathered, however large it is.
     """
     order = ["walk", "line", "rule_no"]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = matches.withColumn("walk", walk_key(F.col("path"))).withColumn("rn", F.row_number().over(w))
-    counts = matches.groupBy(*keys).agg(F.count("*").alias("n"))
+    every = Window.partitionBy(*keys)
+    rows = matches.withColumn("walk", walk_key(F.col("path"))).withColumn("rn", F.row_number().over(every.orderBy(*order))).withColumn("n", F.count("*").over(every))
     proof = F.struct("rn", evidence(F.col("path"), F.col("line"), snippet(F.col("text"), limit), None, F.col("context")).alias("e"), F.col("title").alias("title"))
-    first = rows.where(F.col("rn") <= most).groupBy(*keys).agg(F.array_sort(F.collect_list(proof)).alias("first"))
-    return first.join(counts, list(keys)).select(*keys, "n", F.transform("first", lambda x: x["e"]).alias("evidence"), F.get("first", F.lit(0))["title"].alias("first_title"))
+    first = rows.where(F.col("rn") <= most).groupBy(*keys).agg(F.array_sort(F.collect_list(proof)).alias("first"), F.first("n").alias("n"))
+    return first.select(*keys, "n", F.transform("first", lambda x: x["e"]).alias("evidence"), F.get("first", F.lit(0))["title"].alias("first_title"))
 
 
 def matches_to_findings(matches: DataFrame) -> DataFrame:
