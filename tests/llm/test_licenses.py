@@ -59,3 +59,26 @@ def test_given_documents(spark):
         for line, name in lines.items():
             if line in r.text.split("\n"):
                 assert (r.doc_id, name) in got
+
+
+def english(rng, n):
+    common = "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many off before must well back through years much where your way down should because long each just state those people too mr how little good world make very year still see own work men day get here old between both life being under three never know same last another while us might great go come since against right came take used himself few house use place during without again home around small however found thought went say part once general high upon school every"
+    return " ".join(rng.choice(common.split()) for _ in range(n))
+
+
+def test_two_copies_hide_nothing():
+    rng, scanner = random.Random(8), licenses.Scanner()
+    assert [f[0] for f in scanner.scan("a b c d All rights reserved e All rights reserved f g h i")] == ["Reserved"]
+    for name, text in licenses.TEMPLATES.items():
+        size = len(licenses.words(text))
+        for between in (0, 1, size // 2, size, 2 * size, 5 * size):
+            first = {f[0]: f for f in scanner.scan(f"{english(rng, 300)}\n{text}\n{english(rng, between)}\n{text}\n{english(rng, 300)}")}
+            assert first[name][1] == 1 and first[name][3] >= 300 and first[name][4] - first[name][3] == size, (name, between, first)
+
+
+def test_worn_copies_in_prose_are_found():
+    rng, scanner = random.Random(9), licenses.Scanner()
+    for name in ("MIT", "ISC", "Apache-2.0"):
+        worn = lambda: " ".join(w for w in licenses.TEMPLATES[name].split() if rng.random() > 0.08)  # noqa: B023, E731
+        for between in (0, 40, 400):
+            assert name in {f[0] for f in scanner.scan(f"{english(rng, 500)} {worn()} {english(rng, between)} {worn()} {english(rng, 500)}")}

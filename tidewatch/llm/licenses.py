@@ -1,14 +1,16 @@
 """License scans by patience alignment.
 
 Words that are unique both in a text and in a license's template are anchors; the longest increasing
-subsequence of their places is kept, and the gaps between anchors are aligned in the same way. The share of
-the template's words that are aligned is its coverage.
+subsequence of their places is kept, and the gaps between anchors are aligned in the same way; a gap without
+anchors takes a longest rise over all equal words. The share of the template's words that are aligned is its
+coverage. Texts are aligned in windows of bounded size, so that a second copy nearby hides nothing.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -62,8 +64,11 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
-    """Aligned places (text, template): equal ends, then anchors unique to both sides, then the gaps between."""
+def align(text: list[str], template: list[str], whole: bool = True) -> list[tuple[int, int]]:
+    """Aligned places (text, template): equal ends, then anchors unique to both sides, then the gaps between.
+
+    A gap that has no anchors gives a longest common subsequence if whole, else nothing.
+    """
     out, open_ = [], [(0, len(text), 0, len(template))]
     while open_:
         a, b, c, d = open_.pop()
@@ -84,6 +89,11 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
                 seen[text[i]] = -1 if text[i] in seen else i
         anchors = increasing([(i, wanted[w]) for w, i in seen.items() if i >= 0 and wanted[w] >= 0])
         if not anchors:
+            if whole:
+                places: dict[str, list[int]] = {}
+                for j in range(d - 1, c - 1, -1):
+                    places.setdefault(template[j], []).append(j)
+                out += increasing([(i, j) for i in range(a, b) for j in places.get(text[i], ())])
             continue
         out += anchors
         for (i, j), (k, m) in zip([(a - 1, c - 1), *anchors], [*anchors, (b, d)], strict=True):
@@ -106,13 +116,31 @@ def regions(text: list[str], vocabulary: set[str], size: int) -> list[tuple[int,
     return out
 
 
+def windows(a: int, b: int, size: int) -> list[tuple[int, int]]:
+    """Windows of a stretch, a quarter more than size long and twice as long as it, a quarter of size apart."""
+    step = max(1, size // 4)
+    return sorted({(i, min(i + n, b)) for n in (size + step, 2 * size) for i in range(a, max(a + 1, b - n + step), step)})
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> None:
         self.coverage = coverage
-        self.templates = [(name, w, set(w)) for name, t in templates.items() if (w := words(t))]
-        self.needed = [(name, w, v, -(-int(100 * coverage) * len(v) // 100)) for name, w, v in self.templates]
+        self.templates = [(name, w, Counter(w)) for name, t in templates.items() if (w := words(t))]
         self.all = set().union(*(v for _, _, v in self.templates))
 
+    def places(self, own: list[str], template: list[str], counts: Counter) -> list[list[tuple[int, int]]]:
+        """Alignments that reach the coverage: of each stretch, and of its windows, in which all gaps are aligned."""
+        out, size = [], len(template)
+        for a, b in regions(own, set(counts), size):
+            for i, j in [(a, b), *windows(a, b, size)]:
+                part = own[i:j]
+                held = Counter(w for w in part if w in counts)
+                if sum(min(n, counts[w]) for w, n in held.items()) >= self.coverage * size:
+                    pairs = align(part, template, whole=j - i <= 2 * size)
+                    if len(pairs) >= self.coverage * size:
+                        out.append([(i + x, y) for x, y in pairs])
+        return out
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, matched words, first and one past the last word) for each template that is covered."""
         if not text:
@@ -120,15 +148,14 @@ class Scanner:
         own = words(text)
         present = self.all.intersection(own)
         out = []
-        for name, template, vocabulary, need in self.needed:
+        for name, template, counts in self.templates:
             # Each aligned word is one of the template's: fewer of its distinct words than this cannot cover it.
-            repeats = len(template) - len(vocabulary)
-            if len(present & vocabulary) + repeats < self.coverage * len(template):
+            repeats = len(template) - len(counts)
+            if len(present & counts.keys()) + repeats < self.coverage * len(template):
                 continue
-            best = max((align(own[a:b], template) + [(a, -1)] for a, b in regions(own, vocabulary, len(template))), key=len, default=[(0, -1)])
-            start, pairs = best[-1][0], best[:-1]
-            if len(pairs) >= self.coverage * len(template):
-                out.append((name, len(pairs) / len(template), len(pairs), start + pairs[0][0], start + pairs[-1][0] + 1))
+            best = min(self.places(own, template, counts), key=lambda p: (-len(p), p[-1][0] - p[0][0], p[0][0]), default=None)
+            if best:
+                out.append((name, len(best) / len(template), len(best), best[0][0], best[-1][0] + 1))
         return out
 
 
@@ -136,8 +163,8 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
     """(key, license, coverage, n_matched, first_word, end_word): licenses whose template a text covers.
 
     Words are compared in lower case without punctuation. A row is given for each text and template of which
-    coverage of the words are aligned; where a template occurs in several stretches, for the best of them,
-    the first of equals. Null and empty texts give nothing, repeated rows give repeated results, null keys
+    coverage of the words are aligned; where a template occurs several times, for the best of them, the
+    shortest and then the first of equals. Null and empty texts give nothing, repeated rows give repeated results, null keys
     are kept. Other columns are not looked at. An empty table gives no rows.
     """
     chosen = templates or TEMPLATES
