@@ -26,9 +26,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+#: Percent of shared word shingles from which two documents are near-duplicates in the near_dedup stage.
+NEAR_PERCENT = 80
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, the one of the smallest doc_id."""
-    gone = written(near_dups.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    gone = written(near_dups.near_duplicates(docs, percent=NEAR_PERCENT).where(~F.col("kept")).select("doc_id").distinct(), "gone")
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
 

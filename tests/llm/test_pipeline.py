@@ -5,6 +5,7 @@ import duckdb
 
 from tests.llm.test_lines_leaks import brute_lines
 from tests.llm.test_near_dups_language import brute
+from tests.llm.test_near_dups_language import brute as brute_at
 from tidewatch.llm import bpe, decontaminate, line_dedup
 from tidewatch.llm.common import tokenizer_path
 
@@ -48,3 +49,23 @@ def test_stages_take_hard_rows(spark):
             assert name == "bpe" or now.columns == docs.columns
             now = spark.createDataFrame(now.collect(), now.schema)
     assert now.count() == 0
+
+
+def test_near_stage_links_from_four_fifths_on(spark):
+    pipeline = importlib.import_module("corpus_pipeline")
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = []
+    for i in range(60):  # 104 words, 100 shingles; replacing the last n words leaves 100 - n of 100 + n
+        words = [f"w{i}x{j}" for j in range(104)]
+        changed = (9, 11, 12)[i % 3]  # similarity 0.835, 0.802 and 0.786
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-changed] + [f"n{i}x{j}" for j in range(changed)]))]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], schema)
+    want = {k for k, v in brute(rows, 80).items() if v[1] == k}
+    assert len(want) == 80 and len([k for k, v in brute(rows, 85).items() if v[1] == k]) == 120
+    assert {r.doc_id for r in pipeline.near_stage(spark, docs, SF).collect()} == want
+
+
+def test_run_is_the_stages_by_brute_force_at_their_threshold(spark, monkeypatch):
+    percent = importlib.import_module("corpus_pipeline").NEAR_PERCENT
+    monkeypatch.setitem(globals(), "brute", lambda rows: brute_at(rows, percent))
+    test_run_is_the_stages_by_brute_force(spark)
