@@ -82,3 +82,20 @@ def test_worn_copies_in_prose_are_found():
         worn = lambda: " ".join(w for w in licenses.TEMPLATES[name].split() if rng.random() > 0.08)  # noqa: B023, E731
         for between in (0, 40, 400):
             assert name in {f[0] for f in scanner.scan(f"{english(rng, 500)} {worn()} {english(rng, between)} {worn()} {english(rng, 500)}")}
+
+
+def test_licenses_are_told_apart():
+    rng, scanner = random.Random(10), licenses.Scanner()
+    for name, text in licenses.TEMPLATES.items():
+        assert [f[0] for f in scanner.scan(f"{english(rng, 100)} {text} {english(rng, 100)}")] == [name]
+    assert [f[0] for f in scanner.scan(licenses.TEMPLATES["LGPL-2.1"].replace("program", "library"))] == ["LGPL-2.1"]
+    assert scanner.scan("Released under the Frobnicate License.") == []
+    assert scanner.scan("Licensed under CC BY-XX 4.0.") == []
+    assert scanner.scan(licenses.TEMPLATES["GPL-3.0"].replace("version 3", "version 1")) == []
+
+
+def test_given_documents_have_no_other_rows(spark):
+    lines = {"Released under the MIT License.": "MIT statement", "Licensed under CC BY-NC 4.0.": "CC-BY-NC statement", "All rights reserved.": "Reserved", "Licensed under the Apache License, Version 2.0.": "Apache-2.0 statement", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0 statement"}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = sorted((r.doc_id, name) for r in docs.collect() for line, name in lines.items() if line in r.text)
+    assert sorted((r.doc_id, r.license) for r in licenses.op6_license_scan(spark, "/root/testdata/sf0.01").collect()) == want

@@ -21,20 +21,44 @@ from pyspark.sql import types as T
 from tidewatch.llm.common import map_batches, table
 
 COVERAGE = 0.8
+#: Templates of fewer words are short statements, where each word tells: they are to be covered whole.
+SHORT = 20
 
 #: Names and wordings of public licenses, notices and short statements of them.
 TEMPLATES = {
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "MIT-0": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
-    "MIT statement": "Released under the MIT License.",
+    "GPL-2.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "LGPL-2.1": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "LGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
     "Apache-2.0 statement": "Licensed under the Apache License, Version 2.0.",
+    "MIT statement": "Released under the MIT License.",
+    "BSD statement": "Released under the BSD License.",
+    "ISC statement": "Released under the ISC License.",
     "GPL-3.0 statement": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0 statement": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0 statement": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-2.1 statement": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "AGPL-3.0 statement": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "MPL-2.0 statement": "Licensed under the Mozilla Public License, version 2.0.",
     "CC-BY statement": "Licensed under CC BY 4.0.",
     "CC-BY-NC statement": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA statement": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND statement": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA statement": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND statement": "Licensed under CC BY-NC-ND 4.0.",
+    "CC0 statement": "Licensed under CC0 1.0.",
     "Reserved": "All rights reserved.",
 }
 
@@ -126,19 +150,35 @@ class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> None:
         self.coverage = coverage
         self.templates = [(name, w, Counter(w)) for name, t in templates.items() if (w := words(t))]
+        self.least = {name: len(w) if len(w) < SHORT else coverage * len(w) for name, w, _ in self.templates}
+        self.telling = {name: self.told(w) for name, w, _ in self.templates if len(w) >= SHORT}
         self.all = set().union(*(v for _, _, v in self.templates))
 
-    def places(self, own: list[str], template: list[str], counts: Counter) -> list[list[tuple[int, int]]]:
-        """Alignments that reach the coverage: of each stretch, and of its windows, in which all gaps are aligned."""
-        out, size = [], len(template)
+    def told(self, template: list[str]) -> list[set[int]]:
+        """For each other template that would cover this one, the places of the words that it lacks."""
+        out = []
+        for _, other, _ in self.templates:
+            same = {j for _, j in align(other, template)}
+            if self.coverage * len(template) <= len(same) < len(template):
+                out.append(set(range(len(template))) - same)
+        return out
+
+    def places(self, own: list[str], name: str, template: list[str], counts: Counter) -> list[list[tuple[int, int]]]:
+        """Alignments that reach the coverage: of each stretch, and of its windows, in which all gaps are aligned.
+
+        The coverage holds for the words that tell the template from similar ones, too.
+        """
+        out, size, least = [], len(template), self.least[name]
         for a, b in regions(own, set(counts), size):
-            for i, j in [(a, b), *windows(a, b, size)]:
+            for i, j in [*([(a, b)] if size >= SHORT else []), *windows(a, b, size)]:
                 part = own[i:j]
                 held = Counter(w for w in part if w in counts)
-                if sum(min(n, counts[w]) for w, n in held.items()) >= self.coverage * size:
+                if sum(min(n, counts[w]) for w, n in held.items()) >= least:
                     pairs = align(part, template, whole=j - i <= 2 * size)
-                    if len(pairs) >= self.coverage * size:
-                        out.append([(i + x, y) for x, y in pairs])
+                    if len(pairs) >= least:
+                        met = {y for _, y in pairs}
+                        if all(len(met & t) >= self.coverage * len(t) for t in self.telling.get(name, ())):
+                            out.append([(i + x, y) for x, y in pairs])
         return out
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
@@ -147,23 +187,30 @@ class Scanner:
             return []
         own = words(text)
         present = self.all.intersection(own)
-        out = []
-        for name, template, counts in self.templates:
+        found = []
+        for k, (name, template, counts) in enumerate(self.templates):
             # Each aligned word is one of the template's: fewer of its distinct words than this cannot cover it.
             repeats = len(template) - len(counts)
-            if len(present & counts.keys()) + repeats < self.coverage * len(template):
-                continue
-            best = min(self.places(own, template, counts), key=lambda p: (-len(p), p[-1][0] - p[0][0], p[0][0]), default=None)
-            if best:
-                out.append((name, len(best) / len(template), len(best), best[0][0], best[-1][0] + 1))
-        return out
+            if len(present & counts.keys()) + repeats >= self.least[name]:
+                found += [(-len(p), -len(p) / len(template), p[-1][0] - p[0][0], p[0][0], k, p) for p in self.places(own, name, template, counts)]
+        # Of alignments that share half of the words of the smaller one, only the best stays.
+        out, taken = {}, []
+        for n, share, span, start, k, pairs in sorted(found, key=lambda f: f[:5]):
+            at = {i for i, _ in pairs}
+            if all(2 * len(at & t) < len(at) for t in taken):
+                taken.append(at)
+                best = out.get(k)
+                if best is None or (n, span, start) < best[0]:
+                    out[k] = (n, span, start), (self.templates[k][0], -share, -n, start, start + span + 1)
+        return [out[k][1] for k in sorted(out)]
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(key, license, coverage, n_matched, first_word, end_word): licenses whose template a text covers.
 
     Words are compared in lower case without punctuation. A row is given for each text and template of which
-    coverage of the words are aligned; where a template occurs several times, for the best of them, the
+    coverage of the words are aligned, and coverage of those that tell it from similar templates, or all words
+    if it has fewer than SHORT; of templates that claim the same words, the one with most of them stays; where a template occurs several times, for the best of them, the
     shortest and then the first of equals. Null and empty texts give nothing, repeated rows give repeated results, null keys
     are kept. Other columns are not looked at. An empty table gives no rows.
     """
