@@ -1,3 +1,5 @@
+import gzip
+import hashlib
 import json
 
 from tidewatch.llm import warc
@@ -31,3 +33,23 @@ def test_files_round_trip(spark):
     for (h, body), r in zip(parsed, records):
         assert h["warc-refers-to"] == "<urn:uuid:9>" and h["warc-type"] == r.warc_type and body.decode() == r.content
         assert h["warc-block-digest"] == r.payload_digest
+
+
+def test_source_digests_and_encodings(spark):
+    packed = gzip.compress("<p>caf\u00e9</p>".encode("latin-1"))
+    chunked = b"%x\r\n%b\r\n%x;x=1\r\n%b\r\n0\r\n\r\n" % (5, packed[:5], len(packed) - 5, packed[5:])
+    coded = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n" + chunked
+    plain = b"HTTP/1.1 200 OK\r\n\r\n<meta charset=latin1><p>\xe9</p>"
+    raw = b""
+    for name, extra, block in (("1", b"WARC-Payload-Digest: sha1:ABC\r\nWARC-Block-Digest: sha1:DEF\r\nWARC-IP-Address: 192.0.2.1\r\n", coded), ("2", b"", plain)):
+        raw += b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:%b>\r\n%bContent-Length: %d\r\n\r\n%b\r\n\r\n" % (name.encode(), extra, len(block), block)
+    responses = warc.read_responses(spark.createDataFrame([("a", bytearray(raw))], "path string, content binary"))
+    one, two = responses.orderBy("record_id").collect()
+    assert (one.body, one.source_digest, one.block_digest, one.warc_headers["warc-ip-address"], bytes(one.raw_body)) == ("<p>caf\u00e9</p>", "sha1:ABC", "sha1:DEF", "192.0.2.1", chunked)
+    assert two.source_digest is None and two.body.endswith("<p>\u00e9</p>")
+    got = {(r.refers_to, r.warc_type): r for r in warc.derive(responses).collect()}
+    assert {r.refers_to_digest for k, r in got.items() if "1" in k[0]} == {"sha1:ABC"}
+    assert {r.refers_to_digest for k, r in got.items() if "2" in k[0]} == {"sha256:" + hashlib.sha256(plain.partition(b"\r\n\r\n")[2]).hexdigest()}
+    assert got["<urn:uuid:1>", "conversion"].content == "caf\u00e9"
+    meta = json.loads(got["<urn:uuid:1>", "metadata"].content)
+    assert (meta["length"], meta["block_digest"], meta["warc_headers"]["warc-ip-address"]) == (len(chunked), "sha1:DEF", "192.0.2.1")

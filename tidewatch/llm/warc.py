@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -53,17 +54,24 @@ def derive(responses: DataFrame) -> DataFrame:
     responses has record_id, target_uri, date, http_headers and body (text); each gives one metadata and one
     conversion record, also if its body is null or empty (then the content is empty too, and the digest is
     that of nothing). A response without a record id gets no derivatives, as nothing could refer to it.
-    Repeated responses give repeated records with the same ids. Other columns are left out.
+    Repeated responses give repeated records with the same ids. Where the columns are there, the source's own
+    source_digest (its WARC-Payload-Digest) is kept, and else the digest is that of the bytes raw_body; block_digest and
+    warc_headers go into the metadata. Other columns are left out.
     """
     body = F.coalesce("body", F.lit(""))
-    base = responses.where("record_id is not null").select("record_id", "target_uri", "date", "http_headers", body.alias("body"), digest(body).alias("source"))
+    source = digest(F.coalesce("raw_body", body.cast("binary")) if "raw_body" in responses.columns else body)
+    if "source_digest" in responses.columns:
+        source = F.coalesce("source_digest", source)
+    length = F.coalesce(F.octet_length("raw_body"), F.octet_length(body)) if "raw_body" in responses.columns else F.octet_length(body)
+    kept = [c for c in ("block_digest", "warc_headers") if c in responses.columns]
+    base = responses.where("record_id is not null").select("record_id", "target_uri", "date", "http_headers", body.alias("body"), source.alias("source"), length.alias("length"), *kept)
     base = base.withColumns({
         "text": html_text(F.col("body")),
         "title": html_text(F.regexp_extract("body", r"(?is)<title[^>]*>(.*?)</title", 1)),
         "lang": F.regexp_extract("body", r"(?i)<html[^>]*\slang=[\"']?([A-Za-z-]+)", 1),
         "links": F.regexp_extract_all("body", F.lit(r"(?i)<a\s[^>]*?href=[\"']([^\"'>]*)"), F.lit(1)),
     })
-    meta = F.to_json(F.struct(F.col("target_uri").alias("uri"), F.col("http_headers").alias("headers"), F.col("source").alias("payload_digest"), F.octet_length("body").alias("length"), "title", "lang", "links"))
+    meta = F.to_json(F.struct(F.col("target_uri").alias("uri"), F.col("http_headers").alias("headers"), F.col("source").alias("payload_digest"), "length", "title", "lang", "links", *kept))
     kinds = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/json").alias("content_type"), meta.alias("content")),
         F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain").alias("content_type"), F.col("text").alias("content")),
@@ -103,23 +111,74 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size
 
 
+def unchunked(body: bytes) -> bytes:
+    """A body without chunked transfer encoding; one that is not chunked as its header says is left as it is."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = re.fullmatch(rb"\s*([0-9A-Fa-f]+)\s*(?:;.*)?", body[at:end], re.S) if end >= 0 else None
+        if not size:
+            return b"".join(out) if out and at >= len(body) else body
+        n = int(size[1], 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
+def body_text(head: str, body: bytes) -> str:
+    """The text of a payload: transfer and content encoding undone, read in the charset of the header, the page or UTF-8.
+
+    An encoding that is not known (br, zstd) or broken is left as it is.
+    """
+    fields: dict[str, str] = {}
+    for line in head.split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        fields[name.strip().lower()] = value.strip()
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        body = unchunked(body)
+    for coding in reversed([c.strip() for c in fields.get("content-encoding", "").lower().split(",")]):
+        for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ()):
+            try:
+                body = zlib.decompressobj(bits).decompress(body)
+                break
+            except zlib.error:
+                continue
+    named = re.search(r"(?i)charset\s*=\s*[\"']?([\w.:-]+)", fields.get("content-type", "")) or re.search(r"(?i)<meta[^>]*?charset\s*=\s*[\"']?([\w.:-]+)", body[:4096].decode("latin-1"))
+    try:
+        return body.decode(named[1] if named else "utf-8", "replace").encode("utf-8", "replace").decode()
+    except (LookupError, UnicodeError):
+        return body.decode("utf-8", "replace")
+
+
+RESPONSE = "record_id string, target_uri string, date string, http_headers string, body string, source_digest string, block_digest string, warc_headers map<string,string>, raw_body binary"
+
+
 def read_responses(files: DataFrame) -> DataFrame:
-    """Response records of WARC files, given as binaryFile rows (path, content): the columns that derive() takes."""
+    """Response records of WARC files, given as binaryFile rows (path, content): the columns that derive() takes.
+
+    source_digest and block_digest are those of the record, null where it has none; warc_headers are all its
+    headers (lower-case names), raw_body the bytes that the digests are of.
+    """
 
     def make():
+        names = ["record_id", "target_uri", "date", "http_headers", "body", "source_digest", "block_digest", "warc_headers", "raw_body"]
+        kinds = [*[pa.string()] * 7, pa.map_(pa.string(), pa.string()), pa.binary()]
+
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
             for content in batch.column("content"):
                 rows = []
                 for h, block in parse(content.as_py() or b""):
                     if h.get("warc-type") == "response":
                         head, _, body = block.partition(b"\r\n\r\n")
-                        rows.append((h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), head.decode("utf-8", "replace"), body.decode("utf-8", "replace")))
+                        text = head.decode("utf-8", "replace")
+                        rows.append((h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), text, body_text(text, body), h.get("warc-payload-digest"), h.get("warc-block-digest"), list(h.items()), body))
                 for i in range(0, len(rows), 500):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows[i : i + 500], strict=True)], names=["record_id", "target_uri", "date", "http_headers", "body"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 500], strict=True), kinds, strict=True)], names=names)
 
         return each
 
-    return map_batches(files.select("content"), make, "record_id string, target_uri string, date string, http_headers string, body string")
+    return map_batches(files.select("content"), make, RESPONSE)
 
 
 def packed_records(records: DataFrame) -> DataFrame:
