@@ -35,9 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one is made only on a local master (tests)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: steps have to be written where all machines can read them")
         conf = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -70,6 +72,35 @@ def keep_keys(df: DataFrame, keys: DataFrame, key: str, most: int = BROADCAST_RO
     return df.join(keys, key, "left_semi")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: int = 20_000) -> DataFrame:
+    """Inner join with right, which has one row a key at most, so that no key gathers in one task.
+
+    Keys with more than hot rows of left, and more than a 500th of them (fewer than 500 keys by that), are joined
+    by broadcast, where their rows lie; the others are shuffled. left is read twice, so it should be a written table.
+    """
+    n = left.count()
+    if n <= hot:
+        return left.join(right, key)
+    heavy = [r[0] for r in left.groupBy(key).count().where(F.col("count") > max(hot, n // 500)).select(key).collect()]
+    if not heavy:
+        return left.join(right, key)
+    few = lambda df: df.where(F.col(key).isin(heavy))
+    rest = lambda df: df.where(~F.col(key).isin(heavy))
+    return rest(left).join(rest(right), key).unionByName(few(left).join(F.broadcast(few(right)), key))
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -180,9 +211,10 @@ def connected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_hot(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        small = join_hot(large, least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = written(small, "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:

@@ -3,7 +3,7 @@
 The embeddings and the softmax are trained by stochastic gradient descent in numpy on a bounded sample of
 labelled rows (sample_rows). As everything after the lookup is linear, a prediction adds up one row of class
 scores for each hashed subword, so the trained model is one table of buckets x languages. A temperature and
-a rejection threshold are calibrated on rows of the sample that the training did not see.
+a rejection threshold are calibrated on whole texts of rows of the sample that the training did not see.
 """
 
 from __future__ import annotations
@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import slices, table, texts_of, with_columns
+from tidewatch.llm.common import table, texts_of, with_columns
 
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (2, 3, 4)
-SAMPLE_ROWS, SNIPPET, EPOCHS, RATE, BATCH = 4000, 160, 4, 0.5, 32
+SAMPLE_ROWS, EPOCHS, RATE, BATCH = 4000, 4, 0.5, 32
+#: Bytes of the pieces that a text is cut into for training, in turn, so that short texts are learned as well as long ones.
+SNIPPETS = (60, 160, 640)
+CHUNK = 1 << 18  # bytes that are looked up at once
 REJECT_RATE, REJECT_MOST = 0.001, 0.5
 UNKNOWN = "und"
 
@@ -51,15 +54,16 @@ class Model:
     threshold: float = 0.0
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(offsets) - 1, len(self.languages)))
-        for a, b in slices(offsets, 1 << 18):
-            at = offsets[a : b + 1] - offsets[a]
+        """One row a text. Bytes are looked up in chunks, so that a long text needs no more memory than a short one."""
+        out, n = np.zeros((len(offsets) - 1, len(self.languages))), len(data)
+        for a in range(0, n, CHUNK):
+            b = min(n, a + CHUNK)
+            i, j = int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets, b))
+            ends = np.clip(offsets[i : j + 1], a, min(n, b + max(ORDERS) - 1)) - a  # subwords may reach into the next chunk
+            at = np.clip(offsets[i : j + 1], a, b) - a
             full = np.flatnonzero(np.diff(at))
-            if not len(full):
-                continue
-            grams = subwords(data[offsets[a] : offsets[b]], at)
-            for row in grams:
-                out[a + full] += np.add.reduceat(self.scores[row], at[full], axis=0, dtype=np.float64)
+            for row in subwords(data[a : a + ends[-1]], ends)[:, : b - a]:
+                out[i + full] += np.add.reduceat(self.scores[row], at[full], axis=0, dtype=np.float64)
         size = np.diff(offsets)
         grams = sum(np.maximum(size - n + 1, 0) for n in ORDERS)
         return out / np.maximum(grams, 1)[:, None] + self.bias
@@ -88,22 +92,23 @@ def fit(texts: list[str], languages: list[str], seed: int = 7) -> Model | None:
     raw = [t.encode() for t in texts]
     order = rng.permutation(len(raw))
     held = set(order[: len(raw) // 5].tolist())
-    snippets, target = [], []
+    grams, target, turn_of = [], [], []
     for i, t in enumerate(raw):
-        if i not in held:
-            for a in range(0, max(1, min(len(t), 4 * SNIPPET)), SNIPPET):
-                snippets.append(t[a : a + SNIPPET])
-                target.append(label[i])
-    target = np.array(target)
-    grams = []
-    for s in snippets:
-        g = subwords(np.frombuffer(s, np.uint8), np.array([0, len(s)])).ravel()
-        grams.append(g[g < BUCKETS])
+        at = k = 0
+        while i not in held and (at < len(t) or not k):
+            piece = t[at : at + SNIPPETS[k % len(SNIPPETS)]]
+            g = subwords(np.frombuffer(piece, np.uint8), np.array([0, len(piece)])).ravel()
+            grams.append(g[g < BUCKETS])
+            target.append(label[i])
+            turn_of.append(-1 if at == 0 else k % EPOCHS)
+            at, k = at + len(piece) if piece else len(t), k + 1
+    target, turn_of = np.array(target), np.array(turn_of)
+    # A text's first piece is learned in each epoch, each other one in one of them: all of the text, long or short.
+    turns = [np.flatnonzero((turn_of < 0) | (turn_of == e)) for e in range(EPOCHS)]
     emb = rng.normal(0, 0.1, (BUCKETS + 1, DIM)).astype(np.float32)
     soft, bias = np.zeros((DIM, len(names)), np.float32), np.zeros(len(names), np.float32)
-    steps, done = EPOCHS * max(1, -(-len(grams) // BATCH)), 0
-    for _ in range(EPOCHS):
-        turn = rng.permutation(len(grams))
+    steps, done = sum(max(1, -(-len(t) // BATCH)) for t in turns), 0
+    for turn in map(rng.permutation, turns):
         for a in range(0, len(turn), BATCH):
             rate, rows = RATE * (1 - done / steps), [i for i in turn[a : a + BATCH] if len(grams[i])]
             done += 1
@@ -137,15 +142,16 @@ def fit(texts: list[str], languages: list[str], seed: int = 7) -> Model | None:
 
 
 def train(labelled: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fits on sample_rows labelled rows at most, those of the smallest hash of their key; the first 1280 characters of each are enough.
+    """Fits on the whole texts of sample_rows labelled rows at most, those of the smallest hash of their key.
 
-    The rows are counted first, so that each task sends only its share of the sample to the driver.
+    The rows are counted first, so that each task sends only its share of the sample to the driver. Rows without a
+    language or a letter are no use and left out; without any row there is no model (None).
     """
     usable = labelled.where(F.col(language).isNotNull() & F.col(text).rlike(r"\p{L}"))
     n = usable.count()
     share = min(1.0, 2 * (sample_rows + 100) / max(n, 1))
     hashed = usable.withColumn("h", F.xxhash64(key)).where((F.col("h") / 2.0**63) <= 2 * share - 1)
-    rows = hashed.select(F.left(F.col(text), F.lit(8 * SNIPPET)).alias("t"), F.col(language).alias("l"), "h").orderBy("h", "t").limit(sample_rows).collect()
+    rows = hashed.select(F.col(text).alias("t"), F.col(language).alias("l"), "h").orderBy("h", "t").limit(sample_rows).collect()
     return fit([r.t for r in rows], [r.l for r in rows])
 
 

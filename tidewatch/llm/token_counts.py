@@ -2,7 +2,7 @@
 
 Tier one is a compact table of frequent pre-tokens and their lengths, broadcast once: the vocabulary's
 own word-initial pieces, which a BPE vocabulary holds because they are frequent. Its size is bounded by
-the vocabulary. Tier two is a bounded cache in each worker; a miss is encoded once by the library. No
+the vocabulary. Tier two is a cache in each worker, bounded by characters; a miss is encoded by the library. No
 pre-token is ever shuffled.
 """
 
@@ -22,7 +22,7 @@ SPACE = "▁"
 #: A pre-token is a run of spaces with what follows it up to the next space or line break. No piece of the
 #: vocabulary has a space after another character, nor a line break, so no merge crosses these borders.
 PRE_TOKEN = re.compile(f"[ {SPACE}]*[^ {SPACE}\n]+|[ {SPACE}]+|\n")
-CACHE_WORDS = 400_000
+CACHE_CHARS, LONG = 8_000_000, 64  # characters of all remembered pre-tokens, and of the longest that is remembered
 
 
 def _processor(path: str):
@@ -46,21 +46,23 @@ def frequent_lengths(path: str) -> dict[str, int]:
 
 
 class Lengths(dict):
-    """Pre-token lengths; a missing one is encoded, and remembered while there is room."""
+    """Pre-token lengths; a missing one is encoded, and remembered if it is short, while there is room."""
 
-    def __init__(self, first: dict[str, int], path: str, most: int = CACHE_WORDS) -> None:
+    def __init__(self, first: dict[str, int], path: str, most: int = CACHE_CHARS) -> None:
         super().__init__(first)
-        self.first, self.sp, self.most = first, _processor(path), most
+        self.first, self.sp, self.most, self.held = first, _processor(path), most, 0
         self["\n"] = 1
 
     def __missing__(self, word: str) -> int:
         # After a line break, which never merges, the library adds no space of its own: it costs the two tokens taken off.
         n = len(self.sp.encode("\n" + word)) - 2
-        if len(self) >= self.most:
-            self.clear()
-            self.update(self.first)
-            self["\n"] = 1
-        self[word] = n
+        if len(word) <= LONG:
+            self.held += len(word)
+            if self.held > self.most:
+                self.clear()
+                self.update(self.first)
+                self["\n"], self.held = 1, len(word)
+            self[word] = n
         return n
 
 
