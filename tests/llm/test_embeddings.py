@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tidewatch.llm import embedding_dups
 
@@ -25,9 +26,11 @@ def brute(rows, d, cosine=0.95):
     return got
 
 
-def test_links_are_those_of_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("sparse", [0, 1, 4, 1000])
+def test_links_are_those_of_all_pairs(spark, monkeypatch, sparse):
     monkeypatch.setattr(embedding_dups, "BLOCK_STORED", 50)
     monkeypatch.setattr(embedding_dups, "BLOCK_QUERIES", 70)
+    monkeypatch.setattr(embedding_dups, "SPARSE", sparse)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(700, 24))
     for i in range(100, 400):  # groups of copies near the threshold
@@ -46,3 +49,17 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch):
     assert links > 1000 and 0.98 <= recall <= 1, recall
     assert embedding_dups.near_vectors(frame.limit(0)).count() == 0
     assert [(r.n_links, r.component_id) for r in embedding_dups.near_vectors(frame.where("vec_id = 2000")).collect()] == [(0, 2000)]
+
+
+def test_each_length_is_linked_on_its_own(spark):
+    rng = np.random.default_rng(3)
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (3, [1.0]), (4, [5.0]), (5, [-1.0]), (6, [1.0] * 7), *((10 + i, rng.normal(size=2).tolist()) for i in range(40))]
+    rows += [(60 + i, (np.array([1.0, 2.0, 3.0, 4.0, 5.0]) + rng.normal(size=5) * 0.1).tolist()) for i in range(30)]
+    for kind in ("float", "double"):
+        frame = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        own = [(r.vec_id, list(r.embedding)) for r in frame.collect()]
+        want = {}
+        for d in (1, 2, 3, 5, 7):
+            want |= {k: v for k, v in brute([r for r in own if len(r[1]) == d], d).items()}
+        assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_dups.near_vectors(frame, certainty=1e9).collect()} == want
+        assert want[2] == (1, 1) and want[4] == (1, 3) and want[6] == (0, 6)
