@@ -54,7 +54,7 @@ def hard_rows():
 
 def test_components_are_those_of_all_pairs(spark):
     rows = hard_rows()
-    docs = spark.createDataFrame([(*r, 1) for r in rows] + [(None, "one two", 2)], "doc_id long, text string, component_id int")
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows] + [(None, "one two", 2, None)], "doc_id long, text string, component_id int, id string")
     got = near_dups.near_duplicates(docs).collect()
     want = brute(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
@@ -69,8 +69,12 @@ def test_given_documents(spark):
     assert got == brute([tuple(r) for r in docs.collect()])
 
 
-def test_small_blocks_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("pairs", [0, 1, 1000])
+def test_small_blocks_lose_no_link(spark, monkeypatch, pairs):
     monkeypatch.setattr(near_dups, "BLOCK", 7)
+    monkeypatch.setattr(near_dups, "SIGNATURE_BLOCK", 9)
+    monkeypatch.setattr(near_dups, "PAIRS", pairs)
+    monkeypatch.setattr(near_dups, "CHUNK", 50)
     rows = hard_rows()
     got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: v[1] for k, v in brute(rows).items()}

@@ -84,16 +84,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, hot: int = 20_000) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None, hot: int = 20_000) -> DataFrame:
     """Inner join with right, which has one row a key at most, so that no key gathers in one task.
 
     Keys with more than hot rows of left, and more than a 500th of them (fewer than 500 keys by that), are joined
-    by broadcast, where their rows lie; the others are shuffled. left is read twice, so it should be a written table.
+    by broadcast, where their rows lie; the others are shuffled. left is read twice, so it should be a written
+    table; counts, if it is known already, has the rows n of each key of left that matters.
     """
+    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
     n = left.count()
-    if n <= hot:
-        return left.join(right, key)
-    heavy = [r[0] for r in left.groupBy(key).count().where(F.col("count") > max(hot, n // 500)).select(key).collect()]
+    heavy = [r[0] for r in counts.where(F.col("n") > max(hot, n // 500)).select(key).collect()] if n > hot else []
     if not heavy:
         return left.join(right, key)
     few = lambda df: df.where(F.col(key).isin(heavy))

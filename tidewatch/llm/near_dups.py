@@ -5,10 +5,12 @@
 2. Signatures are cut into bands; nodes that share a band value are candidates. In each bucket every
    member is compared with the member that shares most bands with others (the likeliest original).
 3. Comparing reads the signatures batch by batch and drops a pair once the posterior probability that its
-   similarity reaches the threshold is below a chosen miss probability; what is left is verified on the
-   full sets.
-4. Buckets whose members are still in different components are compared in blocks, across components
-   only, so that no link between different texts is lost and no bucket is listed pair by pair.
+   similarity reaches the threshold is below a chosen miss probability; only what is left has its full sets
+   fetched and is verified on them.
+4. Buckets whose members are still in different components are compared in blocks of signatures, across
+   components only, and a few pairs for each two components are verified. Where more pass than that, the sets
+   of the block are fetched and compared there, so that no link between different texts is lost and no
+   bucket is listed pair by pair.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import connected, keep_keys, map_batches, mix, prefix_hash, slices, span_hash, table, texts_of, written
+from tidewatch.llm.common import BROADCAST_ROWS, connected, join_hot, map_batches, mix, prefix_hash, slices, span_hash, table, texts_of, written
 
 SHINGLE, SLOTS, ROWS, BATCH = 5, 126, 6, 18
 MISS = 1e-6
-BLOCK = 256
+BLOCK, SIGNATURE_BLOCK = 256, 2048  # rows with sets, and with signatures alone, of a side that are compared at once
+PAIRS = 4  # pairs of two components in a block that are verified one by one
+CHUNK = 1 << 22  # bytes of one text that are hashed at once
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -40,6 +44,18 @@ _WORD_AT = _rng.integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uin
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word and the number of words of each text; ASCII letters are lowered, ASCII white space separates."""
+    if len(offsets) == 2 and len(data) > CHUNK:  # one long text: piece by piece, cut at white space
+        found, at = [], 0
+        while at < len(data):
+            rest = np.flatnonzero(_SPACE[data[at + CHUNK : at + 2 * CHUNK]])
+            to = at + CHUNK + int(rest[0]) if len(rest) else len(data)
+            found.append(_word_hashes(data[at:to], np.array([0, min(to, len(data)) - at]))[0])
+            at = to
+        return np.concatenate(found), np.array([sum(map(len, found))])
+    return _word_hashes(data, offsets)
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = _LOWER[data]
     gap = _SPACE[data]
     first = np.zeros(len(data) + 1, bool)
@@ -82,28 +98,29 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def shingled(docs: DataFrame, key: str, text: str, with_set: bool) -> DataFrame:
-    """(id, n_shingles, set_key, sig) of each row, or (id, sig, shingles) of rows that have shingles."""
+def shingled(docs: DataFrame, carried: list[str], with_set: bool) -> DataFrame:
+    """(carried columns, n_shingles, set_key, sig) of each row's text, or (carried columns, sig, shingles) of rows that have shingles."""
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-            data, offsets = texts_of(batch.column(text))
-            ids = batch.column(key)
+            data, offsets = texts_of(batch.column("text"))
+            own = [batch.column(c) for c in carried]
             for a, b in slices(offsets):
                 sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sigs = signatures([sets[i] for i in full]) if full else []
                 sig = dict(zip(full, (s.tobytes() for s in sigs), strict=True))
                 if with_set:
-                    yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(full, pa.int64())), pa.array([sig[i] for i in full], pa.binary()), pa.array([sets[i].tobytes() for i in full], pa.binary())], names=["id", "sig", "shingles"])
+                    at = pa.array(full, pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a).take(at) for c in own), pa.array([sig[i] for i in full], pa.binary()), pa.array([sets[i].tobytes() for i in full], pa.binary())], names=[*carried, "sig", "shingles"])
                 else:
                     keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                    yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([sig.get(i) for i in range(len(sets))], pa.binary())], names=["id", "n_shingles", "set_key", "sig"])
+                    yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in own), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([sig.get(i) for i in range(len(sets))], pa.binary())], names=[*carried, "n_shingles", "set_key", "sig"])
 
         return each
 
-    kind = docs.schema[key].dataType.simpleString()
-    return map_batches(docs.select(key, text), make, f"id {kind}, sig binary, shingles binary" if with_set else f"id {kind}, n_shingles bigint, set_key binary, sig binary")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return map_batches(docs.select(*carried, "text"), make, f"{kinds}, sig binary, shingles binary" if with_set else f"{kinds}, n_shingles bigint, set_key binary, sig binary")
 
 
 def least_matches(percent: int, miss: float) -> list[int]:
@@ -142,17 +159,89 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def survivors(pairs: DataFrame, least: list[int]) -> DataFrame:
+    """The pairs (a, b, sig_a, sig_b) that their signatures do not rule out, without the signatures."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SLOTS) for c in ("sig_a", "sig_b"))
+            left, matches = np.arange(len(one)), np.zeros(len(one), np.int32)
+            for step, m in enumerate(least):
+                part = slice(step * BATCH, (step + 1) * BATCH)
+                matches = matches + (one[left, part] == two[left, part]).sum(1)
+                stay = matches >= m
+                left, matches = left[stay], matches[stay]
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(left)) for c in ("a", "b")], names=["a", "b"])
+
+        return each
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return map_batches(pairs.select("a", "b", "sig_a", "sig_b"), make, f"a {kind}, b {kind}")
+
+
+def with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (id and other columns, a written table) with the signature and the set of each id."""
+    few = wanted.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4
+    return shingled(docs.join(F.broadcast(wanted) if few else wanted, "id"), wanted.columns, True)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, a written table) that are similar by their sets. Pairs of one a are compared in groups of BLOCK."""
+    counts = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts")), "counts")
+    large = counts.where("salts > 1")
+    if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        large = F.broadcast(large)
+    members = pairs.join(large, "a", "left").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), F.lit(1).alias("side"))
+    heads = counts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"))
+    sets = with_sets(docs, written(members.union(heads), "wanted"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates(["id", "side", "shingles"])
+        heads = [np.frombuffer(s, np.uint64) for s in group.loc[group["side"] == 0, "shingles"]]
+        found = [(a, b) for a, b, side, s in zip(group["a"], group["id"], group["side"], group["shingles"]) if side and any(similar(h, np.frombuffer(s, np.uint64), percent) for h in heads)]
+        return pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return sets.drop("sig").groupBy("a", "salt").applyInPandas(compare, f"a {kind}, b {kind}")
+
+
+def sides_of(group: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """ids, labels, signatures and the places of either side; without a side 1, side 0 stands against itself."""
+    sigs = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group), SLOTS)
+    side = group["side"].to_numpy()
+    return group["id"].to_numpy(), group["label"].to_numpy(), sigs, np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+
+def likely_pairs(group: pd.DataFrame, least: list[int]) -> list[tuple | None]:
+    """PAIRS pairs at most for each two labels that their signatures do not rule out; a last None says that there are more."""
+    group = group.drop_duplicates(["id", "side", "sig"])
+    ids, labels, sigs, ones, others = sides_of(group)
+    taken: dict[tuple, int] = {}
+    found, more = [], False
+    for at, i in enumerate(ones):
+        pool = others if len(others) else ones[at + 1 :]
+        mine = labels[i]
+        full = {y if x == mine else x for (x, y), n in taken.items() if n > PAIRS and mine in (x, y)}
+        full.add(mine)
+        pool = pool[~np.isin(labels[pool], list(full))] if len(pool) else pool
+        for j in pool[passes(sigs[i], sigs[pool], least)] if len(pool) else ():
+            pair = (min(mine, labels[j]), max(mine, labels[j]))
+            taken[pair] = n = taken.get(pair, 0) + 1
+            if n <= PAIRS:
+                found.append((ids[i], ids[j]))
+            else:
+                more = True
+    return [*found, None] if more else found
+
+
 def links_of(group: pd.DataFrame, percent: int, least: list[int]) -> pd.DataFrame:
-    """Links between rows of side 0 and rows of side 1 (of side 0 among themselves if there is no side 1) of different labels.
+    """Links between rows of either side that have different labels, by their sets.
 
     Once two labels are linked, more pairs of them are not looked at: only components are asked for.
     """
     group = group.drop_duplicates(["id", "side", "shingles"])
-    side, ids, labels = (group[c].to_numpy() for c in ("side", "id", "label"))
-    sigs = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group), SLOTS)
+    ids, labels, sigs, ones, others = sides_of(group)
     sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
-    ones = np.flatnonzero(side == 0)
-    others = np.flatnonzero(side == 1)
     root = {x: x for x in labels.tolist()}
 
     def find(x):
@@ -176,6 +265,28 @@ def links_of(group: pd.DataFrame, percent: int, least: list[int]) -> pd.DataFram
     return pd.DataFrame(found, columns=["a", "b"])
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, component) after more links (a, b): components are connected by their labels, not link by link."""
+    if not links.limit(1).count():
+        return labels
+    of = lambda c, name: labels.select(F.col("id").alias(c), F.col("component").alias(name))
+    named = written(links.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "links")
+    merged = connected(named.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    new = named.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("ca").alias("component")), F.struct(F.col("b").alias("id"), F.col("cb").alias("component")))).alias("n")).select("n.*")
+    every = labels.union(new).distinct()
+    return written(every.join(merged.select(F.col("id").alias("component"), F.col("component").alias("least")), "component", "left").select("id", F.coalesce("least", "component").alias("component")), "labels")
+
+
+def blocks_of(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (band, id, label) of bands with several labels, dealt into pairs of blocks (band, i, j) of about size rows a side."""
+    split = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark")).where("lo <> hi")
+    # Bands that hold the same members are compared once.
+    split = written(split.groupBy("mark", "n").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / size).cast("int").alias("blocks"), "n"), "open")
+    dealt = join_hot(rows, split.drop("n"), "band", split).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("band", "id", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, miss: float = MISS) -> DataFrame:
     """key, n_shingles, component_id and kept of every row of docs.
 
@@ -184,46 +295,53 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     space, has no shingles and is linked with nothing; a text of fewer than five words is one shingle.
     All rows are returned, repeated ones too. Keys should be unique: different texts whose smallest key is
     the same count as linked. Rows with a null key are unlinked, with a null component and kept true. Other
-    columns are not looked at. An empty table gives no rows.
+    columns are not looked at, whatever their names. An empty table gives no rows. The bands meet a pair of
+    similarity 0.85 with a probability of 99.995 %, one of 0.80 with 99.8 %; a text of any length is hashed
+    piece by piece.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    nodes = written(shingled(docs, key, text, False), "shingled")
+    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    kind = docs.schema["id"].dataType.simpleString()
+    nodes = written(shingled(docs, ["id"], False), "shingled")
     named = nodes.where("set_key is not null and id is not null")
     same = written(named.groupBy("set_key").agg(F.min("id").alias("node"), F.max("sig").alias("sig")), "sets")
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(SLOTS // ROWS)])
     rows = same.select(F.col("node").alias("id"), F.explode(bands).alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    live = written(rows.join(shared, "band"), "bands")
+    shared = written(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    live = written(join_hot(rows, shared, "band", shared), "bands")
     degree = live.groupBy("id").agg(F.sum("n").alias("degree"))
-    pivot = live.join(degree, "id").groupBy("band").agg(F.max(F.struct("degree", F.negative("id").alias("id"))).alias("top")).select("band", F.negative("top.id").alias("pivot"))
-    stars = written(live.join(pivot, "band").where("id <> pivot").select("pivot", "id").distinct(), "stars")
+    pivot = live.join(degree, "id").groupBy("band").agg(F.max(F.struct("degree", F.negative("id").alias("id"))).alias("top")).select("band", F.negative("top.id").alias("a"))
+    stars = written(join_hot(live, pivot, "band", shared).where("id <> a").select("a", F.col("id").alias("b")).distinct(), "stars")
 
-    parts = written(shingled(keep_keys(docs.withColumnRenamed(key, "id"), live.select("id").distinct(), "id"), "id", text, True), "parts")
     least = least_matches(percent, miss)
-    shape = f"a {kind}, b {kind}"
-    # Members of a star in groups of bounded size, each with its own copy of the pivot.
-    size = stars.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
-    salted = stars.join(size, "pivot").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).drop("salts")
-    members = salted.join(parts, "id").select("pivot", "salt", "id", F.col("id").alias("label"), F.lit(1).alias("side"), "sig", "shingles")
-    heads = salted.select("pivot", "salt").distinct().join(parts.withColumnRenamed("id", "pivot"), "pivot").select("pivot", "salt", F.col("pivot").alias("id"), F.col("pivot").alias("label"), F.lit(0).alias("side"), "sig", "shingles")
-    first = members.union(heads).groupBy("pivot", "salt").applyInPandas(lambda g: links_of(g, percent, least), shape)
-    first = written(first, "links")
-
-    labels = connected(first)
-    labelled = written(live.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("label")), "labels")
-    split = labelled.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    open_ = labelled.join(split, "band")
-    # Bands that hold the same members with the same labels are compared once.
-    mark = open_.groupBy("band").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark"), F.count("*").alias("n"))
-    once = mark.groupBy("mark", "n").agg(F.min("band").alias("band")).select("band")
-    open_ = open_.join(once, "band", "left_semi").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("band", "id", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
-    blocks = open_.join(parts, "id").groupBy("band", "i", "j").applyInPandas(lambda g: links_of(g.drop(columns=["band"]), percent, least), shape)
-    links = written(first.union(blocks), "links")
-
-    components = connected(links)
-    found = same.select("set_key", "node").join(components.withColumnRenamed("id", "node"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
+    sigs = lambda c: same.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
+    likely = written(survivors(join_hot(stars, sigs("a"), "a").join(sigs("b"), "b"), least), "likely")
+    first = written(verified(docs, likely, percent), "links")
+    labels = written(connected(first), "labels")
+
+    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+
+    open_ = written(blocks_of(written(labelled(live.select("band", "id"), labels), "labelled"), SIGNATURE_BLOCK), "blocks")
+    block, shape = ["band", "i", "j"], f"band bigint, i int, j int, a {kind}, b {kind}"
+
+    def look(group: pd.DataFrame) -> pd.DataFrame:
+        found = likely_pairs(group, least)
+        pairs = pd.DataFrame([(None, None) if p is None else p for p in found], columns=["a", "b"], dtype=object)
+        return pairs.assign(**{c: group[c].iloc[0] for c in block})[[*block, "a", "b"]]
+
+    looked = written(open_.join(same.select(F.col("node").alias("id"), "sig"), "id").groupBy(*block).applyInPandas(look, shape), "looked")
+    second = written(verified(docs, written(looked.where("a is not null").select("a", "b").distinct(), "likely"), percent), "links")
+    labels = joined(labels, second)
+
+    crowds = looked.where("a is null").select(*block)
+    if crowds.limit(1).count():
+        # The members of blocks where too many pairs pass, dealt anew with their sets, if they still have several labels.
+        members = written(open_.join(crowds, block, "left_semi").select(F.xxhash64(*block).alias("band"), "id").distinct(), "members")
+        again = written(blocks_of(written(labelled(members, labels), "labelled"), BLOCK), "blocks")
+        third = with_sets(docs, again).groupBy(*block).applyInPandas(lambda g: links_of(g, percent, least), f"a {kind}, b {kind}")
+        labels = joined(labels, written(third, "links"))
+
+    found = same.select("set_key", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = nodes.select("id", "n_shingles", "set_key").join(found, "set_key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
