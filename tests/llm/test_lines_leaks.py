@@ -2,6 +2,8 @@ import random
 import re
 from itertools import combinations
 
+import pytest
+
 from tidewatch.llm import decontaminate, line_dedup
 
 SF = "/root/testdata/sf0.01"
@@ -30,15 +32,18 @@ def brute_lines(rows, least):
     return [(k, t if not gone.get((k, t)) else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k, t]), len(gone.get((k, t), ()))) for k, t in rows]
 
 
-def test_deleted_lines_are_those_of_all_runs(spark):
+@pytest.mark.parametrize("phrases, chunk", [(64, 1 << 22), (3, 40), (0, 1 << 22)])
+def test_deleted_lines_are_those_of_all_runs(spark, monkeypatch, phrases, chunk):
+    monkeypatch.setattr(line_dedup, "PHRASES", phrases)
+    monkeypatch.setattr(line_dedup, "CHUNK", chunk)
     rng = random.Random(5)
     pool = [" ".join(rng.choice("abcde") for _ in range(rng.choice([1, 1, 2, 3, 6]))) for _ in range(12)] + ["", "  "]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))) for i in range(60)] + [(70, None), (71, ""), (None, "\n".join(pool)), (5, None), (80, "x y z\n" * 30)]
     rows += [rows[3], (90, rows[4][1])]
     for least in (4, 7):
-        docs = spark.createDataFrame([(*r, 0, 9) for r in rows], "doc_id long, text string, lines_removed int, id int")
+        docs = spark.createDataFrame([(*r, 0, 9, "g", 1) for r in rows], "doc_id long, text string, lines_removed int, id int, gone string, mark int")
         got = line_dedup.dedup_lines(docs, least=least)
-        assert got.columns == ["doc_id", "text", "id", "lines_removed"]
+        assert got.columns == ["doc_id", "text", "id", "gone", "mark", "lines_removed"]
         assert sorted(map(repr, ((r.doc_id, r.text, r.lines_removed) for r in got.collect()))) == sorted(map(repr, brute_lines(rows, least)))
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
@@ -50,6 +55,20 @@ def test_given_documents(spark):
     assert got == want and any(n for _, n in want.values())
 
 
+def test_matches_are_extended_both_ways(spark, monkeypatch):
+    """Without the extension a repeat that no window of an equal phrase holds is lost."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    run = [" ".join(word() for _ in range(9)) for _ in range(12)]
+    rows = [(i, "\n".join([word() for _ in range(i % 3)] + run[i % 4 : 12 - i % 3] + [word() for _ in range(4)])) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lambda: {(r.doc_id, r.text, r.lines_removed) for r in line_dedup.dedup_lines(docs).collect()}
+    want = set(brute_lines(rows, line_dedup.WORDS))
+    assert got() == want
+    monkeypatch.setattr(line_dedup, "extended", lambda *_: (0, 0))
+    assert got() != want
+
+
 def test_the_mask_misses_no_window():
     n, k = decontaminate.WINDOW, decontaminate.DIFFERENCES
     for bad in combinations(range(n), k):

@@ -2,10 +2,13 @@
 
 A window is a shortest run of consecutive lines that holds least words, taken forwards from each line and
 backwards from each line; equal runs have equal windows, and the windows inside a run of enough words cover
-all of it. The smallest line hash of a window is its fingerprint: a guaranteed one, as equal windows choose
-the same line. Fingerprints seen at one place only are dropped; the windows around the others are matched
-with their first place, which extends the match line by line both ways as far as windows stay equal, and
-lines of later runs are deleted.
+all of it. The line of the smallest hash of a window is its fingerprint: a guaranteed one, as equal windows
+choose the same line. Only these minima are kept, each with its phrase, the lines that its windows reach.
+
+Places of one fingerprint are joined. Places of equal phrases need no look: each but the first is a repeat.
+The first places of different phrases are held against each other, and a match is extended line by line both
+ways as far as both phrases go; where it has enough words, the later one's lines are a repeat. Fingerprints
+with very many different phrases (a common line) have the windows of those phrases joined by content instead.
 """
 
 from __future__ import annotations
@@ -13,13 +16,18 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewatch.llm.common import BROADCAST_ROWS, map_batches, mix, prefix_hash, slices, span_hash, table, texts_of, written
+from tidewatch.llm.common import fresh, join_hot, map_batches, mix, prefix_hash, slices, span_hash, table, texts_of, written
 
 WORDS = 50
+PHRASES = 64  # phrases of a fingerprint that are held against each other
+BROADCAST_BYTES = 32 << 20  # of deleted runs, at 24 bytes each
+CHUNK = 1 << 22  # bytes of one text that are hashed at once
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _UP = np.uint64(0xD6E8FEB86659FD93)
@@ -27,7 +35,20 @@ _DOWN = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """text, number in its text, hash and words of each line that is not blank; lines end at a line feed."""
+    """text, start and end (bytes), hash and words of each line that is not blank; lines end at a line feed."""
+    if len(offsets) == 2 and len(data) > CHUNK:  # one long text: piece by piece, cut at line feeds
+        found, at = [], 0
+        while at < len(data):
+            rest = np.flatnonzero(data[at + CHUNK :] == 10)[:1]
+            to = at + CHUNK + int(rest[0]) + 1 if len(rest) else len(data)
+            text, start, end, line, words = _lines_of(data[at:to], np.array([0, to - at]))
+            found.append((text, start + at, end + at, line, words))
+            at = to
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    return _lines_of(data, offsets)
+
+
+def _lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(data)
     cut = np.flatnonzero(data == 10)
     start = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], cut + 1]))
@@ -35,7 +56,6 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     end = np.concatenate([start[1:], [n]]) if len(start) else start
     end = end - (data[end - 1] == 10) if len(start) else end
     text = np.searchsorted(offsets, start, "right") - 1
-    first = np.searchsorted(start, offsets[text])
     gap = _SPACE[data]
     begins = ~gap & np.concatenate([[True], gap[:-1]])
     begins[start[~gap[start]]] = True
@@ -43,8 +63,7 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     words = counted[end] - counted[start]
     prefix, down = prefix_hash(data)
     full = words > 0
-    number = np.arange(len(start)) - first
-    return text[full], number[full], span_hash(prefix, down, start, end)[full], words[full]
+    return text[full], start[full], end[full], span_hash(prefix, down, start, end)[full], words[full]
 
 
 def windows_of(text: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,70 +80,185 @@ def windows_of(text: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndar
     return pairs[:, 0], pairs[:, 1]
 
 
-def windows(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(id, mark, first, last, fingerprint, at, content) of each window; mark tells texts with one id apart."""
+def lowest(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The place of the smallest hash of each window, the first of equals."""
+    n = len(hashes)
+    levels, size = [np.arange(n)], 1
+    while 2 * size <= int((last - first).max(initial=0)) + 1:  # smallest of 1, 2, 4 ... lines from each line on
+        a, b = levels[-1][: n - 2 * size + 1], levels[-1][size : n - size + 1]
+        levels.append(np.where(hashes[a] <= hashes[b], a, b))
+        size *= 2
+    level = np.log2(last - first + 1).astype(int)
+    out = np.empty(len(first), np.int64)
+    for k, places in enumerate(levels):
+        own = np.flatnonzero(level == k)
+        a, b = places[first[own]], places[last[own] - (1 << k) + 1]
+        out[own] = np.where(hashes[a] <= hashes[b], a, b)
+    return out
+
+
+class Sums:
+    """Hashes of runs of lines."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, line: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        n = len(line)
+        if len(self.up) <= n:
+            self.up = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(2 * n, _UP))])
+            self.down = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(2 * n, _DOWN))])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(line * self.up[:n])])
+        return mix((sums[last + 1] - sums[first]) * self.down[first] + (last - first).astype(np.uint64))
+
+
+def text_mark(text: bytes) -> int:
+    """Tells texts with one id apart."""
+    data = np.frombuffer(text, np.uint8)
+    total = np.uint64(len(data))
+    for a in range(0, len(data), CHUNK):
+        part = data[a : a + CHUNK]
+        total = mix(total + span_hash(*prefix_hash(part), np.array([0]), np.array([len(part)])))[0]
+    return int(np.int64(np.uint64(total).view(np.int64)))
+
+
+PLACE = "mark bigint, at int, fingerprint bigint, phrase bigint, before int, lines binary, words binary"
+
+
+def places_of(docs: DataFrame, least: int) -> DataFrame:
+    """(id, mark, at, fingerprint, phrase, before, lines, words): the window minima of each text.
+
+    at is the number of the line among those that are not blank. lines are the hashes of the phrase's lines, before
+    of them above the fingerprint, words their numbers of words; phrase is the hash of all of it.
+    """
 
     def make():
-        up, down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+        sums = Sums()
 
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-            nonlocal up, down
-            data, offsets = texts_of(batch.column(text))
-            ids = batch.column(key)
+            data, offsets = texts_of(batch.column("text"))
+            ids = batch.column("id")
             for a, b in slices(offsets):
                 at = offsets[a : b + 1] - offsets[a]
                 part = data[offsets[a] : offsets[b]]
-                doc, number, line, words = lines_of(part, at)
-                n = len(line)
-                if not n:
+                doc, _, _, line, words = lines_of(part, at)
+                if not len(line):
                     continue
                 first, last = windows_of(doc, words, least)
                 if not len(first):
                     continue
-                if len(up) <= n:
-                    up = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(2 * n, _UP))])
-                    down = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(2 * n, _DOWN))])
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(line * up[:n])])
-                content = mix((sums[last + 1] - sums[first]) * down[first] + (last - first).astype(np.uint64))
-                edges = np.stack([first, last + 1], 1).ravel()
-                print_ = np.minimum.reduceat(np.append(line, ~np.uint64(0)), edges)[::2]
-                prefix, inverse = prefix_hash(part)
-                mark = span_hash(prefix, inverse, at[:-1], at[1:])[doc[first]]
+                chosen = lowest(line, first, last)
+                order = np.argsort(chosen, kind="stable")
+                place, new = np.unique(chosen[order], return_index=True)
+                lo, hi = np.minimum.reduceat(first[order], new), np.maximum.reduceat(last[order], new)
+                phrase = mix(sums.of(line, lo, hi) + (place - lo).astype(np.uint64))
+                start = np.searchsorted(doc, doc[place])
+                raw, counts = line.astype("<u8").tobytes(), words.astype("<u4").tobytes()
+                full = np.unique(doc[place])
+                marks = dict(zip(full.tolist(), (text_mark(part[at[i] : at[i + 1]].tobytes()) for i in full.tolist()), strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a).take(pa.array(doc[first])), pa.array(mark.view(np.int64)), pa.array(number[first].astype(np.int32)), pa.array(number[last].astype(np.int32)), pa.array(print_.view(np.int64)), pa.array(content.view(np.int64))],
-                    names=["id", "mark", "first", "last", "fingerprint", "content"],
+                    [
+                        ids.slice(a, b - a).take(pa.array(doc[place])), pa.array([marks[i] for i in doc[place].tolist()], pa.int64()), pa.array((place - start).astype(np.int32)), pa.array(line[place].view(np.int64)), pa.array(phrase.view(np.int64)),
+                        pa.array((place - lo).astype(np.int32)), pa.array([raw[8 * x : 8 * y + 8] for x, y in zip(lo.tolist(), hi.tolist())], pa.binary()), pa.array([counts[4 * x : 4 * y + 4] for x, y in zip(lo.tolist(), hi.tolist())], pa.binary()),
+                    ],
+                    names=["id", "mark", "at", "fingerprint", "phrase", "before", "lines", "words"],
                 )
 
         return each
 
-    kind = docs.schema[key].dataType.simpleString()
-    return map_batches(docs.select(key, text), make, f"id {kind}, mark bigint, first int, last int, fingerprint bigint, content bigint")
+    return map_batches(docs, make, f"id {docs.schema['id'].dataType.simpleString()}, {PLACE}")
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = WORDS) -> DataFrame:
-    """(id, mark, gone): the numbers of the lines of each text that lie in a later repeat of a run."""
-    found = written(windows(docs.where(F.col(key).isNotNull()), key, text, least), "windows")
-    # A fingerprint counts once for each run of windows that chose it, whichever place in the text that was.
-    places = found.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "first")).alias("lo"), F.max(F.struct("id", "mark", "first")).alias("hi")).where("n > 1 and lo <> hi").select("fingerprint")
-    near = found.join(places, "fingerprint", "left_semi")
-    first_place = near.groupBy("content").agg(F.min(F.struct("id", "mark", "first")).alias("source"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = near.join(first_place, "content").where(F.struct("id", "mark", "first") > F.col("source"))
-    # The same text under the same id is one document: its own rows are no repeats of each other.
-    return written(later.groupBy("id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last"))))).alias("gone")), "gone")
+def extended(one: list[int], i: int, two: list[int], j: int) -> tuple[int, int]:
+    """How many lines above and below the places i and j are equal, too."""
+    up = 0
+    while up < min(i, j) and one[i - up - 1] == two[j - up - 1]:
+        up += 1
+    down, room = 0, min(len(one) - i, len(two) - j) - 1
+    while down < room and one[i + down + 1] == two[j + down + 1]:
+        down += 1
+    return up, down
 
 
-def text_marks(docs: DataFrame, text: str) -> DataFrame:
+def matches_of(group: pd.DataFrame, least: int) -> pd.DataFrame:
+    """(phrase, up, down): how far the first place of each phrase matches earlier first places of the fingerprint's other phrases."""
+    group = group.sort_values(["place_id", "place_mark", "place_at"], kind="stable")
+    known, out = [], []
+    for phrase, before, lines, words in zip(group["phrase"], group["before"], group["lines"], group["words"]):
+        own, counts = np.frombuffer(lines, "<u8").tolist(), np.frombuffer(words, "<u4")
+        found = set()
+        for other, k in known:
+            up, down = extended(own, before, other, k)
+            if counts[before - up : before + down + 1].sum() >= least:
+                found.add((up, down))
+        out += [(phrase, u, d) for u, d in found if not any((x >= u and y >= d) and (x, y) != (u, d) for x, y in found)]
+        known.append((own, before))
+    return pd.DataFrame(out, columns=["phrase", "up", "down"])
+
+
+def crowd_windows(classes: DataFrame, least: int) -> DataFrame:
+    """(phrase's first place, content, up, down) of each window of each phrase; up and down may be negative."""
+
     def make():
+        sums = Sums()
+
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-            data, offsets = texts_of(batch.column(text))
-            marks = [span_hash(*prefix_hash(data[offsets[a] : offsets[b]]), offsets[a:b] - offsets[a], offsets[a + 1 : b + 1] - offsets[a]) for a, b in slices(offsets)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(marks).view(np.int64) if marks else [], pa.int64())], names=[*batch.schema.names, "__mark"])
+            for k, (before, lines, words) in enumerate(zip(batch.column("before").to_pylist(), batch.column("lines").to_pylist(), batch.column("words").to_pylist())):
+                line, counts = np.frombuffer(lines, "<u8"), np.frombuffer(words, "<u4").astype(np.int64)
+                first, last = windows_of(np.zeros(len(line), np.int64), counts, least)
+                if len(first):
+                    at = pa.array(np.full(len(first), k))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("place_id", "place_mark", "place_at")), pa.array(sums.of(line, first, last).view(np.int64)), pa.array((before - first).astype(np.int32)), pa.array((last - before).astype(np.int32))], names=["place_id", "place_mark", "place_at", "content", "up", "down"])
 
         return each
 
-    from pyspark.sql import types as T
+    kind = classes.schema["place_id"].dataType.simpleString()
+    return map_batches(classes.select("place_id", "place_mark", "place_at", "before", "lines", "words"), make, f"place_id {kind}, place_mark bigint, place_at int, content bigint, up int, down int")
+
+
+def repeated_runs(docs: DataFrame, least: int) -> DataFrame:
+    """(id, mark, first, last): runs of lines, by their numbers among those that are not blank, that an earlier place has, too."""
+    places = written(places_of(docs.where("id is not null"), least), "places")
+    place = F.struct("id", "mark", "at")
+    every = places.groupBy("fingerprint", "phrase").agg(F.min(place).alias("first"), F.max(place).alias("final"), F.first("before").alias("before"), F.first("lines").alias("lines"), F.first("words").alias("words"))
+    classes = written(every.select("fingerprint", "phrase", F.col("first.id").alias("place_id"), F.col("first.mark").alias("place_mark"), F.col("first.at").alias("place_at"), (F.col("first") < F.col("final")).alias("again"), "before", "lines", "words"), "phrases")
+    # Phrases that are there again: all places but the first.
+    again = classes.where("again").select("phrase", F.struct(F.col("place_id").alias("id"), F.col("place_mark").alias("mark"), F.col("place_at").alias("at")).alias("first"), F.octet_length("lines").alias("size")).groupBy("phrase").agg(F.min("first").alias("first"), F.max("size").alias("size"))
+    own = places.select("id", "mark", "at", "before", "phrase")
+    copies = join_hot(own, again, "phrase").where(place > F.col("first"))
+    runs = copies.select("id", "mark", (F.col("at") - F.col("before")).alias("first"), (F.col("at") - F.col("before") + F.col("size") / 8 - 1).cast("int").alias("last"))
+    # Different phrases around one fingerprint.
+    shared = written(classes.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    near = join_hot(classes.drop("again"), shared, "fingerprint", shared)
+    named = [F.col("place_id").alias("id"), F.col("place_mark").alias("mark"), (F.col("place_at") - F.col("up")).alias("first"), (F.col("place_at") + F.col("down")).alias("last")]
+    some = near.where(F.col("n") <= PHRASES)
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def match(group: pd.DataFrame) -> pd.DataFrame:
+        return matches_of(group, least).merge(group[["phrase", "place_id", "place_mark", "place_at"]], on="phrase")[["place_id", "place_mark", "place_at", "up", "down"]]
+
+    runs = runs.union(some.groupBy("fingerprint").applyInPandas(match, f"place_id {kind}, place_mark bigint, place_at int, up int, down int").select(*named))
+    if shared.where(F.col("n") > PHRASES).limit(1).count():
+        windows = written(crowd_windows(near.where(F.col("n") > PHRASES), least), "windows")
+        start = F.struct(F.col("place_id").alias("id"), F.col("place_mark").alias("mark"), (F.col("place_at") - F.col("up")).alias("at"))
+        source = windows.groupBy("content").agg(F.min(start).alias("source"), F.count("*").alias("n")).where("n > 1").select("content", "source")
+        runs = runs.union(join_hot(windows, source, "content").where(start > F.col("source")).select(*named))
+    return written(runs.distinct(), "runs")
 
-    return map_batches(docs, make, T.StructType([*docs.schema.fields, T.StructField("__mark", T.LongType())]))
+
+def without(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """A text without runs of lines, and how many lines that are; blank lines inside a run go with it."""
+    data = np.frombuffer(text, np.uint8)
+    _, start, _, _, _ = lines_of(data, np.array([0, len(data)]))
+    edge = np.concatenate([[0], np.flatnonzero(data == 10) + 1])  # where each line starts, blank ones too
+    first, last = np.array(runs).T
+    top, bottom = np.searchsorted(edge, start[first], "right") - 1, np.searchsorted(edge, start[last], "right") - 1
+    mark = np.zeros(len(edge) + 1, np.int64)
+    np.add.at(mark, top, 1)
+    np.add.at(mark, bottom + 1, -1)
+    gone = np.cumsum(mark[:-1]) > 0
+    lines = text.split(b"\n")
+    return b"\n".join([x for x, g in zip(lines, gone.tolist(), strict=True) if not g]), int(gone.sum())
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = WORDS) -> DataFrame:
@@ -133,18 +267,44 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     A line goes if it lies in a run of consecutive lines, of least words in all, whose equal starts earlier:
     in a smaller key, or higher up in the same text. Lines are compared byte by byte, blank lines are passed
     over (they go if they lie inside a deleted run), words are separated by ASCII white space. Runs may
-    overlap their source. Other columns are kept, an own lines_removed is replaced. Null and empty texts stay
-    as they are; rows with a null key are neither sources nor changed; rows that repeat both key and text
-    are one document, and of different texts under one key the order is defined but arbitrary.
+    overlap their source. Other columns are kept, whatever their names, an own lines_removed is replaced. Null
+    and empty texts stay as they are; rows with a null key are neither sources nor changed; rows that repeat both
+    key and text are one document, and of different texts under one key the order is defined but arbitrary. An
+    empty table gives no rows. A text of any length is hashed piece by piece.
     """
-    gone = repeated_lines(docs, key, text, least)
-    if gone.limit(BROADCAST_ROWS // 8 + 1).count() <= BROADCAST_ROWS // 8:
-        gone = F.broadcast(gone)
-    marked = text_marks(docs.drop("lines_removed"), text)
-    joined = marked.join(gone.select(F.col("id").alias("__id"), F.col("mark").alias("__m"), "gone"), (F.col(key) == F.col("__id")) & (F.col("__mark") == F.col("__m")), "left")
-    lines = F.split(F.col(text), "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i))
-    return joined.withColumn(text, F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).withColumn("lines_removed", F.coalesce(F.size("gone"), F.lit(0))).drop("gone", "__mark", "__id", "__m")
+    runs = repeated_runs(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), least)
+    docs = docs.drop("lines_removed")
+    id_, gone = fresh(docs, "id", "gone")
+    per_text = runs.groupBy(F.col("id").alias(id_)).agg(F.collect_list(F.struct("mark", "first", "last")).alias(gone))
+    few = runs.count() * 24 <= BROADCAST_BYTES
+    joined = docs.join(F.broadcast(per_text) if few else per_text, F.col(key) == F.col(id_), "left").drop(id_)
+    fields = [*docs.schema.fields, T.StructField("lines_removed", T.IntegerType(), False)]
+
+    def make():
+        def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+            spans = batch.column(gone)
+            at = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            texts, removed = batch.column(text), np.zeros(batch.num_rows, np.int32)
+            new = {}
+            for i in at:
+                own = texts[i].as_py()
+                if own:
+                    raw = own.encode()
+                    mark = text_mark(raw)
+                    ranges = [(r["first"], r["last"]) for r in spans[i].as_py() if r["mark"] == mark]
+                    if ranges:
+                        left, removed[i] = without(raw, ranges)
+                        new[i] = left.decode()
+            if new:
+                changed = pa.array([new.get(i) for i in range(batch.num_rows)], texts.type)
+                texts = pa.compute.if_else(pa.array([i in new for i in range(batch.num_rows)]), changed, texts)
+            columns = [texts if f.name == text else batch.column(f.name) for f in docs_fields]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed)], names=[*(f.name for f in docs_fields), "lines_removed"])
+
+        return each
+
+    docs_fields = docs.schema.fields
+    return map_batches(joined, make, T.StructType(fields))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
