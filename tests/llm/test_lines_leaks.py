@@ -2,6 +2,8 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from tidewatch.llm import decontaminate, line_dedup
@@ -32,10 +34,9 @@ def brute_lines(rows, least):
     return [(k, t if not gone.get((k, t)) else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k, t]), len(gone.get((k, t), ()))) for k, t in rows]
 
 
-@pytest.mark.parametrize("phrases, chunk", [(64, 1 << 22), (3, 40), (0, 1 << 22)])
-def test_deleted_lines_are_those_of_all_runs(spark, monkeypatch, phrases, chunk):
+@pytest.mark.parametrize("phrases", [64, 3, 0])
+def test_deleted_lines_are_those_of_all_runs(spark, monkeypatch, phrases):
     monkeypatch.setattr(line_dedup, "PHRASES", phrases)
-    monkeypatch.setattr(line_dedup, "CHUNK", chunk)
     rng = random.Random(5)
     pool = [" ".join(rng.choice("abcde") for _ in range(rng.choice([1, 1, 2, 3, 6]))) for _ in range(12)] + ["", "  "]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))) for i in range(60)] + [(70, None), (71, ""), (None, "\n".join(pool)), (5, None), (80, "x y z\n" * 30)]
@@ -55,18 +56,22 @@ def test_given_documents(spark):
     assert got == want and any(n for _, n in want.values())
 
 
-def test_matches_are_extended_both_ways(spark, monkeypatch):
-    """Without the extension a repeat that no window of an equal phrase holds is lost."""
-    rng = random.Random(6)
-    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
-    run = [" ".join(word() for _ in range(9)) for _ in range(12)]
-    rows = [(i, "\n".join([word() for _ in range(i % 3)] + run[i % 4 : 12 - i % 3] + [word() for _ in range(4)])) for i in range(12)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = lambda: {(r.doc_id, r.text, r.lines_removed) for r in line_dedup.dedup_lines(docs).collect()}
-    want = set(brute_lines(rows, line_dedup.WORDS))
-    assert got() == want
+def test_matches_are_extended_both_ways(monkeypatch):
+    line = lambda *x: np.array(x, "<u8").tobytes()
+    words = lambda n: np.full(n, 20, "<u4").tobytes()
+    rows = [(1, 0, 3, 71, 2, line(1, 2, 3, 4, 5), words(5)), (2, 0, 5, 72, 2, line(9, 2, 3, 4, 8), words(5)), (3, 0, 1, 73, 1, line(2, 3, 7), words(3))]
+    group = pd.DataFrame(rows, columns=["place_id", "place_mark", "place_at", "phrase", "before", "lines", "words"])
+    got = lambda: [tuple(r) for r in line_dedup.matches_of(group, 50).itertuples(index=False)]
+    assert got() == [(72, 1, 1)]
     monkeypatch.setattr(line_dedup, "extended", lambda *_: (0, 0))
-    assert got() != want
+    assert got() == []
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    data = np.frombuffer(("one two\n\n three\n" + "x" * 90 + "\na b c\n" * 9 + "end").encode(), np.uint8)
+    whole = line_dedup.lines_of(data, np.array([0, len(data)]))
+    monkeypatch.setattr(line_dedup, "CHUNK", 30)
+    assert all(a.tolist() == b.tolist() for a, b in zip(whole, line_dedup.lines_of(data, np.array([0, len(data)])), strict=True))
 
 
 def test_the_mask_misses_no_window():

@@ -2,6 +2,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from tidewatch.llm import language_id, near_dups
@@ -74,12 +75,21 @@ def test_small_blocks_lose_no_link(spark, monkeypatch, pairs):
     monkeypatch.setattr(near_dups, "BLOCK", 7)
     monkeypatch.setattr(near_dups, "SIGNATURE_BLOCK", 9)
     monkeypatch.setattr(near_dups, "PAIRS", pairs)
-    monkeypatch.setattr(near_dups, "CHUNK", 50)
     rows = hard_rows()
     got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: v[1] for k, v in brute(rows).items()}
 
 
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    for text in ("ab  cd\n" * 40 + "x" * 200 + " y", "x" * 300, "a " * 100):
+        data = np.frombuffer(text.encode(), np.uint8)
+        whole = near_dups.word_hashes(data, np.array([0, len(data)]))
+        with monkeypatch.context() as m:
+            m.setattr(near_dups, "CHUNK", 50)
+            pieces = near_dups.word_hashes(data, np.array([0, len(data)]))
+        assert whole[0].tolist() == pieces[0].tolist() and whole[1].tolist() == pieces[1].tolist()
+
+
 def test_bounds_never_drop_equal_signatures():
     least = near_dups.least_matches(85, 1e-6)
     assert len(least) == 7 and all(0 < m < (i + 1) * 18 for i, m in enumerate(least))

@@ -212,8 +212,8 @@ def sides_of(group: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return group["id"].to_numpy(), group["label"].to_numpy(), sigs, np.flatnonzero(side == 0), np.flatnonzero(side == 1)
 
 
-def likely_pairs(group: pd.DataFrame, least: list[int]) -> list[tuple | None]:
-    """PAIRS pairs at most for each two labels that their signatures do not rule out; a last None says that there are more."""
+def likely_pairs(group: pd.DataFrame, least: list[int], most: int = PAIRS) -> list[tuple | None]:
+    """most pairs at most for each two labels that their signatures do not rule out; a last None says that there are more."""
     group = group.drop_duplicates(["id", "side", "sig"])
     ids, labels, sigs, ones, others = sides_of(group)
     taken: dict[tuple, int] = {}
@@ -221,13 +221,13 @@ def likely_pairs(group: pd.DataFrame, least: list[int]) -> list[tuple | None]:
     for at, i in enumerate(ones):
         pool = others if len(others) else ones[at + 1 :]
         mine = labels[i]
-        full = {y if x == mine else x for (x, y), n in taken.items() if n > PAIRS and mine in (x, y)}
+        full = {y if x == mine else x for (x, y), n in taken.items() if n > most and mine in (x, y)}
         full.add(mine)
         pool = pool[~np.isin(labels[pool], list(full))] if len(pool) else pool
         for j in pool[passes(sigs[i], sigs[pool], least)] if len(pool) else ():
             pair = (min(mine, labels[j]), max(mine, labels[j]))
             taken[pair] = n = taken.get(pair, 0) + 1
-            if n <= PAIRS:
+            if n <= most:
                 found.append((ids[i], ids[j]))
             else:
                 more = True
@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     block, shape = ["band", "i", "j"], f"band bigint, i int, j int, a {kind}, b {kind}"
 
     def look(group: pd.DataFrame) -> pd.DataFrame:
-        found = likely_pairs(group, least)
+        found = likely_pairs(group, least, PAIRS)
         pairs = pd.DataFrame([(None, None) if p is None else p for p in found], columns=["a", "b"], dtype=object)
         return pairs.assign(**{c: group[c].iloc[0] for c in block})[[*block, "a", "b"]]
 
