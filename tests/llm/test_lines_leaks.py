@@ -3,7 +3,6 @@ import re
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from tidewatch.llm import decontaminate, line_dedup
@@ -59,10 +58,9 @@ def test_given_documents(spark):
 def test_matches_are_extended_both_ways(monkeypatch):
     line = lambda *x: np.array(x, "<u8").tobytes()
     words = lambda n: np.full(n, 20, "<u4").tobytes()
-    rows = [(1, 0, 3, 71, 2, line(1, 2, 3, 4, 5), words(5)), (2, 0, 5, 72, 2, line(9, 2, 3, 4, 8), words(5)), (3, 0, 1, 73, 1, line(2, 3, 7), words(3))]
-    group = pd.DataFrame(rows, columns=["place_id", "place_mark", "place_at", "phrase", "before", "lines", "words"])
-    got = lambda: [tuple(r) for r in line_dedup.matches_of(group, 50).itertuples(index=False)]
-    assert got() == [(72, 1, 1)]
+    group = {"place_id": [1, 2, 3], "place_mark": [0, 0, 0], "place_at": [3, 5, 1], "before": [2, 2, 1], "lines": [line(1, 2, 3, 4, 5), line(9, 2, 3, 4, 8), line(2, 3, 7)], "words": [words(5), words(5), words(3)]}
+    got = lambda: line_dedup.matches_of(group, 50)
+    assert got() == [(2, 0, 5, 1, 1)]
     monkeypatch.setattr(line_dedup, "extended", lambda *_: (0, 0))
     assert got() == []
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 TOKENIZER_DIR = "/opt/tokenizers"
 
@@ -180,6 +181,45 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     return df.mapInArrow(run, schema)
 
 
+def by_group(df: DataFrame, keys: list[str], order: list[str], rows: int, each: Callable[[dict[str, list]], list[tuple]], schema: T.StructType | str, per_task: int = 20_000) -> DataFrame:
+    """each() of every group of rows with equal keys, given as columns of values in that order, as one table.
+
+    For many small groups of bounded size: rows (their number is known) are dealt to tasks by the keys and sorted, and
+    groups follow one another in a stream without a frame of their own.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
+    shape = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(shape)
+
+    def groups(table: pa.Table, ends: list[int]) -> Iterable[pa.RecordBatch]:
+        columns = {name: table.column(name).to_pylist() for name in table.column_names}
+        out, a = [], 0
+        for b in ends:
+            out += each({n: c[a:b] for n, c in columns.items()})
+            a = b
+        for i in range(0, len(out), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 10_000], strict=True), arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            differ = np.zeros(max(0, len(table) - 1), bool)
+            for k in keys:
+                column = table.column(k).combine_chunks()
+                differ |= pa.compute.not_equal(column.slice(1), column.slice(0, max(0, len(column) - 1))).to_numpy(zero_copy_only=False)
+            ends = (np.flatnonzero(differ) + 1).tolist()
+            if ends:
+                yield from groups(table.slice(0, ends[-1]), ends)
+            rest = table.slice(ends[-1] if ends else 0)
+        if rest is not None and len(rest):
+            yield from groups(rest, [len(rest)])
+
+    settle(spark)
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, shape)
+
+
 def with_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], rows: int = 512) -> DataFrame:
     """df with computed columns after its own, made for some rows at a time; an own column of the same name is replaced."""
     names = {f.name for f in fields}

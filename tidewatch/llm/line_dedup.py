@@ -16,13 +16,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import fresh, join_hot, map_batches, mix, prefix_hash, slices, span_hash, table, texts_of, written
+from tidewatch.llm.common import by_group, fresh, join_hot, map_batches, mix, prefix_hash, slices, span_hash, table, texts_of, written
 
 WORDS = 50
 PHRASES = 64  # phrases of a fingerprint that are held against each other
@@ -180,20 +179,20 @@ def extended(one: list[int], i: int, two: list[int], j: int) -> tuple[int, int]:
     return up, down
 
 
-def matches_of(group: pd.DataFrame, least: int) -> pd.DataFrame:
-    """(phrase, up, down): how far the first place of each phrase matches earlier first places of the fingerprint's other phrases."""
-    group = group.sort_values(["place_id", "place_mark", "place_at"], kind="stable")
+def matches_of(group: dict[str, list], least: int) -> list[tuple]:
+    """(place_id, place_mark, place_at, up, down): how far first places of a fingerprint's phrases, in their order, match earlier ones."""
     known, out = [], []
-    for phrase, before, lines, words in zip(group["phrase"], group["before"], group["lines"], group["words"]):
-        own, counts = np.frombuffer(lines, "<u8").tolist(), np.frombuffer(words, "<u4")
-        found = set()
-        for other, k in known:
-            up, down = extended(own, before, other, k)
-            if counts[before - up : before + down + 1].sum() >= least:
-                found.add((up, down))
-        out += [(phrase, u, d) for u, d in found if not any((x >= u and y >= d) and (x, y) != (u, d) for x, y in found)]
+    for *place, before, lines, words in zip(*(group[c] for c in ("place_id", "place_mark", "place_at", "before", "lines", "words"))):
+        own, found = np.frombuffer(lines, "<u8").tolist(), set()
+        if known:
+            total = [0, *np.cumsum(np.frombuffer(words, "<u4"), dtype=np.int64).tolist()]
+            for other, k in known:
+                up, down = extended(own, before, other, k)
+                if total[before + down + 1] - total[before - up] >= least:
+                    found.add((up, down))
+        out += [(*place, u, d) for u, d in found if len(found) == 1 or not any((x >= u and y >= d) and (x, y) != (u, d) for x, y in found)]
         known.append((own, before))
-    return pd.DataFrame(out, columns=["phrase", "up", "down"])
+    return out
 
 
 def crowd_windows(classes: DataFrame, least: int) -> DataFrame:
@@ -234,10 +233,11 @@ def repeated_runs(docs: DataFrame, least: int) -> DataFrame:
     some = near.where(F.col("n") <= PHRASES)
     kind = docs.schema["id"].dataType.simpleString()
 
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        return matches_of(group, least).merge(group[["phrase", "place_id", "place_mark", "place_at"]], on="phrase")[["place_id", "place_mark", "place_at", "up", "down"]]
-
-    runs = runs.union(some.groupBy("fingerprint").applyInPandas(match, f"place_id {kind}, place_mark bigint, place_at int, up int, down int").select(*named))
+    n_rows = shared.where(F.col("n") <= PHRASES).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    place_order = ["place_id", "place_mark", "place_at"]
+    some = some.select("fingerprint", *place_order, "before", "lines", "words")
+    matched = by_group(some, ["fingerprint"], place_order, n_rows, lambda g: matches_of(g, least), f"place_id {kind}, place_mark bigint, place_at int, up int, down int")
+    runs = runs.union(matched.select(*named))
     if shared.where(F.col("n") > PHRASES).limit(1).count():
         windows = written(crowd_windows(near.where(F.col("n") > PHRASES), least), "windows")
         start = F.struct(F.col("place_id").alias("id"), F.col("place_mark").alias("mark"), (F.col("place_at") - F.col("up")).alias("at"))

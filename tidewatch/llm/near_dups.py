@@ -20,12 +20,11 @@ import math
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import BROADCAST_ROWS, connected, join_hot, map_batches, mix, prefix_hash, slices, span_hash, table, texts_of, written
+from tidewatch.llm.common import BROADCAST_ROWS, by_group, connected, join_hot, map_batches, mix, prefix_hash, slices, span_hash, table, texts_of, written
 
 SHINGLE, SLOTS, ROWS, BATCH = 5, 126, 6, 18
 MISS = 1e-6
@@ -193,53 +192,55 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         large = F.broadcast(large)
     members = pairs.join(large, "a", "left").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), F.lit(1).alias("side"))
     heads = counts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"))
-    sets = with_sets(docs, written(members.union(heads), "wanted"))
+    wanted = written(members.union(heads), "wanted")
+    sets = with_sets(docs, wanted)
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["id", "side", "shingles"])
-        heads = [np.frombuffer(s, np.uint64) for s in group.loc[group["side"] == 0, "shingles"]]
-        found = [(a, b) for a, b, side, s in zip(group["a"], group["id"], group["side"], group["shingles"]) if side and any(similar(h, np.frombuffer(s, np.uint64), percent) for h in heads)]
-        return pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
+    def compare(group: dict[str, list]) -> list[tuple]:
+        heads = [np.frombuffer(s, np.uint64) for side, s in zip(group["side"], group["shingles"]) if not side]
+        return [(a, b) for a, b, side, s in zip(group["a"], group["id"], group["side"], group["shingles"]) if side and any(similar(h, np.frombuffer(s, np.uint64), percent) for h in heads)]
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return sets.drop("sig").groupBy("a", "salt").applyInPandas(compare, f"a {kind}, b {kind}")
+    return by_group(sets.drop("sig"), ["a", "salt"], [], wanted.count(), compare, f"a {kind}, b {kind}", 2000).distinct()
 
 
-def sides_of(group: pd.DataFrame) -> tuple[np.ndarray, ...]:
+def sides_of(group: dict[str, list]) -> tuple[np.ndarray, ...]:
     """ids, labels, signatures and the places of either side; without a side 1, side 0 stands against itself."""
-    sigs = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group), SLOTS)
-    side = group["side"].to_numpy()
-    return group["id"].to_numpy(), group["label"].to_numpy(), sigs, np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    sigs = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group["sig"]), SLOTS)
+    side = np.array(group["side"])
+    return np.array(group["id"], object), np.array(group["label"], object), sigs, np.flatnonzero(side == 0), np.flatnonzero(side == 1)
 
 
-def likely_pairs(group: pd.DataFrame, least: list[int], most: int = PAIRS) -> list[tuple | None]:
-    """most pairs at most for each two labels that their signatures do not rule out; a last None says that there are more."""
-    group = group.drop_duplicates(["id", "side", "sig"])
+def likely_pairs(group: dict[str, list], least: list[int], most: int = PAIRS) -> list[tuple]:
+    """most pairs at most for each two labels that their signatures do not rule out; a last (None, None) says that there are more."""
     ids, labels, sigs, ones, others = sides_of(group)
+    _, number = np.unique(labels, return_inverse=True)
     taken: dict[tuple, int] = {}
+    done: dict[int, set[int]] = {}  # labels that a label has pairs enough with
     found, more = [], False
     for at, i in enumerate(ones):
         pool = others if len(others) else ones[at + 1 :]
-        mine = labels[i]
-        full = {y if x == mine else x for (x, y), n in taken.items() if n > most and mine in (x, y)}
-        full.add(mine)
-        pool = pool[~np.isin(labels[pool], list(full))] if len(pool) else pool
+        mine = int(number[i])
+        pool = pool[number[pool] != mine]
+        if mine in done:
+            pool = pool[~np.isin(number[pool], list(done[mine]))]
         for j in pool[passes(sigs[i], sigs[pool], least)] if len(pool) else ():
-            pair = (min(mine, labels[j]), max(mine, labels[j]))
+            yours = int(number[j])
+            pair = (min(mine, yours), max(mine, yours))
             taken[pair] = n = taken.get(pair, 0) + 1
             if n <= most:
                 found.append((ids[i], ids[j]))
             else:
                 more = True
-    return [*found, None] if more else found
+                done.setdefault(mine, set()).add(yours)
+                done.setdefault(yours, set()).add(mine)
+    return [*found, (None, None)] if more else found
 
 
-def links_of(group: pd.DataFrame, percent: int, least: list[int]) -> pd.DataFrame:
+def links_of(group: dict[str, list], percent: int, least: list[int]) -> list[tuple]:
     """Links between rows of either side that have different labels, by their sets.
 
     Once two labels are linked, more pairs of them are not looked at: only components are asked for.
     """
-    group = group.drop_duplicates(["id", "side", "shingles"])
     ids, labels, sigs, ones, others = sides_of(group)
     sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
     root = {x: x for x in labels.tolist()}
@@ -262,7 +263,7 @@ def links_of(group: pd.DataFrame, percent: int, least: list[int]) -> pd.DataFram
             if mine != yours and similar(sets[i], sets[j], percent):
                 root[yours] = mine
                 found.append((ids[i], ids[j]))
-    return pd.DataFrame(found, columns=["a", "b"])
+    return found
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -323,13 +324,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     open_ = written(blocks_of(written(labelled(live.select("band", "id"), labels), "labelled"), SIGNATURE_BLOCK), "blocks")
     block, shape = ["band", "i", "j"], f"band bigint, i int, j int, a {kind}, b {kind}"
-
-    def look(group: pd.DataFrame) -> pd.DataFrame:
-        found = likely_pairs(group, least, PAIRS)
-        pairs = pd.DataFrame([(None, None) if p is None else p for p in found], columns=["a", "b"], dtype=object)
-        return pairs.assign(**{c: group[c].iloc[0] for c in block})[[*block, "a", "b"]]
-
-    looked = written(open_.join(same.select(F.col("node").alias("id"), "sig"), "id").groupBy(*block).applyInPandas(look, shape), "looked")
+    likely_of = lambda g: [(*(g[c][0] for c in block), *p) for p in likely_pairs(g, least, PAIRS)]
+    looked = open_.join(same.select(F.col("node").alias("id"), "sig"), "id")
+    looked = written(by_group(looked, block, [], open_.count(), likely_of, shape, 2 * SIGNATURE_BLOCK), "looked")
     second = written(verified(docs, written(looked.where("a is not null").select("a", "b").distinct(), "likely"), percent), "links")
     labels = joined(labels, second)
 
@@ -338,7 +335,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         # The members of blocks where too many pairs pass, dealt anew with their sets, if they still have several labels.
         members = written(open_.join(crowds, block, "left_semi").select(F.xxhash64(*block).alias("band"), "id").distinct(), "members")
         again = written(blocks_of(written(labelled(members, labels), "labelled"), BLOCK), "blocks")
-        third = with_sets(docs, again).groupBy(*block).applyInPandas(lambda g: links_of(g, percent, least), f"a {kind}, b {kind}")
+        third = by_group(with_sets(docs, again), block, [], again.count(), lambda g: links_of(g, percent, least), f"a {kind}, b {kind}", 2 * BLOCK)
         labels = joined(labels, written(third, "links"))
 
     found = same.select("set_key", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
