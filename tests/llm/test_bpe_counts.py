@@ -16,6 +16,11 @@ def words():
     return bpe.WordEncoder(WORD, long=24, leaf=5)
 
 
+@pytest.fixture(scope="module", params=[3, 17, 2048])
+def pieces(request):
+    return bpe.WordEncoder(WORD, piece=request.param)
+
+
 @pytest.fixture(scope="module")
 def lengths():
     return token_counts.Lengths(token_counts.frequent_lengths(PIECE), PIECE)
@@ -28,6 +33,51 @@ def test_ids_are_the_librarys(words, text):
     assert list(memoryview(words.encode([text])[0]).cast("i") if text else []) == ids
 
 
+TEXTS = st.one_of(st.text(max_size=300), st.text("ab the'sing.,\n", min_size=20, max_size=400), st.text("aé'sΣΑ<|>12 \n\x1c\x85", max_size=80), st.sampled_from([x for x in HARD if x]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXTS)
+def test_pieces_join_to_the_librarys_ids(pieces, text):
+    ids = pieces.library.encode(text, add_special_tokens=False).ids
+    assert list(memoryview(pieces.encode([text])[0]).cast("i") if text else []) == ids
+
+
+def test_the_joins_carry_the_text(monkeypatch):
+    """Without re-encoding around the joins, words that a cut falls into come out wrong."""
+    small, texts = bpe.WordEncoder(WORD, piece=20), ["these are the words of a text, and they're cut anywhere " * 20]
+    want = [small.library.encode(t, add_special_tokens=False).ids for t in texts]
+    got = lambda: [list(memoryview(x).cast("i")) for x in small.encode(texts)]
+    assert got() == want
+    monkeypatch.setattr(bpe.TextTree, "join", lambda self, text, start, cut, end, left, right: [*left, *right])
+    assert got() != want
+
+
+def test_given_documents_are_the_librarys(spark):
+    """Every document of the given table, by the tokenizers library and by sentencepiece."""
+    sf = "/root/testdata/sf0.01"
+    library, sp = bpe.WordEncoder(WORD).library, token_counts._processor(PIECE)
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for r in bpe.op1_bpe(spark, sf).collect():
+        ids = library.encode(text[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+    for r in token_counts.op5_token_counts(spark, sf).collect():
+        assert r.n_tokens == len(sp.encode(text[r.doc_id]))
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="lower-casing"):
+        bpe.known(tokenizer_path("byte_bpe_50k.json"))
+
+
+def test_the_cache_is_bounded_by_characters():
+    small = token_counts.Lengths({" the": 1}, PIECE, most=50)
+    for text in ("the quick brown fox " * 3, "x" * 500, "a b c d e f g h " * 9):
+        n = sum(map(small.__getitem__, token_counts.PRE_TOKEN.findall(" " + text)))
+        assert n == len(small.sp.encode(text)) and sum(map(len, small)) < 150
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.one_of(st.text(), st.text("abthe ing▁\n\t", max_size=200), st.sampled_from([x for x in HARD if x])))
 def test_lengths_are_the_librarys(lengths, text):

@@ -1,10 +1,11 @@
-"""BPE encoding and decoding, exactly as the library does it.
-
-Ordinary pre-tokens are looked up in a bounded cache and encoded by the library on a miss. A pre-token too
-long for that is encoded by tree concatenation: its halves are encoded on their own, in parallel, and then
-joined by encoding a window around the join again, which grows until its first and last tokens are those
-that the halves had there. A token sequence whose neighbours all agree pairwise is the encoding of its
-text, so the join is exact.
+"""BPE encoding and decoding, exactly as the library does it, by tree concatenation.
+
+A text is cut into pieces at fixed places, wherever they fall. Pieces are encoded on their own and then joined
+pair by pair, as a tree: a window around each join is encoded again, and grows until its first and last words
+are those that both sides had there. Words are cut by white space at least, so a window that begins and ends
+at white space and agrees with both sides is what the whole text would give. A pre-token without white space
+that is too long to be looked up is encoded by the same tree on its symbols, with tokens in place of words.
+Ordinary pre-tokens come from a bounded cache, and from the library on a miss.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import re
 import sys
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 from tidewatch.llm.common import table, tokenizer_path, with_columns
 
 LONG, LEAF, CACHE_WORDS = 1024, 512, 300_000
+PIECE = 2048  # characters of a piece of a text
 IDS = T.ArrayType(T.IntegerType())
 
 #: Characters whose class and case are the same in every Unicode version in use; texts of other ones go to the library whole.
@@ -72,15 +74,57 @@ class TreeEncoder:
             n *= 2
 
 
+def known(path: str) -> str:
+    """The path of a tokenizer file, if it is of the one kind whose normaliser, splitter and model this module knows."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normalizer, splitter = json.dumps(spec["normalizer"]), json.dumps(spec["pre_tokenizer"])
+    flags = [t for t in spec["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"]]
+    if spec["model"]["type"] != "BPE" or '"Lowercase"' not in normalizer or '"NFC"' not in normalizer or "'s|'t|'re" not in splitter or flags:
+        raise ValueError(f"{path}: encode() takes lower-casing word BPE tokenizers only, with special tokens that stand for themselves")
+    return path
+
+
+class TextTree:
+    """Cuts a normalised text into pre-tokens by tree concatenation; split gives the pre-tokens of a piece."""
+
+    def __init__(self, split: Callable[[str], list[str]], piece: int = PIECE) -> None:
+        self.split, self.piece = split, max(1, piece)
+
+    def words(self, text: str) -> list[str]:
+        cuts = list(range(self.piece, len(text), self.piece))
+        parts = [self.split(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        while len(parts) > 1:
+            edges = [0, *cuts, len(text)]
+            parts = [self.join(text, edges[i], edges[i + 1], edges[i + 2], parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+            cuts = cuts[1::2]
+        return parts[0]
+
+    def join(self, text: str, start: int, cut: int, end: int, left: list[str], right: list[str]) -> list[str]:
+        """The words of text[start:end] from those of its halves."""
+        n = 16
+        while True:
+            a, b = max(start, cut - n), min(end, cut + n)
+            if a > start:  # back to white space, on to white space
+                a = max(start, text.rfind(" ", start, a + 1), text.rfind("\n", start, a + 1))
+            if b < end:
+                b = min([x for x in (text.find(" ", b, end), text.find("\n", b, end)) if x >= 0], default=end)
+            before, after, again = self.split(text[a:cut]), self.split(text[cut:b]), self.split(text[a:b])
+            agree = (a == start or (again[:1] == before[:1] and left[len(left) - len(before) :] == before)) and (b == end or (again[-1:] == after[-1:] and right[: len(after)] == after))
+            if agree:
+                return [*left[: len(left) - len(before)], *again, *right[len(after) :]]
+            n *= 2
+
+
 class WordEncoder(dict):
     """Pre-token -> its ids as little-endian 32-bit bytes; missing ones are encoded together, and remembered while there is room."""
 
-    def __init__(self, path: str, long: int = LONG, leaf: int = LEAF, most: int = CACHE_WORDS) -> None:
+    def __init__(self, path: str, long: int = LONG, leaf: int = LEAF, most: int = CACHE_WORDS, piece: int = PIECE) -> None:
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the unit of parallel work
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.path, self.long, self.leaf, self.most = path, long, leaf, most
+        self.path, self.long, self.leaf, self.most, self.piece = path, long, leaf, most, piece
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -116,14 +160,15 @@ class WordEncoder(dict):
         return np.asarray(tree.encode(self.to_bytes.pre_tokenize_str(word)[0][0]), "<i4").tobytes()
 
     def words(self, segment: str) -> list[str]:
+        """Pre-tokens of a text: Python's tables where they are surely the library's, else its own normaliser and splitter."""
         if not UNSAFE.search(segment):
-            return WORDS.findall(unicodedata.normalize("NFC", segment).lower())
-        # Any other text: the library's own normaliser and splitter, so that its tables decide.
-        return [segment[a:b] for segment in [self.library.normalizer.normalize_str(segment)] for a, b in self.borders(segment)]
+            whole, split = unicodedata.normalize("NFC", segment).lower(), WORDS.findall
+        else:
+            whole, split = self.library.normalizer.normalize_str(segment), self.split
+        return TextTree(split, self.piece).words(whole) if len(whole) > self.piece else split(whole)
 
-    def borders(self, segment: str) -> Iterator[tuple[int, int]]:
-        for _, at in self.library.pre_tokenizer.pre_tokenize_str(segment):
-            yield at
+    def split(self, text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def parts(self, text: str | None) -> list[str | bytes]:
         """Pre-tokens, and special tokens as their ids' bytes."""
@@ -145,10 +190,10 @@ class WordEncoder(dict):
 
 
 def _encoder(path: str, text: str, long: int, leaf: int) -> Callable[[pa.RecordBatch], pa.Array]:
-    known = WordEncoder(path, long, leaf)
+    encoder = WordEncoder(path, long, leaf)
 
     def each(batch: pa.RecordBatch) -> pa.Array:
-        parts = known.encode(batch.column(text).to_pylist())
+        parts = encoder.encode(batch.column(text).to_pylist())
         offsets = np.zeros(len(parts) + 1, np.int32)
         np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
         values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(parts))])
@@ -188,8 +233,9 @@ def encode(docs: DataFrame, text: str = "text", tokenizer: str | None = None, ou
     Null and empty texts give an empty list. Strings of special tokens inside a text become those tokens,
     as the library has it. An own column of the name out is replaced; rows are neither joined nor
     reordered, so repeated rows, null ids and empty tables need no care. Texts have no length limit.
+    tokenizer is the file of a lower-casing word BPE tokenizer; of another kind it is refused.
     """
-    path = tokenizer or tokenizer_path("word_bpe_49k.json")
+    path = known(tokenizer or tokenizer_path("word_bpe_49k.json"))
 
     def make() -> Callable[[pa.RecordBatch], list[pa.Array]]:
         each = _encoder(path, text, long, leaf)
@@ -214,7 +260,7 @@ def decode(docs: DataFrame, ids: str = "token_ids", tokenizer: str | None = None
 
 def round_trip(docs: DataFrame, text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """encode() and decode() in one pass, by one Python worker a task: docs with token_ids and decoded."""
-    path = tokenizer or tokenizer_path("word_bpe_49k.json")
+    path = known(tokenizer or tokenizer_path("word_bpe_49k.json"))
 
     def make() -> Callable[[pa.RecordBatch], list[pa.Array]]:
         ids_of, text_of = _encoder(path, text, LONG, LEAF), _decoder(path)
