@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tidewatch.llm import suffix_dedup
@@ -55,7 +56,7 @@ def test_removed_bytes_are_those_of_all_strings(spark, monkeypatch, phrases, fil
     monkeypatch.setattr(suffix_dedup, "BITS", filter_bits)
     monkeypatch.setattr(suffix_dedup, "SAMPLE_MASK", 3)
     rows = hard_rows()
-    docs = spark.createDataFrame([(*r, 1, b"x") for r in rows], "doc_id long, text string, n_bytes int, kept binary").repartition(5)
+    docs = spark.createDataFrame([(*r, 1, b"x", 2, 3) for r in rows], "doc_id long, text string, n_bytes int, kept binary, doc int, spans int").repartition(5)
     assert shown(suffix_dedup.remove_repeats(docs)) == sorted(map(repr, brute(rows)))
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
@@ -79,3 +80,24 @@ def test_merge_is_a_sort():
     assert [s for _, s, _ in got] == sorted(strings)
     common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     assert all(k == common(a[1], s) for a, (k, s, _) in zip(got, got[1:]))
+
+
+def test_lengths_and_long_texts(spark, monkeypatch):
+    rows = hard_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for length in (21, 127):
+        assert shown(suffix_dedup.remove_repeats(docs, length=length)) == sorted(map(repr, brute(rows, length)))
+    with pytest.raises(ValueError, match="from 21 to 127"):
+        suffix_dedup.remove_repeats(docs, length=300)
+    data = np.frombuffer(rows[20][1].encode() * 9, np.uint8)
+    strings = lambda p: {(f + i, h) for a, f, l, h in zip(*(x.tolist() for x in p[1:5])) for i in range(l - f + 1)}  # noqa: E731, E741
+    whole = strings(suffix_dedup.phrases(data, np.array([0, len(data)])))
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 100)
+    assert strings(suffix_dedup.phrases(data, np.array([0, len(data)]))) == whole
+
+
+def test_repeats_come_from_the_common_prefixes():
+    """Two phrases of one anchor: with the prefix that they share, then with a shorter one, which has to lose strings."""
+    left = {(b"r" * 50 + b"x", 1): [1, 5, 0, 1, 2], (b"r" * 49 + b"sx", 1): [2, 9, 0, 1, 2]}
+    assert list(suffix_dedup.resolve(left, [0, 49], 50)) == [(2, 0, 0, 5), (2, 1, 1, 9)]
+    assert list(suffix_dedup.resolve(left, [0, 30], 50)) == []

@@ -7,8 +7,9 @@ a phrase. Anchors that one document alone has are dropped.
 A phrase is written from its anchor: the bytes from the anchor on, then the bytes before it backwards.
 Each task sorts its distinct phrases into front-coded runs (shared prefix length, rest); runs are exchanged
 by ranges and merged with loser trees that compare two phrases only beyond the prefix that both are known
-to share with the last one given out. Phrases of one anchor then stand together, and the smallest document
-of each of their strings is found there.
+to share with the last one given out. Repeats are read off the merged common prefixes: phrases that follow
+each other with a common prefix of k bytes share every string that ends within k bytes of the anchor and
+has the same bytes before it, and the smallest document of each string is found there.
 """
 
 from __future__ import annotations
@@ -25,7 +26,11 @@ from pyspark.sql import types as T
 from tidewatch.llm.common import BASE, BROADCAST_ROWS, map_batches, mix, prefix_hash, settle, slices, span_hash, table, texts_of, written
 
 LENGTH, PIECE = 50, 20
-BITS = 27  # of the filter of shared anchors, in 2^16 blocks: a broadcast of 16 MB, whatever the input
+#: Bits of the filter of shared anchors, in 2^16 blocks: a broadcast of 16 MB, and of 64 MB for texts of over LARGE bytes
+#: in all. Where it fills up (hundreds of millions of shared anchors) more phrases are sorted, with the same result.
+BITS, LARGE_BITS, LARGE = 27, 29, 4 << 30
+PART_BYTES = 32 << 20  # of text for each range of the exchange
+CHUNK = 1 << 22  # bytes of one text that are anchored at once
 RUN_PHRASES, RUN_ANCHORS = 150_000, 1_000_000
 SAMPLE_MASK = 0x3FF  # anchors whose hash ends in ten zero bits give the borders of the ranges
 GROUP_PHRASES = 50_000  # phrases of one anchor that a task resolves itself; the strings of more are grouped by Spark
@@ -33,6 +38,17 @@ GROUP_PHRASES = 50_000  # phrases of one anchor that a task resolves itself; the
 
 def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """text, anchor, first and last string start, anchor hash and phrase hash of each phrase, places within data."""
+    if len(offsets) == 2 and len(data) > CHUNK + length:  # one long text: the strings that start in each of its pieces
+        found = []
+        for a in range(0, len(data) - length + 1, CHUNK):
+            part = data[a : a + CHUNK + length - 1]
+            text, anchor, first, last, hashes, content = _phrases(part, np.array([0, len(part)]), length)
+            found.append((text, anchor + a, first + a, last + a, hashes, content))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    return _phrases(data, offsets, length)
+
+
+def _phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     n, width = len(data), length - PIECE + 1
     none = np.zeros(0, np.int64)
     if n < length:
@@ -79,8 +95,8 @@ def filter_bits(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         yield block + ((hashes >> np.uint64(shift)).astype(np.int64) & ((1 << (bits - 16)) - 1))
 
 
-def shared_anchors(docs: DataFrame, key: str, text: str, length: int, parts: int) -> tuple[np.ndarray, list[bytes]]:
-    """A filter of 2^BITS bits that has every anchor of two documents or more, and range borders.
+def shared_anchors(docs: DataFrame, key: str, text: str, length: int, parts: int, size: int) -> tuple[np.ndarray, list[bytes]]:
+    """A filter of 2^size bits that has every anchor of two documents or more, and range borders.
 
     Tasks send the distinct anchors of their documents, six bytes each; a range of anchors gives a part of the
     filter of its own.
@@ -130,9 +146,9 @@ def shared_anchors(docs: DataFrame, key: str, text: str, length: int, parts: int
         every = np.sort(np.concatenate([unsix(b"".join(group["ones"])), many]))
         shared = np.unique(np.concatenate([many, every[1:][every[1:] == every[:-1]]]))
         lo, hi = (-(-(p << 16) // parts), -(-((p + 1) << 16) // parts))
-        bits = np.zeros((hi - lo) << (BITS - 16), bool)
-        for bit in filter_bits(shared, BITS):
-            bits[bit - (lo << (BITS - 16))] = True
+        bits = np.zeros((hi - lo) << (size - 16), bool)
+        for bit in filter_bits(shared, size):
+            bits[bit - (lo << (size - 16))] = True
         raw, step = b"".join(group["sample"]), 6 + PIECE
         samples = {raw[i : i + 6]: raw[i + 6 : i + step] for i in range(0, len(raw), step)}
         good = [s for s, ok in zip(samples.values(), np.isin(unsix(b"".join(samples)), shared), strict=True) if ok]
@@ -140,9 +156,9 @@ def shared_anchors(docs: DataFrame, key: str, text: str, length: int, parts: int
 
     settle(docs.sparkSession)
     rows = docs.select(key, text).mapInArrow(send, "part int, ones binary, many binary, sample binary").groupBy("part").applyInPandas(meet, "lo int, bits binary, sample binary")
-    filter_, samples = np.zeros(1 << (BITS - 3), np.uint8), set()
-    for row in rows.collect():  # the filter's parts, 2^BITS bits in all, and 64 samples a part
-        at = row.lo << (BITS - 19)
+    filter_, samples = np.zeros(1 << (size - 3), np.uint8), set()
+    for row in rows.toLocalIterator():  # the filter's parts, 2^size bits in all, and 64 samples a part
+        at = row.lo << (size - 19)
         filter_[at : at + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
         samples |= {bytes(row.sample[i : i + PIECE]) for i in range(0, len(row.sample), PIECE)}
     ordered = sorted(samples)
@@ -255,21 +271,34 @@ def strings_of(string: bytes, before: int, count: int, length: int) -> list[tupl
     return [(right[: length - before + i], left[: before - i]) for i in range(count)]
 
 
-def resolve(group: dict[tuple[bytes, int], list], length: int) -> Iterator[tuple[int, int, int, int]]:
+def resolve(group: dict[tuple[bytes, int], list], commons: list[int], length: int) -> Iterator[tuple[int, int, int, int]]:
     """(content, first string, last string, smallest document) for the strings of one anchor's phrases that documents share.
 
-    group has each distinct phrase with its smallest document and whether there are others.
+    group has each distinct phrase, in order, with its smallest document and whether there are others; commons are the
+    prefixes that each shares with the one before. Of two strings that reach equally far beyond the anchor, the bytes
+    from the anchor on are equal if no common prefix between their phrases is shorter, so only the bytes before the
+    anchor are looked at.
     """
     if len(group) == 1:
         for content, doc, many, _, count in group.values():
             if many:
                 yield content, 0, count - 1, doc
         return
-    least: dict[tuple[bytes, bytes], int] = {}
+    steps = np.array(commons)
+    runs: dict[int, list[int]] = {}  # for each reach, the number of the run of phrases that share it
+
+    def run_of(reach: int) -> list[int]:
+        if reach not in runs:
+            runs[reach] = np.cumsum(steps < reach).tolist()
+        return runs[reach]
+
+    least: dict[tuple[int, int, bytes], int] = {}
     every = []
-    for (string, before), (_, doc, _, _, count) in group.items():
-        every.append(strings_of(string, before, count, length))
-        for s in every[-1]:
+    for k, ((string, before), (_, doc, _, _, count)) in enumerate(group.items()):
+        left = string[len(string) - before :]
+        own = [(length - before + i, run_of(length - before + i)[k], left[: before - i]) for i in range(count)]
+        every.append(own)
+        for s in own:
             if least.get(s, doc) >= doc:
                 least[s] = doc
     for (content, doc, many, _, _), own in zip(group.values(), every, strict=True):
@@ -342,17 +371,17 @@ def smallest_documents(docs: DataFrame, key: str, text: str, length: int, shared
             yield from flush()
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        out, group, too_many = [], {}, False
+        out, group, commons, too_many = [], {}, [], False
 
         def close(ends: bool) -> None:
-            nonlocal group, too_many
+            nonlocal group, commons, too_many
             if too_many or not ends:  # Spark brings equal strings together
                 for (string, before), (content, doc, _, _, count) in group.items():
                     out.extend((content, i, i, doc, right + b"\0" + left) for i, (right, left) in enumerate(strings_of(string, before, count, length)))
                 too_many = not ends
             else:
-                out.extend((*row, None) for row in resolve(group, length))
-            group = {}
+                out.extend((*row, None) for row in resolve(group, commons, length))
+            group, commons = {}, []
 
         for k, string, record in merge([unpack(r) for r in frame["run"]]):
             if k < PIECE:
@@ -362,6 +391,7 @@ def smallest_documents(docs: DataFrame, key: str, text: str, length: int, shared
             known = group.get((string, record[3]))
             if known is None:
                 group[string, record[3]] = list(record)
+                commons.append(k if group else 0)
             else:
                 known[2] |= record[2] | (known[1] != record[1])
                 known[1] = min(known[1], record[1])
@@ -382,8 +412,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """(doc, starts, ends): the maximal byte runs of each document that a smaller document repeats."""
     spark = docs.sparkSession
     docs = docs.where(F.col(key).isNotNull() & (F.octet_length(text) >= length))
-    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
-    filter_, borders = shared_anchors(docs, key, text, length, parts)
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // PART_BYTES), 1 << 16)
+    filter_, borders = shared_anchors(docs, key, text, length, parts, BITS if n_bytes < LARGE else LARGE_BITS)
     shared = spark.sparkContext.broadcast(filter_)
     least = smallest_documents(docs, key, text, length, shared, borders)
     found = candidates(docs, key, text, length, shared).join(least, "content").where("least < doc")
@@ -418,8 +449,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     a row of a smaller key; strings are judged on the input. Null and empty texts have no bytes, texts
     shorter than length lose none. Keys are integers; rows with a null key lose nothing and cause no
     removal; rows of one key are never held against each other and each loses what the key's spans say, so
-    keys should be unique. Other columns are not looked at. An empty table gives no rows.
+    keys should be unique. Other columns are not looked at, whatever their names. An empty table gives no rows. length
+    is from 21 to 127; a text of any length is anchored piece by piece.
     """
+    if not PIECE < length <= 127:
+        raise ValueError(f"length has to be from {PIECE + 1} to 127 bytes: sizes within a phrase are kept in one byte")
+    docs = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    key_field, key, text = T.StructField(key, docs.schema["__key"].dataType), "__key", "__text"
     spans = written(repeated_spans(docs, key, text, length), "spans")
     few = spans.agg(F.coalesce(F.sum(F.size("starts") + 4), F.lit(0))).first()[0] <= BROADCAST_ROWS
     joined = docs.select(key, text).join((F.broadcast(spans) if few else spans).withColumnRenamed("doc", "__doc"), F.col(key) == F.col("__doc"), "left").drop("__doc")
@@ -435,11 +471,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 kept.append(b"".join(raw[a + x : min(a + y, b)] for x, y in zip([0, *ends], [*starts, b - a], strict=True)))
                 removed.append(b - a - len(kept[-1]))
                 counts.append(len(starts))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary())], names=[key, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary())], names=[key_field.name, "n_bytes", "n_removed", "n_spans", "kept"])
 
         return each
 
-    out = T.StructType([docs.schema[key], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
+    out = T.StructType([key_field, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
     return map_batches(joined, make, out)
 
 
