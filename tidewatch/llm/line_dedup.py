@@ -13,6 +13,7 @@ with very many different phrases (a common line) have the windows of those phras
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -113,12 +114,7 @@ class Sums:
 
 def text_mark(text: bytes) -> int:
     """Tells texts with one id apart."""
-    data = np.frombuffer(text, np.uint8)
-    total = np.uint64(len(data))
-    for a in range(0, len(data), CHUNK):
-        part = data[a : a + CHUNK]
-        total = mix(total + span_hash(*prefix_hash(part), np.array([0]), np.array([len(part)])))[0]
-    return int(np.int64(np.uint64(total).view(np.int64)))
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
 PLACE = "mark bigint, at int, fingerprint bigint, phrase bigint, before int, lines binary, words binary"
@@ -202,12 +198,13 @@ def crowd_windows(classes: DataFrame, least: int) -> DataFrame:
         sums = Sums()
 
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-            for k, (before, lines, words) in enumerate(zip(batch.column("before").to_pylist(), batch.column("lines").to_pylist(), batch.column("words").to_pylist())):
-                line, counts = np.frombuffer(lines, "<u8"), np.frombuffer(words, "<u4").astype(np.int64)
-                first, last = windows_of(np.zeros(len(line), np.int64), counts, least)
-                if len(first):
-                    at = pa.array(np.full(len(first), k))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("place_id", "place_mark", "place_at")), pa.array(sums.of(line, first, last).view(np.int64)), pa.array((before - first).astype(np.int32)), pa.array((last - before).astype(np.int32))], names=["place_id", "place_mark", "place_at", "content", "up", "down"])
+            line, counts = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in (("lines", "<u8"), ("words", "<u4")))
+            size = pa.compute.binary_length(batch.column("lines")).to_numpy() // 8
+            own = np.repeat(np.arange(len(size)), size)
+            first, last = windows_of(own, counts.astype(np.int64), least)
+            at = own[first]
+            place = (np.cumsum(size) - size + batch.column("before").to_numpy())[at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in ("place_id", "place_mark", "place_at")), pa.array(sums.of(line, first, last).view(np.int64)), pa.array((place - first).astype(np.int32)), pa.array((last - place).astype(np.int32))], names=["place_id", "place_mark", "place_at", "content", "up", "down"])
 
         return each
 
@@ -219,8 +216,8 @@ def repeated_runs(docs: DataFrame, least: int) -> DataFrame:
     """(id, mark, first, last): runs of lines, by their numbers among those that are not blank, that an earlier place has, too."""
     places = written(places_of(docs.where("id is not null"), least), "places")
     place = F.struct("id", "mark", "at")
-    every = places.groupBy("fingerprint", "phrase").agg(F.min(place).alias("first"), F.max(place).alias("final"), F.first("before").alias("before"), F.first("lines").alias("lines"), F.first("words").alias("words"))
-    classes = written(every.select("fingerprint", "phrase", F.col("first.id").alias("place_id"), F.col("first.mark").alias("place_mark"), F.col("first.at").alias("place_at"), (F.col("first") < F.col("final")).alias("again"), "before", "lines", "words"), "phrases")
+    every = places.groupBy("fingerprint", "phrase").agg(F.min(F.struct("id", "mark", "at", "before", "lines", "words")).alias("p"), F.count("*").alias("n"))
+    classes = written(every.select("fingerprint", "phrase", F.col("p.id").alias("place_id"), F.col("p.mark").alias("place_mark"), F.col("p.at").alias("place_at"), (F.col("n") > 1).alias("again"), "p.before", "p.lines", "p.words"), "phrases")
     # Phrases that are there again: all places but the first.
     again = classes.where("again").select("phrase", F.struct(F.col("place_id").alias("id"), F.col("place_mark").alias("mark"), F.col("place_at").alias("at")).alias("first"), F.octet_length("lines").alias("size")).groupBy("phrase").agg(F.min("first").alias("first"), F.max("size").alias("size"))
     own = places.select("id", "mark", "at", "before", "phrase")
@@ -246,19 +243,35 @@ def repeated_runs(docs: DataFrame, least: int) -> DataFrame:
     return written(runs.distinct(), "runs")
 
 
-def without(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
-    """A text without runs of lines, and how many lines that are; blank lines inside a run go with it."""
-    data = np.frombuffer(text, np.uint8)
-    _, start, _, _, _ = lines_of(data, np.array([0, len(data)]))
-    edge = np.concatenate([[0], np.flatnonzero(data == 10) + 1])  # where each line starts, blank ones too
-    first, last = np.array(runs).T
-    top, bottom = np.searchsorted(edge, start[first], "right") - 1, np.searchsorted(edge, start[last], "right") - 1
-    mark = np.zeros(len(edge) + 1, np.int64)
-    np.add.at(mark, top, 1)
-    np.add.at(mark, bottom + 1, -1)
-    gone = np.cumsum(mark[:-1]) > 0
-    lines = text.split(b"\n")
-    return b"\n".join([x for x, g in zip(lines, gone.tolist(), strict=True) if not g]), int(gone.sum())
+def shortened(texts: pa.Array, own: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterable[tuple[bytes, int]]:
+    """Each text without its runs of lines (own says whose they are), and how many lines those are; blank lines inside a run go, too."""
+    data, offsets = texts_of(texts)
+    order = np.lexsort((first, own))
+    own, first, last = own[order], first[order], last[order]
+    for a, b in slices(offsets):
+        part, edge = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        text, start, end, _, _ = lines_of(part, edge)
+        x, y = np.searchsorted(own, [a, b])
+        base = np.searchsorted(text, own[x:y] - a)
+        top, reach = start[base + first[x:y]], end[base + last[x:y]]
+        feeds = np.concatenate([[0], np.cumsum(part == 10)])
+        raw, at = part.tobytes(), 0
+        spans = list(zip((own[x:y] - a).tolist(), top.tolist(), reach.tolist()))
+        for k in range(b - a):
+            kept, here, removed = [], int(edge[k]), 0
+            stop = int(edge[k + 1])
+            while at < len(spans) and spans[at][0] == k:
+                _, lo, hi = spans[at]
+                at += 1
+                while at < len(spans) and spans[at][0] == k and spans[at][1] < hi:  # runs that overlap
+                    hi = max(hi, spans[at][2])
+                    at += 1
+                kept.append(raw[here:lo])
+                removed += int(feeds[hi] - feeds[lo]) + 1
+                here = min(hi + 1, stop)
+                if hi == stop and kept and (left := b"".join(kept)):  # the text's last line: the line feed before it goes, too
+                    kept = [left[:-1]]
+            yield b"".join([*kept, raw[here:stop]]), removed
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = WORDS) -> DataFrame:
@@ -282,22 +295,20 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-            spans = batch.column(gone)
-            at = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist()
-            texts, removed = batch.column(text), np.zeros(batch.num_rows, np.int32)
-            new = {}
-            for i in at:
-                own = texts[i].as_py()
-                if own:
-                    raw = own.encode()
-                    mark = text_mark(raw)
-                    ranges = [(r["first"], r["last"]) for r in spans[i].as_py() if r["mark"] == mark]
-                    if ranges:
-                        left, removed[i] = without(raw, ranges)
-                        new[i] = left.decode()
-            if new:
-                changed = pa.array([new.get(i) for i in range(batch.num_rows)], texts.type)
-                texts = pa.compute.if_else(pa.array([i in new for i in range(batch.num_rows)]), changed, texts)
+            spans, texts, removed = batch.column(gone), batch.column(text), np.zeros(batch.num_rows, np.int32)
+            at = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False) & texts.is_valid().to_numpy(zero_copy_only=False))
+            if len(at):
+                spans, old = spans.take(pa.array(at)), texts.take(pa.array(at))
+                marks = np.array([text_mark(x.encode()) for x in old.to_pylist()], np.int64)
+                own = np.repeat(np.arange(len(at)), pa.compute.list_value_length(spans).to_numpy())
+                mark, first, last = (spans.flatten().field(c).to_numpy() for c in ("mark", "first", "last"))
+                real = marks[own] == mark
+                new, removed[at] = zip(*shortened(old, own[real], first[real].astype(np.int64), last[real].astype(np.int64)), strict=True)
+                place = np.zeros(batch.num_rows, np.int64)
+                place[at] = np.arange(len(at))
+                chosen = np.zeros(batch.num_rows, bool)
+                chosen[at] = removed[at] > 0
+                texts = pa.compute.if_else(pa.array(chosen), pa.array(new, pa.binary()).cast(texts.type).take(pa.array(place)), texts)
             columns = [texts if f.name == text else batch.column(f.name) for f in docs_fields]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed)], names=[*(f.name for f in docs_fields), "lines_removed"])
 
