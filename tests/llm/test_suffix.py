@@ -96,8 +96,30 @@ def test_lengths_and_long_texts(spark, monkeypatch):
     assert strings(suffix_dedup.phrases(data, np.array([0, len(data)]))) == whole
 
 
-def test_repeats_come_from_the_common_prefixes():
+def test_repeats_come_from_the_common_prefixes(monkeypatch):
     """Two phrases of one anchor: with the prefix that they share, then with a shorter one, which has to lose strings."""
     left = {(b"r" * 50 + b"x", 1): [1, 5, 0, 1, 2], (b"r" * 49 + b"sx", 1): [2, 9, 0, 1, 2]}
-    assert list(suffix_dedup.resolve(left, [0, 49], 50)) == [(2, 0, 0, 5), (2, 1, 1, 9)]
-    assert list(suffix_dedup.resolve(left, [0, 30], 50)) == []
+    for pairwise in (16, 1):
+        monkeypatch.setattr(suffix_dedup, "PAIRWISE", pairwise)
+        assert list(suffix_dedup.resolve(left, [0, 49], 50)) == [(2, 0, 0, 5)]
+        assert list(suffix_dedup.resolve(left, [0, 30], 50)) == []
+
+
+def test_both_ways_of_resolving_agree(monkeypatch):
+    rng = random.Random(7)
+    for _ in range(300):
+        base, group = "".join(rng.choice("ab") for _ in range(40)), {}
+        for n in range(rng.randint(2, 14)):
+            before = rng.randint(0, 6)
+            count = rng.randint(1, before + 1)
+            right = (base[: 12 - before + count - 1 - (k := rng.choice([0, 0, 1, 3]))] + "".join(rng.choice("ab") for _ in range(k))).encode()
+            group[right + "".join(rng.choice("aab") for _ in range(before)).encode(), before] = [n, rng.randint(0, 9), rng.randint(0, 1), before, count]
+        group = dict(sorted(group.items()))
+        keys = [s for s, _ in group]
+        commons = [0] + [suffix_dedup.common(a, b) if a != b else len(a) for a, b in zip(keys, keys[1:])]
+        got = []
+        for pairwise in (100, 1):
+            monkeypatch.setattr(suffix_dedup, "PAIRWISE", pairwise)
+            doc = {v[0]: v[1] for v in group.values()}
+            got.append({(c, x) for c, i, j, d in suffix_dedup.resolve(group, commons, 12) if d < doc[c] for x in range(i, j + 1)})
+        assert got[0] == got[1]

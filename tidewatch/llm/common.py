@@ -85,7 +85,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None, hot: int = 20_000) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None, hot: int = 2_000) -> DataFrame:
     """Inner join with right, which has one row a key at most, so that no key gathers in one task.
 
     Keys with more than hot rows of left, and more than a 500th of them (fewer than 500 keys by that), are joined

@@ -29,10 +29,11 @@ LENGTH, PIECE = 50, 20
 #: Bits of the filter of shared anchors, in 2^16 blocks: a broadcast of 16 MB, and of 64 MB for texts of over LARGE bytes
 #: in all. Where it fills up (hundreds of millions of shared anchors) more phrases are sorted, with the same result.
 BITS, LARGE_BITS, LARGE = 27, 29, 4 << 30
-PART_BYTES = 32 << 20  # of text for each range of the exchange
+PART_BYTES = 16 << 20  # of text for each range of the exchange
 CHUNK = 1 << 22  # bytes of one text that are anchored at once
 RUN_PHRASES, RUN_ANCHORS = 150_000, 1_000_000
 SAMPLE_MASK = 0x3FF  # anchors whose hash ends in ten zero bits give the borders of the ranges
+PAIRWISE = 16  # phrases of one anchor that are held against each other
 GROUP_PHRASES = 50_000  # phrases of one anchor that a task resolves itself; the strings of more are grouped by Spark
 
 
@@ -271,44 +272,79 @@ def strings_of(string: bytes, before: int, count: int, length: int) -> list[tupl
     return [(right[: length - before + i], left[: before - i]) for i in range(count)]
 
 
+def common(a: bytes, b: bytes) -> int:
+    """Length of the prefix that two strings share."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8
+
+
 def resolve(group: dict[tuple[bytes, int], list], commons: list[int], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(content, first string, last string, smallest document) for the strings of one anchor's phrases that documents share.
+    """(content, first string, last string, smaller document) for the strings of one anchor's phrases that documents share.
 
     group has each distinct phrase, in order, with its smallest document and whether there are others; commons are the
-    prefixes that each shares with the one before. Of two strings that reach equally far beyond the anchor, the bytes
-    from the anchor on are equal if no common prefix between their phrases is shorter, so only the bytes before the
-    anchor are looked at.
+    prefixes that each shares with the one before. Of two phrases the bytes from the anchor on agree as far as the
+    shortest common prefix between them goes, so only the bytes before the anchor are compared.
     """
+    for content, doc, many, _, count in group.values():
+        if many:
+            yield content, 0, count - 1, doc
     if len(group) == 1:
-        for content, doc, many, _, count in group.values():
-            if many:
-                yield content, 0, count - 1, doc
         return
+    rows = [(content, doc, before, count, len(string) - before, string[len(string) - before :]) for (string, before), (content, doc, _, _, count) in group.items()]
+    if len(rows) > PAIRWISE:
+        yield from crowd(rows, commons, length)
+        return
+    for k, (content, doc, before, count, _, left) in enumerate(rows):
+        spans = []
+        for step, others in ((-1, range(k - 1, -1, -1)), (1, range(k + 1, len(rows)))):
+            shared = length << 8
+            for q in others:
+                shared = min(shared, commons[q + 1 if step < 0 else q])
+                _, doc_q, _, _, right_q, left_q = rows[q]
+                if doc_q < doc:
+                    i, j = max(0, before - common(left, left_q)), min(count - 1, min(shared, right_q) - length + before)
+                    if i <= j:
+                        spans.append((i, j, doc_q))
+        spans.sort()
+        at = 0
+        while at < len(spans):
+            i, j, smaller = spans[at]
+            at += 1
+            while at < len(spans) and spans[at][0] <= j + 1:
+                j = max(j, spans[at][1])
+                at += 1
+            yield content, i, j, smaller
+
+
+def crowd(rows: list[tuple], commons: list[int], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """The same for many phrases: strings that reach equally far are equal if no common prefix between them is shorter
+    and the bytes before the anchor, which are looked up, are the same."""
     steps = np.array(commons)
     runs: dict[int, list[int]] = {}  # for each reach, the number of the run of phrases that share it
-
-    def run_of(reach: int) -> list[int]:
-        if reach not in runs:
-            runs[reach] = np.cumsum(steps < reach).tolist()
-        return runs[reach]
-
     least: dict[tuple[int, int, bytes], int] = {}
     every = []
-    for k, ((string, before), (_, doc, _, _, count)) in enumerate(group.items()):
-        left = string[len(string) - before :]
-        own = [(length - before + i, run_of(length - before + i)[k], left[: before - i]) for i in range(count)]
+    for k, (_, doc, before, count, _, left) in enumerate(rows):
+        own = []
+        for i in range(count):
+            reach = length - before + i
+            if reach not in runs:
+                runs[reach] = np.cumsum(steps < reach).tolist()
+            own.append((reach, runs[reach][k], left[: before - i]))
         every.append(own)
         for s in own:
             if least.get(s, doc) >= doc:
                 least[s] = doc
-    for (content, doc, many, _, _), own in zip(group.values(), every, strict=True):
+    for (content, doc, *_), own in zip(rows, every, strict=True):
         best = [least[s] for s in own]
-        if not many and min(best) == doc:
+        if min(best) == doc:
             continue
         start = 0
         for i in range(1, len(best) + 1):
             if i == len(best) or best[i] != best[start]:
-                yield content, start, i - 1, best[start]
+                if best[start] < doc:
+                    yield content, start, i - 1, best[start]
                 start = i
 
 
