@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What an address looks like, local hosts, and labels that stand before a country code.
 URL = r"(https?)://([A-Za-z0-9._~-]+)(?::(\d+))?"
 URL_WITH_PORT = r"https?://([A-Za-z0-9._~-]+(?::\d+)?)"
 LOCAL = ("localhost", "127.0.0.1", "0.0.0.0")
+SECOND_LEVEL = ("co", "com", "org", "net", "ac", "gov")
 
 # Hosts of each kind.
 INFRASTRUCTURE = ("registry.npmjs.org", "npmjs.com", "www.npmjs.com", "pypi.org", "files.pythonhosted.org", "crates.io", "proxy.golang.org", "sum.golang.org", "rubygems.org", "packagist.org", "github.com", "raw.githubusercontent.com", "objects.githubusercontent.com", "gitlab.com", "bitbucket.org", "codeload.github.com", "schemas.modelcontextprotocol.io", "static.modelcontextprotocol.io", "modelcontextprotocol.io", "spdx.org", "json-schema.org", "www.w3.org", "opensource.org", "creativecommons.org", "img.shields.io", "shields.io", "localhost", "127.0.0.1", "0.0.0.0", "example.com", "www.example.com", "example.org", "example.net", "docs.python.org", "nodejs.org", "developer.mozilla.org")
 SUSPICIOUS = ("pastebin.com", "hastebin.com", "paste.ee", "ghostbin.com", "transfer.sh", "0x0.st", "file.io", "anonfiles.com", "termbin.com", "ngrok.io", "trycloudflare.com", "loca.lt", "serveo.net", "webhook.site", "requestbin.com", "pipedream.net", "requestcatcher.com", "beeceptor.com", "interact.sh", "oast.fun", "burpcollaborator.net", "canarytokens.com")
 TELEMETRY = ("google-analytics.com", "www.google-analytics.com", "analytics.google.com", "sentry.io", "ingest.sentry.io", "segment.io", "api.segment.io", "mixpanel.com", "api.mixpanel.com", "amplitude.com", "api.amplitude.com", "posthog.com", "app.posthog.com", "bugsnag.com", "datadoghq.com")
-SECOND_LEVEL = ("co", "com", "org", "net", "ac", "gov")
 
 
 def purpose_tokens(purpose: Column) -> Column:

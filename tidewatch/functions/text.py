@@ -142,12 +142,13 @@ def normalize_repo(url: Column) -> Column:
     """host/owner/name in lower case, or null."""
     text = F.regexp_replace(strip(url), "/+$", "")
     text = F.regexp_replace(F.regexp_replace(text, r"^git\+", ""), r"\.git$", "")
-    pattern = r"(?:https?://|git@)([^/:]+)[/:]([^/]+)/([^/]+)$"
+    pattern = r"(?:https?://|git@)([^/:]+)[/:]([^/]+)/([^/]+)$"  # fixed value
     return F.when(text.rlike(pattern), F.lower(F.concat_ws("/", *[F.regexp_extract(text, pattern, i) for i in (1, 2, 3)])))
 
 
 def search_terms(owner: Column, name: Column) -> Column:
     """The name without its ecosystem's affixes, the name, the owner; three terms of three letters at least."""
+    # Fixed value: the affixes of server names.
     bare = F.regexp_replace(F.regexp_replace(name, r"(?:^mcp[-_])|(?:[-_]mcp$)|(?:[-_]?server$)", ""), "^[-_]+|[-_]+$", "")
     terms = F.array_compact(F.array(F.when((bare != "") & (bare != name) & (bare != owner), bare), name, owner))
     return F.slice(F.filter(terms, lambda t: F.length(t) > 2), 1, 3)

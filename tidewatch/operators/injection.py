@@ -25,14 +25,14 @@ class Signal(NamedTuple):
     confidence: str
 
 
-# The signals' ids, patterns, titles and ratings.
+# The signals' ids, patterns and ratings. The titles are our own.
 SIGNALS = (
-    Signal("injection.instruction_override", r"(?i)ignore\s+(?:all\s+)?(?:previous|prior|earlier|above)\s+(?:instructions?|prompts?|rules?)|disregard\s+(?:all\s+)?(?:previous|prior|the\s+above)|forget\s+(?:everything|all\s+previous)|new\s+instructions?\s*:", "Text attempts to override the model's prior instructions", "CRITICAL", "HIGH"),
-    Signal("injection.role_spoofing", r"(?im)<\s*(?:system|important|secret|admin)\s*>|\[\s*(?:system|admin)\s*\]|^\s*system\s*:|you\s+are\s+(?:now\s+)?(?:a|an|the)\s+\w+\s+(?:assistant|agent|model)", "Text impersonates a system or privileged speaker", "HIGH", "MEDIUM"),
-    Signal("injection.concealment", r"(?i)do\s+not\s+(?:tell|inform|mention|show|reveal|display)\s+(?:this\s+)?(?:to\s+)?the\s+user|without\s+(?:telling|informing|notifying|asking)\s+the\s+user|do\s+not\s+mention\s+(?:this|that)|keep\s+this\s+(?:secret|hidden|confidential)\s+from|silently\s+(?:call|invoke|run|execute)", "Text instructs the model to hide activity from the user", "CRITICAL", "HIGH"),
-    Signal("injection.secret_solicitation", r"(?i)(?:read|send|include|attach|return|provide)\s+(?:the\s+)?(?:contents?\s+of\s+)?(?:~/\.ssh|\.env\b|environment\s+variables?|api[\s_-]?keys?|credentials?|tokens?|passwords?)|before\s+(?:using|calling)\s+this\s+tool[^.\n]{0,60}(?:read|open|fetch|load)", "Text asks for credentials or files unrelated to the tool's function", "CRITICAL", "MEDIUM"),
-    Signal("injection.tool_redirection", r"(?i)(?:always\s+)?(?:call|invoke|use|run)\s+(?:the\s+)?[\w.]+\s+tool\s+(?:first|before|after|instead)|you\s+must\s+(?:also\s+)?(?:call|invoke|use)\s+", "Text directs the model to call other tools", "HIGH", "LOW"),
-    Signal("injection.model_directed_language", r"(?i)\b(?:you\s+must\s+always|always\s+remember\s+to|it\s+is\s+critical\s+that\s+you|under\s+no\s+circumstances\s+should\s+you)\b", "Tool description contains model-directed imperatives", "INFO", "LOW"),
+    Signal("injection.instruction_override", r"(?i)ignore\s+(?:all\s+)?(?:previous|prior|earlier|above)\s+(?:instructions?|prompts?|rules?)|disregard\s+(?:all\s+)?(?:previous|prior|the\s+above)|forget\s+(?:everything|all\s+previous)|new\s+instructions?\s*:", "Tells the model to drop what it was told before", "CRITICAL", "HIGH"),
+    Signal("injection.role_spoofing", r"(?im)<\s*(?:system|important|secret|admin)\s*>|\[\s*(?:system|admin)\s*\]|^\s*system\s*:|you\s+are\s+(?:now\s+)?(?:a|an|the)\s+\w+\s+(?:assistant|agent|model)", "Speaks as if it were the system", "HIGH", "MEDIUM"),
+    Signal("injection.concealment", r"(?i)do\s+not\s+(?:tell|inform|mention|show|reveal|display)\s+(?:this\s+)?(?:to\s+)?the\s+user|without\s+(?:telling|informing|notifying|asking)\s+the\s+user|do\s+not\s+mention\s+(?:this|that)|keep\s+this\s+(?:secret|hidden|confidential)\s+from|silently\s+(?:call|invoke|run|execute)", "Asks the model to keep something from the user", "CRITICAL", "HIGH"),
+    Signal("injection.secret_solicitation", r"(?i)(?:read|send|include|attach|return|provide)\s+(?:the\s+)?(?:contents?\s+of\s+)?(?:~/\.ssh|\.env\b|environment\s+variables?|api[\s_-]?keys?|credentials?|tokens?|passwords?)|before\s+(?:using|calling)\s+this\s+tool[^.\n]{0,60}(?:read|open|fetch|load)", "Asks for secrets or files that the tool has no use for", "CRITICAL", "MEDIUM"),
+    Signal("injection.tool_redirection", r"(?i)(?:always\s+)?(?:call|invoke|use|run)\s+(?:the\s+)?[\w.]+\s+tool\s+(?:first|before|after|instead)|you\s+must\s+(?:also\s+)?(?:call|invoke|use)\s+", "Steers the model to other tools", "HIGH", "LOW"),
+    Signal("injection.model_directed_language", r"(?i)\b(?:you\s+must\s+always|always\s+remember\s+to|it\s+is\s+critical\s+that\s+you|under\s+no\s+circumstances\s+should\s+you)\b", "Gives the model orders", "INFO", "LOW"),
 )
 TOOL = re.compile(r"@(?:\w+\.)?tool\s*\(|@(?:\w+\.)?(?:list_tools|call_tool)\b")
 OPENING = re.compile(r"""^\s*(?:[rubfRUBF]{0,2})(\"\"\"|''')""")
