@@ -61,7 +61,7 @@ def test_readability_and_coverage(spark):
     cover = {r.target: (r.n_ok, r.n_large, r.n_binary, r.n_unreadable, r.exit_code) for r in files.scan_coverage(frame).collect()}
     assert cover == {"a": (1, 1, 1, 1, None), "b": (0, 1, 0, 0, 4)}
     skipped = {(r.target, r.rule_id): len(r.evidence) for r in files.unanalyzed_findings(frame).collect()}
-    assert skipped == {("a", "coverage.too_large"): 1, ("a", "coverage.unreadable"): 2, ("b", "coverage.too_large"): 1}
+    assert skipped == {("a", "source.unanalyzed_too_large"): 1, ("a", "source.unanalyzed_unreadable"): 2, ("b", "source.unanalyzed_too_large"): 1}
 
 
 def test_walk_order_and_caps(spark):

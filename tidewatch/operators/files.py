@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as t
+from tidewatch.functions.unions import union_all
 
 FILE = ("target", "version", "path")
 
@@ -47,15 +48,34 @@ def file_cap(files: DataFrame, most: int) -> DataFrame:
 def scan_coverage(files: DataFrame) -> DataFrame:
     """Counts by status for each target; exit code 4 where nothing could be read: not looked at is never clean."""
     count = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
-    out = files.groupBy("target", "version").agg(*map(count, ("ok", "large", "binary", "unreadable")))
+    limit = F.bool_or(F.coalesce("hit_file_limit", F.lit(False))) if "hit_file_limit" in files.columns else F.lit(False)
+    out = files.groupBy("target", "version").agg(*map(count, ("ok", "large", "binary", "unreadable")), limit.alias("hit_file_limit"))
     return out.withColumn("exit_code", F.when(F.col("n_ok") == 0, 4))
 
 
+def coverage_limitations(coverage: DataFrame) -> DataFrame:
+    """(target, version, at, limitation): what the coverage of a target says about what was not looked at, in order."""
+    said = lambda when, at, text: F.when(when, F.struct(F.lit(at).alias("at"), text.alias("limitation")))
+    many = lambda c, text: F.format_string(f"%d {text}", c)
+    rows = F.array(
+        said(F.col("n_ok") == 0, 0, F.lit("No file could be read: nothing was looked at.")),
+        said(F.col("n_large") > 0, 1, many("n_large", "file(s) were too large to be read.")),
+        said(F.col("n_binary") > 0, 2, many("n_binary", "file(s) are binary and were not read.")),
+        said(F.col("n_unreadable") > 0, 3, many("n_unreadable", "file(s) could not be opened.")),
+        said(F.col("hit_file_limit"), 4, F.lit("There are more files than the limit; the rest was not read.")),
+    )
+    return coverage.select("target", "version", F.explode(F.array_compact(rows)).alias("l")).select("target", "version", "l.*")
+
+
 def unanalyzed_findings(files: DataFrame) -> DataFrame:
-    """Source files that were not read, as findings of severity HIGH with each file as its evidence."""
+    """Source files that were not read, as findings of severity HIGH with each file as its evidence, and reached file limits."""
     from tidewatch.operators.findings import evidence, finding
 
-    kind = F.when(F.col("status") == "large", "coverage.too_large").otherwise("coverage.unreadable")
+    kind = F.when(F.col("status") == "large", "source.unanalyzed_too_large").otherwise("source.unanalyzed_unreadable")
     rows = files.where((F.col("status") != "ok") & t.file_extension(F.col("path")).isin(*t.SOURCE_EXTENSIONS)).withColumn("rule_id", kind)
     grouped = rows.groupBy("target", "version", "rule_id").agg(F.array_sort(F.collect_list("path")).alias("paths"))
-    return grouped.select("target", "version", *finding(F.col("rule_id"), "SOURCE_CODE", F.lit("HIGH"), F.lit("HIGH"), F.lit("Source files that were not analysed"), F.transform("paths", lambda p: evidence(path=p))))
+    out = grouped.select("target", "version", *finding(F.col("rule_id"), "SOURCE_CODE", F.lit("HIGH"), F.lit("HIGH"), F.lit("Source files that were not analysed"), F.transform("paths", lambda p: evidence(path=p))))
+    if "hit_file_limit" not in files.columns:
+        return out
+    full = files.where("hit_file_limit").select("target", "version").distinct()
+    return union_all(out, full.select("target", "version", *finding(F.lit("source.file_limit_reached"), "SOURCE_CODE", F.lit("HIGH"), F.lit("HIGH"), F.lit("More files than were analysed"), F.array())))

@@ -25,13 +25,14 @@ def finding(rule_id: Column, area: str, severity: Column, confidence: Column, ti
 def first_evidence(matches: DataFrame, keys: tuple[str, ...], most: int, limit: int = 200) -> DataFrame:
     """keys, n and evidence, the first rows of each group in match order: files as walked, then lines, then rules.
 
-    Only the first rows of a group are gathered, however large it is.
+    Only the first rows of a group are sorted and gathered, however large it is: they are picked in every task before
+    rows travel, and counts are partial sums.
     """
-    order = ["walk", "line", "rule_no"]
-    every = Window.partitionBy(*keys)
-    rows = matches.withColumn("walk", walk_key(F.col("path"))).withColumn("rn", F.row_number().over(every.orderBy(*order))).withColumn("n", F.count("*").over(every))
+    w = Window.partitionBy(*keys).orderBy("walk", "line", "rule_no")
+    rows = matches.withColumn("walk", walk_key(F.col("path"))).withColumn("rn", F.row_number().over(w))
+    counts = matches.groupBy(*keys).agg(F.count("*").alias("n"))
     proof = F.struct("rn", evidence(F.col("path"), F.col("line"), snippet(F.col("text"), limit), None, F.col("context")).alias("e"), F.col("title").alias("title"))
-    first = rows.where(F.col("rn") <= most).groupBy(*keys).agg(F.array_sort(F.collect_list(proof)).alias("first"), F.first("n").alias("n"))
+    first = rows.where(F.col("rn") <= most).groupBy(*keys).agg(F.array_sort(F.collect_list(proof)).alias("first")).join(counts, list(keys))
     return first.select(*keys, "n", F.transform("first", lambda x: x["e"]).alias("evidence"), F.get("first", F.lit(0))["title"].alias("first_title"))
 
 
@@ -121,6 +122,21 @@ def gate(verdicts: DataFrame, fail_on: str) -> DataFrame:
     return verdicts.where(F.col("exit_code") >= level)
 
 
+def area_report(findings: DataFrame, checked: DataFrame) -> DataFrame:
+    """(target, version, area, place, status, severity, n_findings, summary): every area of every target, in their order.
+
+    checked (target, version, area, status, summary) says which areas an analyser looked at and what it has to say; areas
+    that it lacks are NOT_CHECKED. A finding makes its area VERIFIED: something was seen there.
+    """
+    keys = ["target", "version"]
+    areas = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(a).alias("area")) for i, a in enumerate(enums.AREAS)])
+    every = union_all(checked.select(*keys), findings.select(*keys)).distinct().select(*keys, F.explode(areas).alias("a")).select(*keys, "a.*")
+    rows = every.join(checked.select(*keys, "area", "status", "summary"), [*keys, "area"], "left").join(area_severities(findings), [*keys, "area"], "left")
+    status = F.when(F.col("n_findings") > 0, "VERIFIED").otherwise(F.coalesce("status", F.lit("NOT_CHECKED")))
+    words = F.concat_ws(" ", "summary", F.when(F.col("note").isNotNull(), F.concat(F.lit("("), "note", F.lit(")"))))
+    return rows.select(*keys, "area", "place", status.alias("status"), F.coalesce("severity", F.lit("NOT_FLAGGED")).alias("severity"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"), F.trim(words).alias("summary"))
+
+
 def limitations(rows: DataFrame) -> DataFrame:
     """(target, limitations): distinct in order of at; equal but for case, ends and a last dot counts as equal."""
     key = F.regexp_replace(F.lower(text.strip(F.col("limitation"))), r"\.+$", "")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.catalogue import EXFIL_WORTHY, OUTBOUND
 from tidewatch.functions.enums import confidence_rank
-from tidewatch.functions.hosts import URL_WITH_PORT
+from tidewatch.functions.hosts import MODEL_HOSTS, URL_WITH_PORT
 from tidewatch.functions.text import snippet
 from tidewatch.functions.unions import union_all
 from tidewatch.operators.findings import evidence, finding
@@ -36,12 +36,13 @@ def pair_flows(matches: DataFrame) -> DataFrame:
         "before": F.last(source, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
         "after": F.first(source, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
     })
-    pairs = both.where("side = 1").select(*keys, F.col("m").alias("k"), F.explode(F.array_compact(F.array("before", "after"))).alias("s"))
-    distance = F.abs(F.col("s.line") - F.col("k.line"))
-    best = pairs.groupBy(*keys).agg(F.min(F.struct(distance.alias("distance"), F.col("s.line").alias("source_line"), F.col("k.line").alias("sink_line"), "s", "k")).alias("p"))
+    sink = F.col("side") == 1
+    pair = lambda s: F.when(sink & F.col(s).isNotNull(), F.struct(F.abs(F.col(s)["line"] - F.col("m.line")).alias("distance"), F.col(s)["line"].alias("source_line"), F.col("m.line").alias("sink_line"), F.col(s).alias("s"), F.col("m").alias("k")))
+    seen = lambda when: F.min(F.when(when, F.struct("m.line", "m.rule_no")))
+    best = both.groupBy(*keys).agg(F.min(F.least(pair("before"), pair("after"))).alias("p"), seen(~sink).alias("source_seen"), seen(sink).alias("sink_seen"))
     return best.select(
         *keys, F.coalesce("p.s.capability", "source_rule").alias("source"), F.coalesce("p.k.capability", "sink_rule").alias("sink"), "p.distance", "p.source_line", "p.sink_line",
-        F.col("p.s.text").alias("source_text"), F.col("p.k.text").alias("sink_text"), F.when(F.col("p.distance") <= NEAR, "MEDIUM").otherwise("LOW").alias("confidence"),
+        F.col("p.s.text").alias("source_text"), F.col("p.k.text").alias("sink_text"), F.when(F.col("p.distance") <= NEAR, "MEDIUM").otherwise("LOW").alias("confidence"), "source_seen", "sink_seen",
     )
 
 
@@ -61,19 +62,20 @@ def nearest_url(points: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def with_destination(flows: DataFrame, lines: DataFrame) -> DataFrame:
-    """flows with destination, for network sinks only; a model call's destination is its model's prefix, not a URL."""
+    """flows with destination, for network sinks only; a model call's destination is the host behind its model's prefix, not a URL."""
     network = F.col("sink").isin(*OUTBOUND) & (F.col("sink_rule") != "source.llm_api_call")
     found = nearest_url(flows.where(network).select(*FILE, F.col("sink_line").alias("line")).distinct(), lines).withColumnRenamed("line", "sink_line")
     out = flows.join(found, [*FILE, "sink_line"], "left")
-    return out.withColumn("destination", F.when(network, F.col("destination")))
+    prefix = F.regexp_extract("sink_text", r"""\bmodel\s*=\s*["']([a-z_]+)/""", 1)
+    hosts = F.create_map(*[F.lit(x) for kv in MODEL_HOSTS.items() for x in kv])
+    return out.withColumn("destination", F.when(network, F.col("destination")).when(F.col("sink_rule") == "source.llm_api_call", hosts[prefix]))
 
 
 def flow_cap(flows: DataFrame, most: int = 12) -> DataFrame:
-    """The first flows of each target, the closest kind first, and how many are hidden."""
-    every = Window.partitionBy("target", "version")
-    w = every.orderBy(F.desc(confidence_rank(F.col("confidence"))), "source", "sink", "path", "source_rule", "sink_rule")
-    out = flows.withColumn("rn", F.row_number().over(w)).withColumn("n_hidden", F.greatest(F.lit(0), F.count("*").over(every) - most))
-    return out.where(F.col("rn") <= most)
+    """The first flows of each target, the surest first, ties as they are met in the file, and how many are hidden."""
+    w = Window.partitionBy("target", "version").orderBy(F.desc(confidence_rank(F.col("confidence"))), "source", "sink", "path", "source_seen", "sink_seen")
+    counts = flows.groupBy("target", "version").agg(F.greatest(F.lit(0), F.count("*") - most).alias("n_hidden"))
+    return flows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).join(counts, ["target", "version"])
 
 
 def dataflow_findings(flows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.enums import one_notch_down
@@ -34,6 +34,8 @@ SIGNALS = (
     Signal("injection.tool_redirection", r"(?i)(?:always\s+)?(?:call|invoke|use|run)\s+(?:the\s+)?[\w.]+\s+tool\s+(?:first|before|after|instead)|you\s+must\s+(?:also\s+)?(?:call|invoke|use)\s+", "Steers the model to other tools", "HIGH", "LOW"),
     Signal("injection.model_directed_language", r"(?i)\b(?:you\s+must\s+always|always\s+remember\s+to|it\s+is\s+critical\s+that\s+you|under\s+no\s+circumstances\s+should\s+you)\b", "Gives the model orders", "INFO", "LOW"),
 )
+# A word that each signal has, at least; texts without any are not looked at again.
+WORDS = r"(?i)ignore|disregard|forget|new\s+instr|system|important|secret|admin|you\s|do\s+not|without|silently|read|send|include|attach|return|provide|before|call|invoke|use|run|always|critical|circumstances"
 TOOL = re.compile(r"@(?:\w+\.)?tool\s*\(|@(?:\w+\.)?(?:list_tools|call_tool)\b")
 OPENING = re.compile(r"""^\s*(?:[rubfRUBF]{0,2})(\"\"\"|''')""")
 DESCRIPTION = r"""["']?description["']?\s*[:=]\s*["'](.{0,400}?)["']"""
@@ -41,6 +43,8 @@ DESCRIPTION = r"""["']?description["']?\s*[:=]\s*["'](.{0,400}?)["']"""
 
 def signal_hits(texts: DataFrame, signals: tuple[Signal, ...] = SIGNALS) -> DataFrame:
     """texts (with a column text) and the signals that each shows, once a signal."""
+    # One pattern for all of them first: most texts have none of the words that every signal needs one of.
+    texts = texts.where(F.col("text").rlike(WORDS))
     hits = [F.when(F.col("text").rlike("(?U)" + s.pattern), F.struct(*[F.lit(v).alias(k) for k, v in s._asdict().items() if k != "pattern"])) for s in signals]
     return texts.withColumn("s", F.explode(F.array_compact(F.array(*hits)))).select("*", "s.*").drop("s")
 
@@ -77,11 +81,18 @@ def tool_texts(lines: DataFrame) -> DataFrame:
     return union_all(docs, fields.withColumn("text", F.trim("text")).where("text <> ''"))
 
 
+def _first(hits: DataFrame, keys: list[str], order: list[str], most: int, detail) -> DataFrame:
+    """keys, first (the first pieces of evidence of each group) and n; only those pieces are gathered."""
+    ranked = hits.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rn") <= most)
+    piece = F.struct("rn", evidence(F.col("path"), F.col("line"), snippet(F.col("text"), 240), detail).alias("e"))
+    counts = hits.groupBy(*keys).agg(F.count("*").alias("n"))
+    return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(piece)).alias("first")).join(counts, keys)
+
+
 def detect_tool_poisoning(lines: DataFrame) -> DataFrame:
     """One finding for each signal in the texts of a target's tools, five pieces of evidence."""
     hits = signal_hits(tool_texts(lines))
-    order = F.struct("path", "line", evidence(F.col("path"), F.col("line"), snippet(F.col("text"), 240), F.concat(F.lit("in a tool "), "kind")).alias("e"))
-    rows = hits.groupBy("target", "version", "rule_id", "title", "severity", "confidence").agg(F.slice(F.array_sort(F.collect_list(order)), 1, 5).alias("first"), F.count("*").alias("n"))
+    rows = _first(hits, ["target", "version", "rule_id", "title", "severity", "confidence"], ["path", "line", "text"], 5, F.concat(F.lit("in a tool "), "kind"))
     return rows.select("target", "version", *finding(F.col("rule_id"), "PROMPT_INJECTION", F.col("severity"), F.col("confidence"), F.col("title"), F.transform("first", lambda x: x["e"]), F.col("n") - F.size("first")))
 
 
@@ -89,6 +100,5 @@ def detect_doc_injection(lines: DataFrame) -> DataFrame:
     """One finding for each document and signal, a notch lower and of low confidence, three pieces of evidence."""
     docs = lines.where(file_extension(F.col("path")).isin(".md", ".txt")).select(*FILE, "line", "text")
     hits = signal_hits(docs, tuple(s for s in SIGNALS if s.severity != "INFO"))
-    order = F.struct("line", evidence(F.col("path"), F.col("line"), snippet(F.col("text"), 240)).alias("e"))
-    rows = hits.groupBy(*FILE, "rule_id", "title", "severity").agg(F.slice(F.array_sort(F.collect_list(order)), 1, 3).alias("first"), F.count("*").alias("n"))
+    rows = _first(hits, [*FILE, "rule_id", "title", "severity"], ["line"], 3, None)
     return rows.select("target", "version", *finding(F.concat("rule_id", F.lit(".documentation")), "PROMPT_INJECTION", one_notch_down(F.col("severity")), F.lit("LOW"), F.concat("title", F.lit(" (in documentation)")), F.transform("first", lambda x: x["e"]), F.col("n") - F.size("first")))

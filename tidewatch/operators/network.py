@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import enums
-from tidewatch.functions.hosts import LOCAL, classify_host, purpose_tokens, urls_in
+from tidewatch.functions.hosts import LOCAL, TELEMETRY, classify_host, purpose_tokens, urls_in
 from tidewatch.functions.text import snippet, walk_key
 from tidewatch.functions.unions import union_all
 from tidewatch.operators.findings import evidence, finding
@@ -54,7 +54,20 @@ def extract_endpoints(lines: DataFrame, purpose: Column | None = None) -> DataFr
     place = F.struct(walk_key(F.col("path")).alias("walk"), "line", "at")
     first = rows.groupBy("target", "version", F.col("u.host").alias("host")).agg(F.min_by(F.struct("u.scheme", "path", "line", "text", "tokens"), place).alias("e"), F.count("*").alias("n"))
     plain = (F.col("e.scheme") == "http") & ~F.col("host").isin(*LOCAL)
-    return first.select("target", "version", "host", "e.scheme", classify_host(F.col("host"), F.col("e.tokens")).alias("classification"), plain.alias("plain_http"), "n", "e.path", "e.line", snippet(F.col("e.text")).alias("snippet"))
+    return first.select("target", "version", "host", "e.scheme", classify_host(F.col("host"), F.col("e.tokens")).alias("classification"), plain.alias("plain_http"), "n", "e.path", "e.line", snippet(F.col("e.text")).alias("snippet")).withColumn("reason", reason(F.col("host"), F.col("classification"), F.col("plain_http")))
+
+
+def reason(host: Column, classification: Column, plain_http: Column) -> Column:
+    """Why a host has its class, in a few words."""
+    words = (
+        F.when(host.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$") & (classification == "SUSPICIOUS"), "a bare address without a name")
+        .when(classification == "SUSPICIOUS", "a known paste, tunnel or capture service")
+        .when(host.isin(*TELEMETRY), "collects usage data")
+        .when(classification == "INFRASTRUCTURE", "part of common development infrastructure")
+        .when(classification == "EXPECTED", "its name occurs in what the tool says it is for")
+        .otherwise("nothing that the tool says about itself explains it")
+    )
+    return F.concat(words, F.when(plain_http, "; over plain http").otherwise(""))
 
 
 def sort_endpoints(endpoints: DataFrame) -> DataFrame:

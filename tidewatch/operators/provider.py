@@ -14,16 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.hosts import INFRASTRUCTURE, LOCAL, SUSPICIOUS, registrable_name
+from tidewatch.functions.hosts import INFRASTRUCTURE, LOCAL, MODEL_HOSTS, SUSPICIOUS, registrable_name
 from tidewatch.functions.text import file_extension
 from tidewatch.operators.network import SECRETISH
 
 FILE = ["target", "version", "path"]
-# Hosts behind the prefixes of model names.
-MODEL_HOSTS = {
-    "openai": "api.openai.com", "anthropic": "api.anthropic.com", "groq": "api.groq.com", "mistral": "api.mistral.ai", "gemini": "generativelanguage.googleapis.com", "cerebras": "api.cerebras.ai", "cohere": "api.cohere.ai", "deepseek": "api.deepseek.com", "openrouter": "openrouter.ai",
-    "together_ai": "api.together.xyz", "fireworks_ai": "api.fireworks.ai", "perplexity": "api.perplexity.ai", "xai": "api.x.ai", "nvidia_nim": "integrate.api.nvidia.com", "huggingface": "api-inference.huggingface.co", "replicate": "api.replicate.com", "sambanova": "api.sambanova.ai",
-}
 SENDERS = {"get", "post", "put", "patch", "delete", "head", "request", "send", "stream"}
 HOST = re.compile(r"https?://([A-Za-z0-9._~-]+)")
 

@@ -75,6 +75,11 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches.match_rules(views.code_lines(spark, sf_dir)).withColumn("context", F.lit(None).cast("string"))
 
 
+def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches as a written table, for what reads them more than once."""
+    return saved(_found(spark, sf_dir), "matches")
+
+
 def _shown(df: DataFrame) -> DataFrame:
     """Findings with evidence as one string, for comparison."""
     proof = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["path"], e["line"].cast("string"), e["snippet"], e["detail"])), " | ")
@@ -97,13 +102,13 @@ fd AS (SELECT target, version, rule_id, any_value(severity) AS severity, any_val
 
 @query("matches_to_findings", f"WITH {_FINDINGS} SELECT target, version, rule_id, 'SOURCE_CODE' AS area, severity, confidence, title, evidence, n_further FROM fd")
 def _(spark, sf_dir):
-    return _shown(findings.matches_to_findings(_found(spark, sf_dir)))
+    return _shown(findings.matches_to_findings(_saved(spark, sf_dir)))
 
 
 @query("matches_to_capabilities", f"""WITH {_MATCHES}, r AS (SELECT *, row_number() OVER (PARTITION BY target, version, capability ORDER BY deep, path, line, rule_no) AS rn FROM m WHERE capability IS NOT NULL)
 SELECT target, version, capability, min_by(title, rn) AS description, count(*) AS n, string_agg(path || ':' || line, ' ' ORDER BY rn) FILTER (rn <= 3) AS evidence FROM r GROUP BY target, version, capability""")
 def _(spark, sf_dir):
-    got = findings.matches_to_capabilities(_found(spark, sf_dir))
+    got = findings.matches_to_capabilities(_saved(spark, sf_dir))
     return got.withColumn("evidence", F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["path"], e["line"].cast("string"))), " "))
 
 
@@ -113,7 +118,7 @@ vd AS (SELECT target, version, {_SEVS}[CAST(r AS INT) + 1] AS overall, CAST(CASE
 
 @query("overall_verdict", f"WITH {_FINDINGS}, {_VERDICT} SELECT * FROM vd")
 def overall_verdict(spark, sf_dir):
-    return findings.overall_verdict(findings.matches_to_findings(_found(spark, sf_dir))).drop("recommendation")
+    return findings.overall_verdict(findings.matches_to_findings(_saved(spark, sf_dir))).drop("recommendation")
 
 
 @query("gate", f"WITH {_FINDINGS}, {_VERDICT} SELECT target, version, overall FROM vd WHERE exit_code >= 3")
@@ -123,12 +128,12 @@ def _(spark, sf_dir):
 
 @query("area_severities", f"WITH {_FINDINGS} SELECT target, version, 'SOURCE_CODE' AS area, {_SEVS}[CAST(max({_SEV.format('severity')}) AS INT) + 1] AS severity, count(*) AS n_findings, CASE WHEN NOT bool_or(head) THEN 'not in the verdict' END AS note FROM fd GROUP BY target, version")
 def _(spark, sf_dir):
-    return findings.area_severities(findings.matches_to_findings(_found(spark, sf_dir)))
+    return findings.area_severities(findings.matches_to_findings(_saved(spark, sf_dir)))
 
 
 @query("fleet_summary", f"WITH {_FINDINGS} SELECT target, place, severity, count(*) AS n FROM (SELECT target, CASE WHEN head THEN 'shipped' ELSE 'outside' END AS place, severity FROM fd) GROUP BY ROLLUP (target, place, severity)")
 def _(spark, sf_dir):
-    return findings.fleet_summary(findings.matches_to_findings(_found(spark, sf_dir)))
+    return findings.fleet_summary(findings.matches_to_findings(_saved(spark, sf_dir)))
 
 
 @query("worst_targets", f"WITH {_FINDINGS}, {_VERDICT} SELECT target, version, overall FROM vd ORDER BY {_SEV.format('overall')} DESC, target, version LIMIT 10")
@@ -141,30 +146,30 @@ _ORDER = f"{_SEV.format('severity')} DESC, list_position(['LOW', 'MEDIUM', 'HIGH
 
 @query("sort_findings", f"WITH {_FINDINGS} SELECT target, version, rule_id, CAST(row_number() OVER (PARTITION BY target, version ORDER BY {_ORDER}) AS INT) AS place FROM fd")
 def _(spark, sf_dir):
-    return findings.sort_findings(findings.matches_to_findings(_found(spark, sf_dir))).select("target", "version", "rule_id", "place")
+    return findings.sort_findings(findings.matches_to_findings(_saved(spark, sf_dir))).select("target", "version", "rule_id", "place")
 
 
 @query("sarif_results", f"""WITH {_FINDINGS}, o AS (SELECT *, row_number() OVER (PARTITION BY target, version ORDER BY {_ORDER}) - 1 AS i FROM fd)
 SELECT target, version, rule_id, CAST(i AS INT) AS rule_index, CASE WHEN NOT head THEN 'note' WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' ELSE 'warning' END AS level, string_split(evidence, ':')[1] AS uri,
   substr(sha256(rule_id || chr(31) || string_split(evidence, ':')[1] || chr(31) || (SELECT any_value(trim(m.text)) FROM m WHERE m.target = o.target AND m.version = o.version AND m.rule_id = o.rule_id AND m.path = string_split(o.evidence, ':')[1] AND m.line = CAST(string_split(o.evidence, ':')[2] AS INT))), 1, 32) AS fingerprint FROM o""")
 def _(spark, sf_dir):
-    return writers.sarif_results(findings.matches_to_findings(_found(spark, sf_dir))).select("target", "version", "rule_id", "rule_index", "level", "uri", "fingerprint")
+    return writers.sarif_results(findings.matches_to_findings(_saved(spark, sf_dir))).select("target", "version", "rule_id", "rule_index", "level", "uri", "fingerprint")
 
 
 @query("sarif_logs")
 def _(spark, sf_dir):
-    return writers.sarif_logs(findings.matches_to_findings(_found(spark, sf_dir)))
+    return writers.sarif_logs(findings.matches_to_findings(_saved(spark, sf_dir)))
 
 
 @query("summary_rows")
 def _(spark, sf_dir):
-    return writers.summary_rows(findings.matches_to_findings(_found(spark, sf_dir)), 5)
+    return writers.summary_rows(findings.matches_to_findings(_saved(spark, sf_dir)), 5)
 
 
 @query("combination_findings", f"""WITH {_MATCHES}, c AS (SELECT target, version, bool_or(capability = 'encoding.base64') AND bool_or(capability = 'code.eval') AS a, bool_or(capability = 'package.install') AND bool_or(capability IN ('shell.execute', 'process.spawn')) AS b FROM m GROUP BY target, version)
 SELECT target, version, 'combo.decode_then_execute' AS rule_id, 'CRITICAL' AS severity FROM c WHERE a UNION ALL SELECT target, version, 'combo.runtime_package_install', 'HIGH' FROM c WHERE b""")
 def _(spark, sf_dir):
-    return findings.combination_findings(_found(spark, sf_dir)).select("target", "version", "rule_id", "severity")
+    return findings.combination_findings(_saved(spark, sf_dir)).select("target", "version", "rule_id", "severity")
 
 
 @query("match_context")
@@ -184,7 +189,7 @@ fl AS (SELECT * EXCLUDE (rn), CASE WHEN distance <= 40 THEN 'MEDIUM' ELSE 'LOW'
 
 @query("pair_flows", f"WITH {_FLOWS} SELECT * FROM fl")
 def _(spark, sf_dir):
-    return flows.pair_flows(_found(spark, sf_dir)).drop("source_text", "sink_text")
+    return flows.pair_flows(_saved(spark, sf_dir)).drop("source_text", "sink_text", "source_seen", "sink_seen")
 
 
 @query("nearest_url", f"""WITH {_FLOWS}, url AS (SELECT target, version, path, line, regexp_extract(text, 'https?://([A-Za-z0-9._~-]+(?::\\d+)?)', 1) AS host FROM lines WHERE contains(text, '://')),
@@ -192,18 +197,19 @@ near AS (SELECT f.*, u.host, row_number() OVER (PARTITION BY f.target, f.version
   FROM fl f LEFT JOIN url u ON u.host <> '' AND u.target = f.target AND u.version = f.version AND u.path = f.path AND abs(u.line - f.sink_line) <= 40 AND f.sink IN ({_LIST(OUTBOUND)}) AND f.sink_rule <> 'source.llm_api_call')
 SELECT target, version, path, source_rule, sink_rule, sink_line, host AS destination FROM near WHERE rn = 1""")
 def _(spark, sf_dir):
-    got = flows.with_destination(saved(flows.pair_flows(_found(spark, sf_dir)), "flows"), views.code_lines(spark, sf_dir))
+    got = flows.with_destination(saved(flows.pair_flows(_saved(spark, sf_dir)), "flows"), views.code_lines(spark, sf_dir))
     return got.select("target", "version", "path", "source_rule", "sink_rule", "sink_line", "destination")
 
 
-@query("flow_cap", f"""WITH {_FLOWS} SELECT target, version, path, source_rule, sink_rule, CAST(rn AS INT) AS rn, n - 12 AS n_hidden FROM (SELECT *, row_number() OVER (PARTITION BY target, version ORDER BY list_position(['LOW', 'MEDIUM', 'HIGH'], confidence) DESC, source, sink, path, source_rule, sink_rule) AS rn, count(*) OVER (PARTITION BY target, version) AS n FROM fl) WHERE rn <= 12""")
+@query("flow_cap", f"""WITH {_FLOWS} SELECT target, version, path, source_rule, sink_rule, CAST(rn AS INT) AS rn, n - 12 AS n_hidden FROM (SELECT *, row_number() OVER (PARTITION BY target, version ORDER BY list_position(['LOW', 'MEDIUM', 'HIGH'], confidence) DESC, source, sink, path, s1, k1) AS rn, count(*) OVER (PARTITION BY target, version) AS n
+  FROM fl JOIN (SELECT target, version, path, rule_id AS source_rule, min(line * 1000 + rule_no) AS s1 FROM m GROUP BY ALL) USING (target, version, path, source_rule) JOIN (SELECT target, version, path, rule_id AS sink_rule, min(line * 1000 + rule_no) AS k1 FROM m GROUP BY ALL) USING (target, version, path, sink_rule)) WHERE rn <= 12""")
 def _(spark, sf_dir):
-    return flows.flow_cap(flows.pair_flows(_found(spark, sf_dir))).select("target", "version", "path", "source_rule", "sink_rule", "rn", "n_hidden")
+    return flows.flow_cap(saved(flows.pair_flows(_saved(spark, sf_dir)), "flows")).select("target", "version", "path", "source_rule", "sink_rule", "rn", "n_hidden")
 
 
 @query("dataflow_findings", f"""WITH {_FLOWS} SELECT target, version, 'dataflow.' || source || '__' || sink AS rule_id, CASE source {' '.join(f"WHEN {_q(k)} THEN {_q(v[0])}" for k, v in EXFIL_WORTHY.items())} END AS severity, confidence, path, source_line, sink_line FROM fl WHERE sink IN ({_LIST(OUTBOUND)}) AND source IN ({_LIST(EXFIL_WORTHY)})""")
 def _(spark, sf_dir):
-    got = flows.dataflow_findings(flows.pair_flows(_found(spark, sf_dir)))
+    got = flows.dataflow_findings(flows.pair_flows(_saved(spark, sf_dir)))
     e = lambda i, c: F.col("evidence")[i][c]
     return got.select("target", "version", "rule_id", "severity", "confidence", e(0, "path").alias("path"), e(0, "line").alias("source_line"), e(1, "line").alias("sink_line"))
 
@@ -222,12 +228,12 @@ def _(spark, sf_dir):
 
 @query("extract_endpoints", f"WITH {_LINES}, {_ENDPOINTS} SELECT * FROM ep")
 def _(spark, sf_dir):
-    return network.extract_endpoints(views.code_lines(spark, sf_dir), F.lit("example service")).drop("snippet")
+    return network.extract_endpoints(views.code_lines(spark, sf_dir), F.lit("example service")).drop("snippet", "reason")
 
 
 @query("page_hosts", f"WITH lines AS ({views.page_lines_sql('pages')}), {_ENDPOINTS} SELECT * FROM ep")
 def _(spark, sf_dir):
-    return network.extract_endpoints(views.page_lines(spark, sf_dir), F.lit("example service")).drop("snippet")
+    return network.extract_endpoints(views.page_lines(spark, sf_dir), F.lit("example service")).drop("snippet", "reason")
 
 
 @query("sort_endpoints", f"WITH {_LINES}, {_ENDPOINTS} SELECT target, version, host, CAST(row_number() OVER (PARTITION BY target, version ORDER BY list_position(['SUSPICIOUS', 'UNEXPLAINED', 'EXPECTED', 'INFRASTRUCTURE'], classification), host) AS INT) AS place FROM ep")
