@@ -20,10 +20,11 @@ LOOKBACK = 25
 FILE = ["target", "version", "path"]
 
 
-def match_rules(lines: DataFrame, rules: tuple[Rule, ...] = CATALOGUE) -> DataFrame:
+def match_rules(lines: DataFrame, rules: tuple[Rule, ...] = CATALOGUE, more: tuple[str, ...] = ()) -> DataFrame:
     """(target, version, path, line, text, rule_no, rule_id, ...) of every rule that a line of a source file meets.
 
     One projection holds every pattern as a literal, so each is compiled once; a line gives a rule once.
+    more are columns of lines that are carried along.
     """
     ext = t.file_extension(F.col("path"))
     hits = []
@@ -33,8 +34,9 @@ def match_rules(lines: DataFrame, rules: tuple[Rule, ...] = CATALOGUE) -> DataFr
             meets = F.col("ext").isin(*r.extensions) & meets
         told = {"rule_id": r.rule_id, "title": r.title, "severity": r.severity, "confidence": r.confidence, "capability": r.capability, "role": r.role}
         hits.append(F.when(meets, F.struct(F.lit(number).alias("rule_no"), *[F.lit(v).cast("string").alias(k) for k, v in told.items()], F.lit(r.informational).alias("informational"))))
-    source = lines.select(*FILE, "line", "text", ext.alias("ext")).where(F.col("ext").isin(*t.SOURCE_EXTENSIONS))
-    return source.select(*FILE, "line", "text", "ext", F.explode(F.array_compact(F.array(*hits))).alias("r")).select(*FILE, "line", "text", "ext", "r.*")
+    kept = [*FILE, "line", "text", *(c for c in more if c in lines.columns)]
+    source = lines.select(*kept, ext.alias("ext")).where(F.col("ext").isin(*t.SOURCE_EXTENSIONS))
+    return source.select(*kept, "ext", F.explode(F.array_compact(F.array(*hits))).alias("r")).select(*kept, "ext", "r.*")
 
 
 def python_prose(text: str) -> set[int]:

@@ -142,10 +142,14 @@ def provider_documented(profiles: DataFrame, docs: DataFrame) -> DataFrame:
     label = F.when(dotted, registrable_name(F.col("destination"))).otherwise(F.substring_index("destination", "_", 1))
     domain = F.when(dotted, F.substring_index("destination", ".", -2)).otherwise(models[F.col("destination")])
     rows = rows.withColumns({"label": label, "domain": domain})
-    text = F.lower("text")
-    named = text.contains(F.col("domain")) | F.array_contains(F.split(text, r"(?U)\W+"), F.col("label"))
-    lines = docs.select("target", "version", "text")
-    return rows.join(lines, ["target", "version"], "left").groupBy("target", "version", "destination", "label").agg(F.coalesce(F.bool_or(named), F.lit(False)).alias("documented"))
+    # Each line is split once: its words, and the ends of its dotted names, are met by equality.
+    text, keys = F.lower("text"), ["target", "version"]
+    dotted_names = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"[a-z0-9-]+(?:\.[a-z0-9-]+)+"), F.lit(0)), lambda x: F.array(x, F.substring_index(x, ".", -2), F.substring_index(x, ".", -3))))
+    asked = docs.join(rows.select(*keys).distinct(), keys, "left_semi")
+    said = asked.select(*keys, F.explode(F.array_distinct(F.concat(F.split(text, r"(?U)\W+"), dotted_names))).alias("word")).distinct()
+    wanted = rows.select(*keys, "destination", "label", F.explode(F.array("label", "domain")).alias("word"))
+    found = wanted.join(said, [*keys, "word"], "left_semi").select(*keys, "destination").distinct().withColumn("documented", F.lit(True))
+    return rows.select(*keys, "destination", "label").join(found, [*keys, "destination"], "left").withColumn("documented", F.coalesce("documented", F.lit(False)))
 
 
 def scope_provider_flows(flows: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.advice import with_advice
 from tidewatch.functions.shared import saved
 from tidewatch.functions.text import SOURCE_EXTENSIONS, file_extension
 from tidewatch.operators import annotations, dependencies, diff, files, findings, flows, injection, install, matches, network, provider
@@ -34,16 +35,78 @@ def audit_findings(lines: DataFrame, purpose: Column | None = None, with_context
     )
 
 
-def audit_targets(trees: DataFrame, purpose: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(findings, verdicts, coverage) of source trees (target, version, path, size, content)."""
+def _opened(trees: DataFrame, most_files: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files with their status, text files, their lines)."""
     known = files.classify_readability(files.select_scannable(trees))
-    readable = known.where("status = 'ok'").withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
-    lines = files.explode_lines(readable.select("target", "version", "path", "text"))
-    deps = dependencies.analyze_dependencies(readable.select("target", "version", "path", "text"))
-    every = findings.union_findings(audit_findings(lines, purpose), dependencies.dependency_findings(deps), files.unanalyzed_findings(known))
+    if most_files is not None:
+        known = files.file_cap(known, most_files)
+    readable = known.where("status = 'ok'").select("target", "version", "path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return known, readable, saved(files.explode_lines(readable), "lines")
+
+
+def audit_targets(trees: DataFrame, purpose: Column | None = None, most_files: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(findings, verdicts, coverage) of source trees (target, version, path, size, content).
+
+    With most_files only that many files of a target are read, in walk order, and one that has more says so.
+    """
+    known, readable, lines = _opened(trees, most_files)
+    return _audited(known, readable, lines, purpose)[:3]
+
+
+def _audited(known: DataFrame, readable: DataFrame, lines: DataFrame, purpose: Column | None) -> tuple[DataFrame, ...]:
+    deps = saved(dependencies.analyze_dependencies(readable), "dependencies")
+    every = saved(findings.union_findings(audit_findings(lines, purpose), dependencies.dependency_findings(deps), files.unanalyzed_findings(known)), "findings")
     coverage = files.scan_coverage(known)
     verdicts = findings.overall_verdict(every, known).join(coverage.select("target", "version", F.col("exit_code").alias("unread")), ["target", "version"], "left")
-    return every, verdicts.withColumn("exit_code", F.coalesce("unread", "exit_code")).drop("unread"), coverage
+    return every, verdicts.withColumn("exit_code", F.coalesce("unread", "exit_code")).drop("unread"), coverage, deps
+
+
+#: Areas that an audit of a source tree looks at; the others need metadata.
+SOURCE_AREAS = ("SOURCE_CODE", "CAPABILITIES", "INSTALLATION", "DEPENDENCIES", "NETWORK", "PROMPT_INJECTION")
+
+
+def target_reports(trees: DataFrame, purpose: Column | None = None, most_files: int | None = None, metadata: DataFrame | None = None, checked: DataFrame | None = None) -> DataFrame:
+    """One whole report a target and version: verdict, findings with advice, areas, capabilities, credentials, endpoints, dependencies, coverage, limitations.
+
+    metadata are findings from repository or registry metadata (version null: of every version), checked what their
+    analysers say of their areas (target, version, area, status, summary). Lists are ordered; what was not looked at
+    is NOT_CHECKED, a dependency area without a manifest NOT_APPLICABLE.
+    """
+    keys = ["target", "version"]
+    known, readable, lines = _opened(trees, most_files)
+    every, _, coverage, deps = _audited(known, readable, lines, purpose)
+    coverage = saved(coverage, "coverage")
+    targets = coverage.select(*keys)
+    if metadata is not None:
+        own = targets.select("target", F.col("version").alias("v"))
+        every = findings.union_findings(every, metadata.join(own, "target").where("version is null or version = v").withColumn("version", F.col("v")).drop("v"))
+    verdicts = findings.overall_verdict(every, targets)
+    code = saved(matches.match_rules(lines).withColumn("context", F.lit(None).cast("string")), "matches")
+    looked = coverage.select(*keys, F.explode(F.array(*map(F.lit, SOURCE_AREAS))).alias("area"), F.when(F.col("n_ok") > 0, "VERIFIED").otherwise("UNAVAILABLE").alias("status"), F.lit(None).cast("string").alias("summary"))
+    manifest = deps.select(*keys, F.col("status").alias("manifest"))
+    looked = looked.join(manifest, keys, "left").withColumn("status", F.when(F.col("area") == "DEPENDENCIES", F.coalesce("manifest", "status")).otherwise(F.col("status"))).drop("manifest")
+    areas = findings.area_report(every, looked if checked is None else findings.union_findings(looked, checked))
+
+    def listed(rows: DataFrame, name: str, order: list, *columns: str) -> DataFrame:
+        item = F.struct(F.struct(*order).alias("o"), F.struct(*columns).alias("x"))
+        return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["x"]).alias(name))
+
+    sorted_ = with_advice(findings.sort_findings(every))
+    said = files.coverage_limitations(coverage)
+    out = verdicts.withColumn("schema_version", F.lit("1.0")).join(coverage.drop("exit_code"), keys, "left").withColumn("exit_code", F.when(F.col("n_ok") == 0, 4).otherwise(F.col("exit_code")))
+    parts = (
+        listed(areas, "areas", ["place"], "area", "status", "severity", "n_findings", "summary"),
+        listed(sorted_, "findings", ["place"], "rule_id", "area", "severity", "confidence", "title", "explanation", "remediation", "evidence", "n_further"),
+        listed(findings.matches_to_capabilities(code), "capabilities", ["capability"], "capability", "description", "n", "evidence"),
+        listed(network.extract_credentials(lines), "credentials", ["name"], "name", "required", "blast_radius", "path", "line"),
+        listed(network.sort_endpoints(network.extract_endpoints(lines, purpose)), "endpoints", ["place"], "host", "scheme", "classification", "reason", "n", "path", "line"),
+        listed(said, "limitations", ["at"], "limitation"),
+        dependencies.dependency_summary(deps).select(*keys, F.struct("ecosystem", "status", "n_direct", "n_floating", "n_remote", "n_hooks", "lockfile", "n_locked", "replaced").alias("dependencies")),
+    )
+    for part in parts:
+        out = out.join(part, keys, "left")
+    empty = {f.name: F.coalesce(F.col(f.name), F.array().cast(f.dataType)) for f in out.schema.fields if f.dataType.typeName() == "array"}
+    return out.withColumns(empty)
 
 
 def drift(lines: DataFrame, before: str, after: str) -> tuple[DataFrame, DataFrame]:

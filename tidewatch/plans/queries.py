@@ -439,8 +439,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     sql = f"SELECT concat('t', user_id % 20) AS target, 'v1' AS version, 'server.py' AS path, CAST(event_id AS INT) AS line, ts, {views.case(f'event_id % {len(views.SAMPLES)}', views.SAMPLES)} AS text FROM :events"
     events = views.over(spark, sql, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
-    found = streams.stream_matches(events).join(events.select("target", "version", "path", "line", "ts"), ["target", "version", "path", "line"])
-    return streams.first_seen(found)
+    return streams.first_seen(streams.stream_matches(events))
 
 
 @query("audit_findings")

@@ -45,8 +45,12 @@ def sarif_results(findings: DataFrame, prefix: str = "") -> DataFrame:
     })
 
 
-def sarif_logs(findings: DataFrame, prefix: str = "") -> DataFrame:
-    """(target, version, log): one SARIF 2.1.0 log a target; rules are declared once, by first appearance."""
+def sarif_logs(findings: DataFrame, prefix: str = "", limitations: DataFrame | None = None) -> DataFrame:
+    """(target, version, log): one SARIF 2.1.0 log a target; rules are declared once, by first appearance.
+
+    limitations (target, version, at, limitation) become notifications of the tool's run, which then counts as not wholly
+    successful; targets without findings get a log for them, too.
+    """
     rows = sarif_results(findings, prefix)
     rule = F.struct(
         F.col("rule_id").alias("id"), F.replace("rule_id", F.lit("."), F.lit("_")).alias("name"), F.struct(F.col("title").alias("text")).alias("shortDescription"), F.struct(enums.sarif_level(F.col("severity")).alias("level")).alias("defaultConfiguration"),
@@ -63,13 +67,21 @@ def sarif_logs(findings: DataFrame, prefix: str = "") -> DataFrame:
         F.array_sort(F.collect_list(F.struct("place", result.alias("r")))).alias("results"),
         F.array_sort(F.collect_list(F.when(F.col("new"), F.struct("rule_index", rule.alias("r"))))).alias("rules"),
     )
-    body = F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(F.struct(F.struct(F.struct(F.lit(TOOL).alias("name"), F.transform("rules", lambda x: x["r"]).alias("rules")).alias("driver")).alias("tool"), F.transform("results", lambda x: x["r"]).alias("results"))).alias("runs"))
+    if limitations is not None:
+        note = F.struct("at", F.struct(F.struct(F.col("limitation").alias("text")).alias("message"), F.lit("warning").alias("level")).alias("n"))
+        notes = limitations.groupBy("target", "version").agg(F.transform(F.array_sort(F.collect_list(note)), lambda x: x["n"]).alias("notes"))
+        logs = logs.join(notes, ["target", "version"], "full")
+        run = F.when(F.col("notes").isNotNull(), F.array(F.struct(F.lit(False).alias("executionSuccessful"), F.col("notes").alias("toolExecutionNotifications"))))
+    else:
+        run = F.lit(None).cast("array<string>")
+    whole = lambda c: F.coalesce(F.col(c), F.array().cast(logs.schema[c].dataType))
+    body = F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(F.struct(F.struct(F.struct(F.lit(TOOL).alias("name"), F.transform(whole("rules"), lambda x: x["r"]).alias("rules")).alias("driver")).alias("tool"), run.alias("invocations"), F.transform(whole("results"), lambda x: x["r"]).alias("results"))).alias("runs"))
     return logs.select("target", "version", F.to_json(body).alias("log"))
 
 
-def write_sarif(findings: DataFrame, path: str, prefix: str = "") -> None:
+def write_sarif(findings: DataFrame, path: str, prefix: str = "", limitations: DataFrame | None = None) -> None:
     """One log a line; null fields are left out."""
-    sarif_logs(findings, prefix).select(F.col("log").alias("value")).write.mode("overwrite").text(path)
+    sarif_logs(findings, prefix, limitations).select(F.col("log").alias("value")).write.mode("overwrite").text(path)
 
 
 def summary_rows(findings: DataFrame, most: int = 25) -> DataFrame:

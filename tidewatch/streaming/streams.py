@@ -12,8 +12,9 @@ from tidewatch.operators.matches import match_rules
 
 
 def stream_matches(lines: DataFrame, rules: tuple[Rule, ...] = CATALOGUE) -> DataFrame:
-    """Matches of arriving lines: the batch projection, without state. lines may have more columns, as a time."""
-    return match_rules(lines, rules)
+    """Matches of arriving lines: the batch projection, without state. More columns of lines, as a time, are carried along."""
+    own = {"target", "version", "path", "line", "text"}
+    return match_rules(lines, rules, tuple(c for c in lines.columns if c not in own))
 
 
 def stream_capability_gain(matches: DataFrame, time: str = "ts", late: str = "1 hour") -> DataFrame:
