@@ -1,3 +1,4 @@
+import io
 import gzip
 import hashlib
 import json
@@ -28,7 +29,7 @@ def test_files_round_trip(spark):
     responses = warc.read_responses(files)
     assert [r.body for r in responses.collect()] == ["<p>hi é</p>"]
     records = warc.packed_records(warc.derive(responses)).collect()
-    parsed = list(warc.parse(b"".join(bytes(r.warc) for r in records)))
+    parsed = list(warc.parse(io.BytesIO(b"".join(bytes(r.warc) for r in records))))
     assert len(parsed) == 2
     for (h, body), r in zip(parsed, records):
         assert h["warc-refers-to"] == "<urn:uuid:9>" and h["warc-type"] == r.warc_type and body.decode() == r.content
@@ -53,3 +54,21 @@ def test_source_digests_and_encodings(spark):
     assert got["<urn:uuid:1>", "conversion"].content == "caf\u00e9"
     meta = json.loads(got["<urn:uuid:1>", "metadata"].content)
     assert (meta["length"], meta["block_digest"], meta["warc_headers"]["warc-ip-address"]) == (len(chunked), "sha1:DEF", "192.0.2.1")
+
+
+def test_files_are_read_as_streams(spark, tmp_path, monkeypatch):
+    """By path as by content, whatever the size of the blocks; records that break off are left out."""
+    record = lambda i, kind, body: b"WARC/1.1\r\nWARC-Type: %s\r\nWARC-Record-ID: <r%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, i, len(body), body)
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>" + b"x" * 3000
+    records = [record(0, b"warcinfo", b"a"), record(1, b"response", page), record(2, b"request", b"b"), record(3, b"response", page + b"WARC/1.1"), record(4, b"response", page)]
+    whole = {"plain.warc": b"".join(records), "each.warc.gz": b"".join(map(gzip.compress, records)), "one.warc.gz": gzip.compress(b"".join(records)), "empty.warc": b"", "torn.warc": b"".join(records)[:-900], "torn.warc.gz": b"".join(map(gzip.compress, records))[:-40]}
+    for name, raw in whole.items():
+        (tmp_path / name).write_bytes(raw)
+        want = [1, 3] if "torn" in name else [] if "empty" in name else [1, 3, 4]
+        for block in (1 << 20, 7):
+            monkeypatch.setattr(warc, "BLOCK", block)
+            assert [h["warc-record-id"] for h, _ in warc.parse(io.BytesIO(raw)) if h["warc-type"] == "response"] == [f"<r{i}>" for i in want]
+        got = warc.read_responses(spark.createDataFrame([(f"file://{tmp_path}/{name}", 1)], "path string, body int")).collect()
+        assert sorted(r.record_id for r in got) == [f"<r{i}>" for i in want]
+        assert all(bytes(r.raw_body).startswith(b"<p>xxx") for r in got)
+    assert warc.read_responses(spark.createDataFrame([(None,)], "path string")).count() == 0

@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,34 +82,74 @@ def derive(responses: DataFrame) -> DataFrame:
 
 
 def responses_of(pages: DataFrame) -> DataFrame:
-    """Response records of a table of pages (page_id, url, html)."""
+    """Response records of a table of pages (page_id, url, html), one a row.
+
+    Null and empty pages are kept as they are; a null url gives a null address, and repeated rows give repeated records
+    with the same id. Other columns are left out, an empty table gives no rows.
+    """
     return pages.select("page_id", record_id(F.lit("response"), F.col("page_id").cast("string"), F.col("url")).alias("record_id"), F.col("url").alias("target_uri"), F.lit("1970-01-01T00:00:00Z").alias("date"), F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8").alias("http_headers"), F.col("html").alias("body"))
 
 
 # --- files ----------------------------------------------------------------------------------------------
 
 
-def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of a file, compressed record by record or not."""
-    if raw[:2] == b"\x1f\x8b":
-        plain = []
+BLOCK = 1 << 20
+
+
+def plain(stream) -> Iterator[bytes]:
+    """The bytes of an archive, block by block; gzip members, one a record as a rule, are undone as they come."""
+    first = stream.read(2)
+    if first != b"\x1f\x8b":
+        while first:
+            yield first
+            first = stream.read(BLOCK)
+        return
+    one, raw = zlib.decompressobj(31), first
+    while raw:
         while raw:
-            one = zlib.decompressobj(31)
-            plain.append(one.decompress(raw))
-            raw = one.unused_data
-        raw = b"".join(plain)
-    at = 0
-    while (at := raw.find(b"WARC/", at)) >= 0:
-        end = raw.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
+            out = one.decompress(raw, BLOCK)
+            if out:
+                yield out
+            raw = one.unconsumed_tail
+            if one.eof:
+                raw, one = one.unused_data.lstrip(b"\0"), zlib.decompressobj(31)
+            elif not raw and not out:
+                break
+        raw = stream.read(BLOCK)
+
+
+def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (lower-case names) and block of each record of an archive; one record is held at a time.
+
+    A last record that breaks off is left out; bytes between records are passed over.
+    """
+    blocks, held = plain(stream), bytearray()
+
+    def more() -> bool:
+        block = next(blocks, None)
+        held.extend(block or b"")
+        return block is not None
+
+    while True:
+        while (at := held.find(b"WARC/")) < 0:
+            del held[: max(0, len(held) - 4)]
+            if not more():
+                return
+        del held[:at]
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if not more():
+                return
         headers = {}
-        for line in raw[at:end].split(b"\r\n")[1:]:
+        for line in bytes(held[:end]).split(b"\r\n")[1:]:
             name, _, value = line.decode("utf-8", "replace").partition(":")
             headers[name.strip().lower()] = value.strip()
-        size = int(headers.get("content-length", "0") or 0)
-        yield headers, raw[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        size = headers.get("content-length", "")
+        size = int(size) if size.isdigit() else 0
+        while len(held) < end + 4 + size:
+            if not more():
+                return
+        yield headers, bytes(held[end + 4 : end + 4 + size])
+        del held[: end + 4 + size]
 
 
 def unchunked(body: bytes) -> bytes:
@@ -155,34 +196,58 @@ RESPONSE = "record_id string, target_uri string, date string, http_headers strin
 
 
 def read_responses(files: DataFrame) -> DataFrame:
-    """Response records of WARC files, given as binaryFile rows (path, content): the columns that derive() takes.
-
-    source_digest and block_digest are those of the record, null where it has none; warc_headers are all its
-    headers (lower-case names), raw_body the bytes that the digests are of.
+    """Response records of WARC files, one row of files for each: the columns that derive() takes.
+
+    A row has the file's address in path; the task that gets it reads the file as a stream, by pyarrow's file systems
+    (local, hdfs, s3, gs), and holds one record at a time. A row may have the bytes in content instead, as binaryFile
+    gives them. source_digest and block_digest are those of the record, null where it has none; warc_headers are all
+    its headers (lower-case names), raw_body the bytes that the digests are of. Rows without either give nothing, as do
+    empty files and records of other types; a record that breaks off is left out; repeated files give repeated
+    records; other columns are not looked at.
     """
+    source = "content" if "content" in files.columns else "path"
 
     def make():
         names = ["record_id", "target_uri", "date", "http_headers", "body", "source_digest", "block_digest", "warc_headers", "raw_body"]
         kinds = [*[pa.string()] * 7, pa.map_(pa.string(), pa.string()), pa.binary()]
 
+        def opened(value):
+            if source == "content":
+                return io.BytesIO(value)
+            system, path = fs.FileSystem.from_uri(value if "://" in value or value.startswith("file:") else "file://" + value)
+            return system.open_input_stream(path, compression=None)
+
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-            for content in batch.column("content"):
-                rows = []
-                for h, block in parse(content.as_py() or b""):
-                    if h.get("warc-type") == "response":
+            batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            for value in batch.column(0):
+                if not value.is_valid:
+                    continue
+                rows, held = [], 0
+                with opened(value.as_py()) as stream:
+                    for h, block in parse(stream):
+                        if h.get("warc-type") != "response":
+                            continue
                         head, _, body = block.partition(b"\r\n\r\n")
                         text = head.decode("utf-8", "replace")
                         rows.append((h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), text, body_text(text, body), h.get("warc-payload-digest"), h.get("warc-block-digest"), list(h.items()), body))
-                for i in range(0, len(rows), 500):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 500], strict=True), kinds, strict=True)], names=names)
+                        held += len(body)
+                        if held > 8 * BLOCK or len(rows) == 500:
+                            yield batch_of(rows)
+                            rows, held = [], 0
+                if rows:
+                    yield batch_of(rows)
 
         return each
 
-    return map_batches(files.select("content"), make, RESPONSE)
+    return map_batches(files.select(source), make, RESPONSE)
 
 
 def packed_records(records: DataFrame) -> DataFrame:
-    """records with warc, the record as the bytes of a file: compressed on its own, so that files can be concatenated."""
+    """records with warc, the record as the bytes of a file: compressed on its own, so that files can be concatenated.
+
+    A null date or address is written empty, a record without id, kind or content gets null bytes. Other columns are
+    carried along, an own warc is replaced; repeated rows and empty tables need no care.
+    """
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), "warc_type", F.lit("\r\nWARC-Record-ID: "), "record_id", F.lit("\r\nWARC-Date: "), F.coalesce("date", F.lit("")),
         F.lit("\r\nWARC-Target-URI: "), F.coalesce("target_uri", F.lit("")), F.lit("\r\nWARC-Refers-To: "), "refers_to", F.lit("\r\nWARC-Refers-To-Payload-Digest: "), "refers_to_digest",
@@ -197,7 +262,7 @@ def packed_records(records: DataFrame) -> DataFrame:
                 f.write(text.encode())
             return out.getvalue()
 
-        return texts.map(one)
+        return texts.map(one, na_action="ignore")
 
     return records.withColumn("warc", squeeze(head))
 
