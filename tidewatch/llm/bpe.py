@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from tidewatch.llm.common import table, tokenizer_path, with_columns
 
-LONG, LEAF, CACHE_WORDS = 1024, 512, 300_000
+LONG, LEAF, CACHE_WORDS, AT_ONCE = 1024, 512, 150_000, 2000
 PIECE = 2048  # characters of a piece of a text
 IDS = T.ArrayType(T.IntegerType())
 
@@ -152,8 +152,10 @@ class WordEncoder(dict):
         if len(self) + len(words) > self.most:
             self.clear()
         new = [w for w in words if w not in self and len(w) <= self.long]
-        for w, e in zip(new, self.bare.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[w] = array("i", e.ids).tobytes()
+        for i in range(0, len(new), AT_ONCE):  # the library's results are far larger than the ids
+            some = new[i : i + AT_ONCE]
+            for w, e in zip(some, self.bare.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self[w] = array("i", e.ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         tree = self.tree
