@@ -161,7 +161,11 @@ def _(spark, sf_dir):
     return writers.sarif_logs(findings.matches_to_findings(_saved(spark, sf_dir)))
 
 
-@query("summary_rows")
+_ESC = lambda x: rf"regexp_replace({x}, '([\\`*_{{}}\[\]()#+!|~-])', '\\\1', 'g')"
+
+
+@query("summary_rows", f"""WITH {_FINDINGS}, o AS (SELECT *, row_number() OVER (PARTITION BY target, version ORDER BY {_ORDER}) AS place, count(*) OVER (PARTITION BY target, version) AS n FROM fd)
+SELECT target, version, CAST(place AS INT) AS place, severity, confidence, {_ESC('rule_id')} AS rule, {_ESC("string_split(evidence, ':')[1] || ':' || string_split(evidence, ':')[2]")} AS first_evidence, head AS sets_verdict, greatest(0, n - 5) AS n_hidden FROM o WHERE place <= 5""")
 def _(spark, sf_dir):
     return writers.summary_rows(findings.matches_to_findings(_saved(spark, sf_dir)), 5)
 
