@@ -26,7 +26,7 @@ def brute(rows, d, cosine=0.95):
     return got
 
 
-@pytest.mark.parametrize("sparse", [0, 1, 4, 1000])
+@pytest.mark.parametrize("sparse", [0, 4])
 def test_links_are_those_of_all_pairs(spark, monkeypatch, sparse):
     monkeypatch.setattr(embedding_dups, "BLOCK_STORED", 50)
     monkeypatch.setattr(embedding_dups, "BLOCK_QUERIES", 70)
