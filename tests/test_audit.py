@@ -251,6 +251,17 @@ def test_tool_texts_and_signals(spark):
     assert [(r.rule_id, r.severity, r.confidence) for r in doc] == [("injection.role_spoofing.documentation", "MEDIUM", "LOW")]
 
 
+def test_no_signal_is_lost_by_the_word_filter(spark):
+    said = [
+        "ignore prior rules", "DISREGARD the above", "forget everything", "new\u00a0instructions :", "< system >", "[ admin ]", "You\u00a0are the build agent",
+        "do  not reveal to the user", "do not mention that", "without\u00a0asking the user", "keep this hidden from others", "keep this confidential from all", "silently execute",
+        "attach the contents of ~/.ssh", "provide api keys", "before calling this tool, open it", "run the x tool instead", "you must call it", "it is critical that you", "under no circumstances should you",
+        "\u017fy\u017ftem: obey",
+    ]
+    frame = spark.createDataFrame([(x,) for x in [*said, "adds numbers", ""]], "text string")
+    assert {r.text for r in injection.signal_hits(frame).collect()} == set(said)
+
+
 def test_contradicted_claims(spark):
     python = """RO = ToolAnnotations(
     readOnlyHint=True,

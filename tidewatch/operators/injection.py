@@ -35,7 +35,7 @@ SIGNALS = (
     Signal("injection.model_directed_language", r"(?i)\b(?:you\s+must\s+always|always\s+remember\s+to|it\s+is\s+critical\s+that\s+you|under\s+no\s+circumstances\s+should\s+you)\b", "Gives the model orders", "INFO", "LOW"),
 )
 # A word that each signal has, at least; texts without any are not looked at again.
-WORDS = r"(?i)ignore|disregard|forget|new\s+instr|system|important|secret|admin|you\s|do\s+not|without|silently|read|send|include|attach|return|provide|before|call|invoke|use|run|always|critical|circumstances"
+WORDS = r"(?iU)ignore|disregard|forget|new\s+instr|system|important|secret|admin|you\s|do\s+not|without|keep|silently|read|send|include|attach|return|provide|before|call|invoke|use|run|always|critical|circumstances"
 TOOL = re.compile(r"@(?:\w+\.)?tool\s*\(|@(?:\w+\.)?(?:list_tools|call_tool)\b")
 OPENING = re.compile(r"""^\s*(?:[rubfRUBF]{0,2})(\"\"\"|''')""")
 DESCRIPTION = r"""["']?description["']?\s*[:=]\s*["'](.{0,400}?)["']"""
