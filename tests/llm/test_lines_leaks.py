@@ -113,3 +113,15 @@ def test_short_items_and_parts(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "SEED_ROWS", rows)
         monkeypatch.setattr(decontaminate, "MOST_PARTS", parts)
         assert {tuple(r) for r in decontaminate.overlaps(d, b).collect()} == want
+
+
+def test_lines_that_a_polynomial_hash_confuses_are_kept(spark):
+    """Orders of two words, and of two lines, that every polynomial hash modulo 2^64 takes for their complements."""
+    bits = [bin(i).count("1") & 1 for i in range(512)]
+    line = lambda flip: " ".join("ab"[x ^ flip] for x in bits)
+    lines = lambda flip: "\n".join(("one two", "six ten")[x ^ flip] for x in bits)
+    rows = [(1, f"first\n{line(0)}"), (2, f"second\n{line(1)}"), (3, f"third\n{lines(0)}"), (4, f"fourth\n{lines(1)}")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least=600).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == rows
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text, r.lines_removed) for r in got) == sorted(brute_lines(rows, line_dedup.WORDS))

@@ -125,3 +125,17 @@ def test_scores_do_not_depend_on_the_batch(text):
     alone = model.logits(*language_id.packed([text.encode()]))
     among = model.logits(*language_id.packed([b"", b"x", text.encode(), b"yy"]))[2:3]
     assert abs(alone - among).max() < 1e-9
+
+
+def test_words_that_a_polynomial_hash_confuses_are_apart(spark):
+    """4,096 letters in an order that every polynomial hash modulo 2^64 takes for its complement."""
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    rows = [(k, "".join("ab"[x ^ k] for x in bits)) for k in (0, 1)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (1, 0), 1: (1, 1)}
+
+
+def test_words_are_forgotten_and_found_again():
+    small, large = near_dups.Words(most=20), near_dups.Words()
+    words = [b"the", b"a" * 70, b"cat", b"sat", b"on", b"longer-word"] * 3
+    assert [small[w] for w in words] == [large[w] for w in words] and small.held <= 20

@@ -4,6 +4,8 @@ A window is a shortest run of consecutive lines that holds least words, taken fo
 backwards from each line; equal runs have equal windows, and the windows inside a run of enough words cover
 all of it. The line of the smallest hash of a window is its fingerprint: a guaranteed one, as equal windows
 choose the same line. Only these minima are kept, each with its phrase, the lines that its windows reach.
+Lines stand as 128-bit BLAKE2 digests of their bytes and phrases as digests of those, so that, unlike with a
+polynomial hash, no text can be made whose lines count as others'.
 
 Places of one fingerprint are joined. Places of equal phrases need no look: each but the first is a repeat.
 The first places of different phrases are held against each other, and a match is extended line by line both
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import by_group, fresh, join_hot, map_batches, mix, prefix_hash, slices, span_hash, table, texts_of, written
+from tidewatch.llm.common import by_group, fresh, join_hot, map_batches, slices, table, texts_of, written
 
 WORDS = 50
 PHRASES = 64  # phrases of a fingerprint that are held against each other
@@ -31,25 +33,28 @@ BROADCAST_BYTES = 32 << 20  # of deleted runs, at 24 bytes each
 CHUNK = 1 << 22  # bytes of one text that are hashed at once
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_UP = np.uint64(0xD6E8FEB86659FD93)
-_DOWN = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+WIDE = 16  # bytes of a digest
 
 
-def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """text, start and end (bytes), hash and words of each line that is not blank; lines end at a line feed."""
+def digest(content: bytes) -> bytes:
+    return hashlib.blake2b(content, digest_size=WIDE).digest()
+
+
+def lines_of(data: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> tuple[np.ndarray, ...]:
+    """text, start and end (bytes), digest (two numbers) and words of each line that is not blank; lines end at a line feed."""
     if len(offsets) == 2 and len(data) > CHUNK:  # one long text: piece by piece, cut at line feeds
         found, at = [], 0
         while at < len(data):
             rest = np.flatnonzero(data[at + CHUNK :] == 10)[:1]
             to = at + CHUNK + int(rest[0]) + 1 if len(rest) else len(data)
-            text, start, end, line, words = _lines_of(data[at:to], np.array([0, to - at]))
+            text, start, end, line, words = _lines_of(data[at:to], np.array([0, to - at]), hashed)
             found.append((text, start + at, end + at, line, words))
             at = to
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-    return _lines_of(data, offsets)
+    return _lines_of(data, offsets, hashed)
 
 
-def _lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def _lines_of(data: np.ndarray, offsets: np.ndarray, hashed: bool) -> tuple[np.ndarray, ...]:
     n = len(data)
     cut = np.flatnonzero(data == 10)
     start = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], cut + 1]))
@@ -62,9 +67,11 @@ def _lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     begins[start[~gap[start]]] = True
     counted = np.concatenate([[0], np.cumsum(begins)])
     words = counted[end] - counted[start]
-    prefix, down = prefix_hash(data)
     full = words > 0
-    return text[full], start[full], end[full], span_hash(prefix, down, start, end)[full], words[full]
+    text, start, end, words = text[full], start[full], end[full], words[full]
+    raw = data.tobytes() if hashed else b""
+    line = b"".join([digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]) if hashed else bytes(WIDE * len(start))
+    return text, start, end, np.frombuffer(line, "<u8").reshape(-1, 2), words
 
 
 def windows_of(text: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,39 +105,22 @@ def lowest(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarra
     return out
 
 
-class Sums:
-    """Hashes of runs of lines."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def of(self, line: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        n = len(line)
-        if len(self.up) <= n:
-            self.up = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(2 * n, _UP))])
-            self.down = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(2 * n, _DOWN))])
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(line * self.up[:n])])
-        return mix((sums[last + 1] - sums[first]) * self.down[first] + (last - first).astype(np.uint64))
-
-
 def text_mark(text: bytes) -> int:
     """Tells texts with one id apart."""
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
-PLACE = "mark bigint, at int, fingerprint bigint, phrase bigint, before int, lines binary, words binary"
+PLACE = "mark bigint, at int, fingerprint bigint, phrase binary, before int, lines binary, words binary"
 
 
 def places_of(docs: DataFrame, least: int) -> DataFrame:
     """(id, mark, at, fingerprint, phrase, before, lines, words): the window minima of each text.
 
-    at is the number of the line among those that are not blank. lines are the hashes of the phrase's lines, before
-    of them above the fingerprint, words their numbers of words; phrase is the hash of all of it.
+    at is the number of the line among those that are not blank. lines are the digests of the phrase's lines, before
+    of them above the fingerprint, words their numbers of words; phrase is the digest of all of it.
     """
 
     def make():
-        sums = Sums()
-
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
             data, offsets = texts_of(batch.column("text"))
             ids = batch.column("id")
@@ -143,19 +133,20 @@ def places_of(docs: DataFrame, least: int) -> DataFrame:
                 first, last = windows_of(doc, words, least)
                 if not len(first):
                     continue
-                chosen = lowest(line, first, last)
+                chosen = lowest(line[:, 0], first, last)
                 order = np.argsort(chosen, kind="stable")
                 place, new = np.unique(chosen[order], return_index=True)
                 lo, hi = np.minimum.reduceat(first[order], new), np.maximum.reduceat(last[order], new)
-                phrase = mix(sums.of(line, lo, hi) + (place - lo).astype(np.uint64))
                 start = np.searchsorted(doc, doc[place])
-                raw, counts = line.astype("<u8").tobytes(), words.astype("<u4").tobytes()
+                raw, counts = line.tobytes(), words.astype("<u4").tobytes()
+                before, lines = (place - lo).astype(np.int32), [raw[WIDE * x : WIDE * (y + 1)] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                phrase = [digest(x.to_bytes(4, "little") + y) for x, y in zip(before.tolist(), lines, strict=True)]
                 full = np.unique(doc[place])
                 marks = dict(zip(full.tolist(), (text_mark(part[at[i] : at[i + 1]].tobytes()) for i in full.tolist()), strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(a, b - a).take(pa.array(doc[place])), pa.array([marks[i] for i in doc[place].tolist()], pa.int64()), pa.array((place - start).astype(np.int32)), pa.array(line[place].view(np.int64)), pa.array(phrase.view(np.int64)),
-                        pa.array((place - lo).astype(np.int32)), pa.array([raw[8 * x : 8 * y + 8] for x, y in zip(lo.tolist(), hi.tolist())], pa.binary()), pa.array([counts[4 * x : 4 * y + 4] for x, y in zip(lo.tolist(), hi.tolist())], pa.binary()),
+                        ids.slice(a, b - a).take(pa.array(doc[place])), pa.array([marks[i] for i in doc[place].tolist()], pa.int64()), pa.array((place - start).astype(np.int32)), pa.array(line[place, 0].astype(np.uint64).view(np.int64)), pa.array(phrase, pa.binary()),
+                        pa.array(before), pa.array(lines, pa.binary()), pa.array([counts[4 * x : 4 * y + 4] for x, y in zip(lo.tolist(), hi.tolist())], pa.binary()),
                     ],
                     names=["id", "mark", "at", "fingerprint", "phrase", "before", "lines", "words"],
                 )
@@ -165,7 +156,7 @@ def places_of(docs: DataFrame, least: int) -> DataFrame:
     return map_batches(docs, make, f"id {docs.schema['id'].dataType.simpleString()}, {PLACE}")
 
 
-def extended(one: list[int], i: int, two: list[int], j: int) -> tuple[int, int]:
+def extended(one: list[bytes], i: int, two: list[bytes], j: int) -> tuple[int, int]:
     """How many lines above and below the places i and j are equal, too."""
     up = 0
     while up < min(i, j) and one[i - up - 1] == two[j - up - 1]:
@@ -176,11 +167,14 @@ def extended(one: list[int], i: int, two: list[int], j: int) -> tuple[int, int]:
     return up, down
 
 
-def matches_of(group: dict[str, list], least: int) -> list[tuple]:
-    """(place_id, place_mark, place_at, up, down): how far first places of a fingerprint's phrases, in their order, match earlier ones."""
+def matches_of(group: dict[str, list], least: int, wide: int = 8) -> list[tuple]:
+    """(place_id, place_mark, place_at, up, down): how far first places of a fingerprint's phrases, in their order, match earlier ones.
+
+    wide is the number of bytes that stand for a line.
+    """
     known, out = [], []
     for *place, before, lines, words in zip(*(group[c] for c in ("place_id", "place_mark", "place_at", "before", "lines", "words"))):
-        own, found = np.frombuffer(lines, "<u8").tolist(), set()
+        own, found = [lines[x : x + wide] for x in range(0, len(lines), wide)], set()
         if known:
             total = [0, *np.cumsum(np.frombuffer(words, "<u4"), dtype=np.int64).tolist()]
             for other, k in known:
@@ -196,21 +190,20 @@ def crowd_windows(classes: DataFrame, least: int) -> DataFrame:
     """(phrase's first place, content, up, down) of each window of each phrase; up and down may be negative."""
 
     def make():
-        sums = Sums()
-
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-            line, counts = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in (("lines", "<u8"), ("words", "<u4")))
-            size = pa.compute.binary_length(batch.column("lines")).to_numpy() // 8
+            raw, counts = b"".join(batch.column("lines").to_pylist()), np.frombuffer(b"".join(batch.column("words").to_pylist()), "<u4")
+            size = pa.compute.binary_length(batch.column("lines")).to_numpy() // WIDE
             own = np.repeat(np.arange(len(size)), size)
             first, last = windows_of(own, counts.astype(np.int64), least)
             at = own[first]
+            content = [digest(raw[WIDE * x : WIDE * (y + 1)]) for x, y in zip(first.tolist(), last.tolist(), strict=True)]
             place = (np.cumsum(size) - size + batch.column("before").to_numpy())[at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in ("place_id", "place_mark", "place_at")), pa.array(sums.of(line, first, last).view(np.int64)), pa.array((place - first).astype(np.int32)), pa.array((last - place).astype(np.int32))], names=["place_id", "place_mark", "place_at", "content", "up", "down"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in ("place_id", "place_mark", "place_at")), pa.array(content, pa.binary()), pa.array((place - first).astype(np.int32)), pa.array((last - place).astype(np.int32))], names=["place_id", "place_mark", "place_at", "content", "up", "down"])
 
         return each
 
     kind = classes.schema["place_id"].dataType.simpleString()
-    return map_batches(classes.select("place_id", "place_mark", "place_at", "before", "lines", "words"), make, f"place_id {kind}, place_mark bigint, place_at int, content bigint, up int, down int")
+    return map_batches(classes.select("place_id", "place_mark", "place_at", "before", "lines", "words"), make, f"place_id {kind}, place_mark bigint, place_at int, content binary, up int, down int")
 
 
 def repeated_runs(docs: DataFrame, least: int) -> DataFrame:
@@ -223,7 +216,7 @@ def repeated_runs(docs: DataFrame, least: int) -> DataFrame:
     again = classes.where("again").select("phrase", F.struct(F.col("place_id").alias("id"), F.col("place_mark").alias("mark"), F.col("place_at").alias("at")).alias("first"), F.octet_length("lines").alias("size")).groupBy("phrase").agg(F.min("first").alias("first"), F.max("size").alias("size"))
     own = places.select("id", "mark", "at", "before", "phrase")
     copies = join_hot(own, again, "phrase").where(place > F.col("first"))
-    runs = copies.select("id", "mark", (F.col("at") - F.col("before")).alias("first"), (F.col("at") - F.col("before") + F.col("size") / 8 - 1).cast("int").alias("last"))
+    runs = copies.select("id", "mark", (F.col("at") - F.col("before")).alias("first"), (F.col("at") - F.col("before") + F.col("size") / WIDE - 1).cast("int").alias("last"))
     # Different phrases around one fingerprint.
     shared = written(classes.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     near = join_hot(classes.drop("again"), shared, "fingerprint", shared)
@@ -234,7 +227,7 @@ def repeated_runs(docs: DataFrame, least: int) -> DataFrame:
     n_rows = shared.where(F.col("n") <= PHRASES).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     place_order = ["place_id", "place_mark", "place_at"]
     some = some.select("fingerprint", *place_order, "before", "lines", "words")
-    matched = by_group(some, ["fingerprint"], place_order, n_rows, lambda g: matches_of(g, least), f"place_id {kind}, place_mark bigint, place_at int, up int, down int")
+    matched = by_group(some, ["fingerprint"], place_order, n_rows, lambda g: matches_of(g, least, WIDE), f"place_id {kind}, place_mark bigint, place_at int, up int, down int")
     runs = runs.union(matched.select(*named))
     if shared.where(F.col("n") > PHRASES).limit(1).count():
         windows = written(crowd_windows(near.where(F.col("n") > PHRASES), least), "windows")
@@ -251,7 +244,7 @@ def shortened(texts: pa.Array, own: np.ndarray, first: np.ndarray, last: np.ndar
     own, first, last = own[order], first[order], last[order]
     for a, b in slices(offsets):
         part, edge = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        text, start, end, _, _ = lines_of(part, edge)
+        text, start, end, _, _ = lines_of(part, edge, hashed=False)
         x, y = np.searchsorted(own, [a, b])
         base = np.searchsorted(text, own[x:y] - a)
         top, reach = start[base + first[x:y]], end[base + last[x:y]]
@@ -279,7 +272,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     """docs with later repeats of line runs deleted from the text, and lines_removed, their number.
 
     A line goes if it lies in a run of consecutive lines, of least words in all, whose equal starts earlier:
-    in a smaller key, or higher up in the same text. Lines are compared byte by byte, blank lines are passed
+    in a smaller key, or higher up in the same text. Lines are compared by 128-bit BLAKE2 digests of their bytes, blank lines are passed
     over (they go if they lie inside a deleted run), words are separated by ASCII white space. Runs may
     overlap their source. Other columns are kept, whatever their names, an own lines_removed is replaced. Null
     and empty texts stay as they are; rows with a null key are neither sources nor changed; rows that repeat both

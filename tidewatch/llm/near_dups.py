@@ -1,6 +1,6 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-1. Each text gives the set of its distinct word shingles (hashed to 64 bits), a key of the whole set and a
+1. Each text gives the set of its distinct word shingles (64-bit mixes of BLAKE2 hashes of their words), a key of the whole set and a
    MinHash signature. Texts of equal sets become one node.
 2. Signatures are cut into bands; nodes that share a band value are candidates. In each bucket every
    member is compared with the member that shares most bands with others (the likeliest original).
@@ -18,13 +18,14 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import BROADCAST_ROWS, by_group, connected, join_hot, map_batches, mix, prefix_hash, slices, span_hash, table, texts_of, written
+from tidewatch.llm.common import BROADCAST_ROWS, by_group, connected, join_hot, map_batches, mix, slices, table, texts_of, written
 
 SHINGLE, SLOTS, ROWS, BATCH = 5, 126, 6, 18
 MISS = 1e-6
@@ -32,8 +33,6 @@ BLOCK, SIGNATURE_BLOCK = 256, 2048  # rows with sets, and with signatures alone,
 PAIRS = 4  # pairs of two components in a block that are verified one by one
 CHUNK = 1 << 22  # bytes of one text that are hashed at once
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _rng = np.random.default_rng(20240229)
@@ -54,17 +53,32 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return _word_hashes(data, offsets)
 
 
+class Words(dict):
+    """Word -> its BLAKE2 hash of 64 bits; remembered up to a number of characters."""
+
+    def __init__(self, most: int = 8_000_000) -> None:
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            self.held += len(word)
+            if self.held > self.most:
+                self.clear()
+                self.held = len(word)
+            self[word] = value
+        return value
+
+
+WORDS = Words()
+
+
 def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    data = _LOWER[data]
-    gap = _SPACE[data]
-    first = np.zeros(len(data) + 1, bool)
-    first[offsets] = True
-    before = np.concatenate([[True], gap[:-1]]) | first[:-1] if len(data) else gap
-    after = np.concatenate([gap[1:], [True]]) | first[1:] if len(data) else gap
-    start, end = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
-    prefix, down = prefix_hash(data)
-    counts = np.diff(np.searchsorted(start, offsets))
-    return span_hash(prefix, down, start, end), counts
+    raw, edges = data.tobytes().lower(), offsets.tolist()  # bytes: A-Z only, and split() at ASCII white space
+    words = [raw[a:b].split() for a, b in zip(edges, edges[1:], strict=False)]
+    counts = np.array([len(w) for w in words], np.int64)
+    return np.fromiter(map(WORDS.__getitem__, chain.from_iterable(words)), np.uint64, int(counts.sum())), counts
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> list[np.ndarray]:
