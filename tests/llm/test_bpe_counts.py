@@ -110,3 +110,22 @@ def test_a_full_cache_changes_nothing():
     small, texts = bpe.WordEncoder(WORD, most=3), ["the cat", "a dog and the cat", "one two three four five", "the cat<|endoftext|>"]
     for t in texts * 2:
         assert list(memoryview(small.encode([t])[0]).cast("i")) == small.library.encode(t, add_special_tokens=False).ids
+
+
+def test_given_documents_come_through_joins_of_ids(spark, monkeypatch):
+    """Documents of more than one piece are joined as ids; without encoding ids again around the joins they come out wrong."""
+    encoder, joins = bpe.WordEncoder(WORD), []
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text and len(r.text) > bpe.PIECE]
+    want = [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
+    got = lambda: [list(memoryview(x).cast("i")) for x in encoder.encode(texts)]
+    join = bpe.TextTree.join
+
+    def counted(self, text, start, cut, end, left, right):
+        joins.append(all(isinstance(i, int) for i in (*left[:3], *right[:3])))
+        return join(self, text, start, cut, end, left, right)
+
+    monkeypatch.setattr(bpe.TextTree, "join", counted)
+    assert got() == want and len(joins) >= len(texts) > 100 and all(joins)
+    assert any(len(t) > bpe.MANY * bpe.PIECE for t in texts)
+    monkeypatch.setattr(bpe.TextTree, "join", lambda self, text, start, cut, end, left, right: [*left, *right])
+    assert got() != want

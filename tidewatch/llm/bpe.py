@@ -1,11 +1,11 @@
 """BPE encoding and decoding, exactly as the library does it, by tree concatenation.
 
-A text is cut into pieces at fixed places, wherever they fall. Pieces are encoded on their own and then joined
-pair by pair, as a tree: a window around each join is encoded again, and grows until its first and last words
-are those that both sides had there. Words are cut by white space at least, so a window that begins and ends
-at white space and agrees with both sides is what the whole text would give. A pre-token without white space
-that is too long to be looked up is encoded by the same tree on its symbols, with tokens in place of words.
-Ordinary pre-tokens come from a bounded cache, and from the library on a miss.
+A normalised text is halved down to pieces at fixed places, wherever they fall. Each piece is encoded to ids on its own, those
+of a long text side by side in threads. Then ids are joined pair by pair, as a tree: a window of text around each
+join is encoded again, and grows until its ids begin and end like those that both sides had there. Windows begin
+and end at white space, where a word ends at least. A pre-token without white space that is too long to be
+looked up is encoded by the same tree on its symbols. Ordinary pre-tokens come from a bounded cache, and from the
+library on a miss.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from tidewatch.llm.common import table, tokenizer_path, with_columns
 
 LONG, LEAF, CACHE_WORDS, AT_ONCE = 1024, 512, 150_000, 2000
 PIECE = 2048  # characters of a piece of a text
+MANY = 16  # pieces from which on the library encodes them whole, in threads
 IDS = T.ArrayType(T.IntegerType())
 
 #: Characters whose class and case are the same in every Unicode version in use; texts of other ones go to the library whole.
@@ -87,22 +88,22 @@ def known(path: str) -> str:
 
 
 class TextTree:
-    """Cuts a normalised text into pre-tokens by tree concatenation; split gives the pre-tokens of a piece."""
+    """Encodes a normalised text to ids by tree concatenation; encode gives the ids of each of some stretches of text."""
 
-    def __init__(self, split: Callable[[str], list[str]], piece: int = PIECE) -> None:
-        self.split, self.piece = split, max(1, piece)
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], piece: int = PIECE) -> None:
+        self.encode, self.piece = encode, max(1, piece)
 
-    def words(self, text: str) -> list[str]:
+    def ids(self, text: str) -> list[int]:
         cuts = list(range(self.piece, len(text), self.piece))
-        parts = [self.split(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        parts = self.encode([text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)])
         while len(parts) > 1:
             edges = [0, *cuts, len(text)]
             parts = [self.join(text, edges[i], edges[i + 1], edges[i + 2], parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
             cuts = cuts[1::2]
         return parts[0]
 
-    def join(self, text: str, start: int, cut: int, end: int, left: list[str], right: list[str]) -> list[str]:
-        """The words of text[start:end] from those of its halves."""
+    def join(self, text: str, start: int, cut: int, end: int, left: list[int], right: list[int]) -> list[int]:
+        """The ids of text[start:end] from those of its halves."""
         n = 16
         while True:
             a, b = max(start, cut - n), min(end, cut + n)
@@ -110,7 +111,7 @@ class TextTree:
                 a = max(start, text.rfind(" ", start, a + 1), text.rfind("\n", start, a + 1))
             if b < end:
                 b = min([x for x in (text.find(" ", b, end), text.find("\n", b, end)) if x >= 0], default=end)
-            before, after, again = self.split(text[a:cut]), self.split(text[cut:b]), self.split(text[a:b])
+            before, after, again = self.encode([text[a:cut], text[cut:b], text[a:b]])
             agree = (a == start or (again[:1] == before[:1] and left[len(left) - len(before) :] == before)) and (b == end or (again[-1:] == after[-1:] and right[: len(after)] == after))
             if agree:
                 return [*left[: len(left) - len(before)], *again, *right[len(after) :]]
@@ -162,19 +163,44 @@ class WordEncoder(dict):
         tree = self.tree
         return np.asarray(tree.encode(self.to_bytes.pre_tokenize_str(word)[0][0]), "<i4").tobytes()
 
-    def words(self, segment: str) -> list[str]:
-        """Pre-tokens of a text: Python's tables where they are surely the library's, else its own normaliser and splitter."""
+    @cached_property
+    def unsplit(self) -> Callable[[str], list[int]]:
+        """Encodes normalised text whole, by the library, which leaves Python's lock meanwhile."""
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer(self.library.model)
+        whole.pre_tokenizer = self.library.pre_tokenizer
+        return lambda text: whole.encode(text, add_special_tokens=False).ids
+
+    def words(self, segment: str) -> list[str | bytes]:
+        """Pre-tokens of a text, or the ids of a longer one as bytes.
+
+        Python's tables are used where they are surely the library's, else its own normaliser and splitter.
+        """
         if not UNSAFE.search(segment):
             whole, split = unicodedata.normalize("NFC", segment).lower(), WORDS.findall
         else:
             whole, split = self.library.normalizer.normalize_str(segment), self.split
-        return TextTree(split, self.piece).words(whole) if len(whole) > self.piece else split(whole)
+        if len(whole) <= self.piece:
+            return split(whole)
+
+        def encode(texts: list[str]) -> list[list[int]]:
+            if len(texts) >= MANY:
+                with ThreadPoolExecutor(2) as pool:
+                    return list(pool.map(self.unsplit, texts))
+            parts = [split(t) for t in texts]
+            seen = set().union(*parts)
+            if new := seen.difference(self):
+                self.learn(seen if len(self) + len(new) > self.most else new)
+            return [np.frombuffer(b"".join(map(self.__getitem__, p)), "<i4").tolist() for p in parts]
+
+        return [np.asarray(TextTree(encode, self.piece).ids(whole), "<i4").tobytes()]
 
     def split(self, text: str) -> list[str]:
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def parts(self, text: str | None) -> list[str | bytes]:
-        """Pre-tokens, and special tokens as their ids' bytes."""
+        """Pre-tokens; special tokens and longer texts as their ids' bytes."""
         if not text:
             return []
         if not self.cut or "<|" not in text:
