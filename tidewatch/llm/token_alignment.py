@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -110,52 +111,64 @@ def sentence_pieces(path: str) -> Pieces:
     return Pieces(lambda t: [t], lambda texts: sp.encode([t[1:] for t in texts], num_threads=1), token)
 
 
-def diagonal_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[int], list[int]]:
+def diagonal_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token numbers at which groups end, in both lists of byte ends, whose last ends are the same."""
-    a, b = ends_a.astype("<i8"), ends_b.astype("<i8")
-    bytes_a, bytes_b, list_a, list_b = a.tobytes(), b.tobytes(), a.tolist(), b.tolist()
-    cut_a: list[int] = []
-    cut_b: list[int] = []
+    bytes_a, bytes_b, list_a, list_b = ends_a.astype("<i8").tobytes(), ends_b.astype("<i8").tobytes(), ends_a.tolist(), ends_b.tolist()
+    irregular: list[tuple[int, int]] = []  # first and last A token of each irregular group
     i = j = 0
     n, m = len(list_a), len(list_b)
     while i < n:
-        at, step = i, 1  # on the diagonal j - i
-        while i + step <= n and j + step <= m and bytes_a[8 * i : 8 * (i + step)] == bytes_b[8 * j : 8 * (j + step)]:
-            i, j, step = i + step, j + step, step * 2
-        while step := step // 2:  # the difference lies less than the last step ahead
-            if i + step <= n and j + step <= m and bytes_a[8 * i : 8 * (i + step)] == bytes_b[8 * j : 8 * (j + step)]:
-                i, j = i + step, j + step
-        if i > at:
-            cut_a.extend(range(at + 1, i + 1))
-            cut_b.extend(range(at + 1 + j - i, j + 1))
-        if i < n:
-            x, y = list_a[i], list_b[j]
-            i += 1
-            j += 1
-            while x != y:
-                if x < y:
-                    x = list_a[i]
-                    i += 1
-                else:
-                    y = list_b[j]
-                    j += 1
-            cut_a.append(i)
-            cut_b.append(j)
-    return cut_a, cut_b
-
-
-def group_text(a: list[str], b: list[str], cut_a: list[int], cut_b: list[int]) -> str:
-    """The groups as `a1,a2|b1;a3|b2,b3`."""
-    out, i, j = [], 0, 0
-    for x, y in zip(cut_a, cut_b, strict=True):
-        out.append((a[i] if x == i + 1 else ",".join(a[i:x])) + "|" + (b[j] if y == j + 1 else ",".join(b[j:y])))
-        i, j = x, y
-    return ";".join(out)
-
-
-def link_keys(a: np.ndarray, b: np.ndarray, cut_a: list[int], cut_b: list[int], size_b: int) -> tuple[np.ndarray, np.ndarray, int]:
+        x, y = list_a[i], list_b[j]
+        if x == y:  # on the diagonal j - i: step on while the ends agree, twice as far each time
+            i, j, step = i + 1, j + 1, 2
+            while i + step <= n and j + step <= m and bytes_a[8 * i : 8 * (i + step)] == bytes_b[8 * j : 8 * (j + step)]:
+                i, j, step = i + step, j + step, step * 2
+            while step := step // 2:  # the difference lies less than the last step ahead
+                if i + step <= n and j + step <= m and bytes_a[8 * i : 8 * (i + step)] == bytes_b[8 * j : 8 * (j + step)]:
+                    i, j = i + step, j + step
+            continue
+        at = i
+        i, j = i + 1, j + 1
+        while x != y:
+            if x < y:
+                x = list_a[i]
+                i += 1
+            else:
+                y = list_b[j]
+                j += 1
+        irregular.append((at, i - 1))
+    is_end = np.ones(n, bool)
+    if irregular:
+        first, last = np.array(irregular).T
+        change = np.zeros(n + 1, np.int64)
+        np.add.at(change, first, 1)
+        np.add.at(change, last, -1)
+        is_end = np.cumsum(change[:-1]) == 0
+    cut_a = np.flatnonzero(is_end) + 1
+    return cut_a, np.searchsorted(ends_b, ends_a[cut_a - 1]) + 1
+
+
+class GroupText:
+    """Groups as `a1,a2|b1;a3|b2,b3`: every id with the sign after it is one string of a table."""
+
+    def __init__(self, names_a: list[str], names_b: list[str]) -> None:
+        self.size_a, self.size_b = len(names_a), len(names_b)
+        self.table = [f"{x}{sign}" for names, signs in ((names_a, ",|"), (names_b, ",;")) for sign in signs for x in names]
+
+    def of(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> str:
+        shown = np.empty(len(a) + len(b), np.int64)
+        wide_a, wide_b = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
+        ids_a, ids_b = a.astype(np.int64), b.astype(np.int64) + 2 * self.size_a
+        ids_a[cut_a - 1] += self.size_a
+        ids_b[cut_b - 1] += self.size_b
+        shown[np.arange(len(a)) + np.repeat(cut_b - wide_b, wide_a)] = ids_a  # after the B tokens of earlier groups
+        shown[np.arange(len(b)) + np.repeat(cut_a, wide_b)] = ids_b  # after the A tokens up to its own group
+        return "".join(map(self.table.__getitem__, shown.tolist()))[:-1]
+
+
+def link_keys(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, size_b: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Distinct keys a * size_b + b of linked ids in order, how often each is linked, and the number of links."""
-    end_a, end_b = np.array(cut_a), np.array(cut_b)
+    end_a, end_b = np.asarray(cut_a), np.asarray(cut_b)
     from_a, from_b = np.concatenate([[0], end_a[:-1]]), np.concatenate([[0], end_b[:-1]])
     wide_a, wide_b = end_a - from_a, end_b - from_b
     links = wide_a * wide_b
@@ -176,6 +189,13 @@ def link_keys(a: np.ndarray, b: np.ndarray, cut_a: list[int], cut_b: list[int],
     return keys, times, int(links.sum())
 
 
+@lru_cache(1)
+def sides(path_a: str, path_b: str) -> tuple[Pieces, Pieces, GroupText]:
+    """Both tokenizers with what they remember, kept by a worker for its next task."""
+    a, b = byte_level(path_a), sentence_pieces(path_b)
+    return a, b, GroupText(a.names, b.names)
+
+
 def align_tokens(docs: DataFrame, text: str = "text", byte_tokenizer: str | None = None, piece_model: str | None = None) -> DataFrame:
     """docs with n_a, n_b, n_groups, n_links, groups, link_keys and link_times.
 
@@ -192,7 +212,7 @@ def align_tokens(docs: DataFrame, text: str = "text", byte_tokenizer: str | None
     fields = [T.StructField(c, T.StringType() if c == "groups" else T.ArrayType(T.LongType()) if c == "link_keys" else T.ArrayType(T.IntegerType()) if c == "link_times" else T.LongType()) for c in COLUMNS]
 
     def make() -> Callable[[pa.RecordBatch], list[pa.Array]]:
-        side_a, side_b = byte_level(path_a), sentence_pieces(path_b)
+        side_a, side_b, shown = sides(path_a, path_b)
 
         def each(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = batch.column(text).to_pylist()
@@ -208,8 +228,7 @@ def align_tokens(docs: DataFrame, text: str = "text", byte_tokenizer: str | None
                     continue
                 cut_a, cut_b = diagonal_groups(np.cumsum(side_a.lengths[a]), np.cumsum(side_b.lengths[b]))
                 own, often, links = link_keys(a, b, cut_a, cut_b, base)
-                names_a, names_b = side_a.names, side_b.names
-                rows.append((len(a), len(b), len(cut_a), links, group_text([names_a[i] for i in a.tolist()], [names_b[i] for i in b.tolist()], cut_a, cut_b)))
+                rows.append((len(a), len(b), len(cut_a), links, shown.of(a, b, cut_a, cut_b)))
                 keys.append(own)
                 times.append(often.astype("<i4").tobytes())
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
