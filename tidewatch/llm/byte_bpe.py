@@ -18,6 +18,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -257,8 +258,14 @@ class CorpusEncoder(dict):
         return out
 
 
+@lru_cache(1)
+def worker_encoder(path: str) -> CorpusEncoder:
+    """The encoder with what it remembers, kept by a worker for its next task."""
+    return CorpusEncoder(path)
+
+
 def _ids_of(path: str, text: str) -> Callable[[pa.RecordBatch], pa.Array]:
-    encoder = CorpusEncoder(path)
+    encoder = worker_encoder(path)
     return lambda batch: lists_of(encoder.encode(batch.column(text).to_pylist()))
 
 
