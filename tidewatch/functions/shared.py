@@ -5,21 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame, name: str = "step") -> DataFrame:
-    """df as a written table: computed once for all that reads it, and not lost with an executor.
-
-    The folder is the session's spark.checkpoint.dir; a temporary one is made only where none is set on a local master (tests).
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a temporary folder is made only where none is set on a local master (tests)."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set: steps have to be written where all machines can read them")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tidewatch-{name}-{uuid.uuid4().hex[:12]}"
+    return folder.rstrip("/")
+
+
+def saved(df: DataFrame, name: str = "step") -> DataFrame:
+    """df as a written table in the shared folder: computed once for all that reads it, and not lost with an executor."""
+    path = f"{shared_folder(df.sparkSession)}/tidewatch-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

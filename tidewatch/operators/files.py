@@ -45,6 +45,37 @@ def file_cap(files: DataFrame, most: int) -> DataFrame:
     return out.where(F.col("rn") <= most).drop("rn", "key")
 
 
+def noted_lockfiles(files: DataFrame) -> DataFrame:
+    """(target, version, name, path): lockfiles outside ignored directories, by lower-case name; each is noted, whether or not it can be read."""
+    in_reach = ~F.arrays_overlap(t.directories(F.col("path")), F.array(*map(F.lit, t.IGNORED_DIRS)))
+    return files.where(t.is_lockfile(F.col("path")) & in_reach).select("target", "version", F.lower(t.basename(F.col("path"))).alias("name"), "path")
+
+
+def worth_reading(files: DataFrame) -> DataFrame:
+    """The files that an audit reads: a lockfile only if its extension is one that is read anyway."""
+    return files.where(t.is_scannable(F.col("path")))
+
+
+def readable_cap(files: DataFrame, most: int) -> DataFrame:
+    """files (with their status) up to the most-th readable one of each target in walk order, and hit_file_limit.
+
+    What cannot be read costs nothing and is kept where it comes before that file; what comes after it is left out, and a
+    target that had any such file has hit_file_limit. A task sends at most the first readable places of each target, so
+    no target gathers in one task. Rows that repeat a path count once each. With most 0 nothing is left.
+    """
+    spark = files.sparkSession
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", max(most, int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))))
+    keys = ["target", "version"]
+    keyed = files.withColumn("walk", t.walk_key(F.col("path")))
+    first = keyed.where("status = 'ok'").select(*keys, "walk").withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("walk"))).where(F.col("rn") <= most)
+    full = first.groupBy(*keys).agg(F.max("walk").alias("reach"), F.count("*").alias("n")).where(F.col("n") == most)
+    last = keyed.groupBy(*keys).agg(F.max("walk").alias("end"))
+    if most <= 0:
+        full = last.select(*keys, F.array().cast("array<string>").alias("reach"))
+    limits = last.join(full, keys, "left").select(*keys, "reach", F.coalesce(F.col("end") > F.col("reach"), F.lit(False)).alias("hit_file_limit"))
+    return keyed.join(limits, keys).where("reach is null or walk <= reach").drop("walk", "reach")
+
+
 def scan_coverage(files: DataFrame) -> DataFrame:
     """Counts by status for each target; exit code 4 where nothing could be read: not looked at is never clean."""
     count = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
@@ -53,6 +84,14 @@ def scan_coverage(files: DataFrame) -> DataFrame:
     return out.withColumn("exit_code", F.when(F.col("n_ok") == 0, 4))
 
 
+def coverage_of(files: DataFrame, targets: DataFrame) -> DataFrame:
+    """scan_coverage() of the files that were read or tried, with a row of zeros and exit code 4 for each target that has none."""
+    counted = scan_coverage(files)
+    zeros = {c: F.coalesce(c, F.lit(False) if c == "hit_file_limit" else F.lit(0)) for c in counted.columns if c.startswith("n_") or c == "hit_file_limit"}
+    out = targets.select("target", "version").distinct().join(counted, ["target", "version"], "left").withColumns(zeros)
+    return out.withColumn("exit_code", F.when(F.col("n_ok") == 0, 4))
+
+
 def coverage_limitations(coverage: DataFrame) -> DataFrame:
     """(target, version, at, limitation): what the coverage of a target says about what was not looked at, in order."""
     said = lambda when, at, text: F.when(when, F.struct(F.lit(at).alias("at"), text.alias("limitation")))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.advice import with_advice
 from tidewatch.functions.shared import saved
-from tidewatch.functions.text import SOURCE_EXTENSIONS, file_extension
+from tidewatch.functions.text import SOURCE_EXTENSIONS, file_extension, is_scannable
+from tidewatch.functions.unions import union_all
 from tidewatch.operators import annotations, dependencies, diff, files, findings, flows, injection, install, matches, network, provider
 
 
@@ -35,13 +36,21 @@ def audit_findings(lines: DataFrame, purpose: Column | None = None, with_context
     )
 
 
-def _opened(trees: DataFrame, most_files: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(files with their status, text files, their lines)."""
-    known = files.classify_readability(files.select_scannable(trees))
+def _opened(trees: DataFrame, most_files: int | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(files worth reading with their status, manifests and lockfiles as text, lines, targets).
+
+    Lockfiles are noted for the dependencies wherever they lie; their lines are looked at, and they count as read, only
+    where the file is worth reading anyway.
+    """
+    every = files.classify_readability(trees)
+    known = files.worth_reading(every)
     if most_files is not None:
-        known = files.file_cap(known, most_files)
-    readable = known.where("status = 'ok'").select("target", "version", "path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    return known, readable, saved(files.explode_lines(readable), "lines")
+        known = files.readable_cap(known, most_files)
+    text = F.when(F.col("status") == "ok", F.make_valid_utf8(F.col("content").cast("string"))).alias("text")
+    readable = known.where("status = 'ok'").select("target", "version", "path", text)
+    locks = files.noted_lockfiles(every).select("target", "version", "path").distinct()
+    locks = every.join(locks, ["target", "version", "path"], "left_semi").where(~is_scannable(F.col("path"))).select("target", "version", "path", text)
+    return known, union_all(readable, locks), saved(files.explode_lines(readable), "lines"), trees.select("target", "version").distinct()
 
 
 def audit_targets(trees: DataFrame, purpose: Column | None = None, most_files: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -49,15 +58,14 @@ def audit_targets(trees: DataFrame, purpose: Column | None = None, most_files: i
 
     With most_files only that many files of a target are read, in walk order, and one that has more says so.
     """
-    known, readable, lines = _opened(trees, most_files)
-    return _audited(known, readable, lines, purpose)[:3]
+    return _audited(*_opened(trees, most_files), purpose)[:3]
 
 
-def _audited(known: DataFrame, readable: DataFrame, lines: DataFrame, purpose: Column | None) -> tuple[DataFrame, ...]:
-    deps = saved(dependencies.analyze_dependencies(readable), "dependencies")
+def _audited(known: DataFrame, manifests: DataFrame, lines: DataFrame, targets: DataFrame, purpose: Column | None) -> tuple[DataFrame, ...]:
+    deps = saved(dependencies.analyze_dependencies(manifests), "dependencies")
     every = saved(findings.union_findings(audit_findings(lines, purpose), dependencies.dependency_findings(deps), files.unanalyzed_findings(known)), "findings")
-    coverage = files.scan_coverage(known)
-    verdicts = findings.overall_verdict(every, known).join(coverage.select("target", "version", F.col("exit_code").alias("unread")), ["target", "version"], "left")
+    coverage = files.coverage_of(known, targets)
+    verdicts = findings.overall_verdict(every, targets).join(coverage.select("target", "version", F.col("exit_code").alias("unread")), ["target", "version"], "left")
     return every, verdicts.withColumn("exit_code", F.coalesce("unread", "exit_code")).drop("unread"), coverage, deps
 
 
@@ -73,8 +81,8 @@ def target_reports(trees: DataFrame, purpose: Column | None = None, most_files:
     is NOT_CHECKED, a dependency area without a manifest NOT_APPLICABLE.
     """
     keys = ["target", "version"]
-    known, readable, lines = _opened(trees, most_files)
-    every, _, coverage, deps = _audited(known, readable, lines, purpose)
+    known, manifests, lines, seen = _opened(trees, most_files)
+    every, _, coverage, deps = _audited(known, manifests, lines, seen, purpose)
     coverage = saved(coverage, "coverage")
     targets = coverage.select(*keys)
     if metadata is not None:

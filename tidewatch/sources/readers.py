@@ -5,28 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.text import MAX_BYTES, is_lockfile, is_scannable, sanitize
-from tidewatch.functions.unions import union_all
+from tidewatch.functions.text import MAX_BYTES, sanitize
+from tidewatch.sources.trees import trees
 
 REPO_SCHEMA = "full_name STRING, description STRING, html_url STRING, stargazers_count BIGINT, forks_count BIGINT, created_at STRING, pushed_at STRING, archived BOOLEAN, license STRUCT<name:STRING>, owner STRUCT<type:STRING,login:STRING>, open_issues_count BIGINT, default_branch STRING, topics ARRAY<STRING>, homepage STRING, fork BOOLEAN, disabled BOOLEAN, size BIGINT"
 REGISTRY_SCHEMA = "server STRUCT<name:STRING,description:STRING,version:STRING,repository:STRUCT<url:STRING,source:STRING>,websiteUrl:STRING,packages:ARRAY<STRUCT<registryType:STRING,identifier:STRING,version:STRING,transport:STRUCT<type:STRING>,environmentVariables:ARRAY<STRUCT<name:STRING>>>>,remotes:ARRAY<STRUCT<type:STRING,url:STRING>>>, _meta MAP<STRING,STRUCT<status:STRING,isLatest:BOOLEAN,publishedAt:STRING,updatedAt:STRING>>"
 REPORT_SCHEMA = "overall STRING, findings ARRAY<STRUCT<rule_id:STRING,area:STRING,severity:STRING,confidence:STRING,title:STRING,evidence:ARRAY<STRUCT<path:STRING,line:INT,snippet:STRING,detail:STRING,context:STRING>>>>"
 
 
-def read_source_trees(spark: SparkSession, root: str, version: str = "head") -> DataFrame:
-    """(target, version, path, size, content) of every file below root/<target>/ that can matter.
+def read_source_trees(spark: SparkSession, root: str, version: str = "head", most_bytes: int = MAX_BYTES, **options: object) -> DataFrame:
+    """(target, version, path, size, content) of every file below root/<target>/ that is worth reading, and of lockfiles.
 
-    Files that are neither scannable nor lockfiles, and the content of too large ones, are never opened: the path and the
-    length are filters of the scan. Too large files come with null content and their size.
+    Directories are walked in tasks; ignored ones are not listed, other files never opened, and larger ones come with null
+    content and their size. Later filters on target, path and size are taken by the reader, too. A file that cannot be
+    opened has a null content, so that its readability is unreadable. Links are not followed. options are those of
+    sources.trees.SourceTrees.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    prefix = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    inner = F.substring_index(F.col("path"), prefix + "/", -1)
-    path = F.regexp_replace(inner, "^[^/]*/", "")
-    wanted = files.where(is_scannable(path) | is_lockfile(path))
-    shape = lambda df, content: df.select(F.substring_index(inner, "/", 1).alias("target"), F.lit(version).alias("version"), path.alias("path"), F.col("length").alias("size"), content.alias("content"))
-    small = shape(wanted.where(F.col("length") <= MAX_BYTES), F.col("content"))
-    return union_all(small, shape(wanted.where(F.col("length") > MAX_BYTES), F.lit(None).cast("binary")))
+    files = trees(spark, root, version=version, most_bytes=most_bytes, **options)
+    return files.where(F.col("kind").isin("code", "lockfile")).drop("kind")
 
 
 def read_repo_metadata(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
