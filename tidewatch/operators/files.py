@@ -64,7 +64,7 @@ def readable_cap(files: DataFrame, most: int) -> DataFrame:
     no target gathers in one task. Rows that repeat a path count once each. With most 0 nothing is left.
     """
     spark = files.sparkSession
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", max(most, int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))))
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", max(most + 1, int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))))
     keys = ["target", "version"]
     keyed = files.withColumn("walk", t.walk_key(F.col("path")))
     first = keyed.where("status = 'ok'").select(*keys, "walk").withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("walk"))).where(F.col("rn") <= most)
