@@ -135,5 +135,5 @@ def test_the_cap_counts_what_can_be_read(spark):
 
 
 def test_the_cap_sends_the_first_places_of_each_task_only(spark):
-    frame = spark.range(10).select(F.concat(F.lit("t"), F.col("id") % 3).alias("target"), F.lit("v").alias("version"), F.concat(F.lit("f"), "id").alias("path"), F.lit("ok").alias("status"))
+    frame = spark.range(100_000).select(F.concat(F.lit("t"), F.col("id") % 3).alias("target"), F.lit("v").alias("version"), F.concat(F.lit("f"), "id").alias("path"), F.lit("ok").alias("status"))
     assert "WindowGroupLimit" in files.readable_cap(frame, 1500)._jdf.queryExecution().executedPlan().toString()

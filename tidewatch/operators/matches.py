@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import text as t
 from tidewatch.functions.catalogue import CATALOGUE, Rule, checked
+from tidewatch.functions.literals import required, rules_to_try
 from tidewatch.functions.unions import union_all
 
 # Fixed value: names of assignments that list what is refused.
@@ -23,20 +24,24 @@ FILE = ["target", "version", "path"]
 def match_rules(lines: DataFrame, rules: tuple[Rule, ...] = CATALOGUE, more: tuple[str, ...] = ()) -> DataFrame:
     """(target, version, path, line, text, rule_no, rule_id, ...) of every rule that a line of a source file meets.
 
-    One projection holds every pattern as a literal, so each is compiled once; a line gives a rule once.
-    more are columns of lines that are carried along.
+    One projection holds every pattern as a literal, so each is compiled once; a line gives a rule once. Literals that
+    each pattern needs are derived from it: one scan of a line finds them all, and only the patterns that they call for
+    are tried. more are columns of lines that are carried along.
     """
+    rules = checked(rules)
     ext = t.file_extension(F.col("path"))
-    hits = []
-    for number, r in enumerate(checked(rules)):
-        meets = F.col("text").rlike("(?U)" + r.pattern)
-        if r.extensions:
-            meets = F.col("ext").isin(*r.extensions) & meets
-        told = {"rule_id": r.rule_id, "title": r.title, "severity": r.severity, "confidence": r.confidence, "capability": r.capability, "role": r.role}
-        hits.append(F.when(meets, F.struct(F.lit(number).alias("rule_no"), *[F.lit(v).cast("string").alias(k) for k, v in told.items()], F.lit(r.informational).alias("informational"))))
     kept = [*FILE, "line", "text", *(c for c in more if c in lines.columns)]
     source = lines.select(*kept, ext.alias("ext")).where(F.col("ext").isin(*t.SOURCE_EXTENSIONS))
-    return source.select(*kept, "ext", F.explode(F.array_compact(F.array(*hits))).alias("r")).select(*kept, "ext", "r.*")
+    # Outer, so that the scan is not repeated in a filter that the optimizer derives from the generator.
+    tried = source.select("*", F.explode_outer(rules_to_try(F.col("text"), [required(r.pattern) for r in rules])).alias("rule_no"))
+    meets, told = F, []
+    for number, r in enumerate(rules):
+        one = F.col("text").rlike("(?U)" + r.pattern)
+        meets = meets.when(F.col("rule_no") == number, F.col("ext").isin(*r.extensions) & one if r.extensions else one)
+        facts = {"rule_id": r.rule_id, "title": r.title, "severity": r.severity, "confidence": r.confidence, "capability": r.capability, "role": r.role}
+        told.append(F.struct(F.lit(number).alias("rule_no"), *[F.lit(v).cast("string").alias(k) for k, v in facts.items()], F.lit(r.informational).alias("informational")))
+    found = tried.where(F.col("rule_no").isNotNull() & meets.otherwise(False))
+    return found.select(*kept, "ext", F.element_at(F.array(*told), F.col("rule_no") + 1).alias("r")).select(*kept, "ext", "r.*")
 
 
 def python_prose(text: str) -> set[int]:
