@@ -31,7 +31,7 @@ from tidewatch.llm.blocks import block_columns, lists_of
 from tidewatch.llm.common import map_batches, table, tokenizer_path
 
 IDS = T.ArrayType(T.IntegerType())
-CACHE_CHARS, LONG = 6_000_000, 64  # characters of all remembered pre-tokens, and of the longest that is remembered
+CACHE_CHARS, LONG = 3_000_000, 64  # characters of all remembered pre-tokens, and of the longest that is remembered
 SEGMENT = 1 << 20  # characters of a text that are cut into pre-tokens at a time
 LAID_OUT = 1 << 20  # bytes of words in one replay, but for a longer word
 
@@ -219,30 +219,40 @@ class Replay:
 
 
 class CorpusEncoder(dict):
-    """Pre-token -> ids as bytes. The words of a block that are not remembered are replayed together."""
+    """Pre-token -> ids as bytes. The words of a block that are not remembered are replayed together.
+
+    When what is remembered has reached its bound it becomes old; old words that come again are taken over, others are
+    dropped the next time.
+    """
 
     def __init__(self, path: str, most: int = CACHE_CHARS, long: int = LONG) -> None:
         super().__init__()
         self.replay, self.splitter, self.most, self.long, self.held = Replay(read_ranks(path)), Splitter(), most, long, 0
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for text in texts:
-            out.append([piece for some in self.splitter.pieces(text) for piece in some] if text else [])
-        new = set().union(*out).difference(self) if out else set()
-        passing = {w for w in new if len(w) > self.long}
-        extra = self.learned(sorted(passing))  # used for this block only
-        new -= passing
-        size = sum(map(len, new))
-        if self.held + size > self.most:
-            new = set().union(*out) - passing
-            self.clear()
-            self.held, size = 0, sum(map(len, new))
-        self.update(self.learned(sorted(new)))
-        self.held += size
-        if extra:
-            return [b"".join([extra[w] if w in extra else self[w] for w in pieces]) for pieces in out]
-        return [b"".join(map(self.__getitem__, pieces)) for pieces in out]
+        pieces = [[piece for some in self.splitter.pieces(text) for piece in some] if text else [] for text in texts]
+        out: list[bytes | None] = []
+        new: set[str] = set()
+        for p in pieces:
+            try:
+                out.append(b"".join(map(self.__getitem__, p)))
+            except KeyError:
+                out.append(None)
+                new.update([w for w in p if w not in self])
+        if new:
+            known = {w: self.old[w] for w in new if w in self.old}
+            self.update(known)
+            self.update(self.learned(sorted(new.difference(known))))
+            out = [b"".join(map(self.__getitem__, p)) if x is None else x for x, p in zip(out, pieces, strict=True)]
+            for word in [w for w in new if len(w) > self.long]:  # used for this block only
+                del self[word]
+            self.held += sum(len(w) for w in new if len(w) <= self.long)
+            if self.held > self.most:
+                self.old = dict(self)
+                self.clear()
+                self.held = 0
+        return out
 
     def learned(self, words: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}

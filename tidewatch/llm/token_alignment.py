@@ -26,16 +26,17 @@ from tidewatch.llm import byte_bpe, token_counts
 from tidewatch.llm.blocks import block_columns, lists_of
 from tidewatch.llm.common import fresh, map_batches, settle, table, tokenizer_path, written
 
-CACHE_CHARS, LONG, AT_ONCE = 4_000_000, 64, 2000
+CACHE_CHARS, LONG, AT_ONCE = 3_000_000, 64, 2000
 HOT_PAIRS = 2_000_000  # pairs of the broadcast table, 17 bytes each
 WIDE = 1 << 16  # links of a group from which on its distinct ids are counted first
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "groups", "link_keys", "link_times")
 
 
 class Pieces(dict):
-    """Pre-token -> its ids as bytes; those of a block that are missing are encoded together and remembered while there is room.
+    """Pre-token -> its ids as bytes; those of a block that are missing are encoded together and remembered.
 
-    lossy holds the pre-tokens whose tokens' bytes are not the pre-token's own.
+    When what is remembered has reached its bound it becomes old; old words that come again are taken over, others are dropped
+    the next time. lossy holds the pre-tokens whose tokens' bytes are not the pre-token's own.
     """
 
     def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], token: list[bytes]) -> None:
@@ -43,31 +44,49 @@ class Pieces(dict):
         self.split, self.encode, self.token, self.held = split, encode, token, 0
         self.lengths = np.array([len(t) for t in token], np.int32)
         self.names = [str(i) for i in range(len(token))]
+        self.old: dict[str, bytes] = {}
         self.lossy: set[str] = set()
 
     def ids(self, texts: list[str]) -> list[np.ndarray | None]:
         """The ids of each text; None where their bytes are not the text's."""
         pieces = [self.split(t) for t in texts]
-        new = set().union(*pieces).difference(self) if pieces else set()
-        if self.held + sum(map(len, new)) > CACHE_CHARS:
-            new = set().union(*pieces)
+        out: list[bytes | None] = []
+        new: set[str] = set()
+        for p in pieces:
+            try:
+                out.append(b"".join(map(self.__getitem__, p)))
+            except KeyError:
+                out.append(None)
+                new.update([w for w in p if w not in self])
+        if new:
+            self.learn(new)
+            out = [b"".join(map(self.__getitem__, p)) if x is None else x for x, p in zip(out, pieces, strict=True)]
+        done = [None if self.lossy and not self.lossy.isdisjoint(p) else np.frombuffer(x, "<i4") for x, p in zip(out, pieces, strict=True)]
+        for word in [w for w in new if len(w) > LONG]:
+            self.held -= len(word)
+            del self[word]
+            self.lossy.discard(word)
+        if self.held > CACHE_CHARS:
+            self.old = dict(self)
             self.clear()
-            self.lossy.clear()
             self.held = 0
-        listed = sorted(new)
+        return done
+
+    def learn(self, words: set[str]) -> None:
+        self.held += sum(map(len, words))
+        listed = []
+        for word in sorted(words):
+            ids = self.old.get(word)
+            if ids is None:
+                listed.append(word)
+            else:
+                self[word] = ids
         for i in range(0, len(listed), AT_ONCE):
             some = listed[i : i + AT_ONCE]
             for word, ids in zip(some, self.encode(some), strict=True):
                 self[word] = np.asarray(ids, "<i4").tobytes()
                 if b"".join([self.token[i] for i in ids]) != word.encode():
                     self.lossy.add(word)
-        self.held += sum(map(len, new))
-        out = [None if self.lossy and not self.lossy.isdisjoint(p) else np.frombuffer(b"".join(map(self.__getitem__, p)), "<i4") for p in pieces]
-        for word in [w for w in listed if len(w) > LONG]:
-            self.held -= len(word)
-            del self[word]
-            self.lossy.discard(word)
-        return out
 
 
 def byte_level(path: str) -> Pieces:
@@ -119,8 +138,10 @@ def diagonal_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray,
     n, m = len(list_a), len(list_b)
     while i < n:
         x, y = list_a[i], list_b[j]
-        if x == y:  # on the diagonal j - i: step on while the ends agree, twice as far each time
-            i, j, step = i + 1, j + 1, 2
+        if x == y:  # on the diagonal j - i: step on while the ends agree, 1, then 4, 8 ... at once
+            i, j, step = i + 1, j + 1, 4
+            if i < n and list_a[i] != list_b[j]:
+                continue
             while i + step <= n and j + step <= m and bytes_a[8 * i : 8 * (i + step)] == bytes_b[8 * j : 8 * (j + step)]:
                 i, j, step = i + step, j + step, step * 2
             while step := step // 2:  # the difference lies less than the last step ahead
@@ -153,7 +174,7 @@ class GroupText:
 
     def __init__(self, names_a: list[str], names_b: list[str]) -> None:
         self.size_a, self.size_b = len(names_a), len(names_b)
-        self.table = [f"{x}{sign}" for names, signs in ((names_a, ",|"), (names_b, ",;")) for sign in signs for x in names]
+        self.table = np.array([f"{x}{sign}" for names, signs in ((names_a, ",|"), (names_b, ",;")) for sign in signs for x in names], object)
 
     def of(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> str:
         shown = np.empty(len(a) + len(b), np.int64)
@@ -163,7 +184,7 @@ class GroupText:
         ids_b[cut_b - 1] += self.size_b
         shown[np.arange(len(a)) + np.repeat(cut_b - wide_b, wide_a)] = ids_a  # after the B tokens of earlier groups
         shown[np.arange(len(b)) + np.repeat(cut_a, wide_b)] = ids_b  # after the A tokens up to its own group
-        return "".join(map(self.table.__getitem__, shown.tolist()))[:-1]
+        return "".join(self.table[shown].tolist())[:-1]
 
 
 def link_keys(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, size_b: int) -> tuple[np.ndarray, np.ndarray, int]:
