@@ -52,6 +52,11 @@ def lines_array(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def normal_text(text: Column) -> Column:
+    """Sanitized text with line feeds between its lines, without one at the end."""
+    return F.array_join(lines_array(sanitize(text)), "\n")
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

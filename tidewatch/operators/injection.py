@@ -89,9 +89,9 @@ def _first(hits: DataFrame, keys: list[str], order: list[str], most: int, detail
     return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(piece)).alias("first")).join(counts, keys)
 
 
-def detect_tool_poisoning(lines: DataFrame) -> DataFrame:
-    """One finding for each signal in the texts of a target's tools, five pieces of evidence."""
-    hits = signal_hits(tool_texts(lines))
+def detect_tool_poisoning(lines: DataFrame | None, texts: DataFrame | None = None) -> DataFrame:
+    """One finding for each signal in the texts of a target's tools, five pieces of evidence; texts if they are known already."""
+    hits = signal_hits(tool_texts(lines) if texts is None else texts)
     rows = _first(hits, ["target", "version", "rule_id", "title", "severity", "confidence"], ["path", "line", "text"], 5, F.concat(F.lit("in a tool "), "kind"))
     return rows.select("target", "version", *finding(F.col("rule_id"), "PROMPT_INJECTION", F.col("severity"), F.col("confidence"), F.col("title"), F.transform("first", lambda x: x["e"]), F.col("n") - F.size("first")))
 

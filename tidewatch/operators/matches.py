@@ -93,12 +93,17 @@ def exclusion_lines(lines: DataFrame) -> DataFrame:
     return marked.withColumn("before", before).withColumn("is_exclusion", F.col("named") | F.when(F.exists("before", lambda x: x["named"]), depth > 0).otherwise(F.lit(False))).drop("named", "b", "before")
 
 
-def match_context(matches: DataFrame, lines: DataFrame) -> DataFrame:
-    """matches with context prose, exclusion or null; prose wins. Only files that have a match are looked at."""
+def match_context(matches: DataFrame, lines: DataFrame, prose: DataFrame | None = None) -> DataFrame:
+    """matches with context prose, exclusion or null; prose wins. Only files that have a match are looked at.
+
+    prose are the prose lines of the files if they are known already; else they are found in lines.
+    """
     files = matches.select(*FILE).distinct()
     own = lines.join(files, FILE, "left_semi")
     ext = t.file_extension(F.col("path"))
-    prose = union_all(prose_lines(own), own.where((ext != ".py") & F.col("text").rlike(LINE_COMMENT)).select(*FILE, "line")).withColumn("is_prose", F.lit(True))
+    if prose is None:
+        prose = union_all(prose_lines(own), own.where((ext != ".py") & F.col("text").rlike(LINE_COMMENT)).select(*FILE, "line"))
+    prose = prose.select(*FILE, "line", F.lit(True).alias("is_prose"))
     refused = exclusion_lines(own).where("is_exclusion").select(*FILE, "line", "is_exclusion")
     out = matches.join(prose, [*FILE, "line"], "left").join(refused, [*FILE, "line"], "left")
     return out.withColumn("context", F.when(F.col("is_prose"), "prose").when(F.col("is_exclusion"), "exclusion")).drop("is_prose", "is_exclusion")
