@@ -190,7 +190,7 @@ class WordEncoder(dict):
                     return list(pool.map(self.unsplit, texts))
             parts = [split(t) for t in texts]
             seen = set().union(*parts)
-            if new := seen.difference(self):
+            if new := {w for w in seen if w not in self}:  # set.difference would walk all that is remembered
                 self.learn(seen if len(self) + len(new) > self.most else new)
             return [np.frombuffer(b"".join(map(self.__getitem__, p)), "<i4").tolist() for p in parts]
 
@@ -211,7 +211,7 @@ class WordEncoder(dict):
         parts = [self.parts(t) for t in texts]
         seen = set().union(*parts)
         special = {x for x in seen if isinstance(x, bytes)}
-        if new := seen.difference(self, special):
+        if new := {w for w in seen if w not in self and w not in special}:
             self.learn(seen - special if len(self) + len(new) > self.most else new)
         if special:
             return [b"".join([x if isinstance(x, bytes) else self[x] for x in p]) for p in parts]

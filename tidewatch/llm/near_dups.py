@@ -56,7 +56,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 class Words(dict):
     """Word -> its BLAKE2 hash of 64 bits; remembered up to a number of characters."""
 
-    def __init__(self, most: int = 8_000_000) -> None:
+    def __init__(self, most: int = 1_500_000) -> None:
         super().__init__()
         self.most, self.held = most, 0
 
