@@ -9,6 +9,7 @@ from tidewatch.functions.catalogue import ESCALATION
 from tidewatch.functions.enums import severity_rank
 from tidewatch.functions.text import SOURCE_EXTENSIONS, file_extension
 from tidewatch.functions.unions import union_all
+from tidewatch.functions.versions import version_key
 from tidewatch.operators.findings import evidence, finding, first_evidence
 
 MOST_CHANGED = 60
@@ -30,9 +31,9 @@ def diff_versions(sets: DataFrame, before: str, after: str) -> DataFrame:
 
 
 def version_drift(sets: DataFrame, kind: str = "capability") -> DataFrame:
-    """(target, version, added, removed): each version against the one before, in version order."""
+    """(target, version, added, removed): each version against the one before, in the order of their values (functions.versions)."""
     each = sets.where(F.col("kind") == kind).groupBy("target", "version").agg(F.collect_set("item").alias("items"))
-    before = F.coalesce(F.lag("items").over(Window.partitionBy("target").orderBy("version")), F.array().cast("array<string>"))
+    before = F.coalesce(F.lag("items").over(Window.partitionBy("target").orderBy(version_key(F.col("version")), "version")), F.array().cast("array<string>"))
     return each.withColumn("before", before).select("target", "version", F.array_sort(F.array_except("items", "before")).alias("added"), F.array_sort(F.array_except("before", "items")).alias("removed"))
 
 

@@ -154,6 +154,42 @@ def worst_targets(verdicts: DataFrame, most: int) -> DataFrame:
     return verdicts.orderBy(F.desc(enums.severity_rank(F.col("overall"))), "target", "version").limit(most)
 
 
+def fleet_totals(findings: DataFrame) -> DataFrame:
+    """(place, severity, n, share) over all targets: by place and severity, by place, and in all (null is a total).
+
+    share is that of all findings; the one of place outside without a severity is the share outside shipped code.
+    """
+    rows = findings.select(F.when(is_outside_shipped(F.col("evidence")), "outside").otherwise("shipped").alias("place"), "severity")
+    sets = rows.groupingSets([["place", "severity"], ["place"], []], "place", "severity").agg(F.count("*").alias("n"))
+    return sets.withColumn("share", F.col("n") / F.max("n").over(Window.partitionBy(F.lit(0))))  # fifteen rows at most
+
+
+def verdict_distribution(verdicts: DataFrame) -> DataFrame:
+    """(overall, n_targets, share): how many targets and versions have each verdict; those without one are NOT_FLAGGED."""
+    counts = verdicts.groupBy(F.coalesce("overall", F.lit("NOT_FLAGGED")).alias("overall")).agg(F.count("*").alias("n_targets"))
+    return counts.withColumn("share", F.col("n_targets") / F.sum("n_targets").over(Window.partitionBy(F.lit(0))))  # six rows at most
+
+
+def shipped_alarms(findings: DataFrame, paths: int = 2) -> DataFrame:
+    """Findings of severity CRITICAL or HIGH in shipped code (or without a path), with their first paths."""
+    rows = findings.where(F.col("severity").isin("CRITICAL", "HIGH") & ~is_outside_shipped(F.col("evidence")))
+    named = F.filter(F.transform(F.coalesce("evidence", F.array().cast(findings.schema["evidence"].dataType)), lambda e: e["path"]), lambda p: p.isNotNull())
+    return rows.select("target", "version", "rule_id", "severity", "confidence", "title", F.slice(named, 1, paths).alias("paths"))
+
+
+def worst_drilldown(verdicts: DataFrame, findings: DataFrame, most: int, alarms: int = 20) -> DataFrame:
+    """worst_targets() with n_alarms and alarms: their worst shipped_alarms(), so many at most, the most severe first."""
+    keys = ["target", "version"]
+    worst = worst_targets(verdicts, most).select(*keys, "overall")
+    own = shipped_alarms(findings).join(worst, keys, "left_semi")
+    rank = Window.partitionBy(*keys).orderBy(F.desc(enums.severity_rank(F.col("severity"))), F.desc(enums.confidence_rank(F.col("confidence"))), "rule_id", "title")
+    item = F.struct("rn", F.struct("rule_id", "severity", "confidence", "title", "paths").alias("x"))
+    first = own.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= alarms).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["x"]).alias("alarms"))
+    counts = own.groupBy(*keys).agg(F.count("*").alias("n_alarms"))
+    out = worst.join(counts, keys, "left").join(first, keys, "left")
+    return out.withColumns({"n_alarms": F.coalesce("n_alarms", F.lit(0)), "alarms": F.coalesce("alarms", F.array().cast(out.schema["alarms"].dataType))})
+
+
 def rule_index(findings: DataFrame) -> DataFrame:
     """findings with rule_index, the order in which a target's rules first appear."""
     ordered = sort_findings(findings)

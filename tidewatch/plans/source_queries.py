@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as t
-from tidewatch.functions.shared import shared_folder
-from tidewatch.operators import file_helpers, files
+from tidewatch.functions.enums import severity_rank
+from tidewatch.functions.shared import saved, shared_folder
+from tidewatch.operators import diff, file_helpers, files, findings
 from tidewatch.plans import queries as q
 from tidewatch.plans.tree_queries import tree, tree_sql
-from tidewatch.sources import readers, trees
+from tidewatch.sources import readers, report_files, trees
+from tidewatch.streaming import streams
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -153,3 +155,94 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     found = file_helpers.provider_profiles_in_files(doc_code(spark, sf_dir))
     return found.select("path", F.array_join("credentials", " ").alias("credentials"), F.array_join("destinations", " ").alias("destinations"))
+
+
+# --- findings and reports of the documents ----------------------------------------------------------------------
+
+_PLACES = ("'src/a.py'", "'tests/test_b.py'", "'docs/c.md'", "'scripts/d.sh'", "'lib/e.js'", "NULL")
+_SHIPPED = (True, False, False, False, True, None)
+_GRADES = ("NOT_FLAGGED", "INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")
+_place = lambda j: "CASE (doc_id + " + str(j) + f") % {len(_PLACES)} " + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(_PLACES)) + " END"
+
+
+def doc_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finding a document: its severity by its number, up to three pieces of evidence in files of every role."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pieces = ", ".join(f"named_struct('path', {_place(j)}, 'line', CAST({j} AS INT), 'snippet', 'x', 'detail', CAST(NULL AS STRING), 'context', CAST(NULL AS STRING))" for j in range(3))
+    grades = ", ".join(f"'{g}'" for g in _GRADES)
+    return docs.select(
+        F.expr("concat('o', doc_id div 40, '/r')").alias("target"), F.lit("v1").alias("version"), F.expr("concat('rule.', doc_id % 9)").alias("rule_id"), F.lit("SOURCE_CODE").alias("area"), F.expr(f"array({grades})[doc_id % 6]").alias("severity"),
+        F.expr("array('LOW', 'MEDIUM', 'HIGH')[doc_id % 5 % 3]").alias("confidence"), F.expr("concat('Title ', doc_id)").alias("title"), F.expr(f"slice(array({pieces}), 1, CAST(doc_id % 4 AS INT))").alias("evidence"),
+    )
+
+
+_PATHS = "list_filter([" + ", ".join(_place(j) for j in range(3)) + "][1:doc_id % 4], lambda p: p IS NOT NULL)"
+_DOC_FINDINGS = f"""fd AS (SELECT doc_id, concat('o', doc_id // 40, '/r') AS target, concat('rule.', doc_id % 9) AS rule_id, list_extract([{', '.join(f"'{g}'" for g in _GRADES)}], CAST(doc_id % 6 + 1 AS INT)) AS severity, doc_id % 6 AS rank, list_extract(['LOW', 'MEDIUM', 'HIGH'], CAST(doc_id % 5 % 3 + 1 AS INT)) AS confidence, doc_id % 5 % 3 AS sure,
+  concat('Title ', doc_id) AS title, {_PATHS} AS paths, doc_id % 4 > 0 AND len([p FOR p IN [{', '.join(_place(j) for j in range(3))}][1:doc_id % 4] IF coalesce(p, 'src/a.py') IN ('src/a.py', 'lib/e.js')]) = 0 AS outside FROM documents),
+vd AS (SELECT target, list_extract([{', '.join(f"'{g}'" for g in _GRADES)}], CAST(max(rank) + 1 AS INT)) AS overall, max(rank) AS worst FROM fd GROUP BY target)"""
+
+
+def _doc_verdicts(found: DataFrame) -> DataFrame:
+    return found.groupBy("target", "version").agg(F.max_by("severity", severity_rank(F.col("severity"))).alias("overall"))
+
+
+@query("fleet_totals", f"WITH {_DOC_FINDINGS}, c AS (SELECT CASE WHEN outside THEN 'outside' ELSE 'shipped' END AS place, severity FROM fd) SELECT place, severity, count(*) AS n, round(count(*) / (SELECT count(*) FROM fd), 9) AS share FROM c GROUP BY GROUPING SETS ((place, severity), (place), ())")
+def _(spark, sf_dir):
+    return findings.fleet_totals(doc_findings(spark, sf_dir)).withColumn("share", F.round("share", 9))
+
+
+@query("verdict_distribution", f"WITH {_DOC_FINDINGS} SELECT overall, count(*) AS n_targets, round(count(*) / (SELECT count(*) FROM vd), 9) AS share FROM vd GROUP BY overall")
+def _(spark, sf_dir):
+    return findings.verdict_distribution(_doc_verdicts(doc_findings(spark, sf_dir))).withColumn("share", F.round("share", 9))
+
+
+@query("shipped_alarms", f"WITH {_DOC_FINDINGS} SELECT target, rule_id, severity, confidence, title, array_to_string(paths[1:2], ' ') AS paths FROM fd WHERE rank >= 4 AND NOT outside")
+def _(spark, sf_dir):
+    return findings.shipped_alarms(doc_findings(spark, sf_dir)).drop("version").withColumn("paths", F.array_join("paths", " "))
+
+
+@query("worst_drilldown", f"""WITH {_DOC_FINDINGS}, w AS (SELECT * FROM vd ORDER BY worst DESC, target LIMIT 15), a AS (SELECT fd.*, row_number() OVER (PARTITION BY target ORDER BY rank DESC, sure DESC, rule_id, title) AS rn FROM fd JOIN w USING (target) WHERE rank >= 4 AND NOT outside)
+SELECT w.target, w.overall, count(a.rn) AS n_alarms, coalesce(string_agg(concat(a.title, ' ', array_to_string(a.paths[1:2], ' ')), '; ' ORDER BY a.rn) FILTER (a.rn <= 4), '') AS alarms FROM w LEFT JOIN a USING (target) GROUP BY w.target, w.overall""")
+def _(spark, sf_dir):
+    found = saved(doc_findings(spark, sf_dir), "findings")
+    out = findings.worst_drilldown(_doc_verdicts(found), found, 15, 4)
+    return out.select("target", "overall", "n_alarms", F.array_join(F.transform("alarms", lambda a: F.concat(a["title"], F.lit(" "), F.array_join(a["paths"], " "))), "; ").alias("alarms"))
+
+
+@query("report_files", f"WITH {_DOC_FINDINGS} SELECT fd.target, overall, title, severity, array_to_string(paths, ' ') AS paths FROM fd JOIN vd USING (target)")
+def _(spark, sf_dir):
+    found = saved(doc_findings(spark, sf_dir), "findings")
+    items = F.sort_array(F.collect_list(F.struct("rule_id", "area", "severity", "confidence", "title", "evidence"))).alias("findings")
+    reports = found.groupBy("target").agg(items).join(_doc_verdicts(found).select("target", "overall"), "target").select("target", "overall", "findings")
+    root = f"{shared_folder(spark)}/tidewatch-reports-{uuid.uuid4().hex[:12]}"
+    report_files.write_report_files(reports, root)
+    back = readers.read_reports(spark, root, reports.schema).select("target", "overall", F.explode("findings").alias("f"))
+    return back.select("target", "overall", "f.title", "f.severity", F.array_join(F.filter(F.transform("f.evidence", lambda e: e["path"]), lambda p: p.isNotNull()), " ").alias("paths"))
+
+
+# --- versions and capabilities ------------------------------------------------------------------------------------
+
+_VERSIONS = ("1.2", "1.9", "v1.10", "2.0-rc1", "2.0", "2.0.1", "2.0.post1", "10.0")
+_RELEASED = "[" + ", ".join(f"'{v}'" for v in _VERSIONS) + "]"
+
+
+@query("version_order", f"""WITH e AS (SELECT DISTINCT concat('t', user_id) AS target, CAST(event_id % {len(_VERSIONS)} AS INT) AS slot, event_type AS item FROM events), s AS (SELECT target, slot, list(item) AS items FROM e GROUP BY target, slot), b AS (SELECT *, coalesce(lag(items) OVER (PARTITION BY target ORDER BY [0, 1, 2, 3, 4, 6, 5, 7][slot + 1]), []) AS before FROM s)
+SELECT target, {_RELEASED}[slot + 1] AS version, array_to_string(list_sort(list_filter(items, lambda x: NOT list_contains(before, x))), ',') AS added, array_to_string(list_sort(list_filter(before, lambda x: NOT list_contains(items, x))), ',') AS removed FROM b""")
+def _(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    version = F.get(F.array(*map(F.lit, _VERSIONS)), (F.col("event_id") % len(_VERSIONS)).cast("int"))
+    sets = events.select(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("target"), version.alias("version"), F.lit("capability").alias("kind"), F.col("event_type").alias("item")).distinct()
+    return diff.version_drift(sets).select("target", "version", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
+
+
+@query("stream_new_capabilities", "SELECT DISTINCT concat('t', user_id % 50) AS target, event_type AS capability FROM events WHERE event_type IS NOT NULL AND NOT (user_id % 50 % 7 = 0 AND event_type = 'click')")
+def _(spark, sf_dir):
+    target = F.concat(F.lit("t"), (F.col("user_id") % 50).cast("string")).alias("target")
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    accepted = table.where((F.col("user_id") % 50 % 7 == 0) & (F.col("event_type") == "click")).select(target, F.col("event_type").alias("capability"))
+    root = f"{shared_folder(spark)}/tidewatch-stream-{uuid.uuid4().hex[:12]}"
+    table.select(target, F.col("event_type").alias("capability"), "ts").write.parquet(f"{root}/arriving")
+    arriving = spark.readStream.schema("target string, capability string, ts timestamp").parquet(f"{root}/arriving")
+    sink = streams.stream_new_capabilities(arriving, accepted).writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    sink.awaitTermination()
+    return spark.read.schema("target string, capability string, first_seen timestamp").parquet(f"{root}/rows").select("target", "capability")

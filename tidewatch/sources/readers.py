@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tidewatch.functions.shared import saved
 from tidewatch.functions.text import MAX_BYTES, sanitize
 from tidewatch.sources.trees import trees
 
@@ -39,8 +41,11 @@ def read_repo_metadata(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
 
 
 def read_registry(spark: SparkSession, path: str, meta_key: str) -> DataFrame:
-    """Registry entries with packages, remotes, transports and whether there is only a remote side; seq is their order."""
-    raw = spark.read.schema(REGISTRY_SCHEMA).json(path)
+    """Registry entries with packages, remotes, transports and whether there is only a remote side.
+
+    seq is the number of the row, from 0, in the snapshot: files by path, rows as they stand in them, however the files are split.
+    """
+    raw = numbered(spark.read.schema(REGISTRY_SCHEMA).json(path), "seq")
     meta = F.col("_meta")[meta_key]
     found = F.concat(F.transform(F.coalesce("server.packages", F.array()), lambda p: p["transport"]["type"]), F.transform(F.coalesce("server.remotes", F.array()), lambda r: r["type"]))
     has = lambda c: F.coalesce(F.size(F.col(c)), F.lit(0)) > 0
@@ -48,14 +53,34 @@ def read_registry(spark: SparkSession, path: str, meta_key: str) -> DataFrame:
         sanitize(F.col("server.name")).alias("name"), sanitize(F.col("server.description")).alias("description"), F.col("server.version").alias("version"), F.col("server.repository.url").alias("repository_url"),
         F.col("server.packages").alias("packages"), F.transform("server.remotes", lambda r: F.concat(F.coalesce(r["type"], F.lit("unknown")), F.lit(": "), r["url"])).alias("remotes"),
         F.array_sort(F.array_distinct(F.filter(found, lambda t: F.coalesce(t, F.lit("")) != ""))).alias("transports"), (has("server.remotes") & ~has("server.packages")).alias("is_remote_only"),
-        meta["status"].alias("status"), meta["isLatest"].alias("is_latest"), meta["publishedAt"].alias("published_at"), meta["updatedAt"].alias("updated_at"), F.monotonically_increasing_id().alias("seq"),
+        meta["status"].alias("status"), meta["isLatest"].alias("is_latest"), meta["publishedAt"].alias("published_at"), meta["updatedAt"].alias("updated_at"), "seq",
     )
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """(target, overall, findings) of report files named owner__repo.json; names that begin with _ are none."""
-    raw = spark.read.schema(REPORT_SCHEMA).option("multiLine", True).json(path).select("*", F.col("_metadata.file_name").alias("name"))
-    return raw.where(~F.col("name").startswith("_") & F.col("name").endswith(".json")).select(F.replace(F.regexp_replace("name", r"\.json$", ""), F.lit("__"), F.lit("/")).alias("target"), "overall", "findings")
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows of files with their number over all files: rows before the block that a row lies in, plus its place there.
+
+    The rows are written once, as their places in a task have to stay what they are; the blocks are counted, not the rows moved.
+    """
+    placed = saved(rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place")), "rows")
+    blocks = placed.groupBy("_file", "_block").agg(F.min("_place").alias("_from"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))  # one row a block of the input
+    return placed.join(blocks.withColumn("_before", F.coalesce(before, F.lit(0))), ["_file", "_block"]).withColumn(name, F.col("_before") + F.col("_place") - F.col("_from")).select(*rows.columns, name)
+
+
+def read_reports(spark: SparkSession, path: str, schema: StructType | str = REPORT_SCHEMA) -> DataFrame:
+    """Report files named owner__repo.json with the target from their name; names that begin with _ are none.
+
+    schema says what is read of a report, (overall, findings) by default; with the schema of what write_reports() was given
+    the result is that. A target in the schema is the report's own, which no file name has to spell.
+    """
+    shape = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    raw = spark.read.schema(shape).option("multiLine", True).json(path).select("*", F.col("_metadata.file_name").alias("_name"))
+    raw = raw.where(~F.col("_name").startswith("_") & F.col("_name").endswith(".json"))
+    named = F.replace(F.regexp_replace("_name", r"\.json$", ""), F.lit("__"), F.lit("/"))
+    if "target" in shape.names:
+        return raw.withColumn("target", F.coalesce("target", named)).drop("_name")
+    return raw.select(named.alias("target"), *shape.names)
 
 
 def read_target_list(spark: SparkSession, path: str) -> DataFrame:
