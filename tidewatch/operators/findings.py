@@ -157,7 +157,7 @@ def worst_targets(verdicts: DataFrame, most: int) -> DataFrame:
 def fleet_totals(findings: DataFrame) -> DataFrame:
     """(place, severity, n, share) over all targets: by place and severity, by place, and in all (null is a total).
 
-    share is that of all findings; the one of place outside without a severity is the share outside shipped code.
+    share is that of all findings; the one of place outside without a severity is the share outside shipped code. Without findings no row.
     """
     rows = findings.select(F.when(is_outside_shipped(F.col("evidence")), "outside").otherwise("shipped").alias("place"), "severity")
     sets = rows.groupingSets([["place", "severity"], ["place"], []], "place", "severity").agg(F.count("*").alias("n"))
