@@ -61,6 +61,6 @@ def changed_files_only(files: DataFrame, changed: DataFrame, most: int = MOST_CH
     changed is (target, path, seq), seq the order in which the changes were listed.
     """
     source = changed.where(file_extension(F.col("path")).isin(*SOURCE_EXTENSIONS))
-    every = Window.partitionBy("target")
-    first = source.withColumn("rn", F.row_number().over(every.orderBy("seq"))).withColumn("truncated", F.count("*").over(every) > most).where(F.col("rn") <= most)
-    return files.join(first.select("target", "path", "truncated"), ["target", "path"])
+    first = source.withColumn("rn", F.row_number().over(Window.partitionBy("target").orderBy("seq"))).where(F.col("rn") <= most)
+    counts = source.groupBy("target").agg((F.count("*") > most).alias("truncated"))
+    return files.join(first.join(counts, "target").select("target", "path", "truncated"), ["target", "path"])

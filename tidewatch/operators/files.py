@@ -39,10 +39,11 @@ def shallowest_manifest(files: DataFrame, names: tuple[str, ...] | None = None)
 
 def file_cap(files: DataFrame, most: int) -> DataFrame:
     """The first files of each target in walk order, and whether there are more."""
-    w = Window.partitionBy("target", "version").orderBy("key")
-    every = Window.partitionBy("target", "version")
-    out = files.withColumn("key", t.walk_key(F.col("path"))).withColumn("rn", F.row_number().over(w)).withColumn("hit_file_limit", F.count("*").over(every) > most)
-    return out.where(F.col("rn") <= most).drop("rn", "key")
+    keys = ["target", "version"]
+    keyed = files.withColumn("key", t.walk_key(F.col("path")))
+    first = keyed.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("key"))).where(F.col("rn") <= most)
+    counts = files.groupBy(*keys).agg((F.count("*") > most).alias("hit_file_limit"))
+    return first.join(counts, keys).select(*files.columns, "hit_file_limit")
 
 
 def noted_lockfiles(files: DataFrame) -> DataFrame:

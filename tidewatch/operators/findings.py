@@ -58,8 +58,8 @@ def combination_findings(matches: DataFrame) -> DataFrame:
     two = proof.groupBy("target", "version").agg(F.map_from_entries(F.collect_list(F.struct("capability", "evidence"))).alias("proof"))
     rows = sets.join(two, ["target", "version"])
     got = lambda c: F.col("proof")[c]
-    decode = rows.where(has("encoding.base64") & has("code.eval")).select("target", "version", *finding(F.lit("combo.decode_then_execute"), "SOURCE_CODE", F.lit("CRITICAL"), F.lit("MEDIUM"), F.lit("Decodes encoded data and evaluates code in the same project"), F.concat(got("encoding.base64"), got("code.eval"))))
-    install = rows.where(has("package.install") & has("shell.execute", "process.spawn")).select("target", "version", *finding(F.lit("combo.runtime_package_install"), "INSTALLATION", F.lit("HIGH"), F.lit("MEDIUM"), F.lit("Installs packages by shelling out at runtime"), got("package.install")))
+    decode = rows.where(has("encoding.base64") & has("code.eval")).select("target", "version", *finding(F.lit("combo.decode_then_execute"), "SOURCE_CODE", F.lit("CRITICAL"), F.lit("MEDIUM"), F.lit("Has what it takes to unpack hidden code and run it"), F.concat(got("encoding.base64"), got("code.eval"))))
+    install = rows.where(has("package.install") & has("shell.execute", "process.spawn")).select("target", "version", *finding(F.lit("combo.runtime_package_install"), "INSTALLATION", F.lit("HIGH"), F.lit("MEDIUM"), F.lit("Runs commands and adds packages while in use"), got("package.install")))
     return union_all(decode, install)
 
 

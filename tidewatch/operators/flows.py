@@ -85,5 +85,5 @@ def dataflow_findings(flows: DataFrame) -> DataFrame:
     rows = flows.where(F.col("sink").isin(*OUTBOUND) & F.col("source").isin(*EXFIL_WORTHY))
     scoped = F.col("provider_scope").isNotNull() & (F.col("source") == "environment.read") if "provider_scope" in flows.columns else F.lit(False)
     proof = F.array(evidence(F.col("path"), F.col("source_line"), snippet(F.col("source_text")), F.lit("source")), evidence(F.col("path"), F.col("sink_line"), snippet(F.col("sink_text")), F.lit("sink")))
-    title = F.when(scoped, "Provider credential read near a call to that provider").otherwise(F.concat(F.lit("Possible exfiltration path: "), subject[F.col("source")], F.lit(" read near an outbound request")))
+    title = F.when(scoped, "A service's own key close to a call of that service").otherwise(F.concat(F.lit("Close to a way out: "), subject[F.col("source")]))
     return rows.select("target", "version", *finding(F.concat(F.lit("dataflow."), "source", F.lit("__"), "sink"), "NETWORK", F.when(scoped, "LOW").otherwise(worth[F.col("source")]), F.when(scoped, "LOW").otherwise(F.col("confidence")), title, proof))
