@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -99,3 +100,32 @@ def test_given_documents_have_no_other_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = sorted((r.doc_id, name) for r in docs.collect() for line, name in lines.items() if line in r.text)
     assert sorted((r.doc_id, r.license) for r in licenses.op6_license_scan(spark, "/root/testdata/sf0.01").collect()) == want
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 7, 12, 20])
+def test_templates_with_foreign_words_after_each_word(k):
+    rng, scanner = random.Random(k), licenses.Scanner()
+    for name in ("MIT", "ISC", "BSD-3-Clause"):
+        template = licenses.words(licenses.TEMPLATES[name])
+        text = " ".join(x for w in template for x in (w, *(f"q{rng.randint(0, 10**6)}" for _ in range(k))))
+        head = " ".join(f"z{i}" for i in range(300))
+        got = {f[0]: f for f in scanner.scan(f"{head} {text} {head}")}
+        assert set(got) == {name}
+        _, share, matched, first, end = got[name]
+        assert share == matched / len(template) > 0.95 and 300 <= first < end <= 300 + len(template) * (k + 1)
+
+
+def test_words_in_another_order_are_no_template():
+    rng, scanner = random.Random(2), licenses.Scanner()
+    for name in ("MIT", "ISC", "BSD-3-Clause"):
+        mixed = licenses.words(licenses.TEMPLATES[name])
+        rng.shuffle(mixed)
+        assert name not in {f[0] for f in scanner.scan(" ".join(mixed))}
+
+
+def test_reach_is_a_longest_common_subsequence():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randint(0, 40))] for _ in "ab")
+        n, place = licenses.lcs_reach(a, b)
+        assert n == lcs(a, b) == lcs(a[:place], b) and (not place or lcs(a[: place - 1], b) < n)

@@ -140,6 +140,23 @@ def regions(text: list[str], vocabulary: set[str], size: int) -> list[tuple[int,
     return out
 
 
+def lcs_reach(text: list[str], template: list[str]) -> tuple[int, int]:
+    """Length of a longest common subsequence, and the first place of the text behind which it is complete: one row of bits a word."""
+    masks: dict[str, int] = {}
+    for j, w in enumerate(template):
+        masks[w] = masks.get(w, 0) | 1 << j
+    full = row = (1 << len(template)) - 1
+    best, place = 0, 0
+    for i, w in enumerate(text):
+        met = row & masks.get(w, 0)
+        if met:
+            row = (row + met | row - met) & full
+            n = len(template) - row.bit_count()
+            if n > best:
+                best, place = n, i + 1
+    return best, place
+
+
 def windows(a: int, b: int, size: int) -> list[tuple[int, int]]:
     """Windows of a stretch, a quarter more than size long and twice as long as it, a quarter of size apart."""
     step = max(1, size // 4)
@@ -179,8 +196,36 @@ class Scanner:
                         met = {y for _, y in pairs}
                         if all(len(met & t) >= self.coverage * len(t) for t in self.telling.get(name, ())):
                             out.append([(i + x, y) for x, y in pairs])
+        if not out and size >= SHORT and (pairs := self.thin(own, template, counts, least)):
+            met = {y for _, y in pairs}
+            if all(len(met & t) >= self.coverage * len(t) for t in self.telling.get(name, ())):
+                out.append(pairs)
         return out
 
+    def thin(self, own: list[str], template: list[str], counts: Counter, least: float) -> list[tuple[int, int]]:
+        """An alignment of a template whose words lie in order but nowhere crowd, however many foreign words lie between them.
+
+        Looked for over the whole text where its words allow the coverage; of the longest ones the one that is complete first,
+        from where it last can begin.
+        """
+        at = [i for i, w in enumerate(own) if w in counts]
+        part = [own[i] for i in at]
+        held = Counter(part)
+        if sum(min(n, counts[w]) for w, n in held.items()) < least:
+            return []
+        n, end = lcs_reach(part, template)
+        if n < least:
+            return []
+        _, back = lcs_reach(part[:end][::-1], template[::-1])
+        start = end - back
+        pairs = align(part[start:end], template)
+        if len(pairs) < n:  # anchors that stand in another order in between
+            places: dict[str, list[int]] = {}
+            for j in range(len(template) - 1, -1, -1):
+                places.setdefault(template[j], []).append(j)
+            pairs = increasing([(i, j) for i in range(end - start) for j in places.get(part[start + i], ())])
+        return [(at[start + i], j) for i, j in pairs]
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, matched words, first and one past the last word) for each template that is covered."""
         if not text:
@@ -210,7 +255,9 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
 
     Words are compared in lower case without punctuation. A row is given for each text and template of which
     coverage of the words are aligned, and coverage of those that tell it from similar templates, or all words
-    if it has fewer than SHORT; of templates that claim the same words, the one with most of them stays; where a template occurs several times, for the best of them, the
+    if it has fewer than SHORT. Words of the template may crowd, as in a copy, or, for templates of SHORT words and more, lie
+    in order with any number of foreign words between them; statements of fewer words have to crowd, as their words are
+    everybody's. Of templates that claim the same words, the one with most of them stays; where a template occurs several times, for the best of them, the
     shortest and then the first of equals. Null and empty texts give nothing, repeated rows give repeated results, null keys
     are kept. Other columns are not looked at. An empty table gives no rows.
     """
