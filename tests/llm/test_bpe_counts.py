@@ -129,3 +129,15 @@ def test_given_documents_come_through_joins_of_ids(spark, monkeypatch):
     assert any(len(t) > bpe.MANY * bpe.PIECE for t in texts)
     monkeypatch.setattr(bpe.TextTree, "join", lambda self, text, start, cut, end, left, right: [*left, *right])
     assert got() != want
+
+
+def test_the_frequent_table_is_counted(spark):
+    """The commonest pre-tokens with the library's lengths; they serve most look-ups of the given table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = token_counts.counted_lengths(docs, "text", PIECE)
+    texts = [" " + r.text for r in docs.collect() if r.text]
+    pieces = [p for t in texts for p in token_counts.PRE_TOKEN.findall(t)]
+    assert len(found) <= token_counts.FREQUENT and sum(p in found for p in pieces) > 0.8 * len(pieces)
+    sp = token_counts._processor(PIECE)
+    assert all(n == len(sp.encode("\n" + w)) - 2 for w, n in list(found.items())[::50])
+    assert token_counts.counted_lengths(docs.limit(0), "text", PIECE) == {} and len(token_counts.counted_lengths(docs, "text", PIECE, rows=50, most=10)) == 10

@@ -139,3 +139,45 @@ def test_words_are_forgotten_and_found_again():
     small, large = near_dups.Words(most=20), near_dups.Words()
     words = [b"the", b"a" * 70, b"cat", b"sat", b"on", b"longer-word"] * 3
     assert [small[w] for w in words] == [large[w] for w in words] and small.held <= 20
+
+
+def test_scores_are_those_of_a_plain_computation():
+    """Every subword by itself: hashed, looked up, averaged, turned into probabilities."""
+    import math
+
+    import numpy as np
+
+    model = language_id.fit(["the of and", "der die das", "le la les", "el los que"] * 10, ["en", "de", "fr", "es"] * 10)
+    fold = lambda c: c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32
+    for text in ("The cat", "a", "", "LOS niños 12", "der\ndie  das é"):
+        raw, total, n = [fold(c) for c in text.encode()], np.zeros(4), 0
+        for order in language_id.ORDERS:
+            for at in range(len(raw) - order + 1):
+                code = raw[at]
+                for c in raw[at + 1 : at + order]:
+                    code = (code * 0x01000193 + c) % 2**32
+                total += model.scores[(code * 0x9E3779B1 + order - 1) % 2**32 >> 16]
+                n += 1
+        logits = (total / max(n, 1) + model.bias) / model.temperature
+        p = [math.exp(x - max(logits)) for x in logits]
+        best, score = model.predict(*language_id.packed([text.encode()]))
+        assert best[0] == int(np.argmax(p)) and abs(score[0] - max(p) / sum(p)) < 1e-9
+
+
+def test_the_sample_has_a_bounded_size(spark, monkeypatch):
+    """Long texts are cut down to stretches of all of them before they leave their task."""
+    seen = []
+    monkeypatch.setattr(language_id, "fit", lambda texts, languages: seen.append((texts, languages)))
+    rows = [(i, ("the cat " if i % 2 else "der Hund ") * (50 * (i + 1)) + f"end{i}", "en" if i % 2 else "de") for i in range(30)]
+    rows += [rows[3], (50, None, "en"), (51, "x y", None), (52, "12", "en"), (None, "la le", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    language_id.train(docs)
+    texts, languages = seen.pop()
+    assert len(texts) == 31 and sorted(texts) == sorted({r[1] for r in rows if r[1] and r[2] and any(c.isalpha() for c in r[1])})
+    language_id.train(docs, sample_bytes=40_000)
+    cut, same = seen.pop()
+    assert same == languages and 20_000 < sum(map(len, cut)) < 40_000 + 31 * language_id.STRETCH
+    longest = max(range(31), key=lambda i: len(texts[i]))
+    assert len(cut[longest]) < len(texts[longest]) and cut[longest].endswith(texts[longest][-5:]) and cut[longest][:5] == texts[longest][:5]
+    language_id.train(docs, sample_rows=5)
+    assert len(seen.pop()[0]) == 5

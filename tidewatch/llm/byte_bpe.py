@@ -7,7 +7,7 @@ work is that of the merges that apply, whatever the number of ranks. What a bloc
 next ones in a bounded cache; a word that is remembered is not laid out again.
 
 A replay over the whole table at once would have to bring the ids of every word back to its places, a shuffle
-of all tokens; a block (4 MB of text) needs none, gives the same ids, and has a bounded size.
+of all tokens; a block (1 MB of text) needs none, gives the same ids, and has a bounded size.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ from tidewatch.llm.blocks import block_columns, lists_of
 from tidewatch.llm.common import map_batches, table, tokenizer_path
 
 IDS = T.ArrayType(T.IntegerType())
-CACHE_CHARS, LONG = 3_000_000, 64  # characters of all remembered pre-tokens, and of the longest that is remembered
+CACHE_CHARS, LONG = 1_500_000, 64  # characters of all remembered pre-tokens, and of the longest that is remembered
 SEGMENT = 1 << 20  # characters of a text that are cut into pre-tokens at a time
-LAID_OUT = 1 << 20  # bytes of words in one replay, but for a longer word
+LAID_OUT, BLOCK = 1 << 18, 1 << 20  # bytes of words in one replay, but for a longer word, and of texts in a block, but for a longer text
 
 #: Up to here classes of characters have been the same for long; beyond, the library is asked.
 PLAIN = 0x250
@@ -309,7 +309,7 @@ def encode_bytes(docs: DataFrame, text: str = "text", ranks: str | None = None,
         each = _ids_of(path, text)
         return lambda batch: [each(batch)]
 
-    return block_columns(docs, text, [T.StructField(out, IDS)], make)
+    return block_columns(docs, text, [T.StructField(out, IDS)], make, BLOCK)
 
 
 def decode_bytes(docs: DataFrame, ids: str = "token_ids", ranks: str | None = None, out: str = "decoded") -> DataFrame:
@@ -346,7 +346,7 @@ def bytes_round_trip(docs: DataFrame, text: str = "text", ranks: str | None = No
 
         return each
 
-    return block_columns(docs, text, [T.StructField("token_ids", IDS), T.StructField("decoded", T.BinaryType())], make)
+    return block_columns(docs, text, [T.StructField("token_ids", IDS), T.StructField("decoded", T.BinaryType())], make, BLOCK)
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

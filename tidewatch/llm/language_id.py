@@ -1,7 +1,7 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax.
 
 The embeddings and the softmax are trained by stochastic gradient descent in numpy on a bounded sample of
-labelled rows (sample_rows). As everything after the lookup is linear, a prediction adds up one row of class
+labelled rows (sample_rows, sample_bytes). As everything after the lookup is linear, a prediction adds up one row of class
 scores for each hashed subword, so the trained model is one table of buckets x languages. A temperature and
 a rejection threshold are calibrated on whole texts of rows of the sample that the training did not see.
 """
@@ -23,6 +23,7 @@ BUCKETS, DIM, ORDERS = 1 << 16, 16, (2, 3, 4)
 SAMPLE_ROWS, EPOCHS, RATE, BATCH = 4000, 4, 0.5, 32
 #: Bytes of the pieces that a text is cut into for training, in turn, so that short texts are learned as well as long ones.
 SNIPPETS = (60, 160, 640)
+SAMPLE_BYTES, STRETCH = 32 << 20, 640  # bytes of the sample's texts, and characters of the stretches of texts that are cut down to them
 CHUNK = 1 << 18  # bytes that are looked up at once
 REJECT_RATE, REJECT_MOST = 0.001, 0.5
 UNKNOWN = "und"
@@ -141,17 +142,31 @@ def fit(texts: list[str], languages: list[str], seed: int = 7) -> Model | None:
     return model
 
 
-def train(labelled: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fits on the whole texts of sample_rows labelled rows at most, those of the smallest hash of their key.
+def train(labelled: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """Fits on sample_rows labelled rows at most, those of the smallest hash of their key, of sample_bytes of text at most.
 
-    The rows are counted first, so that each task sends only its share of the sample to the driver. Rows without a
-    language or a letter are no use and left out; without any row there is no model (None).
+    The rows are counted first, so that each task sends only its share of hashes to the driver; no texts are sorted. Where the
+    texts of the sample have more bytes together, each is cut down in its task to stretches spread over all of it, by
+    its share of them. Rows that repeat key, text and language are learned once. Rows without a language or a letter are
+    no use and left out; without any row there is no model (None).
     """
     usable = labelled.where(F.col(language).isNotNull() & F.col(text).rlike(r"\p{L}"))
     n = usable.count()
     share = min(1.0, 2 * (sample_rows + 100) / max(n, 1))
-    hashed = usable.withColumn("h", F.xxhash64(key)).where((F.col("h") / 2.0**63) <= 2 * share - 1)
-    rows = hashed.select(F.col(text).alias("t"), F.col(language).alias("l"), "h").orderBy("h", "t").limit(sample_rows).collect()
+    hashed = usable.select(F.col(text).alias("t"), F.col(language).alias("l"), F.xxhash64(key).alias("h"), F.xxhash64(text).alias("m")).where((F.col("h") / 2.0**63) <= 2 * share - 1)
+    marks = hashed.select("h", "m").distinct().orderBy("h", "m").limit(sample_rows).collect()
+    if not marks:
+        return None
+    last = marks[-1]
+    chosen = hashed.where((F.col("h") < last.h) | ((F.col("h") == last.h) & (F.col("m") <= last.m))).dropDuplicates(["h", "m", "l"])
+    total = chosen.agg(F.sum(F.octet_length("t"))).first()[0]
+    if total > sample_bytes:
+        room = F.greatest(F.lit(STRETCH), F.floor(F.length("t") * (sample_bytes / total)))
+        n = F.greatest(F.lit(1), F.floor(room / STRETCH)).cast("int")
+        start = lambda i: (1 + F.floor(i * (F.length("t") - STRETCH) / F.greatest(n - 1, F.lit(1)))).cast("int")
+        cut = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("t"), start(i), F.lit(STRETCH))), " ")
+        chosen = chosen.withColumn("t", F.when(F.length("t") > room, cut).otherwise(F.col("t")))
+    rows = sorted(chosen.select("t", "l", "h").collect(), key=lambda r: (r.h, r.t))
     return fit([r.t for r in rows], [r.l for r in rows])
 
 

@@ -26,7 +26,7 @@ from tidewatch.llm import byte_bpe, token_counts
 from tidewatch.llm.blocks import block_columns, lists_of
 from tidewatch.llm.common import fresh, map_batches, settle, table, tokenizer_path, written
 
-CACHE_CHARS, LONG, AT_ONCE = 3_000_000, 64, 2000
+CACHE_CHARS, LONG, AT_ONCE = 2_000_000, 64, 2000
 HOT_PAIRS = 2_000_000  # pairs of the broadcast table, 17 bytes each
 WIDE = 1 << 16  # links of a group from which on its distinct ids are counted first
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "groups", "link_keys", "link_times")
