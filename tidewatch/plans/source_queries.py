@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import text as t
 from tidewatch.functions.enums import severity_rank
 from tidewatch.functions.shared import saved, shared_folder
-from tidewatch.operators import diff, file_helpers, files, findings
+from tidewatch.operators import diff, file_helpers, files, findings, matches
 from tidewatch.plans import queries as q
 from tidewatch.plans.tree_queries import tree, tree_sql
 from tidewatch.sources import readers, report_files, trees
@@ -246,3 +246,42 @@ def _(spark, sf_dir):
     sink = streams.stream_new_capabilities(arriving, accepted).writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     sink.awaitTermination()
     return spark.read.schema("target string, capability string, first_seen timestamp").parquet(f"{root}/rows").select("target", "capability")
+
+
+# --- matches in comments, strings, lists of what is refused, and plain code -----------------------------------------
+
+_SAID = """CASE (doc_id + i) % 5 WHEN 0 THEN concat('# os.system("', c, '")') WHEN 1 THEN concat('os.system("', c, '")') WHEN 2 THEN concat('DENY_LIST = ["os.system(', c, ')"]') WHEN 3 THEN concat('"os.system(', c, ')"') ELSE 'x = 1' END"""
+
+
+def doc_contexts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, matches with their context) of a Python file of each document, each a target of its own."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").withColumn("raw", F.split("text", "\n"))
+    text = F.concat(F.lit("import os\n"), F.expr(f"array_join(transform(raw, (x, i) -> {_SAID.replace(', c', ', ' + _CLEAN.format(x='x', g=''))}), '\n')"))
+    code = saved(docs.select(F.expr("concat('t', doc_id)").alias("target"), F.lit("v1").alias("version"), F.expr("concat(CASE doc_id % 3 WHEN 0 THEN 'tests/' ELSE 'src/' END, 'd', doc_id, '.py')").alias("path"), t.normal_text(text).alias("text")), "code")
+    lines = files.explode_lines(code)
+    return lines, saved(matches.match_context(saved(matches.match_rules(lines), "matches"), lines, file_helpers.prose_in_files(code)), "matches")
+
+
+_SAID_SQL = """d AS (SELECT doc_id, doc_id % 3 <> 0 AS shipped, concat('t', doc_id) AS target, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, target, shipped, unnest(range(0, n)) AS i FROM d), m AS (SELECT *, CAST(i + 2 AS INT) AS line, CASE (doc_id + i) % 5 WHEN 1 THEN NULL WHEN 2 THEN 'exclusion' ELSE 'prose' END AS context FROM l WHERE (doc_id + i) % 5 < 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS rn FROM m),
+fd AS (SELECT doc_id, target, count(*) AS n, string_agg(coalesce(context, 'code'), ' ' ORDER BY rn) FILTER (rn <= 5) AS contexts, bool_or(rn <= 5 AND context IS NULL AND shipped) AS counts FROM r GROUP BY doc_id, target)"""
+
+
+@query("contexts_in_code", f"WITH {_SAID_SQL} SELECT target, line, 'source.os_system' AS rule_id, context FROM m")
+def _(spark, sf_dir):
+    return doc_contexts(spark, sf_dir)[1].select("target", "line", "rule_id", "context")
+
+
+@query("findings_in_context", f"WITH {_SAID_SQL} SELECT target, 'source.os_system' AS rule_id, contexts, greatest(n - 5, 0) AS n_further, counts AS sets_headline FROM fd")
+def _(spark, sf_dir):
+    found = findings.matches_to_findings(doc_contexts(spark, sf_dir)[1])
+    contexts = F.array_join(F.transform("evidence", lambda e: F.coalesce(e["context"], F.lit("code"))), " ")
+    return found.select("target", "rule_id", contexts.alias("contexts"), F.col("n_further").cast("long").alias("n_further"), findings.sets_headline(F.col("evidence")).alias("sets_headline"))
+
+
+@query("verdicts_in_context", f"WITH {_SAID_SQL} SELECT d.target, CASE WHEN counts THEN 'HIGH' ELSE 'NOT_FLAGGED' END AS overall FROM d LEFT JOIN fd USING (target)")
+def _(spark, sf_dir):
+    lines, found = doc_contexts(spark, sf_dir)
+    verdicts = findings.overall_verdict(findings.matches_to_findings(found), lines.select("target", "version").distinct())
+    return verdicts.select("target", "overall")
