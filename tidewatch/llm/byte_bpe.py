@@ -16,6 +16,7 @@ import base64
 import heapq
 import re
 import unicodedata
+from array import array
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -31,7 +32,7 @@ from tidewatch.llm.blocks import block_columns, lists_of
 from tidewatch.llm.common import map_batches, table, tokenizer_path
 
 IDS = T.ArrayType(T.IntegerType())
-CACHE_CHARS, LONG = 1_500_000, 64  # characters of all remembered pre-tokens, and of the longest that is remembered
+CACHE_CHARS, LONG = 5_000_000, 64  # characters of all remembered pre-tokens, and of the longest that is remembered
 SEGMENT = 1 << 20  # characters of a text that are cut into pre-tokens at a time
 LAID_OUT, BLOCK = 1 << 18, 1 << 20  # bytes of words in one replay, but for a longer word, and of texts in a block, but for a longer text
 
@@ -111,7 +112,7 @@ class Replay:
             elif w:
                 laid.append(i)
         for i, ids in zip(laid, self.replay([words[i] for i in laid]), strict=True):
-            out[i] = np.asarray(ids, "<i4").tobytes()
+            out[i] = array("i", ids).tobytes()
         return out
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
@@ -144,18 +145,18 @@ class Replay:
         while due:
             rank = heapq.heappop(due)
             places = index.pop(rank)
-            places.sort()  # of overlapping places the left one merges
+            if len(places) > 1:
+                places.sort()  # of overlapping places the left one merges
+            made = token[rank]
             for p in places:
                 if pair[p] != rank:
                     continue
                 q = after[p]
                 nxt, prv = after[q], before[p]
                 ids[p], pair[q], after[p] = rank, -1, nxt
-                made = token[rank]
                 if nxt >= 0:
                     before[nxt] = p
-                    new = get(made + token[ids[nxt]], -1)
-                    pair[p] = new
+                    pair[p] = new = get(made + token[ids[nxt]], -1)
                     if new >= 0:
                         if new in index:
                             index[new].append(p)
@@ -167,8 +168,7 @@ class Replay:
                 else:
                     pair[p] = -1
                 if prv >= 0:
-                    new = get(token[ids[prv]] + made, -1)
-                    pair[prv] = new
+                    pair[prv] = new = get(token[ids[prv]] + made, -1)
                     if new >= 0:
                         if new in index:
                             index[new].append(prv)

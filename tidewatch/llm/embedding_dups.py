@@ -71,7 +71,8 @@ class Index:
         to two centroids by a normal variable; certainty is the number of its deviations that are allowed for.
         """
         d = squared(x, self.centroids)
-        apart = np.sqrt(squared(self.centroids, self.centroids))[own]
+        lists, at = np.unique(own, return_inverse=True)  # distances between lists that vectors are in, not between all
+        apart = np.sqrt(squared(self.centroids[lists], self.centroids))[at]
         near = d - d[np.arange(len(x)), own][:, None] <= 2 * self.certainty * self.reach * apart / np.sqrt(self.spread) + 1e-12
         return near & (np.arange(len(self.centroids)) >= own[:, None])
 
