@@ -26,7 +26,7 @@ from tidewatch.llm import byte_bpe, token_counts
 from tidewatch.llm.blocks import block_columns, lists_of
 from tidewatch.llm.common import fresh, map_batches, settle, table, tokenizer_path, written
 
-CACHE_CHARS, LONG, AT_ONCE = 2_000_000, 64, 2000
+CACHE_CHARS, LONG, AT_ONCE = 3_500_000, 64, 2000
 HOT_PAIRS = 2_000_000  # pairs of the broadcast table, 17 bytes each
 WIDE = 1 << 16  # links of a group from which on its distinct ids are counted first
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "groups", "link_keys", "link_times")
@@ -138,9 +138,13 @@ def diagonal_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray,
     n, m = len(list_a), len(list_b)
     while i < n:
         x, y = list_a[i], list_b[j]
-        if x == y:  # on the diagonal j - i: step on while the ends agree, 1, then 4, 8 ... at once
+        if x == y:  # on the diagonal j - i: step on while the ends agree, some single ones first, then 4, 8 ... at once
             i, j, step = i + 1, j + 1, 4
-            if i < n and list_a[i] != list_b[j]:
+            near = min(i + 4, n)
+            while i < near and list_a[i] == list_b[j]:
+                i += 1
+                j += 1
+            if i < near:
                 continue
             while i + step <= n and j + step <= m and bytes_a[8 * i : 8 * (i + step)] == bytes_b[8 * j : 8 * (j + step)]:
                 i, j, step = i + step, j + step, step * 2
