@@ -349,30 +349,30 @@ _LATEST = f"{_REG}, latest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number(
 
 @query("dedupe_latest_registry", f"WITH {_LATEST} SELECT name, version, entry FROM latest")
 def _(spark, sf_dir):
-    return metadata.dedupe_latest_registry(views.registry(spark, sf_dir)).select("name", "version", "entry")
+    return views.latest_registry(spark, sf_dir).select("name", "version", "entry")
 
 
 @query("distinct_registry_versions", f"WITH {_REG} SELECT name, version, entry FROM (SELECT *, row_number() OVER (PARTITION BY name, version ORDER BY seq) AS rn FROM reg) WHERE rn = 1")
 def _(spark, sf_dir):
-    return metadata.distinct_registry_versions(views.registry(spark, sf_dir)).select("name", "version", "entry")
+    return views.registry_versions(spark, sf_dir).select("name", "version", "entry")
 
 
 @query("provenance", f"""WITH {_REPOS}, {_LATEST}, e AS (SELECT *, {_NORM(_CLEAN('repository_url'))} AS repo FROM latest), a AS (SELECT *, {_NORM(_CLEAN('html_url'))} AS repo FROM repos)
 SELECT full_name, a.repo, name AS registry_name, CASE WHEN name IS NULL THEN 'NOT_APPLICABLE' ELSE 'VERIFIED' END AS provenance_status FROM a LEFT JOIN e ON a.repo = e.repo""")
 def _(spark, sf_dir):
-    got = metadata.provenance(views.repos(spark, sf_dir), metadata.dedupe_latest_registry(views.registry(spark, sf_dir)))
+    got = metadata.provenance(views.repos(spark, sf_dir), views.latest_registry(spark, sf_dir))
     return got.select("full_name", "repo", "registry_name", "provenance_status")
 
 
 @query("unregistered_repos", f"""WITH {_REPOS}, {_LATEST} SELECT full_name FROM repos WHERE NOT EXISTS (SELECT 1 FROM latest WHERE {_NORM(_CLEAN('repository_url'))} = {_NORM(_CLEAN('html_url'))})""")
 def _(spark, sf_dir):
-    return metadata.unregistered_repos(views.repos(spark, sf_dir), views.registry(spark, sf_dir)).select("full_name")
+    return metadata.unregistered_repos(views.repos(spark, sf_dir), views.latest_registry(spark, sf_dir)).select("full_name")
 
 
 def _audited(spark, sf_dir):
     """Repositories as if audited under the registry name of the same number."""
     repos = views.repos(spark, sf_dir).select(F.col("full_name").alias("target"), F.concat(F.lit("io.reg/srv"), F.col("k")).alias("name"), F.concat(F.lit("https://github.com/"), "full_name").alias("html_url"))
-    return repos, metadata.dedupe_latest_registry(views.registry(spark, sf_dir))
+    return repos, views.latest_registry(spark, sf_dir)
 
 
 _AUDITED = f"{_REPOS}, {_LATEST}, au AS (SELECT full_name AS target, 'https://github.com/' || full_name AS html, l.* FROM repos JOIN latest l ON l.name = 'io.reg/srv' || k)"
@@ -401,7 +401,7 @@ s AS (SELECT query, name, len(list_filter(words, lambda w: contains(lower(concat
 SELECT query, name, CAST(score AS INT) AS score, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, name) AS place FROM s) WHERE place <= 5""")
 def _(spark, sf_dir):
     asked = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("srv"), (F.col("p_partkey") % 20).cast("string"), F.lit(" "), "p_name").alias("query")).distinct()
-    return metadata.search_registry(metadata.dedupe_latest_registry(views.registry(spark, sf_dir)), asked, 5)
+    return metadata.search_registry(views.latest_registry(spark, sf_dir), asked, 5)
 
 
 @query("snapshot_freshness", """WITH l AS (SELECT concat('t', user_id % 20) AS target, event_type AS key, user_id, max(ts) AS last_at FROM events GROUP BY 1, 2, 3), a AS (SELECT target, CAST(epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(last_at)) AS BIGINT) AS age FROM l)

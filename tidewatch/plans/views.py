@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewatch.operators import metadata
+
 #: Lines of code for event_id % len(SAMPLES). Without single quotes and backslashes, so that both engines read them alike.
 SAMPLES = (
     "import os", "x = compute(a, b)", "subprocess.run(cmd, shell=True)", "os.system(command)", "p = os.popen(command)", "subprocess.check_output([tool, path])", "const out = execSync(cmd)", "const c = spawn(tool, args)", "value = eval(text)", "exec(code)",
@@ -50,11 +54,15 @@ FROM {customer} AS c LEFT JOIN (SELECT o_custkey, count(DISTINCT o_orderkey) * 7
   FROM {orders} AS o JOIN {lineitem} AS l ON o_orderkey = l_orderkey GROUP BY o_custkey) AS x ON c_custkey = o_custkey"""
 
 
+_RELEASED = "concat('1.', p_partkey % 3) AS version"
+_IS_LATEST = "CASE WHEN p_partkey % 3 = 2 THEN TRUE WHEN p_partkey % 3 = 1 THEN FALSE ELSE NULL END AS is_latest"
+
+
 def registry_sql(supplier: str, part: str) -> str:
     """Several versions of each name, some entries without source, a few with a foreign one."""
-    return f"""SELECT concat('io.reg/srv', s_suppkey) AS name, p_name AS description, concat('1.', p_partkey % 3) AS version, concat(s_suppkey, '-', p_partkey) AS entry,
+    return f"""SELECT concat('io.reg/srv', s_suppkey) AS name, p_name AS description, {_RELEASED}, concat(s_suppkey, '-', p_partkey) AS entry,
   CASE s_suppkey % 5 WHEN 0 THEN concat('https://github.com/own', s_suppkey % 50, '/srv', s_suppkey, '.git') WHEN 1 THEN concat('git+https://github.com/own', s_suppkey % 50, '/srv', s_suppkey) WHEN 2 THEN concat('git@github.com:OWN', s_suppkey % 50, '/srv', s_suppkey) WHEN 3 THEN NULL ELSE 'https://github.com/other/thing' END AS repository_url,
-  CASE WHEN p_partkey % 3 = 2 THEN TRUE WHEN p_partkey % 3 = 1 THEN FALSE ELSE NULL END AS is_latest, CASE WHEN s_suppkey % 9 = 0 THEN 'deprecated' ELSE 'active' END AS status, s_suppkey % 7 = 0 AS is_remote_only, p_partkey AS seq
+  {_IS_LATEST}, CASE WHEN s_suppkey % 9 = 0 THEN 'deprecated' ELSE 'active' END AS status, s_suppkey % 7 = 0 AS is_remote_only, p_partkey AS seq
 FROM {supplier} AS s JOIN {part} AS p ON p_partkey % 100 = s_suppkey % 100"""
 
 
@@ -99,8 +107,28 @@ def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(repos_sql("{customer}", "{orders}", "{lineitem}", SPARK_ISO.replace("{}", "{{}}").format()), **_tables(spark, sf_dir, "customer", "orders", "lineitem"))
 
 
-def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(registry_sql("{supplier}", "{part}"), **_tables(spark, sf_dir, "supplier", "part"))
+def registry(spark: SparkSession, sf_dir: str, choose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Entries of the registry: every name of a slot has all releases of that slot, so their number is that of names times releases.
+
+    choose picks among the releases (slot, version, is_latest, seq and the part's own columns). A choice that looks at a
+    name's releases alone is the same for all names of a slot, so it is made once a slot, before names meet releases.
+    """
+    tables = _tables(spark, sf_dir, "supplier", "part")
+    if choose:
+        part = tables["part"]
+        released = spark.sql(f"SELECT *, p_partkey % 100 AS slot, {_RELEASED}, {_IS_LATEST}, p_partkey AS seq FROM {{part}}", part=part)
+        tables["part"] = choose(released).select(*part.columns)
+    return spark.sql(registry_sql("{supplier}", "{part}"), **tables)
+
+
+def latest_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One entry a name, as dedupe_latest_registry() has it of the whole registry."""
+    return metadata.dedupe_latest_registry(registry(spark, sf_dir, lambda released: metadata.dedupe_latest_registry(released, "slot")))
+
+
+def registry_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One entry for each name and version, as distinct_registry_versions() has it of the whole registry."""
+    return metadata.distinct_registry_versions(registry(spark, sf_dir, lambda released: metadata.distinct_registry_versions(released, "slot", "version")))
 
 
 def dep_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
