@@ -1,8 +1,10 @@
 """Work that has to grow with the input, not with its square."""
 
+import random
+
 import pytest
 
-from tidewatch.operators import metadata
+from tidewatch.operators import flows, metadata
 from tidewatch.plans import views
 
 
@@ -31,3 +33,21 @@ def test_queries_meet_the_first_names_of_a_kind_only(spark):
     assert kept == [*((f"srv-100{i}", ["red", "srv"], ["srv"]) for i in range(3)), ("srv-1007", ["red", "srv", "srv-1007"], ["srv", "srv-1007"])]
     found = metadata.search_registry(entries.selectExpr("name", "'red' AS description"), spark.createDataFrame([("srv red",), ("srv-1007 srv",)], "query string"), 2)
     assert sorted(map(tuple, found.collect())) == [("srv red", "srv-1000", 2, 1), ("srv red", "srv-1001", 2, 2), ("srv-1007 srv", "srv-1000", 1, 2), ("srv-1007 srv", "srv-1007", 2, 1)]
+
+
+def test_flows_are_the_closest_pairs_and_no_window_looks_to_its_end(spark):
+    rng = random.Random(5)
+    rows = [("t", "v", f"f{f}.py", line, f"x{line}", kind, role, f"c.{kind}" if kind != "s1" else None, number, None)
+            for f in range(4) for line in range(1, 60) for number, (kind, role) in enumerate((("s1", "source"), ("s2", "source"), ("k1", "sink"), ("k2", "exec"))) if rng.random() < (0.05, 0.3, 0.08, 0.2)[number] and (f, kind) != (3, "s2")]
+    shape = "target string, version string, path string, line int, text string, rule_id string, role string, capability string, rule_no int, context string"
+    got = flows.pair_flows(spark.createDataFrame([*rows, ("t", "v", "f0.py", 70, "", "s1", "source", None, 0, "prose")], shape))
+    want = {}
+    for s in rows:
+        for k in rows:
+            if s[2] == k[2] and s[6] == "source" != k[6]:
+                key = (s[2], s[5], k[5])
+                want[key] = min(want.get(key, (999,)), (abs(s[3] - k[3]), s[3], k[3], f"x{s[3]}", f"x{k[3]}", s[7] or s[5], k[7]))
+    assert {(r.path, r.source_rule, r.sink_rule): (r.distance, r.source_line, r.sink_line, r.source_text, r.sink_text, r.source, r.sink) for r in got.collect()} == want
+    first = {(p, rule): min((r[3], r[8]) for r in rows if (r[2], r[5]) == (p, rule)) for p, rule in {(r[2], r[5]) for r in rows}}
+    assert all(tuple(r.source_seen) == first[r.path, r.source_rule] and tuple(r.sink_seen) == first[r.path, r.sink_rule] for r in got.collect())
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.catalogue import EXFIL_WORTHY, OUTBOUND
 from tidewatch.functions.enums import confidence_rank
 from tidewatch.functions.hosts import MODEL_HOSTS, URL_WITH_PORT
+from tidewatch.functions.shared import saved
 from tidewatch.functions.text import snippet
 from tidewatch.functions.unions import union_all
 from tidewatch.operators.findings import evidence, finding
@@ -19,30 +20,40 @@ NEAR = 40
 def pair_flows(matches: DataFrame) -> DataFrame:
     """For each file, source rule and sink rule, the closest pair of lines; ties go to the first source, then sink line.
 
-    Matches in prose and refusals are no half of a flow. Each source meets only the last and the next source
-    line of a rule pair, so the work grows with the matches, not with their product.
+    Matches in prose and refusals are no half of a flow. Each sink meets only the last and the next line of each source rule
+    of its file, told by two running values (one down, one up the file), so the work grows with the matches, not with their
+    product. Lines alone are compared; the texts of the pairs that are left are fetched at the end.
     """
     real = matches.where(F.col("context").isNull())
-    told = [F.col(c) for c in ("line", "text", "rule_id", "capability", "rule_no")]
-    sources = real.where("role = 'source'").select(*FILE, F.struct(*told).alias("m"))
-    sinks = real.where("role in ('sink', 'exec')").select(*FILE, F.struct(*told).alias("m"))
-    kinds = lambda df, name: df.select(*FILE, F.col("m.rule_id").alias(name)).distinct()
-    a = sources.join(kinds(sinks, "sink_rule"), FILE).select(*FILE, F.col("m.rule_id").alias("source_rule"), "sink_rule", F.lit(0).alias("side"), "m")
-    b = sinks.join(kinds(sources, "source_rule"), FILE).select(*FILE, "source_rule", F.col("m.rule_id").alias("sink_rule"), F.lit(1).alias("side"), "m")
+    sources, sinks = real.where("role = 'source'"), real.where("role in ('sink', 'exec')")
+    seen = lambda df, side: df.groupBy(*FILE, F.col("rule_id").alias(f"{side}_rule")).agg(F.min(F.struct("line", "rule_no")).alias(f"{side}_seen"))
+    first_sources, first_sinks = saved(seen(sources, "source"), "sources"), saved(seen(sinks, "sink"), "sinks")
+    both = union_all(
+        sources.join(first_sinks.select(*FILE).distinct(), FILE, "left_semi").select(*FILE, F.col("rule_id").alias("source_rule"), "line", F.lit(0).alias("side")),
+        sinks.select(*FILE, F.col("rule_id").alias("sink_rule"), "line", F.lit(1).alias("side")).join(first_sources.select(*FILE, "source_rule"), FILE),
+    )
+    w = Window.partitionBy(*FILE, "source_rule")
+    running = lambda *order: F.last(F.when(F.col("side") == 0, F.col("line")), ignorenulls=True).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumns({"before": running("line", "side"), "after": running(F.desc("line"), F.desc("side"))}).where("side = 1")
+    # A pair as one number, so that it is aggregated without a sort: its distance, its source line, whether the sink follows.
+    pair = lambda s: F.shiftleft(F.abs(F.col(s) - F.col("line")).cast("long"), 32) + F.col(s).cast("long") * 2 + F.when(F.col("line") > F.col(s), 1).otherwise(0)
     keys = [*FILE, "source_rule", "sink_rule"]
-    w = Window.partitionBy(*keys).orderBy("m.line", "side")
-    source = F.when(F.col("side") == 0, F.col("m"))
-    both = union_all(a, b).withColumns({
-        "before": F.last(source, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "after": F.first(source, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-    })
-    sink = F.col("side") == 1
-    pair = lambda s: F.when(sink & F.col(s).isNotNull(), F.struct(F.abs(F.col(s)["line"] - F.col("m.line")).alias("distance"), F.col(s)["line"].alias("source_line"), F.col("m.line").alias("sink_line"), F.col(s).alias("s"), F.col("m").alias("k")))
-    seen = lambda when: F.min(F.when(when, F.struct("m.line", "m.rule_no")))
-    best = both.groupBy(*keys).agg(F.min(F.least(pair("before"), pair("after"))).alias("p"), seen(~sink).alias("source_seen"), seen(sink).alias("sink_seen"))
-    return best.select(
-        *keys, F.coalesce("p.s.capability", "source_rule").alias("source"), F.coalesce("p.k.capability", "sink_rule").alias("sink"), "p.distance", "p.source_line", "p.sink_line",
-        F.col("p.s.text").alias("source_text"), F.col("p.k.text").alias("sink_text"), F.when(F.col("p.distance") <= NEAR, "MEDIUM").otherwise("LOW").alias("confidence"), "source_seen", "sink_seen",
+    best = met.groupBy(*keys).agg(F.min(F.least(pair("before"), pair("after"))).alias("p"))
+    distance, source_line = F.shiftright("p", 32).cast("int"), F.shiftright(F.col("p").bitwiseAND((1 << 32) - 1), 1).cast("int")
+    best = best.withColumn("distance", distance).withColumn("source_line", source_line)
+    best = saved(best.withColumn("sink_line", F.col("source_line") + F.when(F.col("p") % 2 == 1, F.col("distance")).otherwise(-F.col("distance"))).drop("p"), "pairs")
+
+    def told(side: str) -> DataFrame:
+        place = [*FILE, f"{side}_rule", f"{side}_line"]
+        own = (sources if side == "source" else sinks).withColumnsRenamed({"rule_id": f"{side}_rule", "line": f"{side}_line"})
+        return own.join(best.select(*place).distinct(), place, "left_semi").groupBy(*place).agg(F.min(F.struct("text", "capability")).alias(side))
+
+    out = best
+    for side, first in (("source", first_sources), ("sink", first_sinks)):
+        out = out.join(told(side), [*FILE, f"{side}_rule", f"{side}_line"]).join(first, [*FILE, f"{side}_rule"])
+    return out.select(
+        *keys, F.coalesce("source.capability", "source_rule").alias("source"), F.coalesce("sink.capability", "sink_rule").alias("sink"), "distance", "source_line", "sink_line",
+        F.col("source.text").alias("source_text"), F.col("sink.text").alias("sink_text"), F.when(F.col("distance") <= NEAR, "MEDIUM").otherwise("LOW").alias("confidence"), "source_seen", "sink_seen",
     )
 
 
