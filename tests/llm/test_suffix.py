@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -123,3 +124,23 @@ def test_both_ways_of_resolving_agree(monkeypatch):
             doc = {v[0]: v[1] for v in group.values()}
             got.append({(c, x) for c, i, j, d in suffix_dedup.resolve(group, commons, 12) if d < doc[c] for x in range(i, j + 1)})
         assert got[0] == got[1]
+
+
+def test_what_a_crowd_holds_grows_with_its_phrases():
+    """Phrases of one anchor with 31 strings each: what is held stays far below a tuple for every string."""
+    rows = [(k, k % 90, 30, 31, 50, random.Random(k).randbytes(30)) for k in range(4000)]
+    tracemalloc.start()
+    found = sum(1 for _ in suffix_dedup.crowd(rows, [0, *[60] * (len(rows) - 1)], 50))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and peak < 1000 * len(rows)
+
+
+def test_records_of_a_run_are_read_some_at_a_time():
+    strings = sorted(f"{k:06d}".encode() * 10 for k in range(20_000))
+    run = suffix_dedup.pack(strings, np.array([(k, k, 0, 0, 1) for k in range(len(strings))], suffix_dedup.RECORD))
+    tracemalloc.start()
+    first = next(read := suffix_dedup.unpack(run))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500_000 and [first, *read] == [(k, s, (n, n, 0, 0, 1)) for n, (k, s) in enumerate(zip(suffix_dedup.prefixes(strings).tolist(), strings))]

@@ -15,6 +15,7 @@ has the same bytes before it, and the smallest document of each string is found
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,7 @@ RUN_PHRASES, RUN_ANCHORS = 150_000, 1_000_000
 SAMPLE_MASK = 0x3FF  # anchors whose hash ends in ten zero bits give the borders of the ranges
 PAIRWISE = 16  # phrases of one anchor that are held against each other
 GROUP_PHRASES = 50_000  # phrases of one anchor that a task resolves itself; the strings of more are grouped by Spark
+OUT_ROWS = 20_000  # rows that a task holds before it gives them out
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -200,12 +202,13 @@ RECORD = np.dtype([("content", "<u8"), ("doc", "<i8"), ("many", "u1"), ("before"
 def unpack(run: bytes) -> Iterator[tuple[int, bytes, tuple]]:
     n = int.from_bytes(run[:4], "little")
     shared, sizes = run[4 : 4 + n], run[4 + n : 4 + 2 * n]
-    records = np.frombuffer(run, RECORD, n, 4 + 2 * n).tolist()
+    records = np.frombuffer(run, RECORD, n, 4 + 2 * n)
     at, last = 4 + 2 * n + n * RECORD.itemsize, b""
-    for k, size, record in zip(shared, sizes, records, strict=True):
-        last = last[:k] + run[at : at + size]
-        at += size
-        yield k, last, record
+    for i in range(0, n, 256):  # all runs of a part are open at once, so few records of each are Python values
+        for k, size, record in zip(shared[i : i + 256], sizes[i : i + 256], records[i : i + 256].tolist(), strict=True):
+            last = last[:k] + run[at : at + size]
+            at += size
+            yield k, last, record
 
 
 def merge(runs: list[Iterator[tuple[int, bytes, tuple]]]) -> Iterator[tuple[int, bytes, tuple]]:
@@ -321,31 +324,31 @@ def resolve(group: dict[tuple[bytes, int], list], commons: list[int], length: in
 
 def crowd(rows: list[tuple], commons: list[int], length: int) -> Iterator[tuple[int, int, int, int]]:
     """The same for many phrases: strings that reach equally far are equal if no common prefix between them is shorter
-    and the bytes before the anchor, which are looked up, are the same."""
+    and the bytes before the anchor, which are looked up, are the same. One reach is looked up after the other, so that
+    what is held at once grows with the phrases, not with their strings."""
     steps = np.array(commons)
-    runs: dict[int, list[int]] = {}  # for each reach, the number of the run of phrases that share it
-    least: dict[tuple[int, int, bytes], int] = {}
-    every = []
-    for k, (_, doc, before, count, _, left) in enumerate(rows):
+    best = np.repeat(np.array([doc for _, doc, *_ in rows], np.int64)[:, None], max(count for _, _, _, count, *_ in rows), 1)
+    for reach in range(length - max(before for _, _, before, *_ in rows), length + 1):
+        run = np.cumsum(steps < reach).tolist()  # the number of the run of phrases that share it
+        least: dict[tuple[int, bytes], int] = {}
         own = []
-        for i in range(count):
-            reach = length - before + i
-            if reach not in runs:
-                runs[reach] = np.cumsum(steps < reach).tolist()
-            own.append((reach, runs[reach][k], left[: before - i]))
-        every.append(own)
-        for s in own:
-            if least.get(s, doc) >= doc:
-                least[s] = doc
-    for (content, doc, *_), own in zip(rows, every, strict=True):
-        best = [least[s] for s in own]
-        if min(best) == doc:
+        for k, (_, doc, before, count, _, left) in enumerate(rows):
+            if 0 <= reach - length + before < count:
+                s = (run[k], left[: length - reach])
+                own.append((k, s))
+                if least.get(s, doc) >= doc:
+                    least[s] = doc
+        for k, s in own:
+            best[k, reach - length + rows[k][2]] = least[s]
+    for (content, doc, _, count, *_), found in zip(rows, best, strict=True):
+        own = found[:count].tolist()
+        if min(own) == doc:
             continue
         start = 0
-        for i in range(1, len(best) + 1):
-            if i == len(best) or best[i] != best[start]:
-                if best[start] < doc:
-                    yield content, start, i - 1, best[start]
+        for i in range(1, len(own) + 1):
+            if i == len(own) or own[i] != own[start]:
+                if own[start] < doc:
+                    yield content, start, i - 1, own[start]
                 start = i
 
 
@@ -407,24 +410,27 @@ def smallest_documents(docs: DataFrame, key: str, text: str, length: int, shared
         if held:
             yield from flush()
 
-    def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        out, group, commons, too_many = [], {}, [], False
+    def found_in(runs: list[bytes]) -> Iterator[tuple[int, int, int, int, bytes | None]]:
+        """The rows of a part, one after the other; strings that Spark has to bring together stand last in a row."""
+        group, commons, too_many = {}, [], False
 
-        def close(ends: bool) -> None:
+        def close(ends: bool) -> Iterator[tuple]:
             nonlocal group, commons, too_many
             if too_many or not ends:  # Spark brings equal strings together
                 for (string, before), (content, doc, _, _, count) in group.items():
-                    out.extend((content, i, i, doc, right + b"\0" + left) for i, (right, left) in enumerate(strings_of(string, before, count, length)))
+                    for i, (right, left) in enumerate(strings_of(string, before, count, length)):
+                        yield content, i, i, doc, right + b"\0" + left
                 too_many = not ends
             else:
-                out.extend((*row, None) for row in resolve(group, commons, length))
+                for row in resolve(group, commons, length):
+                    yield *row, None
             group, commons = {}, []
 
-        for k, string, record in merge([unpack(r) for r in frame["run"]]):
+        for k, string, record in merge([unpack(r) for r in runs]):
             if k < PIECE:
-                close(True)
+                yield from close(True)
             elif len(group) >= GROUP_PHRASES:
-                close(False)
+                yield from close(False)
             known = group.get((string, record[3]))
             if known is None:
                 group[string, record[3]] = list(record)
@@ -432,12 +438,28 @@ def smallest_documents(docs: DataFrame, key: str, text: str, length: int, shared
             else:
                 known[2] |= record[2] | (known[1] != record[1])
                 known[1] = min(known[1], record[1])
-        close(True)
-        c, i, j, d, s = zip(*out, strict=True) if out else ((), (), (), (), ())
-        return pd.DataFrame({"content": np.array(c, np.uint64).view(np.int64), "i": np.array(i, np.int32), "j": np.array(j, np.int32), "least": np.array(d, np.int64), "string": list(s)})
+        yield from close(True)
 
-    runs = docs.select(key, text).mapInArrow(send, "part int, run binary")
-    found = written(runs.groupBy("part").applyInPandas(meet, "content bigint, i int, j int, least bigint, string binary"), "least")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts follow one another; what is found leaves OUT_ROWS at a time, however much a part gives."""
+
+        def told(runs: list[bytes]) -> Iterator[pa.RecordBatch]:
+            rows = found_in(runs)
+            while some := list(islice(rows, OUT_ROWS)):
+                c, i, j, d, s = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.uint64).view(np.int64)), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(d, pa.int64()), pa.array(s, pa.binary())], names=["content", "i", "j", "least", "string"])
+
+        part, runs = None, []
+        for batch in batches:
+            for p, run in zip(batch.column("part").to_pylist(), batch.column("run").to_pylist(), strict=True):
+                if p != part:
+                    yield from told(runs)
+                    part, runs = p, []
+                runs.append(run)
+        yield from told(runs)
+
+    runs = docs.select(key, text).mapInArrow(send, "part int, run binary").repartition("part").sortWithinPartitions("part")
+    found = written(runs.mapInArrow(meet, "content bigint, i int, j int, least bigint, string binary"), "least")
     # Strings of anchors with very many phrases.
     open_ = found.where("string is not null")
     least = open_.groupBy("string").agg(F.min("least").alias("smallest"))
