@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import ast
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.enums import severity_of, severity_rank
 from tidewatch.functions.text import file_extension, snippet, walk_key
 from tidewatch.functions.unions import union_all
+from tidewatch.functions.whole import of_whole_files
 from tidewatch.operators.findings import evidence, finding
 
 FILE = ["target", "version", "path"]
@@ -114,13 +114,9 @@ def tool_claims(lines: DataFrame) -> DataFrame:
     hinted = code.where(F.lower("text").rlike("readonlyhint|read_only_hint|destructivehint|destructive_hint")).select(*FILE).distinct()
     code = code.join(hinted, FILE, "left_semi")
 
-    def each(file: pd.DataFrame) -> pd.DataFrame:
-        found = python_claims("\n".join(file.sort_values("line")["text"]))
-        rows = [(*(file[c].iloc[0] for c in FILE), *f, "MEDIUM") for f in found]
-        return pd.DataFrame(rows, columns=[*FILE, "line", "claim", "first", "last", "confidence"])
-
-    shape = "target string, version string, path string, line int, claim string, first int, last int, confidence string"
-    return union_all(code.where("python").select(*FILE, "line", "text").groupBy(*FILE).applyInPandas(each, shape), script_claims(code.where("not python")))
+    each = lambda path, numbers, texts: python_claims("\n".join(texts))
+    found = of_whole_files(code.where("python"), each, "line:int,claim:string,first:int,last:int").withColumn("confidence", F.lit("MEDIUM"))
+    return union_all(found, script_claims(code.where("not python")))
 
 
 def contradict_annotations(claims: DataFrame, matches: DataFrame) -> DataFrame:

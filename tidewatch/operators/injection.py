@@ -5,13 +5,13 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.enums import one_notch_down
 from tidewatch.functions.text import file_extension, snippet
 from tidewatch.functions.unions import union_all
+from tidewatch.functions.whole import of_whole_files
 from tidewatch.operators.findings import evidence, finding
 
 FILE = ["target", "version", "path"]
@@ -71,12 +71,8 @@ def tool_texts(lines: DataFrame) -> DataFrame:
     python = lines.where(ext == ".py").select(*FILE, "line", "text")
     tools = python.where(F.col("text").rlike(TOOL.pattern)).select(*FILE).distinct()
 
-    def each(file: pd.DataFrame) -> pd.DataFrame:
-        file = file.sort_values("line")
-        found = docstrings(list(file["text"]))
-        return pd.DataFrame({**{c: [file[c].iloc[0]] * len(found) for c in FILE}, "line": [f[0] for f in found], "text": [f[1] for f in found], "kind": "docstring"})
-
-    docs = python.join(tools, FILE, "left_semi").groupBy(*FILE).applyInPandas(each, "target string, version string, path string, line int, text string, kind string")
+    each = lambda path, numbers, texts: docstrings(texts)
+    docs = of_whole_files(python.join(tools, FILE, "left_semi"), each, "line:int,text:string").withColumn("kind", F.lit("docstring"))
     fields = lines.where(ext.isin(".js", ".mjs", ".cjs", ".ts", ".tsx", ".jsx")).select(*FILE, "line", F.explode(F.regexp_extract_all("text", F.lit("(?s)" + DESCRIPTION), F.lit(1))).alias("text"), F.lit("description-field").alias("kind"))
     return union_all(docs, fields.withColumn("text", F.trim("text")).where("text <> ''"))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import tokenize
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from tidewatch.functions import text as t
 from tidewatch.functions.catalogue import CATALOGUE, Rule, checked
 from tidewatch.functions.literals import required, rules_to_try
 from tidewatch.functions.unions import union_all
+from tidewatch.functions.whole import of_whole_files
 
 # Fixed value: names of assignments that list what is refused.
 EXCLUSION_NAME = r"(?i)\b[A-Za-z_]*(deny|denied|denylist|blocklist|blacklist|exclude|excluded|exclusion|skip|skipped|ignore|ignored|forbid|forbidden|refuse|never|secret_file|sensitive_file|redact|sanitiz|scrub|filter_out)[A-Za-z_]*\s*(?::[^=]*)?="
@@ -49,11 +49,11 @@ def python_prose(text: str) -> set[int]:
     prose, code = set(), set()
     layout = (tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER)
     try:
-        for token in tokenize.generate_tokens(io.StringIO(text).readline):
-            if token.type in (tokenize.COMMENT, tokenize.STRING):
-                prose.update(range(token.start[0], token.end[0] + 1))
-            elif token.type not in layout:
-                code.add(token.start[0])
+        for kind, _, (first, _), (last, _), _ in tokenize.generate_tokens(io.StringIO(text).readline):
+            if kind in (tokenize.COMMENT, tokenize.STRING):
+                prose.update(range(first, last + 1))
+            elif kind not in layout:
+                code.add(first)
     except (SyntaxError, tokenize.TokenError, ValueError):
         return set()
     return prose - code
@@ -62,35 +62,38 @@ def python_prose(text: str) -> set[int]:
 def prose_lines(lines: DataFrame) -> DataFrame:
     """(target, version, path, line) of the prose lines of Python files: each file is tokenized as a whole."""
 
-    def each(file: pd.DataFrame) -> pd.DataFrame:
-        file = file.sort_values("line")
-        found = python_prose("\n".join(file["text"]))
-        return file.loc[file["line"].isin(found), [*FILE, "line"]]
+    def each(path: str, numbers: list[int], texts: list[str]) -> list[tuple]:
+        found = python_prose("\n".join(texts))
+        return [(n,) for n in numbers if n in found]
 
-    return lines.where(t.file_extension(F.col("path")) == ".py").select(*FILE, "line", "text").groupBy(*FILE).applyInPandas(each, "target string, version string, path string, line int")
+    return of_whole_files(lines.where(t.file_extension(F.col("path")) == ".py"), each, "line:int")
 
 
 def brackets(text: Column) -> Column:
     """(delta, low) of a line: how its brackets change the depth, and the lowest depth on the way, from 0."""
-    signs = F.split(F.regexp_replace(text, r"[^()\[\]{}]", ""), "")
+    signs = F.split(F.regexp_replace(text, r"[^()\[\]{}]+", ""), "")
     step = lambda c: F.when(c.isin("(", "[", "{"), 1).when(c.isin(")", "]", "}"), -1).otherwise(0)
     start = F.struct(F.lit(0).alias("delta"), F.lit(0).alias("low"))
-    return F.aggregate(signs, start, lambda a, c: F.struct((a["delta"] + step(c)).alias("delta"), F.least(a["low"], a["delta"] + step(c)).alias("low")))
+    change = F.aggregate(signs, start, lambda a, c: F.struct((a["delta"] + step(c)).alias("delta"), F.least(a["low"], a["delta"] + step(c)).alias("low")))
+    return F.when(text.rlike(r"[()\[\]{}]"), change).otherwise(start)
 
 
 def exclusion_lines(lines: DataFrame) -> DataFrame:
     """lines with is_exclusion: on an assignment that lists what is refused, or inside its open bracket.
 
     Only the nearest such assignment of the last 25 lines is judged. Depth never falls below 0, which each
-    line's change and lowest point say without its text.
+    line's change and lowest point say without its text: after some lines it is the sum of their changes, less the
+    lowest point on the way where that is below 0. Both are running values from one assignment to the next.
     """
-    w = Window.partitionBy(*FILE).orderBy("line").rowsBetween(-LOOKBACK, -1)
-    marked = lines.withColumn("named", F.col("text").rlike(EXCLUSION_NAME)).withColumn("b", brackets(F.col("text")))
-    before = F.collect_list(F.struct("named", F.col("b.delta").alias("delta"), F.col("b.low").alias("low"))).over(w)
-    last = F.size("before") - F.array_position(F.reverse(F.transform("before", lambda x: x["named"])), True).cast("int") + 1
-    inside = F.slice("before", last, F.size("before") - last + 1)
-    depth = F.aggregate(inside, F.lit(0), lambda d, x: F.greatest(d + x["delta"], x["delta"] - x["low"]))
-    return marked.withColumn("before", before).withColumn("is_exclusion", F.col("named") | F.when(F.exists("before", lambda x: x["named"]), depth > 0).otherwise(F.lit(False))).drop("named", "b", "before")
+    text = F.col("text")
+    marked = lines.withColumn("named", F.coalesce(text.contains("=") & text.rlike(EXCLUSION_NAME), F.lit(False))).withColumn("b", brackets(text))
+    marked = marked.withColumn("block", F.count_if("named").over(Window.partitionBy(*FILE).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
+    w = Window.partitionBy(*FILE, "block").orderBy("line")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    marked = marked.withColumns({"place": F.row_number().over(w), "depth": F.coalesce(F.sum("b.delta").over(before), F.lit(0))})
+    lowest = F.least(F.lit(0), F.min(F.col("depth") + F.col("b.low")).over(before))
+    inside = (F.col("block") > 0) & (F.col("place") <= LOOKBACK + 1) & (F.col("depth") > lowest)
+    return marked.withColumn("is_exclusion", F.col("named") | F.coalesce(inside, F.lit(False))).drop("named", "b", "block", "place", "depth")
 
 
 def match_context(matches: DataFrame, lines: DataFrame, prose: DataFrame | None = None) -> DataFrame:
