@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidewatch.operators import flows, metadata
-from tidewatch.plans import views
+from tidewatch.functions import text
+from tidewatch.operators import annotations, flows, injection, matches, metadata, provider
+from tidewatch.plans import source_queries, views
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +53,38 @@ def test_flows_are_the_closest_pairs_and_no_window_looks_to_its_end(spark):
     first = {(p, rule): min((r[3], r[8]) for r in rows if (r[2], r[5]) == (p, rule)) for p, rule in {(r[2], r[5]) for r in rows}}
     assert all(tuple(r.source_seen) == first[r.path, r.source_rule] and tuple(r.sink_seen) == first[r.path, r.sink_rule] for r in got.collect())
     assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_text_is_made_once_however_often_it_is_looked_at(spark):
+    """The steps of normal_text, and lines_array, name the text that they are given once."""
+    made = F.concat(F.lit("unique-mark"), F.col("id").cast("string"))
+    for column in (text.normal_text(made), text.sanitize(made), text.lines_array(made)):
+        assert plan_of(spark.range(1).select(column.alias("x"))).count("unique-mark") == 1
+
+
+def test_normal_text_is_the_lines_joined(spark):
+    rows = ["", "\n", "a", "a\n", "a\r\n", "a\n\n", "\r\n\r", "a\u0085b\r\nc\rd\n", "\x1b[31ma‮\n", "x\x07\n\n\n", None]
+    frame = spark.createDataFrame([(x,) for x in rows], "x string")
+    got = frame.select(text.normal_text(F.col("x")).alias("whole"), F.array_join(text.lines_array(text.sanitize(F.col("x"))), "\n").alias("joined")).collect()
+    assert all(r.whole == r.joined for r in got) and [r.whole for r in got][7:9] == ["a\nb\nc\nd", "a"]
+
+
+def test_exclusions_have_no_list_of_lines_for_every_line(spark):
+    lines = spark.createDataFrame([("t", "v", "a.py", 1, "x")], "target string, version string, path string, line int, text string")
+    assert "collect_list" not in plan_of(matches.exclusion_lines(lines))
+
+
+def test_files_are_not_given_to_python_one_by_one(spark):
+    """Many small files are one batch of a vectorised function, not a frame each."""
+    lines = spark.createDataFrame([("t", "v", "a.py", 1, "x")], "target string, version string, path string, line int, text string")
+    for found in (matches.prose_lines(lines), injection.tool_texts(lines), annotations.tool_claims(lines), provider.provider_profiles(lines)):
+        assert "FlatMapGroupsInPandas" not in plan_of(found)
+
+
+def test_code_of_documents_is_written(spark):
+    """Filters on the text do not make it anew."""
+    assert "transform" not in plan_of(source_queries.doc_code(spark, "/root/testdata/sf0.001"))

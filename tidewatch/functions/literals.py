@@ -58,8 +58,8 @@ def _of(parts) -> frozenset[str] | None:
 
 
 def folded(text: Column) -> Column:
-    """text as literals() looks at it."""
-    return F.lower(F.translate(text, *FOLDED))
+    """text as literals() looks at it; plain ASCII has none of the letters to translate."""
+    return F.lower(F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.translate(text, *FOLDED)))
 
 
 def any_of(literals: Iterable[str]) -> str:
@@ -67,7 +67,15 @@ def any_of(literals: Iterable[str]) -> str:
     first: dict[str, list[str]] = {}
     for x in sorted(literals, key=lambda x: (-len(x), x)):
         first.setdefault(x[0], []).append(x[1:])
-    return "(?=(" + "|".join(quoted(c) + "(?:" + "|".join(map(quoted, rest)) + ")" for c, rest in sorted(first.items())) + "))"
+    return "(?=(" + _halved([(quoted(c), quoted(c) + "(?:" + "|".join(map(quoted, rest)) + ")") for c, rest in sorted(first.items())]) + "))"
+
+
+def _halved(each: list[tuple[str, str]]) -> str:
+    """Alternatives (first sign, pattern), halved by first sign again and again: few of them are tried at a place."""
+    if len(each) < 4:
+        return "|".join(p for _, p in each)
+    halves = each[: len(each) // 2], each[len(each) // 2 :]
+    return "|".join("(?=[" + "".join(c for c, _ in half) + "])(?:" + _halved(half) + ")" for half in halves)
 
 
 def quoted(text: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ MAX_BYTES = 512 * 1024
 ESCAPES = r"\x1B\[[0-9;?]*[ -/]*[@-~]|\x1B\][^\x07\x1B]*(?:\x07|\x1B\\)|\x1B[@-Z\\\-_]"
 INVISIBLE = r"[‪-‮⁦-⁩​-‏؜﻿  ]"
 CONTROLS = r"[\x00-\x08\x0B-\x0C\x0E-\x1F\x7F]"
+HIDDEN = CONTROLS[:-1] + INVISIBLE[1:]  # a sign that each of them has; most texts have none
 
 
 def decoded(content: Column) -> Column:
@@ -28,11 +31,19 @@ def decoded(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
+def once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value) with value computed once, however often made names it."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
 def sanitize(text: Column) -> Column:
-    out = F.coalesce(text, F.lit(""))
-    for pattern in (ESCAPES, INVISIBLE, CONTROLS):
-        out = F.regexp_replace(out, pattern, "")
-    return out
+    def clean(x: Column) -> Column:
+        out = x
+        for pattern in (ESCAPES, INVISIBLE, CONTROLS):
+            out = F.regexp_replace(out, pattern, "")
+        return F.when(x.rlike(HIDDEN), out).otherwise(x)
+
+    return once(F.coalesce(text, F.lit("")), clean)
 
 
 def strip(text: Column) -> Column:
@@ -48,13 +59,12 @@ def snippet(text: Column, limit: int = 200) -> Column:
 
 def lines_array(text: Column) -> Column:
     """Lines of sanitized text, without a phantom last one."""
-    parts = F.split(text, "\r\n|[\n\r\u0085]")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return once(F.split(text, "\r\n|[\n\r\u0085]"), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def normal_text(text: Column) -> Column:
     """Sanitized text with line feeds between its lines, without one at the end."""
-    return F.array_join(lines_array(sanitize(text)), "\n")
+    return F.regexp_replace(F.regexp_replace(F.replace(sanitize(text), F.lit("\r\n"), F.lit("\n")), "[\r\u0085]", "\n"), r"\n\z", "")
 
 
 def basename(path: Column) -> Column:

@@ -114,7 +114,10 @@ _TS_LINE = """CASE (doc_id + i) % 3 WHEN 0 THEN concat('// ', c) WHEN 1 THEN con
 
 
 def doc_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(target, version, path, text): a Python file of every document whose number divided by 3 leaves 0, a TypeScript file of those that leave 1."""
+    """(target, version, path, text): a Python file of every document whose number divided by 3 leaves 0, a TypeScript file of those that leave 1.
+
+    Written, as filters on the text would else make it anew for each time that they name it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and doc_id % 3 < 2").withColumn("raw", F.split("text", "\n"))
     docs = docs.withColumn("c0", F.expr("trim(left(" + _CLEAN.format(x="raw[0]", g="") + ", 60))")).withColumn("k", F.col("doc_id") % 7)
     line = lambda made: F.expr(f"array_join(transform(raw, (x, i) -> {made.replace(', c', ', ' + _CLEAN.format(x='x', g=''))}), '\n')")
@@ -128,7 +131,7 @@ def doc_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     is_python = F.col("doc_id") % 3 == 0
     path = F.when(is_python, F.expr("concat('src/d', doc_id, '.py')")).otherwise(F.expr("concat('lib/d', doc_id, '.ts')"))
-    return docs.select(F.expr("concat('t', doc_id div 100)").alias("target"), F.lit("v1").alias("version"), path.alias("path"), t.normal_text(F.when(is_python, python).otherwise(script)).alias("text"))
+    return saved(docs.select(F.expr("concat('t', doc_id div 100)").alias("target"), F.lit("v1").alias("version"), path.alias("path"), t.normal_text(F.when(is_python, python).otherwise(script)).alias("text")), "code")
 
 
 _DOC_CODE = f"""d AS (SELECT doc_id, doc_id % 7 AS k, doc_id % 3 = 0 AS python, CASE WHEN doc_id % 3 = 0 THEN concat('src/d', doc_id, '.py') ELSE concat('lib/d', doc_id, '.ts') END AS path, string_split(text, chr(10)) AS raw FROM documents WHERE text IS NOT NULL AND doc_id % 3 < 2),
