@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import text
 from tidewatch.operators import annotations, flows, injection, matches, metadata, provider
-from tidewatch.plans import source_queries, views
+from tidewatch.plans import queries, source_queries, views
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +88,9 @@ def test_files_are_not_given_to_python_one_by_one(spark):
 def test_code_of_documents_is_written(spark):
     """Filters on the text do not make it anew."""
     assert "transform" not in plan_of(source_queries.doc_code(spark, "/root/testdata/sf0.001"))
+
+
+def test_lines_of_an_audit_are_numbered_once(spark, monkeypatch):
+    """Each analyser reads the written lines, none sorts the events again."""
+    monkeypatch.setattr(queries.audit, "audit_findings", lambda lines, purpose: lines)
+    assert "Window" not in plan_of(queries.audit_findings(spark, "/root/testdata/sf0.001"))

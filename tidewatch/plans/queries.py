@@ -448,7 +448,7 @@ def _(spark, sf_dir):
 
 @query("audit_findings")
 def audit_findings(spark, sf_dir):
-    return audit.audit_findings(views.code_lines(spark, sf_dir), F.lit("example service"))
+    return audit.audit_findings(saved(views.code_lines(spark, sf_dir), "lines"), F.lit("example service"))
 
 
 @query("audit_verdicts")
