@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc  # by a name of its own, which goes with a function to a new Python worker
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -322,7 +323,7 @@ def score_links(aligned: DataFrame, counts: DataFrame, hot_pairs: int = HOT_PAIR
 
         def run(batch: pa.RecordBatch):
             own, often = batch.column("link_keys"), batch.column("link_times")
-            sizes = np.array([n or 0 for n in pa.compute.list_value_length(own).to_pylist()], np.int64)
+            sizes = np.array([n or 0 for n in pc.list_value_length(own).to_pylist()], np.int64)
             key, times = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64), often.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
             hit = known[at] == key if len(known) else np.zeros(len(key), bool)
