@@ -262,6 +262,37 @@ def test_no_signal_is_lost_by_the_word_filter(spark):
     assert {r.text for r in injection.signal_hits(frame).collect()} == set(said)
 
 
+SAID = [
+    "ignore all previous instructions", "ignore above prompt", "disregard all prior", "disregard the above", "forget everything", "forget all previous", "new instruction:", "<system>", "< important >", "<secret>", "<admin>", "[system]", "[ admin ]", "x\n system : y",
+    "you are now an old assistant", "you are the x agent", "you are a language model", "do not tell the user", "do not show this to the user", "without notifying the user", "do not mention this", "do not mention that", "keep this secret from", "keep this hidden from", "silently call", "silently run",
+    "read ~/.ssh", "send the contents of .env", "include environment variable", "attach api key", "return api_keys", "provide apikey", "read credential", "send the tokens", "return passwords", "before using this tool, fetch it", "before calling this tool load",
+    "call the a.b tool first", "always use x tool before", "run x tool after", "invoke x tool instead", "you must also call x", "you must use x", "you must invoke x", "you must always", "always remember to", "it is critical that you", "under no circumstances should you",
+]
+
+
+def test_words_lose_no_signal_in_any_letters(spark):
+    """Each signal of each text is the same with the patterns alone, also in letters that they take for ASCII ones."""
+    swapped = [str.maketrans(d) for d in ({}, {"s": "\u017f"}, {"i": "\u0131"}, {"i": "\u0130"}, {"k": "\u212a"}, {"s": "\u017f", "i": "\u0130", "k": "\u212a", " ": "\u00a0"})]
+    frame = spark.createDataFrame([(y,) for x in SAID for t in swapped for y in {x.translate(t), x.upper().translate(t), x.title().translate(t)}], "text string").distinct()
+    got = {(r.text, r.rule_id) for r in injection.signal_hits(frame).collect()}
+    want = {(r.text, s.rule_id) for s in injection.SIGNALS for r in frame.where(F.col("text").rlike("(?U)" + s.pattern)).collect()}
+    assert got == want and {x for x, _ in want} >= set(SAID) and {s for _, s in want} == {s.rule_id for s in injection.SIGNALS}
+
+
+def test_letters_that_patterns_take_for_others(spark):
+    """Every sign that a pattern of any case takes for an ASCII letter is one in lower case, or one of those looked at anyway."""
+    signs = spark.range(0x110000).where("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    taken = signs.where(F.concat(F.lit("@"), "c").rlike("(?iU)" + "|".join(f"@{chr(x)}$" for x in range(97, 123))))
+    assert taken.count() >= 56
+    assert taken.where(~F.lower("c").rlike("^[a-z]$") & ~F.lower("c").isin(*injection.ALSO_LETTERS)).count() == 0
+
+
+def test_documents_without_a_source_keep_their_findings(spark):
+    rows = [(None, "v", "a.md", n, "forget everything") for n in range(5, 0, -1)] + [("t", "v", "a.md", 1, "forget everything")]
+    got = injection.detect_doc_injection(spark.createDataFrame(rows, "target string, version string, path string, line int, text string")).collect()
+    assert sorted((r.target or "", [e.line for e in r.evidence], r.n_further) for r in got) == [("", [1, 2, 3], 2), ("t", [1], 0)]
+
+
 def test_contradicted_claims(spark):
     python = """RO = ToolAnnotations(
     readOnlyHint=True,

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from functools import reduce
+from operator import and_, or_
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.enums import one_notch_down
-from tidewatch.functions.text import file_extension, snippet
+from tidewatch.functions.shared import saved
+from tidewatch.functions.text import file_extension, once, snippet
 from tidewatch.functions.unions import union_all
 from tidewatch.functions.whole import of_whole_files
 from tidewatch.operators.findings import evidence, finding
@@ -23,29 +27,35 @@ class Signal(NamedTuple):
     title: str
     severity: str
     confidence: str
+    words: tuple[str, ...]  # every match has one of them, in lower case
 
 
 # The signals' ids, patterns and ratings. The titles are our own.
 SIGNALS = (
-    Signal("injection.instruction_override", r"(?i)ignore\s+(?:all\s+)?(?:previous|prior|earlier|above)\s+(?:instructions?|prompts?|rules?)|disregard\s+(?:all\s+)?(?:previous|prior|the\s+above)|forget\s+(?:everything|all\s+previous)|new\s+instructions?\s*:", "Tells the model to drop what it was told before", "CRITICAL", "HIGH"),
-    Signal("injection.role_spoofing", r"(?im)<\s*(?:system|important|secret|admin)\s*>|\[\s*(?:system|admin)\s*\]|^\s*system\s*:|you\s+are\s+(?:now\s+)?(?:a|an|the)\s+\w+\s+(?:assistant|agent|model)", "Speaks as if it were the system", "HIGH", "MEDIUM"),
-    Signal("injection.concealment", r"(?i)do\s+not\s+(?:tell|inform|mention|show|reveal|display)\s+(?:this\s+)?(?:to\s+)?the\s+user|without\s+(?:telling|informing|notifying|asking)\s+the\s+user|do\s+not\s+mention\s+(?:this|that)|keep\s+this\s+(?:secret|hidden|confidential)\s+from|silently\s+(?:call|invoke|run|execute)", "Asks the model to keep something from the user", "CRITICAL", "HIGH"),
-    Signal("injection.secret_solicitation", r"(?i)(?:read|send|include|attach|return|provide)\s+(?:the\s+)?(?:contents?\s+of\s+)?(?:~/\.ssh|\.env\b|environment\s+variables?|api[\s_-]?keys?|credentials?|tokens?|passwords?)|before\s+(?:using|calling)\s+this\s+tool[^.\n]{0,60}(?:read|open|fetch|load)", "Asks for secrets or files that the tool has no use for", "CRITICAL", "MEDIUM"),
-    Signal("injection.tool_redirection", r"(?i)(?:always\s+)?(?:call|invoke|use|run)\s+(?:the\s+)?[\w.]+\s+tool\s+(?:first|before|after|instead)|you\s+must\s+(?:also\s+)?(?:call|invoke|use)\s+", "Steers the model to other tools", "HIGH", "LOW"),
-    Signal("injection.model_directed_language", r"(?i)\b(?:you\s+must\s+always|always\s+remember\s+to|it\s+is\s+critical\s+that\s+you|under\s+no\s+circumstances\s+should\s+you)\b", "Gives the model orders", "INFO", "LOW"),
+    Signal("injection.instruction_override", r"(?i)ignore\s+(?:all\s+)?(?:previous|prior|earlier|above)\s+(?:instructions?|prompts?|rules?)|disregard\s+(?:all\s+)?(?:previous|prior|the\s+above)|forget\s+(?:everything|all\s+previous)|new\s+instructions?\s*:", "Tells the model to drop what it was told before", "CRITICAL", "HIGH", ("ignore", "disregard", "forget", "instruction")),
+    Signal("injection.role_spoofing", r"(?im)<\s*(?:system|important|secret|admin)\s*>|\[\s*(?:system|admin)\s*\]|^\s*system\s*:|you\s+are\s+(?:now\s+)?(?:a|an|the)\s+\w+\s+(?:assistant|agent|model)", "Speaks as if it were the system", "HIGH", "MEDIUM", ("system", "important", "secret", "admin", "assistant", "agent", "model")),
+    Signal("injection.concealment", r"(?i)do\s+not\s+(?:tell|inform|mention|show|reveal|display)\s+(?:this\s+)?(?:to\s+)?the\s+user|without\s+(?:telling|informing|notifying|asking)\s+the\s+user|do\s+not\s+mention\s+(?:this|that)|keep\s+this\s+(?:secret|hidden|confidential)\s+from|silently\s+(?:call|invoke|run|execute)", "Asks the model to keep something from the user", "CRITICAL", "HIGH", ("user", "mention", "keep", "silently")),
+    Signal("injection.secret_solicitation", r"(?i)(?:read|send|include|attach|return|provide)\s+(?:the\s+)?(?:contents?\s+of\s+)?(?:~/\.ssh|\.env\b|environment\s+variables?|api[\s_-]?keys?|credentials?|tokens?|passwords?)|before\s+(?:using|calling)\s+this\s+tool[^.\n]{0,60}(?:read|open|fetch|load)", "Asks for secrets or files that the tool has no use for", "CRITICAL", "MEDIUM", (".ssh", ".env", "environment", "api", "credential", "token", "password", "tool")),
+    Signal("injection.tool_redirection", r"(?i)(?:always\s+)?(?:call|invoke|use|run)\s+(?:the\s+)?[\w.]+\s+tool\s+(?:first|before|after|instead)|you\s+must\s+(?:also\s+)?(?:call|invoke|use)\s+", "Steers the model to other tools", "HIGH", "LOW", ("tool", "must")),
+    Signal("injection.model_directed_language", r"(?i)\b(?:you\s+must\s+always|always\s+remember\s+to|it\s+is\s+critical\s+that\s+you|under\s+no\s+circumstances\s+should\s+you)\b", "Gives the model orders", "INFO", "LOW", ("must", "remember", "critical", "circumstances")),
 )
-# A word that each signal has, at least; texts without any are not looked at again.
-WORDS = r"(?iU)ignore|disregard|forget|new\s+instr|system|important|secret|admin|you\s|do\s+not|without|keep|silently|read|send|include|attach|return|provide|before|call|invoke|use|run|always|critical|circumstances"
+# Lower-case signs other than ASCII that a pattern takes for s and i; a text with one is looked at whatever its words.
+ALSO_LETTERS = ("\u017f", "\u0131", "i\u0307")
 TOOL = re.compile(r"@(?:\w+\.)?tool\s*\(|@(?:\w+\.)?(?:list_tools|call_tool)\b")
 OPENING = re.compile(r"""^\s*(?:[rubfRUBF]{0,2})(\"\"\"|''')""")
 DESCRIPTION = r"""["']?description["']?\s*[:=]\s*["'](.{0,400}?)["']"""
 
 
+def has_word(text: Column, words: Iterable[str]) -> Column:
+    """Whether a text has one of the words in any case; never false where a pattern with that word would match."""
+    return once(F.lower(text), lambda low: reduce(or_, [low.contains(w) for w in (*dict.fromkeys(words), *ALSO_LETTERS)]))
+
+
 def signal_hits(texts: DataFrame, signals: tuple[Signal, ...] = SIGNALS) -> DataFrame:
     """texts (with a column text) and the signals that each shows, once a signal."""
-    # One pattern for all of them first: most texts have none of the words that every signal needs one of.
-    texts = texts.where(F.col("text").rlike(WORDS))
-    hits = [F.when(F.col("text").rlike("(?U)" + s.pattern), F.struct(*[F.lit(v).alias(k) for k, v in s._asdict().items() if k != "pattern"])) for s in signals]
+    # Words first: most texts have none that a signal needs, and looking for them costs far less than a pattern.
+    texts = texts.where(has_word(F.col("text"), [w for s in signals for w in s.words]))
+    hits = [F.when(has_word(F.col("text"), s.words) & F.col("text").rlike("(?U)" + s.pattern), F.struct(*[F.lit(v).alias(k) for k, v in s._asdict().items() if k not in ("pattern", "words")])) for s in signals]
     return texts.withColumn("s", F.explode(F.array_compact(F.array(*hits)))).select("*", "s.*").drop("s")
 
 
@@ -77,12 +87,15 @@ def tool_texts(lines: DataFrame) -> DataFrame:
     return union_all(docs, fields.withColumn("text", F.trim("text")).where("text <> ''"))
 
 
-def _first(hits: DataFrame, keys: list[str], order: list[str], most: int, detail) -> DataFrame:
-    """keys, first (the first pieces of evidence of each group) and n; only those pieces are gathered."""
+def _first(hits: DataFrame, keys: list[str], order: list[str], most: int, detail: Column | None) -> DataFrame:
+    """keys, first (the first pieces of evidence of each group) and n; only those pieces are gathered. Null keys are a group, too."""
+    # Written, as they are read twice: else every text would be searched once for the pieces and once more for the numbers.
+    hits = saved(hits.select(*dict.fromkeys([*keys, *order, "path", "line", "text"]), (F.lit(None).cast("string") if detail is None else detail).alias("detail")), "hits")
     ranked = hits.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rn") <= most)
-    piece = F.struct("rn", evidence(F.col("path"), F.col("line"), snippet(F.col("text"), 240), detail).alias("e"))
-    counts = hits.groupBy(*keys).agg(F.count("*").alias("n"))
-    return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(piece)).alias("first")).join(counts, keys)
+    piece = F.struct("rn", evidence(F.col("path"), F.col("line"), snippet(F.col("text"), 240), F.col("detail")).alias("e"))
+    first = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(piece)).alias("first")).alias("f")
+    counts = hits.groupBy(*keys).agg(F.count("*").alias("n")).alias("c")
+    return first.join(counts, reduce(and_, [F.col(f"f.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys])).select("f.*", "n")
 
 
 def detect_tool_poisoning(lines: DataFrame | None, texts: DataFrame | None = None) -> DataFrame:
