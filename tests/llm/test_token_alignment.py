@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 from collections import Counter
 
 import numpy as np
@@ -144,3 +145,75 @@ def test_empty_tables_and_own_columns(spark):
     bare, full = made([]), made(extra)
     assert [c for c in full.columns if c not in extra or c == "n_best"] == bare.columns
     assert sorted(repr([r[c] for c in bare.columns]) for r in full.collect()) == sorted(repr([r[c] for c in bare.columns]) for r in bare.collect())
+
+
+def test_words_are_met_once_for_both_sides(monkeypatch):
+    """A word that is known is not encoded again on either side, nor are a text's words looked up a side at a time."""
+    asked = []
+
+    def side(name):
+        def encode(words):
+            asked.append((name, "".join(words)))
+            return [list(w.encode()) for w in words]
+
+        return ta.Side(ta.STRETCH.findall, encode, [bytes([i]) for i in range(256)])
+
+    known = ta.Remembered([side("a"), side("b")])
+    texts = [" one two\nthree two", " two", " one  gap"]
+    for _ in range(2):
+        for ids, n, lossy in known.laid(texts):
+            assert bytes(ids.tolist()).decode() == "".join(texts) and n.tolist() == [len(t) for t in texts] and not lossy.any()
+    assert asked == [(name, " one two\nthree  gap") for name in "ab"]
+
+
+def test_groups_are_not_walked_one_by_one():
+    """Ten thousand odd groups on ever new diagonals take some thousand lines of Python, not some for each."""
+    rng = np.random.default_rng(2)
+    ends = np.arange(1, 200_001)
+    last = ends == len(ends)
+    a, b = ends[(rng.random(len(ends)) > 0.03) | last], ends[(rng.random(len(ends)) > 0.03) | last]
+    lines = 0
+
+    def count(frame, event, _):
+        nonlocal lines
+        lines += event == "line"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        cut_a, cut_b = ta.diagonal_groups(a, b)
+    finally:
+        sys.settrace(before)
+    assert a[cut_a - 1].tolist() == b[cut_b - 1].tolist() == np.intersect1d(a, b).tolist()
+    assert lines < 5000
+
+
+@pytest.mark.parametrize("lane, reach, few", [(1, 0, 0), (2, 1, 3), (3, 32, 16)])
+def test_lanes_give_the_groups_of_any_ends(monkeypatch, lane, reach, few):
+    monkeypatch.setattr(ta, "LANE", lane)
+    monkeypatch.setattr(ta, "REACH", reach)
+    monkeypatch.setattr(ta, "FEW", few)
+    rng = random.Random(lane)
+    for _ in range(300):
+        last = rng.randint(1, 150)
+        a, b = (sorted({x for x in range(1, last) if rng.random() < rng.choice([0.1, 0.5, 0.9])} | {last}) for _ in "ab")
+        cut_a, cut_b = ta.diagonal_groups(np.array(a), np.array(b))
+        both = sorted(set(a) & set(b))
+        assert [a[i - 1] for i in cut_a] == both and [b[j - 1] for j in cut_b] == both
+
+
+def test_ids_are_the_libraries_beside_any_spaces(sides, libraries, monkeypatch):
+    """Texts of all kinds of spaces, in one block and with little remembered."""
+    monkeypatch.setattr(ta, "CACHE_SIZE", 300)
+    rng = random.Random(8)
+    signs = [" ", "  ", "\n", "\n\n", "\r\n", "\t", "\x0b", "\x1f", "\x85", "\xa0", "\u180e", "\u2003", "\u200b", "\u3000", "▁", "the", "Word,", "don't", "12", "==", "ñ", "日本", "😀", "x" * 80]
+    known = ta.Remembered(list(sides))
+    for _ in range(20):
+        texts = [" " + "".join(rng.choice(signs) for _ in range(rng.randint(1, 12))) for _ in range(30)]
+        (a, n_a, lossy_a), (b, n_b, lossy_b) = known.laid(texts)
+        each = zip(texts, np.split(a, np.cumsum(n_a)[:-1]), lossy_a, np.split(b, np.cumsum(n_b)[:-1]), lossy_b, strict=True)
+        for text, own_a, bad_a, own_b, bad_b in each:
+            ids_a, bytes_a, ids_b, bytes_b = tokens(libraries, text[1:])
+            assert bad_a == (b"".join(bytes_a) != text.encode()) and bad_b == (b"".join(bytes_b) != text.encode())
+            assert (bad_a or own_a.tolist() == ids_a) and (bad_b or own_b.tolist() == ids_b)
